@@ -9,9 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-LINE_BREAK = r"\r\n|\r|\n"
-
-
 def blank(value: Column) -> Column:
     """NULL -> ''."""
     return F.coalesce(value, F.lit(""))
@@ -21,21 +18,33 @@ def is_blank(value: Column) -> Column:
     return blank(value) == ""
 
 
-def lines(text: Column) -> Column:
-    return F.filter(F.split(text, LINE_BREAK), lambda s: s != "")
-
-
 def segment_id(line: Column) -> Column:
     return F.substring_index(line, "|", 1)
 
 
-def with_id(all_lines: Column, name: str) -> Column:
-    return F.filter(all_lines, lambda s: s.startswith(f"{name}|"))
+def segment_line(text: Column, name: str) -> Column:
+    """First ``name`` segment of a text; NULL when it is missing."""
+    line = F.regexp_extract(text, rf"(?:^|[\r\n])({name}\|[^\r\n]*)", 1)
+    return F.when(line != "", line)
+
 
+def segment_lines(text: Column, name: str) -> Column:
+    """All ``name`` segments of a text, in order."""
+    return F.regexp_extract_all(text, F.lit(rf"(?:^|[\r\n])({name}\|[^\r\n]*)"), F.lit(1))
 
-def first_fields(all_lines: Column, name: str) -> Column:
+
+def segment_count(text: Column, name: str) -> Column:
+    return F.regexp_count(text, F.lit(rf"(?:^|[\r\n]){name}\|"))
+
+
+def first_fields(text: Column, name: str) -> Column:
     """Fields of the first ``name`` segment; NULL when the segment is missing."""
-    return F.split(F.get(with_id(all_lines, name), F.lit(0)), r"\|")
+    return F.split(segment_line(text, name), r"\|")
+
+
+def order_chunks(text: Column) -> Column:
+    """The header text, then one text per ORC group."""
+    return F.split(F.concat(F.lit("\r"), text), r"[\r\n]+(?=ORC\|)")
 
 
 def raw_field(fields: Column, n: int, msh: bool = False) -> Column:

@@ -23,39 +23,30 @@ def _keys(df: DataFrame) -> list[str]:
 
 def segments(messages: DataFrame) -> DataFrame:
     """(msg_id, pos, order_no, segment, line, fields); order_no 0 is the header."""
-    chunks = F.split(F.concat(F.lit("\r"), F.col("message")), r"(?:\r\n|\r|\n)+(?=ORC\|)")
-    marked = F.flatten(F.transform(chunks, lambda c, i: F.transform(
-        h.lines(c), lambda s: F.struct(i.cast("int").alias("order_no"), s.alias("line")))))
-    return (messages.select("msg_id", F.posexplode(marked).alias("p", "s"))
+    marked = F.flatten(F.transform(h.order_chunks(F.col("message")), lambda c, i: F.transform(
+        F.filter(F.split(c, r"[\r\n]+"), lambda s: s != ""),
+        lambda s: F.struct(i.cast("int").alias("order_no"), s.alias("line")))))
+    return (messages.select("msg_id", F.posexplode_outer(marked).alias("p", "s"))
+            .where(F.col("p").isNotNull())
             .select("msg_id", (F.col("p") + 1).alias("pos"), F.col("s.order_no").alias("order_no"),
                     h.segment_id(F.col("s.line")).alias("segment"), F.col("s.line").alias("line"),
                     F.split("s.line", r"\|").alias("fields")))
 
 
 def parse(messages: DataFrame) -> DataFrame:
-    """One row per message with the header fields and an array of order line sets."""
-    chunks = F.split(F.concat(F.lit("\r"), F.col("message")), r"(?:\r\n|\r|\n)+(?=ORC\|)")
-    cut = messages.select(*_keys(messages), F.transform(chunks, lambda c: h.lines(c)).alias("chunks"))
-    cut = cut.withColumn("all_lines", F.flatten("chunks"))
-    msh = h.first_fields(F.col("all_lines"), "MSH")
-    return cut.select(
-        *_keys(messages),
-        h.field(msh, 9, msh=True).alias("msg_type"),
-        h.raw_field(msh, 3, msh=True).alias("sending_app"),
-        h.raw_field(msh, 4, msh=True).alias("sending_facility"),
-        h.raw_field(msh, 5, msh=True).alias("receiving_app"),
-        h.raw_field(msh, 10, msh=True).alias("control_id"),
-        h.raw_field(msh, 11, msh=True).alias("processing_id"),
-        h.field(msh, 21, msh=True).alias("profile"),
-        F.size(h.with_id(F.col("all_lines"), "MSH")).alias("n_msh"),
-        h.first_fields(F.col("all_lines"), "PID").alias("pid"),
-        h.first_fields(F.col("all_lines"), "PD1").alias("pd1"),
-        F.transform(h.with_id(F.col("all_lines"), "NK1"), lambda s: F.split(s, r"\|")).alias("nk1"),
-        h.first_fields(F.col("all_lines"), "QPD").alias("qpd"),
-        F.get(h.with_id(F.col("all_lines"), "QPD"), F.lit(0)).alias("qpd_line"),
-        h.first_fields(F.col("all_lines"), "RCP").alias("rcp"),
-        F.expr("slice(chunks, 2, greatest(size(chunks) - 1, 0))").alias("orders"),
-    )
+    """One row per message: MSH fields, the fields of the header segments, the text."""
+    text = F.col("message")
+    msh = F.col("msh")
+    return (messages.select(*_keys(messages), "message", h.first_fields(text, "MSH").alias("msh"),
+                            h.segment_count(text, "MSH").alias("n_msh"))
+            .select(*_keys(messages), "message", "n_msh",
+                    h.field(msh, 9, msh=True).alias("msg_type"),
+                    h.raw_field(msh, 3, msh=True).alias("sending_app"),
+                    h.raw_field(msh, 4, msh=True).alias("sending_facility"),
+                    h.raw_field(msh, 5, msh=True).alias("receiving_app"),
+                    h.raw_field(msh, 10, msh=True).alias("control_id"),
+                    h.raw_field(msh, 11, msh=True).alias("processing_id"),
+                    h.field(msh, 21, msh=True).alias("profile")))
 
 
 def route(parsed: DataFrame) -> DataFrame:
@@ -75,6 +66,10 @@ def _identifier(fields: Column, kinds: list[str]) -> tuple[Column, Column, Colum
 
 def extract_patients(parsed: DataFrame, strict: Column | bool = True, *carry: str) -> DataFrame:
     """PID, PD1 and the chosen NK1 of every message as patient columns."""
+    text = F.col("message")
+    parsed = parsed.withColumns({
+        "pid": h.first_fields(text, "PID"), "pd1": h.first_fields(text, "PD1"),
+        "nk1": F.transform(h.segment_lines(text, "NK1"), lambda s: F.split(s, r"\|"))})
     pid, pd1 = F.col("pid"), F.col("pd1")
     mrn, authority, kind = _identifier(pid, ID_TYPES)
     phone = F.concat(h.field(pid, 13, 6), h.field(pid, 13, 7))
@@ -120,35 +115,39 @@ def extract_patients(parsed: DataFrame, strict: Column | bool = True, *carry: st
     )
 
 
-def orders(parsed: DataFrame, *carry: str) -> DataFrame:
+def orders(parsed: DataFrame, *carry: str, only: Column | bool = True) -> DataFrame:
     """One row per ORC group with its ORC, RXA, RXR fields and OBX lines.
 
+    ``only`` restricts the messages.  It guards the split instead of being a
+    filter: a filter would move below the parse and read the text twice.
+
     ``obx_before`` counts the observations of earlier groups of the message,
     which makes the running OBX number available without a window.
     """
-    anchor = F.when(F.col("msg_type") == "ORU", F.lit("OBR|")).otherwise(F.lit("RXA|"))
-    located = F.transform("orders", lambda ls: F.struct(
-        ls.alias("ls"),
-        F.array_position(F.transform(ls, lambda s: F.left(s, F.lit(4))), anchor).cast("int").alias("at")))
-    bodied = F.transform(located, lambda o: F.struct(
-        F.get(o["ls"], F.lit(0)).alias("orc_line"),
-        F.get(o["ls"], o["at"] - 1).alias("anchor_line"),
-        (o["at"] > 0).alias("has_anchor"),
-        F.when(o["at"] > 0, F.slice(o["ls"], o["at"] + 1, F.size(o["ls"]))).otherwise(
-            F.slice(o["ls"], 1, 0)).alias("after")))
-    counted = parsed.select(*_keys(parsed), "msg_type", *carry, bodied.alias("groups"))
-    counted = counted.withColumn("obx_counts", F.transform(
-        "groups", lambda g: F.size(h.with_id(g["after"], "OBX"))))
-    return counted.select(
-        *_keys(parsed), "msg_type", *carry, "obx_counts", F.posexplode("groups").alias("i", "g"),
-    ).select(
+    chunks = h.order_chunks(F.col("message"))
+    body = r"(?s)[\r\n](?:RXA|OBR)\|[^\r\n]*(.*)"
+    cut = parsed.select(*_keys(parsed), "msg_type", *carry,
+                        F.when(F.lit(only) if isinstance(only, bool) else only,
+                               F.slice(chunks, F.lit(2), F.greatest(F.size(chunks) - 1, F.lit(0)))).alias("chunks"))
+    # posexplode_outer: the inner form would add a filter that parses the text twice
+    cut = cut.withColumn("obx_counts", F.transform(
+        "chunks", lambda c: F.regexp_count(F.regexp_extract(c, body, 1), F.lit(r"[\r\n]OBX\|"))))
+    rows = (cut.select(*_keys(parsed), "msg_type", *carry, "obx_counts", F.posexplode_outer("chunks").alias("i", "chunk"))
+            .where(F.col("i").isNotNull()))
+    chunk, oru = F.col("chunk"), F.col("msg_type") == "ORU"
+    anchor = F.coalesce(F.when(oru, h.segment_line(chunk, "OBR")).otherwise(h.segment_line(chunk, "RXA")), F.lit(""))
+    after = F.when(oru, F.regexp_extract(chunk, r"(?s)[\r\n]OBR\|[^\r\n]*(.*)", 1)).otherwise(
+        F.regexp_extract(chunk, r"(?s)[\r\n]RXA\|[^\r\n]*(.*)", 1))
+    rows = rows.select(*_keys(parsed), "msg_type", *carry, "i", "obx_counts", "chunk",
+                       anchor.alias("anchor"), after.alias("after"))
+    return rows.select(
         *_keys(parsed), "msg_type", *carry, (F.col("i") + 1).alias("order_no"),
         F.expr("aggregate(slice(obx_counts, 1, i), 0, (a, x) -> a + x)").alias("obx_before"),
-        F.split("g.orc_line", r"\|").alias("orc"),
-        F.col("g.has_anchor").alias("has_anchor"),
-        F.split("g.anchor_line", r"\|").alias("rxa"),
-        h.first_fields(F.col("g.after"), "RXR").alias("rxr"),
-        h.with_id(F.col("g.after"), "OBX").alias("obx"),
+        h.first_fields(chunk, "ORC").alias("orc"),
+        (F.col("anchor") != "").alias("has_anchor"),
+        F.split("anchor", r"\|").alias("rxa"),
+        h.first_fields(F.col("after"), "RXR").alias("rxr"),
+        h.segment_lines(F.col("after"), "OBX").alias("obx"),
     )
 
 
@@ -168,11 +167,12 @@ def _code_slots(rxa: Column) -> dict[str, Column]:
     }
 
 
-def extract_vaccinations(parsed: DataFrame, strict: Column | bool = True, *carry: str) -> DataFrame:
+def extract_vaccinations(parsed: DataFrame, strict: Column | bool = True, *carry: str,
+                         only: Column | bool = True) -> DataFrame:
     """ORC, RXA and RXR columns of every order of an update message."""
     rxa, rxr = F.col("rxa"), F.col("rxr")
     slots = _code_slots(rxa)
-    return orders(parsed.where(F.col("msg_type") == "VXU"), *carry).select(
+    return orders(parsed, *carry, only=(F.col("msg_type") == "VXU") & only).select(
         *_keys(parsed), *carry, "order_no", "obx_before", "obx",
         F.col("has_anchor").alias("has_rxa"), rxr.isNotNull().alias("has_rxr"),
         h.field(F.col("orc"), 3).alias("vr_link"),
@@ -214,7 +214,8 @@ def extract_observations(order_rows: DataFrame, strict: Column | bool = True) ->
     """
     kept = [c for c in order_rows.columns if c not in ("obx", "obx_before")]
     f = F.split("line", r"\|")
-    return (order_rows.select(*kept, "obx_before", F.posexplode("obx").alias("i", "line"))
+    return (order_rows.select(*kept, "obx_before", F.posexplode_outer("obx").alias("i", "line"))
+            .where(F.col("i").isNotNull())
             .select(*kept, (F.col("obx_before") + F.col("i") + 1).alias("obx_no"),
                     h.field(f, 2).alias("value_type"),
                     h.field(f, 3, 1).alias("identifier_code"), h.field(f, 3, 2).alias("identifier_label"),
@@ -234,7 +235,11 @@ def extract_queries(parsed: DataFrame) -> DataFrame:
     """QPD and RCP columns of the query messages; the birth date is read leniently."""
     qpd = F.col("qpd")
     mrn, authority, _ = _identifier(qpd, ID_TYPES[:2])
-    return parsed.where(F.col("msg_type") == "QBP").select(
+    text = F.col("message")
+    parsed = parsed.where(F.col("msg_type") == "QBP").withColumns({
+        "qpd_line": h.segment_line(text, "QPD"), "rcp": h.first_fields(text, "RCP"),
+        "qpd": h.first_fields(text, "QPD")})
+    return parsed.select(
         *_keys(parsed), "profile", qpd.isNotNull().alias("has_qpd"), "qpd_line",
         h.field(qpd, 2).alias("query_tag"), mrn.alias("q_mrn"), authority.alias("q_authority"),
         h.field(qpd, 4, 1).alias("q_last"), h.field(qpd, 4, 2).alias("q_first"),

@@ -166,17 +166,16 @@ def head_stage(parsed: DataFrame, codes: DataFrame, valid_values: DataFrame, as_
                skip_blank_phone: bool = False) -> DataFrame:
     """Patient rows of update messages with their header and patient findings.
 
-    Adds ``head`` (findings after the stop logic) and ``stopped``.  The order
-    line sets stay on the row, so the order stage goes on from here.
+    Adds ``head`` (findings after the stop logic) and ``stopped``.  The message
+    text stays on the row, so the order stage goes on from here.
     """
     header = message_stage(parsed).withColumnRenamed("found", "header_found")
-    keep = ["orders", "header_found", "control_id", "processing_id", "sending_app", "sending_facility", "receiving_app", "n_msh"]
-    rows = hl7.extract_patients(header.withColumn("carry", F.struct(*keep)), F.col("strict"), "carry")
+    keep = ["header_found", "control_id", "processing_id", "sending_app", "sending_facility", "receiving_app", "n_msh"]
+    rows = hl7.extract_patients(header.withColumn("carry", F.struct(*keep)), F.col("strict"), "carry", "message")
     rows = patient_stage(patient_checks(rows, codes, valid_values), as_of, skip_blank_phone)
     updates = F.col("msg_type").isin("VXU", "ORU") & (F.size("carry.header_found") == 0)
     rows = rows.withColumn("head", F.when(updates, F.col("found")).otherwise(F.col("carry.header_found")))
     return (rows.withColumn("stopped", ~updates | F.exists("head", lambda x: x["severity"] == "E"))
-            .withColumn("orders", F.col("carry.orders"))
             .drop("found"))
 
 
@@ -192,7 +191,7 @@ def head_findings(head: DataFrame) -> DataFrame:
 
 def order_rows(head: DataFrame) -> DataFrame:
     """Vaccination orders of the messages that passed the patient stage."""
-    return hl7.extract_vaccinations(head.where(~F.col("stopped")), F.col("strict"), "mrn", "birth_date")
+    return hl7.extract_vaccinations(head, F.col("strict"), "mrn", "birth_date", only=~F.col("stopped"))
 
 
 def order_checks(rows: DataFrame, codes: DataFrame, relations: DataFrame, locations: DataFrame | None = None) -> DataFrame:
@@ -290,8 +289,8 @@ def cut_after_stop(findings: DataFrame) -> DataFrame:
 
 def oru_rows(head: DataFrame) -> DataFrame:
     """Order groups of observation messages."""
-    base = head.where(~F.col("stopped") & (F.col("msg_type") == "ORU"))
-    return (hl7.orders(base, "mrn", "birth_date")
+    rows = hl7.orders(head, "mrn", "birth_date", only=~F.col("stopped") & (F.col("msg_type") == "ORU"))
+    return (rows
             .withColumn("found", _found(finding("V53", ~F.col("has_anchor"), "E", "ORC", 0, thrown=True,
                                                 repeat=F.col("order_no"))))
             .withColumn("failed", ~F.col("has_anchor")).withColumn("is_dose", F.lit(False))

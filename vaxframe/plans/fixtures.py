@@ -15,7 +15,10 @@ from ..functions import codes as C
 
 
 def pick(expr: str, *values: str) -> str:
-    """CASE that maps 0,1,2,... of ``expr`` to the given SQL expressions."""
+    """The given SQL expression for 0,1,2,... of ``expr``; the last one beyond."""
+    texts = [v[1:-1] for v in values if v[0] == "'" and v[-1] == "'" and v.count("'") == 2 and "," not in v]
+    if len(texts) == len(values) > 3:
+        return f"split_part('{','.join(texts)}', ',', cast(least({expr}, {len(texts) - 1}) + 1 as int))"
     arms = " ".join(f"when {i} then {v}" for i, v in enumerate(values[:-1]))
     return f"(case {expr} {arms} else {values[-1]} end)"
 
@@ -409,7 +412,16 @@ class Registry:
         return self.project(self.table("part"), IMAGERY)
 
     def messages(self) -> DataFrame:
-        return message_table(self.table("orders"))
+        return message_table(spread(self.table("orders")))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spreads a table that arrives in fewer splits than there are cores.
+
+    Large tables have more splits than that and stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def message_table(orders: DataFrame) -> DataFrame:

@@ -150,7 +150,7 @@ OBX_FROM = """from (select *, cast(row_number() over (partition by msg_id order
     select msg_id, cast(k as int) as order_no, obx_no, identifier_code, value_code, 'VLbl' as value_label, 'TBL' as value_table,
            'F' as result_status, {DATE('obs_text')} as observation_date, 'VXC40' as method_code {OBX_FROM}"""))
 def extract_observations(spark, sf_dir):
-    rows = hl7.orders(parsed(spark, sf_dir).where(F.col("msg_type").isin("VXU", "ORU")))
+    rows = hl7.orders(parsed(spark, sf_dir), only=F.col("msg_type").isin("VXU", "ORU"))
     return hl7.extract_observations(rows).select(
         "msg_id", "order_no", "obx_no", "identifier_code", "value_code", "value_label", "value_table", "result_status",
         "observation_date", "method_code")
@@ -169,3 +169,270 @@ RCP_INT = "try_cast(split_part(rcp, '^', 1) as int)"
 def extract_queries(spark, sf_dir):
     return hl7.extract_queries(parsed(spark, sf_dir)).select(
         "msg_id", "profile", "has_qpd", "query_tag", "q_mrn", "q_last", "q_first", "q_middle", "q_birth", "q_sex", "quantity")
+
+
+# -------------------------------------------------------------- validation
+
+FINDING_KEYS = ["msg_id", "rule", "severity", "segment", "seg_repeat", "field"]
+
+
+def keyed(findings, keep):
+    return findings.where(keep).select(*FINDING_KEYS)
+
+
+def _rule(source, pos, rule, severity, thrown, segment, field, cond, repeat="1", stage=1, k="0", o="0"):
+    return (f"select msg_id, {stage} as stage, {k} as k, {pos} as pos, {o} as obx_no, '{rule}' as rule, {severity} as severity, "
+            f"{thrown} as thrown, '{segment}' as segment, cast({repeat} as int) as seg_repeat, cast({field} as int) as field "
+            f"from {source} where {cond}")
+
+
+def flavored(flavor, yes, no):
+    return f"case when f_{flavor.lower()} then '{yes}' else '{no}' end"
+
+
+def head_rules() -> str:
+    ok = "eff_type in ('VXU', 'ORU') and n_msh = 1 and not (f_soursop and facility <> org_name)"
+    phone = "concat(phone_area, phone_local)"
+    digits = f"regexp_replace({phone}, '[^0-9]', '', 'g')"
+    strange = f"regexp_replace({phone}, '[0-9. ()-]', '', 'g')"
+    bdate = f"case when f_cantaloupe then {LENIENT('birth_text')} else {DATE('birth_text')} end"
+    def bad(col):
+        return f"{col} <> '' and (case when f_cantaloupe then {LENIENT(col)} else {LEFT8(col)} end) is null"
+    vv = "(select value from valid_value where valid_set in ({}))".format
+    known = "exists (select 1 from code where codeset = '{0}' and value = {1} and status = 'VALID')".format
+    single, multi = "birth_flag in ('', 'N')", "birth_flag = 'Y'"
+    t, f = "true", "false"
+    table = [  # rule, severity, thrown, segment, field, condition
+        ("V29", "'E'", t, "", 0, "not has_pid", 0),
+        ("V28", "'E'", t, "PID", 3, "has_pid and id_type = 'XX'", 1),
+        ("V30", flavored("QUINZE", "E", "W"), f, "PID", 13, "has_pid and phone_use <> 'PRN'", 1),
+        ("V31", "'W'", f, "PID", 13, f"has_pid and {strange} <> ''", 1),
+        ("V32", "'W'", f, "PID", 13, f"has_pid and (length({digits}) <> 10 or regexp_matches({phone}, '^(555|0|1)'))", 1),
+        ("V33", "'E'", t, "PID", 5, "name_last = ''", 1),
+        ("V34", "'E'", t, "PID", 5, "name_first = ''", 1),
+        ("V35", "'E'", t, "PID", 7, f"({bdate}) is null", 1),
+        ("V36", "'E'", t, "PID", 7, f"({bdate}) > date '{AS_OF}'", 1),
+        ("V37", "'W'", f, "PID", 29, bad("death_text"), 1),
+        ("V38", "'W'", f, "PID", 8, f"sex not in {vv(chr(39) + 'SEX' + chr(39))}", 1),
+        ("V39", flavored("GUAVA", "W", "E"), f, "PID", 11, f"country <> '' and country not in {vv(chr(39) + 'COUNTRY_2DIGIT' + chr(39) + ',' + chr(39) + 'COUNTRY_3DIGIT' + chr(39))}", 1),
+        ("V40", flavored("GUAVA", "W", "E"), f, "PID", 11, f"country in ('', 'US', 'USA') and state <> '' and state not in {vv(chr(39) + 'STATE' + chr(39))}", 1),
+        ("V41", flavored("FIG", "E", "W"), f, "PID", 10, f"race <> '' and not {known('PATIENT_RACE', 'race')}", 1),
+        ("V42", flavored("FIG", "E", "W"), f, "PID", 10, f"ethnicity <> '' and not {known('PATIENT_ETHNICITY', 'ethnicity')}", 1),
+        ("V43", "'E'", t, "PID", 11, "f_blackberry and (line1 = '' or city = '' or state = '' or zip = '')", 1),
+        ("V44", flavored("PLANTAIN", "W", "E"), f, "PID", 25, f"{single} and birth_order not in ('1', '')", 1),
+        ("V45", "'W'", f, "PID", 24, f"{multi} and birth_order = ''", 1),
+        ("V46", flavored("PLANTAIN", "W", "E"), f, "PID", 25, f"{multi} and birth_order <> '' and birth_order not in {vv(chr(39) + 'BIRTH_ORDER' + chr(39))}", 1),
+        ("V47", flavored("PLANTAIN", "W", "E"), f, "PID", 24, f"not {single} and not {multi}", 1),
+        ("V48a", "'W'", f, "PD1", 13, "has_pd1 and " + bad("protection_text"), 1),
+        ("V48b", "'W'", f, "PD1", 17, "has_pd1 and " + bad("registry_text"), 1),
+        ("V48c", "'W'", f, "PD1", 18, "has_pd1 and " + bad("publicity_text"), 1),
+    ]
+    src = f"(select * from fxf where {ok}) t"
+    parts = [_rule("fxf", 0, "V59", "'E'", t, "", 0, "n_msh = 0", 0, 0), _rule("fxf", 0, "V64", "'E'", t, "MSH", 0, "n_msh > 1", 1, 0),
+             _rule("fxf", 1, "V01", "'E'", t, "", 0, "n_msh = 1 and f_soursop and facility <> org_name", 0, 0),
+             _rule("fxf", 2, "V02", "'E'", t, "", 0, "n_msh = 1 and eff_type not in ('VXU', 'ORU', 'QBP') and not (f_soursop and facility <> org_name)", 0, 0)]
+    parts += [_rule(src, i + 1, r, s, th, seg, fld, c, rep) for i, (r, s, th, seg, fld, c, rep) in enumerate(table)]
+    nk = (f"(select fxn.*, t2.f_soursop, t2.org_name as own from fxn join fxf t2 on fxn.msg_id = t2.msg_id "
+          f"left join nk on fxn.msg_id = nk.msg_id where fxn.eff_type in ('VXU', 'ORU') and fxn.n_msh = 1 and not (t2.f_soursop and fxn.facility <> t2.org_name) and k <= nk.pick) t")
+    for pos, (r, fld, c) in enumerate([("V49", 2, "nk_last = ''"), ("V50", 2, "nk_first = ''"), ("V51", 3, "relationship = ''"),
+                                       ("V52", 3, "relationship not in ('MTH', 'FTH', 'GRD')")]):
+        parts.append(_rule(nk, f"100 + k * 10 + {pos}", r, "'W'", f, "NK1", fld, c, "k"))
+    return " union all ".join(parts)
+
+
+HEAD = "fxm fxn fx_org code valid_value"
+HEAD_CTES = {
+    **{"nk": GUARDIAN_CTE["nk"]},
+    "fxf": "select fxm.*, fx_org.* exclude (org_id) from fxm left join fx_org on fxm.org_id = fx_org.org_id",
+    "raw_head": None,  # filled below
+    "head": "select * from (select *, min(case when thrown then stage * 1000 + pos end) over (partition by msg_id) as stop from raw_head) t "
+            "where stop is null or stage * 1000 + pos <= stop",
+}
+HEAD_CTES["raw_head"] = head_rules()
+KEYS_SQL = ", ".join(FINDING_KEYS)
+
+
+@query("dq_message", with_ctes(HEAD, f"select {KEYS_SQL} from head where stage = 0", HEAD_CTES))
+def dq_message(spark, sf_dir):
+    return keyed(validation(spark, sf_dir).head_findings(), F.col("stage") == 0)
+
+
+@query("dq_patient", with_ctes(HEAD, f"select {KEYS_SQL} from head where stage = 1 and segment <> 'NK1'", HEAD_CTES))
+def dq_patient(spark, sf_dir):
+    return keyed(validation(spark, sf_dir).head_findings(), (F.col("stage") == 1) & (F.col("segment") != "NK1"))
+
+
+@query("dq_guardian", with_ctes(HEAD, f"select {KEYS_SQL} from head where segment = 'NK1'", HEAD_CTES))
+def dq_guardian(spark, sf_dir):
+    return keyed(validation(spark, sf_dir).head_findings(), F.col("rule").isin(rules.GUARDIAN_RULES))
+
+
+def order_rules() -> str:
+    adm = f"case when f_cantaloupe then {LENIENT('admin_text')} else {DATE('admin_text')} end"
+    src = "dose"
+    t, f = "true", "false"
+    table = [
+        ("V25", "'E'", t, "ORC", 0, "not has_rxa"),
+        ("V08", "'E'", t, "RXA", 5, "has_rxa and code1 = ''"),
+        ("V09", "'E'", t, "ORC", 3, "live and vr_link = ''"),
+        ("V10", "'E'", t, "RXA", 3, "live and adm is null"),
+        ("V11", "'E'", t, "RXA", 3, f"live and adm > date '{AS_OF}'"),
+        ("V12", "'W'", f, "RXA", 5, "live and ndc_known and ndc_cvx is null"),
+        ("V13", "'W'", f, "RXA", 5, "live and ndc_known and cvx_sent <> '' and cvx_sent <> ndc_cvx"),
+        ("V14", "'W'", f, "RXA", 5, "live and cpt_known and cpt_cvx is null"),
+        ("V15", "'W'", f, "RXA", 5, "live and cpt_known and coalesce(nullif(cvx_sent, ''), case when ndc_known then ndc_cvx end) <> cpt_cvx"),
+        ("V16", "'E'", t, "RXA", 5, "live and cvx = ''"),
+        ("V17", "'E'", t, "RXA", 5, "live and not cvx_known"),
+        ("V18", "'E'", t, "RXA", 11, "live and f_pear and facility_code <> '' and not loc_known"),
+        ("V19", "'W'", f, "RXA", 16, f"live and expiration_text <> '' and (case when f_cantaloupe then {LENIENT('expiration_text')} else {LEFT8('expiration_text')} end) is null"),
+        ("V20", "'W'", f, "RXA", 18, "live and refusal_code <> '' and refusal_code not in (select value from code where codeset = 'VACCINATION_REFUSAL')"),
+        ("V21", "'E'", t, "RXA", 0, "live and f_spruce and not has_rxr and info_source = '00'"),
+        ("V22", "'E'", t, "RXA", 3, "live and adm < birth_date and not f_clementine"),
+    ]
+    parts = [_rule(src, i + 1, r, s, th, seg, fld, c, "k", 2, k="k") for i, (r, s, th, seg, fld, c) in enumerate(table)]
+    parts.append(_rule("oru_order", 1, "V53", "'E'", t, "ORC", 0, "not has_obr", "k", 2, k="k"))
+    odate = f"(case when f_cantaloupe then {LENIENT('obs_text')} else {LEFT8('obs_text')} end)"
+    contra = "identifier_code = '30945-0'"
+    def unknown(codeset):
+        return f"value_code <> '' and value_code not in (select value from code where codeset = '{codeset}')"
+    obs = [
+        ("50", 0, "V23", 5, "is_dose and identifier_code = '64994-7' and " + unknown("FINANCIAL_STATUS_CODE")),
+        ("50", 0, "V24", 5, "is_dose and identifier_code = '30963-3' and " + unknown("VACCINATION_FUNDING_SOURCE")),
+        ("60", 0, "V57", 14, f"obs_text <> '' and {odate} is null"),
+        ("60", 1, "V54", 5, f"{contra} and " + unknown("CONTRAINDICATION_OR_PRECAUTION")),
+        ("60", 2, "V55", 5, f"{contra} and {odate} > date '{AS_OF}'"),
+        ("60", 3, "V56", 14, f"{contra} and {odate} < birth_date"),
+    ]
+    for block, i, r, fld, c in obs:
+        parts.append(_rule("obx", f"{block} + {i}", r, "'W'", f, "OBX", fld, c, "obx_no", 2, k="k", o="obx_no"))
+    parts.append("select msg_id, 3, 0, 1, 0, case when f_cranberry and v = 0 then 'V26' else 'V27' end, 'E', true, '', 0, 0 from totals "
+                 "where not any_failed and ((f_cranberry and v = 0) or (f_bilberry and v = 0 and re = 0))")
+    return " union all ".join(parts)
+
+
+ORDER_CTES = {
+    **HEAD_CTES,
+    "passed": f"select fxf.*, case when f_cantaloupe then {LENIENT('birth_text')} else {DATE('birth_text')} end as birth_date from fxf "
+              "where eff_type in ('VXU', 'ORU') and n_msh = 1 and not (f_soursop and facility <> org_name) "
+              "and msg_id not in (select msg_id from head where severity = 'E')",
+    "flagged": "select fxo.*, p.* exclude (msg_id, " + ", ".join(__import__("vaxframe.plans.fixtures", fromlist=["MESSAGE"]).MESSAGE.keys() - {"msg_id"})
+               + ") from fxo join passed p on fxo.msg_id = p.msg_id",
+    "oru_order": "select * from flagged where eff_type = 'ORU'",
+    "slots": f"select *, {NDC} as ndc, {CPT} as cpt, {CVX_SENT} as cvx_sent, "
+             f"case when f_cantaloupe then {LENIENT('admin_text')} else {DATE('admin_text')} end as adm, "
+             "has_rxa and code1 <> '998' as live from flagged where eff_type = 'VXU'",
+    "mapped": "select s.*, n.value is not null as ndc_known, coalesce(nullif(n.new_value, ''), s.ndc) as ndc_final, nr.to_cvx as ndc_cvx, "
+              "c.value is not null as cpt_known, cr.to_cvx as cpt_cvx, "
+              "coalesce(nullif(s.cvx_sent, ''), case when n.value is not null then nr.to_cvx end, case when c.value is not null then cr.to_cvx end, '') as cvx "
+              "from slots s left join code n on n.codeset = 'VACCINATION_NDC_CODE' and n.value = s.ndc "
+              "left join code_rel nr on nr.from_set = 'VACCINATION_NDC_CODE' and nr.from_value = s.ndc "
+              "left join code c on c.codeset = 'VACCINATION_CPT_CODE' and c.value = s.cpt "
+              "left join code_rel cr on cr.from_set = 'VACCINATION_CPT_CODE' and cr.from_value = s.cpt",
+    "dose": "select m.*, m.cvx in (select value from code where codeset = 'VACCINATION_CVX_CODE') as cvx_known, "
+            "l.org_id is not null as loc_known from mapped m left join fx_location l on l.org_id = m.org_id and l.facility_code = m.facility_code",
+    "dose_fail": None, "obx": None, "totals": None, "raw_order": None,
+    "orders_f": "select * from (select *, min(case when thrown then (stage, k, least(pos, 60), obx_no, pos) end) over (partition by msg_id) as stop from raw_order) t "
+                "where stop is null or (stage, k, least(pos, 60), obx_no, pos) <= stop",
+}
+_FAIL = ("not has_rxa or code1 = '' or (live and (vr_link = '' or adm is null or adm > date '" + AS_OF + "' or cvx = '' or not cvx_known "
+         "or (f_pear and facility_code <> '' and not loc_known) or (f_spruce and not has_rxr and info_source = '00') "
+         "or (adm < birth_date and not f_clementine)))")
+ORDER_CTES["dose_fail"] = f"select *, coalesce({_FAIL}, false) as failed from dose"
+ORDER_CTES["obx"] = (
+    "select x.* exclude (org_id, mrn, vr_link, has_rxa, has_obr, n_obx, code1, custkey, received_date, eff_type), o.* exclude (msg_id, k) from "
+    "(select *, cast(row_number() over (partition by msg_id order by k, j) as int) as obx_no from fxx where (eff_type = 'VXU' and has_rxa) or (eff_type = 'ORU' and has_obr)) x join "
+    "(select msg_id, k, vr_link, birth_date, f_cantaloupe, live as is_dose, mrn, org_id, received_date from dose_fail where not failed union all "
+    "select msg_id, k, vr_link, birth_date, f_cantaloupe, false, mrn, org_id, received_date from oru_order where has_obr) o on x.msg_id = o.msg_id and x.k = o.k")
+ORDER_CTES["totals"] = (
+    "select p.msg_id, f_cranberry, f_bilberry, coalesce(any_failed, false) as any_failed, coalesce(v, 0) as v, coalesce(re, 0) as re from passed p left join "
+    "(select msg_id, bool_or(failed) as any_failed, count(*) filter (not failed and live and cvx not in ('998', '999') and completion_status in ('CP', 'PA', '')) as v, "
+    "count(*) filter (not failed and live and completion_status = 'RE') as re from dose_fail group by msg_id) c on p.msg_id = c.msg_id "
+    "where p.eff_type = 'VXU'")
+ORDER_CTES["raw_order"] = order_rules()
+FULL = "fxm fxo fxx fxn fx_org fx_location code code_rel valid_value"
+
+
+@query("dq_order", with_ctes(FULL, f"select {KEYS_SQL} from orders_f where rule not in ('V54', 'V55', 'V56', 'V57')", ORDER_CTES))
+def dq_order(spark, sf_dir):
+    return keyed(validation(spark, sf_dir).order_findings(), ~F.col("rule").isin(rules.OBSERVATION_RULES))
+
+
+@query("dq_observation", with_ctes(FULL, f"select {KEYS_SQL} from orders_f where rule in ('V54', 'V55', 'V56', 'V57')", ORDER_CTES))
+def dq_observation(spark, sf_dir):
+    return keyed(validation(spark, sf_dir).order_findings(), F.col("rule").isin(rules.OBSERVATION_RULES))
+
+
+QUERY_RULES = " union all ".join([
+    "select msg_id, 'V03' as rule, 'E' as severity, '' as segment, 0 as seg_repeat, 0 as field from q where not has_qpd",
+    f"select msg_id, 'V07', 'W', 'QPD', 1, 6 from q where has_qpd and birth_text <> '' and {LENIENT('birth_text')} is null",
+    "select msg_id, 'V04', 'E', 'QPD', 1, 4 from q where has_qpd and name_last = ''",
+    "select msg_id, 'V05', 'E', 'QPD', 1, 4 from q where has_qpd and name_last <> '' and name_first = ''",
+    f"select msg_id, 'V06', 'E', 'QPD', 1, 6 from q where has_qpd and name_last <> '' and name_first <> '' and {LENIENT('birth_text')} is null",
+    "select msg_id, 'V58', 'E', 'MSH', 1, 21 from q where has_qpd and profile not in ('Z34', 'Z44') and id_type in ('MR', 'PT') "
+    "and exists (select 1 from fx_patient p where p.org_id = q.org_id and p.mrn = q.mrn)"])
+
+
+@query("dq_query", with_ctes("fxm fx_patient", QUERY_RULES, {"q": "select * from fxm where eff_type = 'QBP'"}))
+def dq_query(spark, sf_dir):
+    r = Registry(spark, sf_dir)
+    asked = hl7.extract_queries(parsed(spark, sf_dir))
+    side = r.patients().select("org_id", F.col("mrn").alias("q_mrn")).distinct()
+    matched = asked.join(side, ["org_id", "q_mrn"], "left_semi")
+    return rules.query_findings(asked, matched).select(*FINDING_KEYS)
+
+
+# -------------------------------------------------------------- acceptance
+
+ALL_F = {**ORDER_CTES, "all_f": f"select msg_id, stage, rule, severity from head union all select msg_id, stage, rule, severity from orders_f"}
+
+
+@query("ack_status", with_ctes(FULL, """
+    select fxm.msg_id, coalesce(errors, 0) as errors, coalesce(warnings, 0) as warnings,
+           case when coalesce(errors, 0) + coalesce(warnings, 0) > 0 then 'AE' else 'AA' end as status
+    from fxm left join (select msg_id, count(*) filter (severity = 'E') as errors, count(*) filter (severity = 'W') as warnings
+                        from all_f group by msg_id) f on fxm.msg_id = f.msg_id""", ALL_F))
+def ack_status(spark, sf_dir):
+    v = validation(spark, sf_dir)
+    return acceptance.ack_status(Registry(spark, sf_dir).messages(), v.findings())
+
+
+@query("accepted_prefix", with_ctes(FULL, """
+    select msg_id, cast(k as int) as order_no, failed, not bool_or(failed) over (partition by msg_id order by k) as accepted from dose_fail""", ORDER_CTES))
+def accepted_prefix(spark, sf_dir):
+    return acceptance.accepted_prefix(validation(spark, sf_dir).doses).select("msg_id", "order_no", "failed", "accepted")
+
+
+@query("accepted_patients", with_ctes(HEAD, f"""
+    select msg_id, org_id, mrn, name_last, birth_date from (select fxf.*, case when f_cantaloupe then {LENIENT('birth_text')} else {DATE('birth_text')} end as birth_date from fxf) fxf
+    where eff_type in ('VXU', 'ORU') and msg_id not in (select msg_id from head where severity = 'E')""", HEAD_CTES))
+def accepted_patients(spark, sf_dir):
+    return validation(spark, sf_dir).head.where(~F.col("stopped")).select("msg_id", "org_id", "mrn", "name_last", "birth_date")
+
+
+@query("vaccination_refusal_counts", with_ctes(FULL, """
+    select msg_id, count(*) filter (accepted and live and cvx not in ('998', '999') and completion_status in ('CP', 'PA', '')) as vaccinations,
+           count(*) filter (accepted and live and completion_status = 'RE') as refusals
+    from (select *, not bool_or(failed) over (partition by msg_id order by k) as accepted from dose_fail) t group by msg_id""", ORDER_CTES))
+def vaccination_refusal_counts(spark, sf_dir):
+    return acceptance.event_counts(validation(spark, sf_dir).doses)
+
+
+@query("dq_summary", with_ctes(FULL, """
+    select org_id, rule, severity, count(*) as findings from all_f join (select msg_id, org_id from fxm) m on all_f.msg_id = m.msg_id
+    group by org_id, rule, severity""", ALL_F))
+def dq_summary(spark, sf_dir):
+    v = validation(spark, sf_dir)
+    return acceptance.summary(Registry(spark, sf_dir).messages(), v.findings())
+
+
+LOG_SQL = """select fxm.msg_id, fxm.org_id, received_date, case when eff_type in ('VXU', 'ORU') then 'Update' else 'Unknown' end as category_request,
+    case when eff_type not in ('VXU', 'ORU') then 'NAck' when exists (select 1 from all_f a where a.msg_id = fxm.msg_id and severity = 'E') then 'Exception' else 'Ack' end as category_response
+    from fxm where eff_type <> 'QBP' and msg_id not in (select msg_id from all_f where stage = 0 and rule <> 'V02')"""
+
+
+@query("log_category_counts", with_ctes(FULL, f"""
+    select category_request, category_response, count(*) as messages from ({LOG_SQL}) t group by 1, 2""", ALL_F))
+def log_category_counts(spark, sf_dir):
+    v = validation(spark, sf_dir)
+    rows = acceptance.update_categories(v.parsed, v.findings())
+    return rows.groupBy("category_request", "category_response").agg(F.count("*").alias("messages"))
