@@ -129,21 +129,24 @@ def lookup(df: DataFrame, codes: DataFrame, codeset: str, column: str, prefix: s
 
     The code table is keyed on (codeset, value), so no row is multiplied.
     """
-    side = codes.where(F.col("codeset") == codeset).select(
-        F.col("value").alias(f"__{prefix}"), *[F.col(t).alias(f"{prefix}_{t}") for t in take])
-    return df.join(side, F.col(column) == F.col(f"__{prefix}"), "left").drop(f"__{prefix}")
+    side = codes.where(f"codeset = '{codeset}'").selectExpr(
+        f"value as __{prefix}", *[f"{t} as {prefix}_{t}" for t in take])
+    return df.join(side, F.expr(f"{column} = __{prefix}"), "left").drop(f"__{prefix}")
 
 
 def relate(df: DataFrame, relations: DataFrame, from_set: str, column: str, out: str) -> DataFrame:
     """Left join code -> CVX; ``out`` is NULL when there is no relation."""
-    side = relations.where(F.col("from_set") == from_set).select(
-        F.col("from_value").alias(f"__{out}"), F.col("to_cvx").alias(out))
-    return df.join(side, F.col(column) == F.col(f"__{out}"), "left").drop(f"__{out}")
+    side = relations.where(f"from_set = '{from_set}'").selectExpr(f"from_value as __{out}", f"to_cvx as {out}")
+    return df.join(side, F.expr(f"{column} = __{out}"), "left").drop(f"__{out}")
 
 
 def member(df: DataFrame, valid_values: DataFrame, sets: list[str], column: str, out: str) -> DataFrame:
-    """Boolean ``out``: the value belongs to one of the sets."""
-    side = (valid_values.where(F.col("valid_set").isin(sets))
-            .select(F.col("value").alias(f"__{out}")).distinct().withColumn(out, F.lit(True)))
-    joined = df.join(side, F.col(column) == F.col(f"__{out}"), "left").drop(f"__{out}")
-    return joined.withColumn(out, F.coalesce(F.col(out), F.lit(False)))
+    """Boolean ``out``: the value belongs to one of the sets (keyed on valid_set, value)."""
+    names = ", ".join(f"'{s}'" for s in sets)
+    side = valid_values.where(f"valid_set in ({names})").selectExpr(f"value as __{out}_value")
+    if len(sets) > 1:
+        side = side.distinct()
+    side = side.selectExpr("*", f"true as __{out}")
+    kept = df.columns
+    return (df.join(side, F.expr(f"{column} = __{out}_value"), "left")
+            .selectExpr(*kept, f"__{out} is not null as {out}"))

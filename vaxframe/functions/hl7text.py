@@ -1,141 +1,136 @@
-"""Column helpers for HL7 v2 text: fields, components, repeats, dates, phones.
+r"""SQL expressions for HL7 v2 text: segments, fields, repeats, dates, phones.
 
-All helpers are built-in column expressions, so a parse stays in one stage.
-Blank text stands for "absent"; positions are the 1-based HL7 ones.
+Every helper takes and returns Spark SQL expression text, so a whole parse is
+one ``selectExpr`` of built-in functions.  Blank text stands for "absent";
+positions are the 1-based HL7 ones.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-def blank(value: Column) -> Column:
-    """NULL -> ''."""
-    return F.coalesce(value, F.lit(""))
 
+def quote(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-def is_blank(value: Column) -> Column:
-    return blank(value) == ""
 
+def blank(value: str) -> str:
+    """NULL -> ''."""
+    return f"coalesce({value}, '')"
 
-def segment_id(line: Column) -> Column:
-    return F.substring_index(line, "|", 1)
 
+# ------------------------------------------------------------------ segments
 
-def segment_line(text: Column, name: str) -> Column:
+def segment_line(text: str, name: str) -> str:
     """First ``name`` segment of a text; NULL when it is missing."""
-    line = F.regexp_extract(text, rf"(?:^|[\r\n])({name}\|[^\r\n]*)", 1)
-    return F.when(line != "", line)
+    return f"nullif(regexp_extract({text}, '(?:^|[\\r\\n])({name}[|][^\\r\\n]*)', 1), '')"
 
 
-def segment_lines(text: Column, name: str) -> Column:
+def segment_lines(text: str, name: str) -> str:
     """All ``name`` segments of a text, in order."""
-    return F.regexp_extract_all(text, F.lit(rf"(?:^|[\r\n])({name}\|[^\r\n]*)"), F.lit(1))
+    return f"regexp_extract_all({text}, '(?:^|[\\r\\n])({name}[|][^\\r\\n]*)', 1)"
 
 
-def segment_count(text: Column, name: str) -> Column:
-    return F.regexp_count(text, F.lit(rf"(?:^|[\r\n]){name}\|"))
+def segment_count(text: str, name: str) -> str:
+    return f"regexp_count({text}, '(?:^|[\\r\\n]){name}[|]')"
 
 
-def first_fields(text: Column, name: str) -> Column:
-    """Fields of the first ``name`` segment; NULL when the segment is missing."""
-    return F.split(segment_line(text, name), r"\|")
+def after_segment(text: str, name: str) -> str:
+    """Everything behind the first ``name`` segment."""
+    return f"regexp_extract({text}, '(?s)[\\r\\n]{name}[|][^\\r\\n]*(.*)', 1)"
 
 
-def order_chunks(text: Column) -> Column:
+def split_fields(line: str) -> str:
+    return f"split({line}, '[|]')"
+
+
+def order_chunks(text: str) -> str:
     """The header text, then one text per ORC group."""
-    return F.split(F.concat(F.lit("\r"), text), r"[\r\n]+(?=ORC\|)")
+    return f"split(concat('\\r', {text}), '[\\r\\n]+(?=ORC[|])')"
+
 
+# -------------------------------------------------------------------- fields
 
-def raw_field(fields: Column, n: int, msh: bool = False) -> Column:
+def raw_field(fields: str, n: int, msh: bool = False) -> str:
     # MSH-1 is the separator itself, so MSH positions are one lower in the split.
-    return blank(F.get(fields, F.lit(n - 1 if msh else n)))
+    return blank(f"get({fields}, {n - 1 if msh else n})")
 
 
-def component(value: Column, n: int) -> Column:
-    first = F.substring_index(value, "~", 1)
-    if n == 1:
-        return F.substring_index(first, "^", 1)
-    return blank(F.get(F.split(first, r"\^"), F.lit(n - 1)))
+def component(value: str, n: int) -> str:
+    first = f"substring_index({value}, '~', 1)"
+    return f"substring_index({first}, '^', 1)" if n == 1 else blank(f"get(split({first}, '[\\\\^]'), {n - 1})")
 
 
-def field(fields: Column, n: int, c: int = 1, msh: bool = False) -> Column:
+def field(fields: str, n: int, c: int = 1, msh: bool = False) -> str:
     return component(raw_field(fields, n, msh), c)
 
 
-def repeat(fields: Column, n: int, c: int, k: int) -> Column:
+def repeat(fields: str, n: int, c: int, k: int) -> str:
     """Component ``c`` of the ``k``-th repeat of field ``n``."""
-    return blank(F.get(F.split(F.get(F.split(raw_field(fields, n), "~"), F.lit(k - 1)), r"\^"), F.lit(c - 1)))
+    return blank(f"get(split(get(split({raw_field(fields, n)}, '~'), {k - 1}), '[\\\\^]'), {c - 1})")
 
 
-def find_repeat(fields: Column, n: int, ret: int, match: str, where: int) -> Column:
+def repeats(fields: str, n: int) -> str:
+    """Array of repeats, each an array of components."""
+    return f"transform(split({raw_field(fields, n)}, '~'), r -> split(r, '[\\\\^]'))"
+
+
+def find_repeat(reps: str, ret: int, match: str, where: int) -> str:
     """Component ``ret`` of the first repeat whose component ``where`` is ``match``."""
-    reps = F.transform(F.split(raw_field(fields, n), "~"), lambda r: F.split(r, r"\^"))
-    hit = F.get(F.filter(reps, lambda r: F.get(r, F.lit(where - 1)) == match), F.lit(0))
-    return blank(F.get(hit, F.lit(ret - 1)))
+    return blank(f"get(get(filter({reps}, r -> get(r, {where - 1}) = '{match}'), 0), {ret - 1})")
+
 
+# ------------------------------------------------------------ dates and values
 
-def parse_date(text: Column, strict: Column | bool = True) -> Column:
+def parse_date(text: str, strict: str = "true") -> str:
     """First eight characters as yyyyMMdd; NULL when blank or unreadable.
 
     Strict rejects days that do not exist; lenient rolls them over
-    (20210230 becomes 2021-03-02).
+    (20210230 becomes 2021-03-02).  ``strict`` is a boolean expression.
     """
-    eight = F.left(text, F.lit(8))
-    exact = F.try_to_date(F.when(eight.rlike(r"^\d{8}$"), eight), "yyyyMMdd")
-    if strict is True:
-        return exact
-    digits = F.when(eight.rlike(r"^\d{8}$"), eight)
-    january = F.make_date(F.substring(digits, 1, 4).cast("int"), F.lit(1), F.lit(1))
-    rolled = F.date_add(F.add_months(january, F.substring(digits, 5, 2).cast("int") - 1),
-                        F.substring(digits, 7, 2).cast("int") - 1)
-    if strict is False:
-        return rolled
-    return F.when(strict, exact).otherwise(rolled)
-
-
-def bad_date(text: Column, strict: Column | bool = True) -> Column:
-    """Text was sent but is not a date."""
-    return ~is_blank(text) & parse_date(text, strict).isNull()
+    eight = f"left({text}, 8)"
+    readable = f"{eight} rlike '^[0-9]{{8}}$'"
+    exact = f"try_to_date({eight}, 'yyyyMMdd')"
+    rolled = (f"date_add(add_months(make_date(cast(substring({text}, 1, 4) as int), 1, 1), "
+              f"cast(substring({text}, 5, 2) as int) - 1), cast(substring({text}, 7, 2) as int) - 1)")
+    if strict == "true":
+        return f"(case when {readable} then {exact} end)"
+    if strict == "false":
+        return f"(case when {readable} then {rolled} end)"
+    return f"(case when not {readable} then null when {strict} then {exact} else {rolled} end)"
 
 
-def address_frag(zip_code: Column, line1: Column) -> Column:
-    first_word = F.when(F.locate(" ", line1) > 1, F.substring_index(line1, " ", 1)).otherwise(line1)
-    return F.concat(F.left(zip_code, F.lit(5)), F.lit(":"), first_word)
+def bad_date(text: str, date: str) -> str:
+    """Text was sent but its parsed ``date`` is missing."""
+    return f"({blank(text)} <> '' and {date} is null)"
 
 
-def phone_digits(phone: Column) -> Column:
-    return F.regexp_replace(phone, "[^0-9]", "")
+def address_frag(zip_code: str, line1: str) -> str:
+    word = f"case when locate(' ', {line1}) > 1 then substring_index({line1}, ' ', 1) else {line1} end"
+    return f"concat(left({zip_code}, 5), ':', {word})"
 
 
-def phone_strange(phone: Column) -> Column:
+def phone_strange(phone: str) -> str:
     """First character that is neither a digit nor one of ``- . ( )`` and blank; '' if none."""
-    return F.left(F.regexp_replace(phone, r"[0-9\-. ()]", ""), F.lit(1))
+    return f"left(regexp_replace({phone}, '[-0-9. ()]', ''), 1)"
 
 
-def phone_invalid(phone: Column) -> Column:
-    return ((F.length(phone_digits(phone)) != 10) | phone.startswith("555")
-            | phone.startswith("0") | phone.startswith("1"))
+def phone_invalid(phone: str) -> str:
+    return f"(length(regexp_replace({phone}, '[^0-9]', '')) <> 10 or {phone} rlike '^(555|0|1)')"
 
 
-def render_phone(phone: Column) -> Column:
+def render_phone(phone: str) -> str:
     """PID-13 form, only when the number has ten characters."""
-    return F.when(F.length(phone) == 10,
-                  F.concat(F.lit("^PRN^PH^^^"), F.left(phone, F.lit(3)), F.lit("^"), F.substring(phone, 4, 7))
-                  ).otherwise(F.lit(""))
+    return f"case when length({phone}) = 10 then concat('^PRN^PH^^^', left({phone}, 3), '^', substring({phone}, 4, 7)) else '' end"
 
 
-def hl7_date(date: Column) -> Column:
-    return blank(F.date_format(date, "yyyyMMdd"))
+def hl7_date(date: str) -> str:
+    return blank(f"date_format({date}, 'yyyyMMdd')")
 
 
-def triplet(value: Column, label: Column, table: Column | str) -> Column:
+def triplet(value: str, label: str, table: str) -> str:
     """value^label^table; '' when the value is unknown (NULL)."""
-    table = F.lit(table) if isinstance(table, str) else table
-    return blank(F.concat(value, F.lit("^"), blank(label), F.lit("^"), table))
+    return blank(f"concat({value}, '^', {blank(label)}, '^', {quote(table)})")
 
 
-def dose_amount(text: Column) -> Column:
+def dose_amount(text: str) -> str:
     """Positive number or NULL."""
-    number = text.try_cast("double")
-    return F.when(number > 0, number)
+    return f"(case when try_cast({text} as double) > 0 then try_cast({text} as double) end)"

@@ -1,20 +1,20 @@
-"""Acceptance of messages, patients and orders; acknowledgement and log categories."""
+"""Acceptance of messages, patients and orders; acknowledgement and log categories.
+
+All of it reads the one-row-per-message report of :class:`rules.Validation`.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import hl7text as h
-
 
-def ack_status(messages: DataFrame, findings: DataFrame) -> DataFrame:
+def ack_status(report: DataFrame) -> DataFrame:
     """(msg_id, status, errors, warnings): AE when any error or warning, else AA."""
-    worst = findings.groupBy("msg_id").agg(
-        F.count_if(F.col("severity") == "E").alias("errors"),
-        F.count_if(F.col("severity") == "W").alias("warnings"))
-    return (messages.select("msg_id").join(worst, "msg_id", "left").na.fill(0, ["errors", "warnings"])
-            .withColumn("status", F.when(F.col("errors") + F.col("warnings") > 0, "AE").otherwise("AA")))
+    return report.selectExpr(
+        "msg_id", "size(filter(findings, f -> f.severity = 'E')) as errors",
+        "size(filter(findings, f -> f.severity = 'W')) as warnings",
+        "case when exists(findings, f -> f.severity in ('E', 'W')) then 'AE' else 'AA' end as status")
 
 
 def accepted_prefix(doses: DataFrame) -> DataFrame:
@@ -23,8 +23,8 @@ def accepted_prefix(doses: DataFrame) -> DataFrame:
     Orders are committed one by one, so an error keeps what came before it.
     The window group is one message.
     """
-    w = Window.partitionBy("msg_id").orderBy("order_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return doses.withColumn("accepted", ~F.max("failed").over(w))
+    return doses.selectExpr("*", "not max(failed) over (partition by msg_id order by order_no "
+                                 "rows between unbounded preceding and current row) as accepted")
 
 
 def reached_location(doses: DataFrame) -> DataFrame:
@@ -33,76 +33,53 @@ def reached_location(doses: DataFrame) -> DataFrame:
     These rows are saved before the later rules of the order run, so an order
     that fails on one of those still leaves them.
     """
-    w = Window.partitionBy("msg_id").orderBy("order_no").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.max("failed").over(w), F.lit(False))
-    late_only = ~F.exists("found", lambda x: x["thrown"] & ~x["rule"].isin("V21", "V22"))
-    return doses.withColumn("__before", before).where(~F.col("__before") & late_only & F.col("is_dose")).drop("__before")
+    kept = doses.columns
+    return (doses.selectExpr("*", "coalesce(max(failed) over (partition by msg_id order by order_no "
+                                  "rows between unbounded preceding and 1 preceding), false) as before_failed")
+            .where("not before_failed and is_dose and not exists(found, x -> x.thrown and x.rule not in ('V21', 'V22'))")
+            .select(*kept))
 
 
-def event_counts(doses: DataFrame) -> DataFrame:
-    """Vaccinations and refusals per message, over its accepted dose orders."""
-    counted = F.col("accepted") & F.col("is_dose")
-    given = ~F.col("cvx").isin("998", "999") & F.col("completion_status").isin("CP", "PA", "")
-    return accepted_prefix(doses).groupBy("msg_id").agg(
-        F.count_if(counted & given).alias("vaccinations"),
-        F.count_if(counted & (F.col("completion_status") == "RE")).alias("refusals"))
+def event_counts(report: DataFrame) -> DataFrame:
+    """Vaccinations and refusals per update message, over its accepted dose orders."""
+    return report.where("msg_type = 'VXU' and not stopped").select("msg_id", "vaccinations", "refusals")
 
 
-def error_location(segment: Column, repeat: Column, field: Column) -> Column:
+def error_location(f: str) -> str:
     """seg^rep[^field]; '' without a segment."""
-    return F.when(h.is_blank(segment), F.lit("")).otherwise(
-        F.concat_ws("^", segment, repeat.cast("string"), F.when(field > 0, field.cast("string"))))
+    return (f"case when {f}.segment = '' then '' else concat_ws('^', {f}.segment, cast({f}.seg_repeat as string), "
+            f"case when {f}.field > 0 then cast({f}.field as string) end) end")
 
 
-def error_line(found: Column) -> Column:
-    """ERR segment of a finding struct (segment, seg_repeat, field, severity, text)."""
-    return F.concat(F.lit("ERR||"), error_location(found["segment"], found["seg_repeat"], found["field"]),
-                    F.lit("|101^Required field missing^HL70357||"), found["severity"],
-                    F.lit("||||"), found["text"], F.lit("|"))
+def error_line(f: str) -> str:
+    """ERR segment of a finding struct."""
+    return f"concat('ERR||', {error_location(f)}, '|101^Required field missing^HL70357||', {f}.severity, '||||', {f}.text, '|')"
 
 
-def update_categories(messages: DataFrame, findings: DataFrame) -> DataFrame:
+def update_categories(report: DataFrame) -> DataFrame:
     """Log categories of update and unsupported messages.
 
     Header errors other than an unsupported type end before the log is written.
     """
-    errors = findings.groupBy("msg_id").agg(
-        F.max(F.col("severity") == "E").alias("has_error"),
-        F.max((F.col("stage") == 0) & (F.col("rule") != "V02")).alias("unlogged"))
-    rows = (messages.select("msg_id", "org_id", "received_date", "msg_type").join(errors, "msg_id", "left")
-            .na.fill(False, ["has_error", "unlogged"]).where(~F.col("unlogged")))
-    update = F.col("msg_type").isin("VXU", "ORU")
-    return rows.where(F.col("msg_type") != "QBP").select(
-        "msg_id", "org_id", "received_date",
-        F.when(update, "Update").otherwise("Unknown").alias("category_request"),
-        F.when(~update, "NAck").when(F.col("has_error"), "Exception").otherwise("Ack").alias("category_response"))
+    return (report.where("msg_type <> 'QBP' and not exists(findings, f -> f.stage = 0 and f.rule <> 'V02')")
+            .selectExpr("msg_id", "org_id", "received_date",
+                        "case when msg_type in ('VXU', 'ORU') then 'Update' else 'Unknown' end as category_request",
+                        "case when msg_type not in ('VXU', 'ORU') then 'NAck' "
+                        "when exists(findings, f -> f.severity = 'E') then 'Exception' else 'Ack' end as category_response"))
 
 
-def summary(messages: DataFrame, findings: DataFrame) -> DataFrame:
+def summary(findings: DataFrame) -> DataFrame:
     """Number of findings by org, rule and severity."""
-    return (findings.join(messages.select("msg_id", "org_id"), "msg_id")
-            .groupBy("org_id", "rule", "severity").agg(F.count("*").alias("findings")))
+    return findings.groupBy("org_id", "rule", "severity").agg(F.count("*").alias("findings"))
 
 
-def build_ack(head: DataFrame, findings: DataFrame, registry_name: str = "IIS") -> DataFrame:
-    """(msg_id, ack): MSH, MSA and every ERR of the message, in rule order.
-
-    The list collected per message holds the findings of that one message.
-    """
-    line = error_line(F.struct("segment", "seg_repeat", "field", "severity", "text"))
-    block = F.least("pos", F.lit(60))
-    per_message = (findings.select("msg_id", "severity", F.struct(
-        "stage", "order_no", block.alias("block"), "obx_no", "pos", line.alias("line")).alias("e"))
-        .groupBy("msg_id").agg(F.array_sort(F.collect_list("e")).alias("errs"),
-                               F.max(F.col("severity").isin("E", "W")).alias("bad")))
-    c = F.col
-    sender = F.when(c("n_msh") == 0, "MSH NOT FOUND").when(c("control_id") == "", "MSH-10 NOT VALUED").otherwise(c("control_id"))
-    msh = F.concat(F.lit("MSH|^~\\&|"), c("receiving_app"), F.lit(f"|{registry_name}|"), c("sending_app"), F.lit("|"),
-                   c("sending_facility"), F.lit("|"), F.date_format("received_date", "yyyyMMdd"),
-                   F.lit("||ACK^V04^ACK|"), c("msg_id").cast("string"), F.lit("|"), c("processing_id"),
-                   F.lit("|2.5.1|||NE|NE|||||Z23^CDCPHINVS"))
-    msa = F.concat(F.lit("MSA|"), F.when(c("bad"), "AE").otherwise("AA"), F.lit("|"), sender)
-    joined = head.join(per_message, "msg_id", "left").na.fill(False, ["bad"])
-    errs = F.coalesce(F.transform("errs", lambda e: e["line"]), F.array().cast("array<string>"))
-    return joined.select("msg_id", "org_id", "received_date",
-                         F.array_join(F.concat(F.array(msh, msa), errs), "\r").alias("ack"))
+def build_ack(report: DataFrame, registry_name: str = "IIS") -> DataFrame:
+    """(msg_id, ack): MSH, MSA and every ERR of the message, in rule order."""
+    sender = ("case when n_msh = 0 then 'MSH NOT FOUND' when control_id = '' then 'MSH-10 NOT VALUED' else control_id end")
+    msh = (f"concat('MSH|^~\\\\&|', receiving_app, '|{registry_name}|', sending_app, '|', sending_facility, '|', "
+           "date_format(received_date, 'yyyyMMdd'), '||ACK^V04^ACK|', cast(msg_id as string), '|', processing_id, "
+           "'|2.5.1|||NE|NE|||||Z23^CDCPHINVS')")
+    msa = f"concat('MSA|', case when exists(findings, f -> f.severity in ('E', 'W')) then 'AE' else 'AA' end, '|', {sender})"
+    return report.selectExpr(
+        "msg_id", "org_id", "received_date",
+        f"array_join(concat(array({msh}, {msa}), transform(findings, f -> {error_line('f')})), '\\r') as ack")

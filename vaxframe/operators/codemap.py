@@ -6,17 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codes as C
-from ..functions import hl7text as h
 from ..functions.loinc import PRIORITY_GROUPS
 
 
 def replace_deprecated(df: DataFrame, codes: DataFrame, codeset: str, column: str) -> DataFrame:
     """Adds ``<column>_known`` and ``<column>_final`` (the replacement of a deprecated code)."""
-    out = C.lookup(df, codes, codeset, column, "__c", ("value", "new_value"))
-    renewed = F.when(~h.is_blank(F.col("__c_new_value")), F.col("__c_new_value"))
-    return (out.withColumn(f"{column}_known", F.col("__c_value").isNotNull())
-            .withColumn(f"{column}_final", F.coalesce(renewed, F.col(column)))
-            .drop("__c_value", "__c_new_value"))
+    kept = df.columns
+    return C.lookup(df, codes, codeset, column, "__c", ("value", "new_value")).selectExpr(
+        *kept, f"__c_value is not null as {column}_known",
+        f"coalesce(nullif(__c_new_value, ''), {column}) as {column}_final")
 
 
 def resolve_cvx(df: DataFrame, codes: DataFrame, relations: DataFrame) -> DataFrame:
@@ -26,21 +24,19 @@ def resolve_cvx(df: DataFrame, codes: DataFrame, relations: DataFrame) -> DataFr
     codes, ``cvx`` ('' when nothing maps), ``cvx_source``, ``cvx_label`` (NULL
     when the code is unknown) and the two disagreement flags.
     """
+    kept = df.columns
     out = replace_deprecated(df, codes, "VACCINATION_NDC_CODE", "ndc")
-    out = C.relate(out, relations, "VACCINATION_NDC_CODE", "ndc", "__ndc_rel")
+    out = C.relate(out, relations, "VACCINATION_NDC_CODE", "ndc", "ndc_rel")
     out = C.lookup(out, codes, "VACCINATION_CPT_CODE", "cpt", "cpt")
-    out = C.relate(out, relations, "VACCINATION_CPT_CODE", "cpt", "__cpt_rel")
-    ndc_cvx = F.when(F.col("ndc_known"), F.col("__ndc_rel"))
-    cpt_cvx = F.when(F.col("cpt_value").isNotNull(), F.col("__cpt_rel"))
-    sent = F.when(F.col("cvx_sent") != "", F.col("cvx_sent"))
-    out = (out.withColumn("cpt_known", F.col("cpt_value").isNotNull())
-           .withColumn("ndc_cvx", ndc_cvx).withColumn("cpt_cvx", cpt_cvx)
-           .withColumn("cvx", F.coalesce(sent, ndc_cvx, cpt_cvx, F.lit("")))
-           .withColumn("cvx_source", F.when(sent.isNotNull(), "CVX").when(ndc_cvx.isNotNull(), "NDC")
-                       .when(cpt_cvx.isNotNull(), "CPT").otherwise(""))
-           .withColumn("ndc_differs", F.coalesce(sent != ndc_cvx, F.lit(False)))
-           .withColumn("cpt_differs", F.coalesce(F.coalesce(sent, ndc_cvx) != cpt_cvx, F.lit(False)))
-           .drop("cpt_value", "__ndc_rel", "__cpt_rel"))
+    out = C.relate(out, relations, "VACCINATION_CPT_CODE", "cpt", "cpt_rel")
+    out = out.selectExpr(*kept, "ndc_known", "ndc_final", "cpt_value is not null as cpt_known",
+                         "case when ndc_known then ndc_rel end as ndc_cvx",
+                         "case when cpt_value is not null then cpt_rel end as cpt_cvx", "nullif(cvx_sent, '') as sent")
+    out = out.selectExpr(
+        "*", "coalesce(sent, ndc_cvx, cpt_cvx, '') as cvx",
+        "case when sent is not null then 'CVX' when ndc_cvx is not null then 'NDC' when cpt_cvx is not null then 'CPT' else '' end as cvx_source",
+        "coalesce(sent <> ndc_cvx, false) as ndc_differs",
+        "coalesce(coalesce(sent, ndc_cvx) <> cpt_cvx, false) as cpt_differs").drop("sent")
     return C.lookup(out, codes, "VACCINATION_CVX_CODE", "cvx", "cvx", ("label",))
 
 

@@ -7,245 +7,227 @@ explode inside the message), with no shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from ..functions import hl7text as h
 
-KEYS = ["msg_id", "org_id", "received_date"]
-GUARDIANS = ["MTH", "FTH", "GRD"]
+KEYS = ["msg_id", "org_id", "received_date", "flavors", "org_name", "strict"]
 ID_TYPES = ["MR", "PT", "PI"]
+GUARDIANS = "('MTH', 'FTH', 'GRD')"
+HEADER = ["n_msh", "msg_type", "sending_app", "sending_facility", "receiving_app", "control_id", "processing_id", "profile"]
 
 
 def _keys(df: DataFrame) -> list[str]:
-    return [c for c in [*KEYS, "flavors", "org_name", "strict"] if c in df.columns]
+    return [c for c in KEYS if c in df.columns]
+
+
+def _as(columns: dict[str, str]) -> list[str]:
+    return [f"{expr} as {name}" for name, expr in columns.items()]
 
 
 def segments(messages: DataFrame) -> DataFrame:
     """(msg_id, pos, order_no, segment, line, fields); order_no 0 is the header."""
-    marked = F.flatten(F.transform(h.order_chunks(F.col("message")), lambda c, i: F.transform(
-        F.filter(F.split(c, r"[\r\n]+"), lambda s: s != ""),
-        lambda s: F.struct(i.cast("int").alias("order_no"), s.alias("line")))))
-    return (messages.select("msg_id", F.posexplode_outer(marked).alias("p", "s"))
-            .where(F.col("p").isNotNull())
-            .select("msg_id", (F.col("p") + 1).alias("pos"), F.col("s.order_no").alias("order_no"),
-                    h.segment_id(F.col("s.line")).alias("segment"), F.col("s.line").alias("line"),
-                    F.split("s.line", r"\|").alias("fields")))
+    marked = (f"flatten(transform({h.order_chunks('message')}, (c, i) -> transform(filter(split(c, '[\\r\\n]+'), s -> s <> ''), "
+              "s -> named_struct('order_no', i, 'line', s))))")
+    return (messages.selectExpr("msg_id", f"posexplode_outer({marked}) as (p, s)")
+            .where("p is not null")
+            .selectExpr("msg_id", "p + 1 as pos", "s.order_no as order_no", "substring_index(s.line, '|', 1) as segment",
+                        "s.line as line", f"{h.split_fields('s.line')} as fields"))
 
 
 def parse(messages: DataFrame) -> DataFrame:
-    """One row per message: MSH fields, the fields of the header segments, the text."""
-    text = F.col("message")
-    msh = F.col("msh")
-    return (messages.select(*_keys(messages), "message", h.first_fields(text, "MSH").alias("msh"),
-                            h.segment_count(text, "MSH").alias("n_msh"))
-            .select(*_keys(messages), "message", "n_msh",
-                    h.field(msh, 9, msh=True).alias("msg_type"),
-                    h.raw_field(msh, 3, msh=True).alias("sending_app"),
-                    h.raw_field(msh, 4, msh=True).alias("sending_facility"),
-                    h.raw_field(msh, 5, msh=True).alias("receiving_app"),
-                    h.raw_field(msh, 10, msh=True).alias("control_id"),
-                    h.raw_field(msh, 11, msh=True).alias("processing_id"),
-                    h.field(msh, 21, msh=True).alias("profile")))
+    """One row per message: keys, MSH columns and the text."""
+    keys = _keys(messages)
+    return (messages.selectExpr(*keys, "message", f"{h.split_fields(h.segment_line('message', 'MSH'))} as msh",
+                                f"{h.segment_count('message', 'MSH')} as n_msh")
+            .selectExpr(*keys, "message", "n_msh", *_as({
+                "msg_type": h.field("msh", 9, msh=True),
+                "sending_app": h.raw_field("msh", 3, msh=True),
+                "sending_facility": h.raw_field("msh", 4, msh=True),
+                "receiving_app": h.raw_field("msh", 5, msh=True),
+                "control_id": h.raw_field("msh", 10, msh=True),
+                "processing_id": h.raw_field("msh", 11, msh=True),
+                "profile": h.field("msh", 21, msh=True)})))
 
 
 def route(parsed: DataFrame) -> DataFrame:
     """Adds ``route``: VXU, ORU, QBP or unsupported, from MSH-9."""
-    return parsed.withColumn("route", F.when(F.col("msg_type").isin("VXU", "ORU", "QBP"), F.col("msg_type"))
-                             .otherwise("unsupported"))
-
-
-def _identifier(fields: Column, kinds: list[str]) -> tuple[Column, Column, Column]:
-    """(id, authority, type) of the first kind that carries an id."""
-    found = [(h.find_repeat(fields, 3, 1, t, 5), h.find_repeat(fields, 3, 4, t, 5), t) for t in kinds]
-    value = F.coalesce(*[F.when(v != "", v) for v, _, _ in found], F.lit(""))
-    authority = F.coalesce(*[F.when(v != "", a) for v, a, _ in found], F.lit(""))
-    kind = F.coalesce(*[F.when(v != "", F.lit(t)) for v, _, t in found], F.lit(""))
-    return value, authority, kind
-
-
-def extract_patients(parsed: DataFrame, strict: Column | bool = True, *carry: str) -> DataFrame:
-    """PID, PD1 and the chosen NK1 of every message as patient columns."""
-    text = F.col("message")
-    parsed = parsed.withColumns({
-        "pid": h.first_fields(text, "PID"), "pd1": h.first_fields(text, "PD1"),
-        "nk1": F.transform(h.segment_lines(text, "NK1"), lambda s: F.split(s, r"\|"))})
-    pid, pd1 = F.col("pid"), F.col("pd1")
-    mrn, authority, kind = _identifier(pid, ID_TYPES)
-    phone = F.concat(h.field(pid, 13, 6), h.field(pid, 13, 7))
-    use = h.field(pid, 13, 2)
+    return parsed.selectExpr("*", "case when msg_type in ('VXU', 'ORU', 'QBP') then msg_type else 'unsupported' end as route")
+
+
+def _identifier(reps: str, kinds: list[str]) -> dict[str, str]:
+    """Id, authority and type of the first kind that carries an id."""
+    found = [(h.find_repeat(reps, 1, t, 5), h.find_repeat(reps, 4, t, 5), f"'{t}'") for t in kinds]
+    def first(i):
+        return "case " + " ".join(f"when {f[0]} <> '' then {f[i]}" for f in found) + " else '' end"
+    return {"mrn": first(0), "mrn_authority": first(1), "mrn_type": first(2)}
+
+
+def extract_patients(parsed: DataFrame, *carry: str) -> DataFrame:
+    """PID, PD1 and the chosen NK1 of every message as patient columns.
+
+    Dates are read strictly unless a ``strict`` column says otherwise.
+    """
+    keys = _keys(parsed)
+    strict = "strict" if "strict" in keys else "true"
+    relative = ", ".join(f"'{n}', {h.field('f', *at)}" for n, at in {
+        "last": (2, 1), "first": (2, 2), "middle": (2, 3), "relationship": (3, 1)}.items())
+    base = parsed.selectExpr(
+        *keys, *HEADER, *carry,
+        f"{h.split_fields(h.segment_line('message', 'PID'))} as pid",
+        f"{h.split_fields(h.segment_line('message', 'PD1'))} as pd1",
+        f"transform({h.segment_lines('message', 'NK1')}, s -> {h.split_fields('s')}) as nk1")
+    base = base.selectExpr(
+        *keys, *HEADER, *carry, "pid", "pd1", f"{h.repeats('pid', 3)} as ids", f"{h.repeats('pid', 13)} as telecoms",
+        f"transform(nk1, f -> named_struct({relative})) as relatives")
     # The first recognised guardian wins; without one the last relative stays.
-    relatives = F.transform("nk1", lambda f: F.struct(
-        h.field(f, 2, 1).alias("last"), h.field(f, 2, 2).alias("first"),
-        h.field(f, 2, 3).alias("middle"), h.field(f, 3).alias("relationship")))
-    recognised = F.get(F.filter(relatives, lambda r: r["relationship"].isin(GUARDIANS)), F.lit(0))
-    base = parsed.withColumn("guardian", F.coalesce(recognised, F.try_element_at(relatives, F.lit(-1))))
-    return base.select(
-        *_keys(parsed), *carry, "msg_type",
-        pid.isNotNull().alias("has_pid"), pd1.isNotNull().alias("has_pd1"),
-        F.col("guardian").isNotNull().alias("has_nk1"),
-        mrn.alias("mrn"), authority.alias("mrn_authority"), kind.alias("mrn_type"),
-        h.field(pid, 5, 1).alias("name_last"), h.field(pid, 5, 2).alias("name_first"),
-        h.field(pid, 5, 3).alias("name_middle"), h.field(pid, 6).alias("mother_maiden"),
-        h.field(pid, 7).alias("birth_text"), h.parse_date(h.field(pid, 7), strict).alias("birth_date"),
-        h.field(pid, 8).alias("sex"),
-        *[h.repeat(pid, 10, 1, k).alias("race" if k == 1 else f"race{k}") for k in range(1, 7)],
-        h.field(pid, 11, 1).alias("line1"), h.field(pid, 11, 2).alias("line2"),
-        h.field(pid, 11, 3).alias("city"), h.field(pid, 11, 4).alias("state"),
-        h.field(pid, 11, 5).alias("zip"), h.field(pid, 11, 6).alias("country"),
-        h.field(pid, 11, 9).alias("county"),
-        h.address_frag(h.field(pid, 11, 5), h.field(pid, 11, 1)).alias("address_frag"),
-        phone.alias("phone_text"), use.alias("phone_use"),
-        F.when(use == "PRN", phone).otherwise(F.lit("")).alias("phone"),
-        h.find_repeat(pid, 13, 4, "NET", 2).alias("email"),
-        h.field(pid, 22).alias("ethnicity"),
-        h.field(pid, 24).alias("birth_flag"), h.field(pid, 25).alias("birth_order"),
-        h.field(pid, 29).alias("death_text"), h.parse_date(h.field(pid, 29), strict).alias("death_date"),
-        h.field(pid, 30).alias("death_flag"),
-        h.field(pd1, 11).alias("publicity_ind"), h.field(pd1, 12).alias("protection_ind"),
-        h.field(pd1, 13).alias("protection_text"), h.parse_date(h.field(pd1, 13), strict).alias("protection_date"),
-        h.field(pd1, 16).alias("registry_status"),
-        h.field(pd1, 17).alias("registry_text"), h.parse_date(h.field(pd1, 17), strict).alias("registry_date"),
-        h.field(pd1, 18).alias("publicity_text"), h.parse_date(h.field(pd1, 18), strict).alias("publicity_date"),
-        h.blank(F.col("guardian.last")).alias("guardian_last"),
-        h.blank(F.col("guardian.first")).alias("guardian_first"),
-        h.blank(F.col("guardian.middle")).alias("guardian_middle"),
-        h.blank(F.col("guardian.relationship")).alias("guardian_relationship"),
-        relatives.alias("relatives"),
-    )
-
-
-def orders(parsed: DataFrame, *carry: str, only: Column | bool = True) -> DataFrame:
-    """One row per ORC group with its ORC, RXA, RXR fields and OBX lines.
+    base = base.selectExpr("*", f"coalesce(get(filter(relatives, r -> r.relationship in {GUARDIANS}), 0), "
+                                "try_element_at(relatives, -1)) as guardian",
+                           f"concat({h.field('pid', 13, 6)}, {h.field('pid', 13, 7)}) as phone_text",
+                           f"{h.field('pid', 13, 2)} as phone_use", f"{h.field('pid', 7)} as birth_text",
+                           f"{h.field('pid', 29)} as death_text", f"{h.field('pd1', 13)} as protection_text",
+                           f"{h.field('pd1', 17)} as registry_text", f"{h.field('pd1', 18)} as publicity_text")
+    return base.selectExpr(
+        *keys, *HEADER, *carry, "relatives",
+        "phone_text", "phone_use", "birth_text", "death_text", "protection_text", "registry_text", "publicity_text",
+        *_as({
+            "has_pid": "pid is not null", "has_pd1": "pd1 is not null", "has_nk1": "guardian is not null",
+            **_identifier("ids", ID_TYPES),
+            "name_last": h.field("pid", 5, 1), "name_first": h.field("pid", 5, 2), "name_middle": h.field("pid", 5, 3),
+            "mother_maiden": h.field("pid", 6),
+            "birth_date": h.parse_date("birth_text", strict),
+            "sex": h.field("pid", 8),
+            **{"race" if k == 1 else f"race{k}": h.repeat("pid", 10, 1, k) for k in range(1, 7)},
+            "line1": h.field("pid", 11, 1), "line2": h.field("pid", 11, 2), "city": h.field("pid", 11, 3),
+            "state": h.field("pid", 11, 4), "zip": h.field("pid", 11, 5), "country": h.field("pid", 11, 6),
+            "county": h.field("pid", 11, 9),
+            "address_frag": h.address_frag(h.field("pid", 11, 5), h.field("pid", 11, 1)),
+            "phone": "case when phone_use = 'PRN' then phone_text else '' end",
+            "email": h.find_repeat("telecoms", 4, "NET", 2),
+            "ethnicity": h.field("pid", 22), "birth_flag": h.field("pid", 24), "birth_order": h.field("pid", 25),
+            "death_date": h.parse_date("death_text", strict), "death_flag": h.field("pid", 30),
+            "publicity_ind": h.field("pd1", 11), "protection_ind": h.field("pd1", 12),
+            "protection_date": h.parse_date("protection_text", strict),
+            "registry_status": h.field("pd1", 16), "registry_date": h.parse_date("registry_text", strict),
+            "publicity_date": h.parse_date("publicity_text", strict),
+            "guardian_last": h.blank("guardian.last"), "guardian_first": h.blank("guardian.first"),
+            "guardian_middle": h.blank("guardian.middle"), "guardian_relationship": h.blank("guardian.relationship"),
+        }))
+
+
+def orders(parsed: DataFrame, *carry: str, only: str = "true") -> DataFrame:
+    """One row per ORC group with its ORC, RXA/OBR, RXR fields and OBX lines.
 
     ``only`` restricts the messages.  It guards the split instead of being a
-    filter: a filter would move below the parse and read the text twice.
-
-    ``obx_before`` counts the observations of earlier groups of the message,
-    which makes the running OBX number available without a window.
+    filter: a filter would move below the parse and read the text twice.  For
+    the same reason the explode is the outer form.  ``obx_before`` counts the
+    observations of earlier groups, so the running OBX number needs no window.
+    Messages without a group keep one row with a NULL ``order_no``.
     """
-    chunks = h.order_chunks(F.col("message"))
-    body = r"(?s)[\r\n](?:RXA|OBR)\|[^\r\n]*(.*)"
-    cut = parsed.select(*_keys(parsed), "msg_type", *carry,
-                        F.when(F.lit(only) if isinstance(only, bool) else only,
-                               F.slice(chunks, F.lit(2), F.greatest(F.size(chunks) - 1, F.lit(0)))).alias("chunks"))
-    # posexplode_outer: the inner form would add a filter that parses the text twice
-    cut = cut.withColumn("obx_counts", F.transform(
-        "chunks", lambda c: F.regexp_count(F.regexp_extract(c, body, 1), F.lit(r"[\r\n]OBX\|"))))
-    rows = (cut.select(*_keys(parsed), "msg_type", *carry, "obx_counts", F.posexplode_outer("chunks").alias("i", "chunk"))
-            .where(F.col("i").isNotNull()))
-    chunk, oru = F.col("chunk"), F.col("msg_type") == "ORU"
-    anchor = F.coalesce(F.when(oru, h.segment_line(chunk, "OBR")).otherwise(h.segment_line(chunk, "RXA")), F.lit(""))
-    after = F.when(oru, F.regexp_extract(chunk, r"(?s)[\r\n]OBR\|[^\r\n]*(.*)", 1)).otherwise(
-        F.regexp_extract(chunk, r"(?s)[\r\n]RXA\|[^\r\n]*(.*)", 1))
-    rows = rows.select(*_keys(parsed), "msg_type", *carry, "i", "obx_counts", "chunk",
-                       anchor.alias("anchor"), after.alias("after"))
-    return rows.select(
-        *_keys(parsed), "msg_type", *carry, (F.col("i") + 1).alias("order_no"),
-        F.expr("aggregate(slice(obx_counts, 1, i), 0, (a, x) -> a + x)").alias("obx_before"),
-        h.first_fields(chunk, "ORC").alias("orc"),
-        (F.col("anchor") != "").alias("has_anchor"),
-        F.split("anchor", r"\|").alias("rxa"),
-        h.first_fields(F.col("after"), "RXR").alias("rxr"),
-        h.segment_lines(F.col("after"), "OBX").alias("obx"),
-    )
-
-
-def _code_slots(rxa: Column) -> dict[str, Column]:
+    kept = [*_keys(parsed), "msg_type", *carry]
+    rows = (parsed.selectExpr(*kept, f"case when {only} then {h.order_chunks('message')} end as parts")
+            .selectExpr(*kept, "slice(parts, 2, size(parts)) as chunks")
+            .selectExpr(*kept, "chunks", "transform(chunks, c -> regexp_count(regexp_extract(c, "
+                        "'(?s)[\\r\\n](?:RXA|OBR)[|][^\\r\\n]*(.*)', 1), '[\\r\\n]OBX[|]')) as counts")
+            .selectExpr(*kept, "counts", "posexplode_outer(chunks) as (i, chunk)"))
+    oru = "msg_type = 'ORU'"
+    rows = rows.selectExpr(
+        *kept, "i", "counts", "chunk",
+        f"case when {oru} then {h.segment_line('chunk', 'OBR')} else {h.segment_line('chunk', 'RXA')} end as anchor",
+        f"case when {oru} then {h.after_segment('chunk', 'OBR')} else {h.after_segment('chunk', 'RXA')} end as after")
+    return rows.selectExpr(
+        *kept, "i + 1 as order_no", "aggregate(slice(counts, 1, i), 0, (a, x) -> a + x) as obx_before",
+        f"{h.split_fields(h.segment_line('chunk', 'ORC'))} as orc", "anchor is not null as has_anchor",
+        f"{h.split_fields('anchor')} as rxa", f"{h.split_fields(h.segment_line('after', 'RXR'))} as rxr",
+        f"{h.segment_lines('after', 'OBX')} as obx")
+
+
+def _code_slots() -> dict[str, str]:
     """RXA-5 primary code and its alternate, sorted into NDC, CPT and CVX slots."""
-    code, kind = h.field(rxa, 5, 1), h.field(rxa, 5, 3)
-    alt, alt_kind = h.field(rxa, 5, 4), h.field(rxa, 5, 6)
-    cpt_names = ["CPT", "C4", "C5"]
-
-    def slot(fits):
-        return F.when(fits(kind) & (code != ""), code).when(fits(alt_kind), alt).otherwise(F.lit(""))
-
-    return {
-        "ndc": slot(lambda t: t == "NDC"),
-        "cpt": slot(lambda t: t.isin(cpt_names)),
-        "cvx_sent": slot(lambda t: ~t.isin("NDC", *cpt_names)),
-    }
-
-
-def extract_vaccinations(parsed: DataFrame, strict: Column | bool = True, *carry: str,
-                         only: Column | bool = True) -> DataFrame:
-    """ORC, RXA and RXR columns of every order of an update message."""
-    rxa, rxr = F.col("rxa"), F.col("rxr")
-    slots = _code_slots(rxa)
-    return orders(parsed, *carry, only=(F.col("msg_type") == "VXU") & only).select(
-        *_keys(parsed), *carry, "order_no", "obx_before", "obx",
-        F.col("has_anchor").alias("has_rxa"), rxr.isNotNull().alias("has_rxr"),
-        h.field(F.col("orc"), 3).alias("vr_link"),
-        h.field(rxa, 5, 1).alias("vaccine_code"),
-        *[c.alias(n) for n, c in slots.items()],
-        h.field(rxa, 3).alias("administered_text"),
-        h.parse_date(h.field(rxa, 3), strict).alias("administered_date"),
-        h.field(rxa, 6).alias("amount"), h.field(rxa, 9).alias("info_source"),
-        h.field(rxa, 10).alias("provider_link"),
-        h.field(rxa, 10, 2).alias("provider_last"), h.field(rxa, 10, 3).alias("provider_first"),
-        h.field(rxa, 10, 4).alias("provider_middle"), h.field(rxa, 10, 9).alias("provider_authority"),
-        h.field(rxa, 10, 10).alias("provider_name_type"), h.field(rxa, 10, 13).alias("provider_id_type"),
-        h.field(rxa, 10, 21).alias("provider_suffix"),
-        h.field(rxa, 11, 4).alias("facility_code"),
-        h.field(rxa, 11, 9).alias("facility_line1"), h.field(rxa, 11, 10).alias("facility_line2"),
-        h.field(rxa, 11, 11).alias("facility_city"), h.field(rxa, 11, 12).alias("facility_state"),
-        h.field(rxa, 11, 13).alias("facility_zip"), h.field(rxa, 11, 14).alias("facility_country"),
-        h.field(rxa, 15).alias("lot"),
-        h.field(rxa, 16).alias("expiration_text"),
-        h.parse_date(h.field(rxa, 16), strict).alias("expiration_date"),
-        h.field(rxa, 17).alias("mvx"), h.field(rxa, 18).alias("refusal_code"),
-        h.field(rxa, 20).alias("completion_status"), h.field(rxa, 21).alias("action_code"),
-        h.field(rxr, 1).alias("body_route"), h.field(rxr, 2).alias("body_site"),
-    )
+    def slot(fits: str) -> str:
+        return (f"case when code_type {fits} and vaccine_code <> '' then vaccine_code "
+                f"when alt_type {fits} then alt_code else '' end")
+    return {"ndc": slot("= 'NDC'"), "cpt": slot("in ('CPT', 'C4', 'C5')"),
+            "cvx_sent": slot("not in ('NDC', 'CPT', 'C4', 'C5')")}
+
+
+def dose_columns(order_rows: DataFrame, *carry: str) -> DataFrame:
+    """ORC, RXA and RXR columns of order rows."""
+    keys = _keys(order_rows)
+    strict = "strict" if "strict" in keys else "true"
+    kept = [*keys, *carry, "msg_type", "order_no", "obx_before", "obx"]
+    rows = order_rows.selectExpr(
+        *kept, "orc", "rxa", "rxr", "has_anchor", *_as({
+            "vaccine_code": h.field("rxa", 5, 1), "code_type": h.field("rxa", 5, 3),
+            "alt_code": h.field("rxa", 5, 4), "alt_type": h.field("rxa", 5, 6),
+            "administered_text": h.field("rxa", 3), "expiration_text": h.field("rxa", 16)}))
+    return rows.selectExpr(
+        *kept, "has_anchor", "has_anchor and msg_type <> 'ORU' as has_rxa", "rxr is not null as has_rxr", "vaccine_code",
+        "administered_text", "expiration_text", *_as({
+            "vr_link": h.field("orc", 3), **_code_slots(),
+            "administered_date": h.parse_date("administered_text", strict),
+            "amount": h.field("rxa", 6), "info_source": h.field("rxa", 9),
+            "provider_link": h.field("rxa", 10), "provider_last": h.field("rxa", 10, 2),
+            "provider_first": h.field("rxa", 10, 3), "provider_middle": h.field("rxa", 10, 4),
+            "provider_authority": h.field("rxa", 10, 9), "provider_name_type": h.field("rxa", 10, 10),
+            "provider_id_type": h.field("rxa", 10, 13), "provider_suffix": h.field("rxa", 10, 21),
+            "facility_code": h.field("rxa", 11, 4), "facility_line1": h.field("rxa", 11, 9),
+            "facility_line2": h.field("rxa", 11, 10), "facility_city": h.field("rxa", 11, 11),
+            "facility_state": h.field("rxa", 11, 12), "facility_zip": h.field("rxa", 11, 13),
+            "facility_country": h.field("rxa", 11, 14),
+            "lot": h.field("rxa", 15), "expiration_date": h.parse_date("expiration_text", strict),
+            "mvx": h.field("rxa", 17), "refusal_code": h.field("rxa", 18),
+            "completion_status": h.field("rxa", 20), "action_code": h.field("rxa", 21),
+            "body_route": h.field("rxr", 1), "body_site": h.field("rxr", 2)}))
+
+
+def extract_vaccinations(parsed: DataFrame, *carry: str) -> DataFrame:
+    """Dose columns of every order of the update messages."""
+    rows = orders(parsed, *carry, only="msg_type = 'VXU'").where("order_no is not null")
+    return dose_columns(rows, *carry)
 
 
 def simple_doses(vaccinations: DataFrame) -> DataFrame:
     """Reduced dose projection; the placeholder amount 999 is left out."""
-    return vaccinations.select(
+    return vaccinations.selectExpr(
         "msg_id", "order_no", "vr_link", "administered_date", "lot", "mvx", "info_source",
-        F.when(F.col("amount") != "999", F.col("amount")).alias("amount"))
+        "case when amount <> '999' then amount end as amount")
 
 
-def extract_observations(order_rows: DataFrame, strict: Column | bool = True) -> DataFrame:
+def extract_observations(order_rows: DataFrame, keep_empty: bool = False) -> DataFrame:
     """OBX columns of every order; ``obx_no`` runs over the whole message.
 
-    ``order_rows`` carries ``obx`` and ``obx_before`` (from :func:`orders` or
-    :func:`extract_vaccinations`); all its other columns are kept.
+    All other columns of ``order_rows`` are kept.  With ``keep_empty`` an order
+    without OBX keeps one row (``obx_no`` NULL).
     """
     kept = [c for c in order_rows.columns if c not in ("obx", "obx_before")]
-    f = F.split("line", r"\|")
-    return (order_rows.select(*kept, "obx_before", F.posexplode_outer("obx").alias("i", "line"))
-            .where(F.col("i").isNotNull())
-            .select(*kept, (F.col("obx_before") + F.col("i") + 1).alias("obx_no"),
-                    h.field(f, 2).alias("value_type"),
-                    h.field(f, 3, 1).alias("identifier_code"), h.field(f, 3, 2).alias("identifier_label"),
-                    h.field(f, 3, 3).alias("identifier_table"),
-                    h.field(f, 5, 1).alias("value_code"), h.field(f, 5, 2).alias("value_label"),
-                    h.field(f, 5, 3).alias("value_table"),
-                    h.field(f, 6, 1).alias("units_code"), h.field(f, 6, 2).alias("units_label"),
-                    h.field(f, 6, 3).alias("units_table"),
-                    h.field(f, 11).alias("result_status"),
-                    h.field(f, 14).alias("observation_text"),
-                    h.parse_date(h.field(f, 14), strict).alias("observation_date"),
-                    h.field(f, 17, 1).alias("method_code"), h.field(f, 17, 2).alias("method_label"),
-                    h.field(f, 17, 3).alias("method_table")))
+    strict = "strict" if "strict" in kept else "true"
+    rows = order_rows.selectExpr(*kept, "obx_before", "posexplode_outer(obx) as (obx_i, line)")
+    rows = rows if keep_empty else rows.where("obx_i is not null")
+    rows = rows.selectExpr(*kept, "obx_i", "obx_before + obx_i + 1 as obx_no", f"{h.split_fields('line')} as f")
+    rows = rows.selectExpr(*kept, "obx_i", "obx_no", "f", f"{h.field('f', 14)} as observation_text")
+    return rows.selectExpr(*kept, "obx_i", "obx_no", "observation_text", *_as({
+        "value_type": h.field("f", 2), "identifier_code": h.field("f", 3, 1), "identifier_label": h.field("f", 3, 2),
+        "identifier_table": h.field("f", 3, 3), "value_code": h.field("f", 5, 1), "value_label": h.field("f", 5, 2),
+        "value_table": h.field("f", 5, 3), "units_code": h.field("f", 6, 1), "units_label": h.field("f", 6, 2),
+        "units_table": h.field("f", 6, 3), "result_status": h.field("f", 11),
+        "observation_date": h.parse_date("observation_text", strict),
+        "method_code": h.field("f", 17, 1), "method_label": h.field("f", 17, 2), "method_table": h.field("f", 17, 3)}))
 
 
 def extract_queries(parsed: DataFrame) -> DataFrame:
     """QPD and RCP columns of the query messages; the birth date is read leniently."""
-    qpd = F.col("qpd")
-    mrn, authority, _ = _identifier(qpd, ID_TYPES[:2])
-    text = F.col("message")
-    parsed = parsed.where(F.col("msg_type") == "QBP").withColumns({
-        "qpd_line": h.segment_line(text, "QPD"), "rcp": h.first_fields(text, "RCP"),
-        "qpd": h.first_fields(text, "QPD")})
-    return parsed.select(
-        *_keys(parsed), "profile", qpd.isNotNull().alias("has_qpd"), "qpd_line",
-        h.field(qpd, 2).alias("query_tag"), mrn.alias("q_mrn"), authority.alias("q_authority"),
-        h.field(qpd, 4, 1).alias("q_last"), h.field(qpd, 4, 2).alias("q_first"),
-        h.field(qpd, 4, 3).alias("q_middle"),
-        h.field(qpd, 6).alias("q_birth_text"), h.parse_date(h.field(qpd, 6), False).alias("q_birth"),
-        h.field(qpd, 7).alias("q_sex"),
-        h.field(F.col("rcp"), 2).alias("rcp"),
-        h.field(F.col("rcp"), 2).try_cast("int").alias("quantity"),
-    )
+    keys = _keys(parsed)
+    rows = (parsed.where("msg_type = 'QBP'")
+            .selectExpr(*keys, "profile", f"{h.segment_line('message', 'QPD')} as qpd_line",
+                        f"{h.split_fields(h.segment_line('message', 'RCP'))} as rcp_f")
+            .selectExpr(*keys, "profile", "qpd_line", "rcp_f", f"{h.split_fields('qpd_line')} as qpd")
+            .selectExpr(*keys, "profile", "qpd_line", "rcp_f", "qpd", f"{h.repeats('qpd', 3)} as ids",
+                        f"{h.field('qpd', 6)} as q_birth_text"))
+    ids = _identifier("ids", ID_TYPES[:2])
+    return rows.selectExpr(*keys, "profile", "qpd_line", "q_birth_text", *_as({
+        "has_qpd": "qpd is not null", "query_tag": h.field("qpd", 2),
+        "q_mrn": ids["mrn"], "q_authority": ids["mrn_authority"],
+        "q_last": h.field("qpd", 4, 1), "q_first": h.field("qpd", 4, 2), "q_middle": h.field("qpd", 4, 3),
+        "q_birth": h.parse_date("q_birth_text", "false"), "q_sex": h.field("qpd", 7),
+        "rcp": h.field("rcp_f", 2), "quantity": f"try_cast({h.field('rcp_f', 2)} as int)"}))

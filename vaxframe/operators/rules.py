@@ -1,15 +1,18 @@
-"""Validation rules V01-V64 as column conditions, and the stop logic around them.
+"""Validation rules V01-V64 as conditions, and the stop logic around them.
 
 Rules of one message run in a fixed order.  A *thrown* error ends the message
-at once; a *listed* error ends it at the end of the patient stage.  The header
-and patient stages are arrays inside the message row (no shuffle); only the
-findings of the order stage meet in a window per message, and a message is one
-input row, so such a group is never larger than one message.
+at once; a *listed* error ends it at the end of the patient stage.  All stages
+run in one pass: header and patient findings are arrays on the message row,
+order findings arrays on the exploded order rows, and one aggregation per
+message puts them together.  A message is one input row, so such a group is
+never larger than one message.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import cached_property
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codes as C
@@ -17,397 +20,309 @@ from ..functions import hl7text as h
 from ..functions.rule_texts import TEXTS
 from . import codemap, hl7
 
-FINDING = ("struct<rule:string,severity:string,thrown:boolean,segment:string,seg_repeat:int,"
-           "field:int,text:string>")
-COLUMNS = ["msg_id", "stage", "order_no", "pos", "obx_no", "rule", "severity", "segment", "seg_repeat", "field", "text"]
-GUARDIAN_RULES = ["V49", "V50", "V51", "V52"]
-OBSERVATION_RULES = ["V54", "V55", "V56", "V57"]
-
-
-def has(flavor: str) -> Column:
-    return F.array_contains("flavors", flavor)
+FINDING = ["rule", "severity", "thrown", "segment", "seg_repeat", "field", "text"]
+KEY = ["stage", "order_no", "block", "obx_no", "pos"]
 
 
-def _text(rule: str, values: list[Column]) -> Column:
-    parts = TEXTS[rule].split("{}")
-    if len(parts) == 1:
-        return F.lit(parts[0])
-    out: list[Column] = []
-    for i, part in enumerate(parts):
-        out.append(F.lit(part))
-        if i < len(values):
-            out.append(h.blank(values[i]))
-    return F.concat(*out)
+def has(flavor: str) -> str:
+    return f"array_contains(flavors, '{flavor}')"
 
 
-def finding(rule: str, cond: Column, severity: str | Column, segment: str, field: int, *values: Column,
-            thrown: bool = False, repeat: Column | int = 1, text: str | None = None) -> Column:
+def finding(rule: str, cond: str, severity: str, segment: str, field: int, *values: str,
+            thrown: bool = False, repeat: str = "1", text: str | None = None) -> str:
     """The finding struct when ``cond`` holds, else NULL."""
-    level = F.lit(severity) if isinstance(severity, str) else severity
-    times = F.lit(repeat) if isinstance(repeat, int) else repeat
-    return F.when(cond, F.struct(
-        F.lit(rule).alias("rule"), level.alias("severity"), F.lit(thrown).alias("thrown"),
-        F.lit(segment).alias("segment"), times.cast("int").alias("seg_repeat"),
-        F.lit(field).alias("field"), _text(text or rule, list(values)).alias("text")).cast(FINDING))
-
+    level = f"'{severity}'" if severity in ("E", "W") else severity
+    words, parts = TEXTS[text or rule].split("{}"), []
+    for i, word in enumerate(words):
+        parts.append(h.quote(word))
+        if i < len(values):
+            parts.append(h.blank(values[i]))
+    wording = f"concat({', '.join(parts)})" if len(parts) > 1 else parts[0]
+    return (f"case when {cond} then named_struct('rule', '{rule}', 'severity', {level}, 'thrown', {str(thrown).lower()}, "
+            f"'segment', '{segment}', 'seg_repeat', cast({repeat} as int), 'field', {field}, 'text', {wording}) end")
 
-def _either(flavor: str, with_flavor: str, without: str) -> Column:
-    return F.when(has(flavor), F.lit(with_flavor)).otherwise(F.lit(without))
 
+def either(flavor: str, with_flavor: str, without: str) -> str:
+    return f"case when {has(flavor)} then '{with_flavor}' else '{without}' end"
 
-def _found(*items: Column) -> Column:
-    return F.filter(F.array(*items), lambda x: x.isNotNull())
 
+def found(*items: str) -> str:
+    return f"filter(array({', '.join(items)}), x -> x is not null)"
 
-def _cut(found: Column) -> Column:
-    """Findings up to and including the first thrown one."""
-    first = F.array_position(F.transform(found, lambda x: x["thrown"]), F.lit(True)).cast("int")
-    return F.when(first > 0, F.slice(found, 1, first)).otherwise(found)
 
+def cut(df: DataFrame, column: str) -> DataFrame:
+    """Keeps the findings up to and including the first thrown one."""
+    kept = [c for c in df.columns if c != column]
+    return (df.selectExpr("*", f"cast(array_position(transform({column}, x -> x.thrown), true) as int) as first_thrown")
+            .selectExpr(*kept, f"case when first_thrown > 0 then slice({column}, 1, first_thrown) else {column} end as {column}"))
 
-def unreadable(text: Column) -> Column:
-    eight = F.left(text, F.lit(8))
-    return F.when(text == "", F.lit("No date was specified")).otherwise(
-        F.concat(F.lit('Unparseable date: "'), eight, F.lit('"')))
 
+def unreadable(text: str) -> str:
+    return f"case when {text} = '' then 'No date was specified' else concat('Unparseable date: \"', left({text}, 8), '\"') end"
 
-# ------------------------------------------------------------- header + patient
 
 def with_org(messages: DataFrame, orgs: DataFrame) -> DataFrame:
     """Adds the org's flavors, its name and whether dates are read strictly."""
-    side = orgs.select("org_id", "org_name", "flavors")
-    return (messages.join(side, "org_id", "left")
-            .withColumn("flavors", F.coalesce("flavors", F.array().cast("array<string>")))
-            .withColumn("strict", ~has("CANTALOUPE")))
-
-
-def message_stage(parsed: DataFrame) -> DataFrame:
-    """Adds ``found`` with the header findings."""
-    return parsed.withColumn("found", _cut(_found(
-        finding("V59", F.col("n_msh") == 0, "E", "", 0, thrown=True, repeat=0),
-        finding("V64", F.col("n_msh") > 1, "E", "MSH", 0, thrown=True),
-        finding("V01", has("SOURSOP") & (F.col("sending_facility") != h.blank(F.col("org_name"))), "E", "", 0,
-                thrown=True, repeat=0),
-        finding("V02", ~F.col("msg_type").isin("VXU", "ORU", "QBP"), "E", "", 0, thrown=True, repeat=0),
-    )))
-
-
-def patient_checks(patients: DataFrame, codes: DataFrame, valid_values: DataFrame) -> DataFrame:
-    """Lookups the patient rules read."""
-    out = C.lookup(patients, codes, "PATIENT_RACE", "race", "race", ("status",))
-    out = C.lookup(out, codes, "PATIENT_ETHNICITY", "ethnicity", "ethnicity", ("status",))
-    out = C.member(out, valid_values, ["SEX"], "sex", "sex_ok")
-    out = C.member(out, valid_values, ["COUNTRY_2DIGIT", "COUNTRY_3DIGIT"], "country", "country_ok")
-    out = C.member(out, valid_values, ["STATE"], "state", "state_ok")
-    return C.member(out, valid_values, ["BIRTH_ORDER"], "birth_order", "birth_order_ok")
-
-
-def _relative_findings() -> Column:
-    """Findings per relative, up to the first recognised guardian."""
-    known = F.transform("relatives", lambda r: r["relationship"].isin(hl7.GUARDIANS))
-    first = F.array_position(known, F.lit(True)).cast("int")
-    seen = F.slice(F.col("relatives"), F.lit(1), F.when(first > 0, first).otherwise(F.size("relatives")))
-
-    def one(r: Column, i: Column) -> Column:
-        n, rel = i + 1, r["relationship"]
-        return _found(
-            finding("V49", r["last"] == "", "W", "NK1", 2, repeat=n),
-            finding("V50", r["first"] == "", "W", "NK1", 2, repeat=n),
-            finding("V51", rel == "", "W", "NK1", 3, repeat=n),
-            F.coalesce(finding("V52", rel == "", "W", "NK1", 3, repeat=n),
-                       finding("V52", ~rel.isin(hl7.GUARDIANS), "W", "NK1", 3, rel, repeat=n, text="V52b")))
-
-    return F.flatten(F.transform(seen, one))
-
-
-def patient_stage(patients: DataFrame, as_of: Column, skip_blank_phone: bool = False) -> DataFrame:
-    """Adds ``found`` with the PID, PD1 and NK1 findings.
-
-    A blank phone is checked like any other unless ``skip_blank_phone``.
-    """
-    c, strict = F.col, F.col("strict")
-    phone = c("phone_text")
-    looked = (phone != "") if skip_blank_phone else F.lit(True)
-    flag, order = c("birth_flag"), c("birth_order")
-    single, multiple = flag.isin("", "N"), flag == "Y"
-    any_birth = (flag != "") | (order != "")
-    address_gap = (c("line1") == "") | (c("city") == "") | (c("state") == "") | (c("zip") == "")
-    domestic = c("country").isin("", "US", "USA")
-    rules = _found(
-        finding("V29", ~c("has_pid"), "E", "", 0, thrown=True, repeat=0),
-        finding("V28", c("mrn") == "", "E", "PID", 3, thrown=True),
-        finding("V30", looked & (c("phone_use") != "PRN"), _either("QUINZE", "E", "W"), "PID", 13),
-        finding("V31", looked & (h.phone_strange(phone) != ""), "W", "PID", 13, h.phone_strange(phone)),
-        finding("V32", looked & h.phone_invalid(phone), "W", "PID", 13),
-        finding("V33", c("name_last") == "", "E", "PID", 5, thrown=True),
-        finding("V34", c("name_first") == "", "E", "PID", 5, thrown=True),
-        finding("V35", c("birth_date").isNull(), "E", "PID", 7, unreadable(c("birth_text")), thrown=True),
-        finding("V36", c("birth_date") > as_of, "E", "PID", 7, thrown=True),
-        finding("V37", h.bad_date(c("death_text"), strict), "W", "PID", 29, F.left(c("death_text"), F.lit(8))),
-        finding("V38", ~c("sex_ok"), "W", "PID", 8, c("sex")),
-        finding("V39", (c("country") != "") & ~c("country_ok"), _either("GUAVA", "W", "E"), "PID", 11, c("country")),
-        finding("V40", domestic & (c("state") != "") & ~c("state_ok"), _either("GUAVA", "W", "E"), "PID", 11, c("state")),
-        finding("V41", (c("race") != "") & (h.blank(c("race_status")) != "VALID"), _either("FIG", "E", "W"), "PID", 10, c("race")),
-        finding("V42", (c("ethnicity") != "") & (h.blank(c("ethnicity_status")) != "VALID"), _either("FIG", "E", "W"),
-                "PID", 10, c("ethnicity")),
-        finding("V43", has("BLACKBERRY") & address_gap, "E", "PID", 11, thrown=True),
-        finding("V44", any_birth & single & ~order.isin("1", ""), _either("PLANTAIN", "W", "E"), "PID", 25, order),
-        finding("V45", multiple & (order == ""), "W", "PID", 24),
-        finding("V46", multiple & (order != "") & ~c("birth_order_ok"), _either("PLANTAIN", "W", "E"), "PID", 25, order),
-        finding("V47", ~single & ~multiple, _either("PLANTAIN", "W", "E"), "PID", 24, flag),
-        finding("V48a", h.bad_date(c("protection_text"), strict), "W", "PD1", 13, F.left(c("protection_text"), F.lit(8))),
-        finding("V48b", h.bad_date(c("registry_text"), strict), "W", "PD1", 17, F.left(c("registry_text"), F.lit(8))),
-        finding("V48c", h.bad_date(c("publicity_text"), strict), "W", "PD1", 18, F.left(c("publicity_text"), F.lit(8))),
-    )
-    return patients.withColumn("found", _cut(F.concat(rules, _relative_findings())))
-
-
-def head_stage(parsed: DataFrame, codes: DataFrame, valid_values: DataFrame, as_of: Column,
-               skip_blank_phone: bool = False) -> DataFrame:
-    """Patient rows of update messages with their header and patient findings.
-
-    Adds ``head`` (findings after the stop logic) and ``stopped``.  The message
-    text stays on the row, so the order stage goes on from here.
-    """
-    header = message_stage(parsed).withColumnRenamed("found", "header_found")
-    keep = ["header_found", "control_id", "processing_id", "sending_app", "sending_facility", "receiving_app", "n_msh"]
-    rows = hl7.extract_patients(header.withColumn("carry", F.struct(*keep)), F.col("strict"), "carry", "message")
-    rows = patient_stage(patient_checks(rows, codes, valid_values), as_of, skip_blank_phone)
-    updates = F.col("msg_type").isin("VXU", "ORU") & (F.size("carry.header_found") == 0)
-    rows = rows.withColumn("head", F.when(updates, F.col("found")).otherwise(F.col("carry.header_found")))
-    return (rows.withColumn("stopped", ~updates | F.exists("head", lambda x: x["severity"] == "E"))
-            .drop("found"))
-
-
-def head_findings(head: DataFrame) -> DataFrame:
-    """Header and patient findings as rows."""
-    stage = F.when(F.size("carry.header_found") > 0, F.lit(0)).otherwise(F.lit(1))
-    return (head.select("msg_id", stage.alias("stage"), F.posexplode("head").alias("i", "f"))
-            .select("msg_id", "stage", F.lit(0).alias("order_no"), (F.col("i") + 1).alias("pos"),
-                    F.lit(0).alias("obx_no"), "f.*"))
-
-
-# ------------------------------------------------------------------- orders
-
-def order_rows(head: DataFrame) -> DataFrame:
-    """Vaccination orders of the messages that passed the patient stage."""
-    return hl7.extract_vaccinations(head, F.col("strict"), "mrn", "birth_date", only=~F.col("stopped"))
-
-
-def order_checks(rows: DataFrame, codes: DataFrame, relations: DataFrame, locations: DataFrame | None = None) -> DataFrame:
-    """Lookups the order rules read."""
-    out = codemap.resolve_cvx(rows, codes, relations)
-    out = C.lookup(out, codes, "VACCINATION_REFUSAL", "refusal_code", "refusal")
-    if locations is None:
-        return out.withColumn("location_known", F.lit(True))
-    known = locations.select("org_id", "facility_code").distinct().withColumn("location_known", F.lit(True))
-    return (out.join(known, ["org_id", "facility_code"], "left")
-            .withColumn("location_known", F.coalesce("location_known", F.lit(False))))
-
-
-def order_stage(rows: DataFrame, as_of: Column) -> DataFrame:
-    """Adds ``found`` (already cut inside the order) and ``failed``.
-
-    Code 998 stands for "no dose": only its observations are read.
-    """
-    c, strict, n = F.col, F.col("strict"), F.col("order_no")
-    dose = c("vaccine_code") != "998"
+    kept = messages.columns
+    return (messages.join(orgs.select("org_id", "org_name", "flavors"), "org_id", "left")
+            .selectExpr(*kept, "org_name", "coalesce(flavors, cast(array() as array<string>)) as flavors")
+            .selectExpr("*", f"not {has('CANTALOUPE')} as strict"))
+
+
+def header_rules() -> str:
+    return found(
+        finding("V59", "n_msh = 0", "E", "", 0, thrown=True, repeat="0"),
+        finding("V64", "n_msh > 1", "E", "MSH", 0, thrown=True),
+        finding("V01", f"{has('SOURSOP')} and sending_facility <> coalesce(org_name, '')", "E", "", 0, thrown=True, repeat="0"),
+        finding("V02", "msg_type not in ('VXU', 'ORU', 'QBP')", "E", "", 0, thrown=True, repeat="0"))
+
+
+def patient_rules(as_of: str, skip_blank_phone: bool = False) -> str:
+    """PID and PD1 rules; a blank phone is checked like any other unless skipped."""
+    looked = "phone_text <> ''" if skip_blank_phone else "has_pid"
+    strange = h.phone_strange("phone_text")
+    single, multiple = "birth_flag in ('', 'N')", "birth_flag = 'Y'"
+
+    def eight(text):
+        return f"left({text}, 8)"
+
+    return found(
+        finding("V29", "not has_pid", "E", "", 0, thrown=True, repeat="0"),
+        finding("V28", "mrn = ''", "E", "PID", 3, thrown=True),
+        finding("V30", f"{looked} and phone_use <> 'PRN'", either("QUINZE", "E", "W"), "PID", 13),
+        finding("V31", f"{looked} and {strange} <> ''", "W", "PID", 13, strange),
+        finding("V32", f"{looked} and {h.phone_invalid('phone_text')}", "W", "PID", 13),
+        finding("V33", "name_last = ''", "E", "PID", 5, thrown=True),
+        finding("V34", "name_first = ''", "E", "PID", 5, thrown=True),
+        finding("V35", "birth_date is null", "E", "PID", 7, unreadable("birth_text"), thrown=True),
+        finding("V36", f"birth_date > {as_of}", "E", "PID", 7, thrown=True),
+        finding("V37", h.bad_date("death_text", "death_date"), "W", "PID", 29, eight("death_text")),
+        finding("V38", "not sex_ok", "W", "PID", 8, "sex"),
+        finding("V39", "country <> '' and not country_ok", either("GUAVA", "W", "E"), "PID", 11, "country"),
+        finding("V40", "country in ('', 'US', 'USA') and state <> '' and not state_ok", either("GUAVA", "W", "E"), "PID", 11, "state"),
+        finding("V41", "race <> '' and coalesce(race_status, '') <> 'VALID'", either("FIG", "E", "W"), "PID", 10, "race"),
+        finding("V42", "ethnicity <> '' and coalesce(ethnicity_status, '') <> 'VALID'", either("FIG", "E", "W"), "PID", 10, "ethnicity"),
+        finding("V43", f"{has('BLACKBERRY')} and (line1 = '' or city = '' or state = '' or zip = '')", "E", "PID", 11, thrown=True),
+        finding("V44", f"{single} and birth_order not in ('1', '')", either("PLANTAIN", "W", "E"), "PID", 25, "birth_order"),
+        finding("V45", f"{multiple} and birth_order = ''", "W", "PID", 24),
+        finding("V46", f"{multiple} and birth_order <> '' and not birth_order_ok", either("PLANTAIN", "W", "E"), "PID", 25, "birth_order"),
+        finding("V47", f"not {single} and not {multiple}", either("PLANTAIN", "W", "E"), "PID", 24, "birth_flag"),
+        finding("V48a", h.bad_date("protection_text", "protection_date"), "W", "PD1", 13, eight("protection_text")),
+        finding("V48b", h.bad_date("registry_text", "registry_date"), "W", "PD1", 17, eight("registry_text")),
+        finding("V48c", h.bad_date("publicity_text", "publicity_date"), "W", "PD1", 18, eight("publicity_text")))
+
+
+def relative_rules() -> str:
+    """Rules per relative, over the relatives up to the first recognised guardian."""
+    known = f"r.relationship in {hl7.GUARDIANS}"
+    one = found(
+        finding("V49", "r.last = ''", "W", "NK1", 2, repeat="i + 1"),
+        finding("V50", "r.first = ''", "W", "NK1", 2, repeat="i + 1"),
+        finding("V51", "r.relationship = ''", "W", "NK1", 3, repeat="i + 1"),
+        finding("V52", "r.relationship = ''", "W", "NK1", 3, repeat="i + 1"),
+        finding("V52", f"r.relationship <> '' and not {known}", "W", "NK1", 3, "r.relationship", repeat="i + 1", text="V52b"))
+    return f"flatten(transform(slice(relatives, 1, n_relatives), (r, i) -> {one}))"
+
+
+def order_rules(as_of: str) -> str:
+    """Order rules; code 998 stands for "no dose", only its observations are read."""
 
     def rx(rule, cond, severity, field, *values, segment="RXA", thrown=False):
-        return finding(rule, c("has_rxa") & cond & dose, severity, segment, field, *values, thrown=thrown, repeat=n)
-
-    found = _found(
-        finding("V25", ~c("has_rxa"), "E", "ORC", 0, thrown=True, repeat=n),
-        rx("V08", c("vaccine_code") == "", "E", 5, thrown=True),
-        rx("V09", c("vr_link") == "", "E", 3, segment="ORC", thrown=True),
-        rx("V10", c("administered_date").isNull(), "E", 3, unreadable(c("administered_text")), thrown=True),
-        rx("V11", c("administered_date") > as_of, "E", 3, thrown=True),
-        rx("V12", c("ndc_known") & c("ndc_cvx").isNull(), "W", 5, c("ndc_final")),
-        rx("V13", c("ndc_differs"), "W", 5, c("ndc_final"), c("ndc_cvx"), c("cvx")),
-        rx("V14", c("cpt_known") & c("cpt_cvx").isNull(), "W", 5, c("cpt")),
-        rx("V15", c("cpt_differs"), "W", 5, c("cpt"), c("cpt_cvx"), c("cvx")),
-        rx("V16", c("cvx") == "", "E", 5, thrown=True),
-        rx("V17", c("cvx_label").isNull(), "E", 5, c("cvx"), thrown=True),
-        rx("V18", has("PEAR") & (c("facility_code") != "") & ~c("location_known"), "E", 11, thrown=True),
-        rx("V19", h.bad_date(c("expiration_text"), strict), "W", 16, F.left(c("expiration_text"), F.lit(8))),
-        rx("V20", (c("refusal_code") != "") & c("refusal_value").isNull(), "W", 18),
-        rx("V21", has("SPRUCE") & ~c("has_rxr") & (c("info_source") == "00"), "E", 0, thrown=True),
-        rx("V22", (c("administered_date") < c("birth_date")) & ~has("CLEMENTINE"), "E", 3, thrown=True),
-    )
-    out = rows.withColumn("found", _cut(found))
-    return (out.withColumn("failed", F.exists("found", lambda x: x["thrown"]))
-            .withColumn("is_dose", dose))
-
-
-def observation_findings(obs: DataFrame, codes: DataFrame, as_of: Column) -> DataFrame:
-    """Findings of the OBX rows of orders that did not fail.
-
-    ``obs`` comes from :func:`hl7.extract_observations` and carries ``is_dose``,
-    ``birth_date`` and ``strict``.
-    """
-    c = F.col
-    out = C.lookup(obs, codes, "FINANCIAL_STATUS_CODE", "value_code", "eligible")
-    out = C.lookup(out, codes, "VACCINATION_FUNDING_SOURCE", "value_code", "fund")
-    out = C.lookup(out, codes, "CONTRAINDICATION_OR_PRECAUTION", "value_code", "contra")
-    ident, contra = c("identifier_code"), c("identifier_code") == "30945-0"
-
-    def ob(rule, cond, field, *values):
-        return finding(rule, cond, "W", "OBX", field, *values, repeat=c("obx_no"))
-
-    sent = c("is_dose") & (c("value_code") != "")
-    # The funding rules run over all OBX of the order before the others start.
-    early = _found(
-        ob("V23", sent & (ident == "64994-7") & c("eligible_value").isNull(), 5, c("value_code")),
-        ob("V24", sent & (ident == "30963-3") & c("fund_value").isNull(), 5, c("value_code")))
-    late = _found(
-        ob("V57", h.bad_date(c("observation_text"), c("strict")), 14, F.left(c("observation_text"), F.lit(8))),
-        ob("V54", contra & c("contra_value").isNull(), 5),
-        ob("V55", contra & (c("observation_date") > as_of), 5),
-        ob("V56", contra & (c("observation_date") < c("birth_date")), 14))
-    tagged = F.concat(F.transform(early, lambda x: F.struct(F.lit(50).alias("base"), x.alias("f"))),
-                      F.transform(late, lambda x: F.struct(F.lit(60).alias("base"), x.alias("f"))))
-    return (out.select("msg_id", "order_no", "obx_no", F.posexplode(tagged).alias("i", "t"))
-            .select("msg_id", F.lit(2).alias("stage"), "order_no",
-                    (F.col("t.base") + F.when(F.col("t.base") == 60, F.col("i")).otherwise(0)).alias("pos"),
-                    "obx_no", "t.f.*"))
-
-
-def _order_key() -> Column:
-    # early OBX findings (pos 50) come before late ones, which go OBX by OBX
-    return F.struct("stage", "order_no", F.least("pos", F.lit(60)).alias("block"), "obx_no", "pos")
-
-
-def cut_after_stop(findings: DataFrame) -> DataFrame:
-    """Drops the findings a message would not reach; the window group is one message."""
-    w = Window.partitionBy("msg_id")
-    key = _order_key()
-    return (findings.withColumn("__key", key)
-            .withColumn("__stop", F.min(F.when(F.col("thrown"), F.col("__key"))).over(w))
-            .where(F.col("__stop").isNull() | (F.col("__key") <= F.col("__stop")))
-            .drop("__key", "__stop"))
-
-
-def oru_rows(head: DataFrame) -> DataFrame:
-    """Order groups of observation messages."""
-    rows = hl7.orders(head, "mrn", "birth_date", only=~F.col("stopped") & (F.col("msg_type") == "ORU"))
-    return (rows
-            .withColumn("found", _found(finding("V53", ~F.col("has_anchor"), "E", "ORC", 0, thrown=True,
-                                                repeat=F.col("order_no"))))
-            .withColumn("failed", ~F.col("has_anchor")).withColumn("is_dose", F.lit(False))
-            .withColumn("vr_link", F.lit("").cast("string")))
-
-
-def dose_counts(doses: DataFrame) -> DataFrame:
-    """Vaccinations and refusals per message, over the orders that are counted.
-
-    ``doses`` are order rows with ``found``/``failed``; V21 and V22 fail before
-    the count, everything that fails does.
-    """
-    counted = ~F.col("failed") & F.col("is_dose")
-    return doses.groupBy("msg_id").agg(
-        F.count_if(counted & ~F.col("cvx").isin("998", "999")
-                   & F.col("completion_status").isin("CP", "PA", "")).alias("vaccinations"),
-        F.count_if(counted & (F.col("completion_status") == "RE")).alias("refusals"),
-        F.max("failed").alias("any_failed"))
+        return finding(rule, f"is_dose and {cond}", severity, segment, field, *values, thrown=thrown, repeat="order_no")
+
+    return found(
+        finding("V53", "msg_type = 'ORU' and not has_anchor", "E", "ORC", 0, thrown=True, repeat="order_no"),
+        finding("V25", "msg_type = 'VXU' and not has_anchor", "E", "ORC", 0, thrown=True, repeat="order_no"),
+        rx("V08", "vaccine_code = ''", "E", 5, thrown=True),
+        rx("V09", "vr_link = ''", "E", 3, segment="ORC", thrown=True),
+        rx("V10", "administered_date is null", "E", 3, unreadable("administered_text"), thrown=True),
+        rx("V11", f"administered_date > {as_of}", "E", 3, thrown=True),
+        rx("V12", "ndc_known and ndc_cvx is null", "W", 5, "ndc_final"),
+        rx("V13", "ndc_differs", "W", 5, "ndc_final", "ndc_cvx", "cvx"),
+        rx("V14", "cpt_known and cpt_cvx is null", "W", 5, "cpt"),
+        rx("V15", "cpt_differs", "W", 5, "cpt", "cpt_cvx", "cvx"),
+        rx("V16", "cvx = ''", "E", 5, thrown=True),
+        rx("V17", "cvx_label is null", "E", 5, "cvx", thrown=True),
+        rx("V18", f"{has('PEAR')} and facility_code <> '' and not location_known", "E", 11, thrown=True),
+        rx("V19", h.bad_date("expiration_text", "expiration_date"), "W", 16, "left(expiration_text, 8)"),
+        rx("V20", "refusal_code <> '' and refusal_value is null", "W", 18),
+        rx("V21", f"{has('SPRUCE')} and not has_rxr and info_source = '00'", "E", 0, thrown=True),
+        rx("V22", f"administered_date < birth_date and not {has('CLEMENTINE')}", "E", 3, thrown=True))
+
+
+def funding_rules() -> str:
+    """The funding rules run over all OBX of an order before the others start."""
+    sent = "is_dose and not failed and value_code <> '' and obx_code is null"
+    return found(
+        finding("V23", f"identifier_code = '64994-7' and {sent}", "W", "OBX", 5, "value_code", repeat="obx_no"),
+        finding("V24", f"identifier_code = '30963-3' and {sent}", "W", "OBX", 5, "value_code", repeat="obx_no"))
+
+
+def observation_rules(as_of: str) -> str:
+    contra = "not failed and identifier_code = '30945-0'"
+    return found(
+        finding("V57", "not failed and " + h.bad_date("observation_text", "observation_date"), "W", "OBX", 14,
+                "left(observation_text, 8)", repeat="obx_no"),
+        finding("V54", f"{contra} and obx_code is null", "W", "OBX", 5, repeat="obx_no"),
+        finding("V55", f"{contra} and observation_date > {as_of}", "W", "OBX", 5, repeat="obx_no"),
+        finding("V56", f"{contra} and observation_date < birth_date", "W", "OBX", 14, repeat="obx_no"))
+
+
+OBX_CODESET = ("case identifier_code when '64994-7' then 'FINANCIAL_STATUS_CODE' when '30963-3' then "
+               "'VACCINATION_FUNDING_SOURCE' when '30945-0' then 'CONTRAINDICATION_OR_PRECAUTION' end")
+
+
+def attach_obx_code(observations: DataFrame, codes: DataFrame) -> DataFrame:
+    """``obx_code``: the coded value when the identifier's code set knows it."""
+    side = codes.selectExpr("codeset as __set", "value as obx_code").where(
+        "__set in ('FINANCIAL_STATUS_CODE', 'VACCINATION_FUNDING_SOURCE', 'CONTRAINDICATION_OR_PRECAUTION')")
+    return observations.join(side, F.expr(f"{OBX_CODESET} = __set and value_code = obx_code"), "left").drop("__set")
 
 
 class Validation:
-    """All findings of a batch of messages as DataFrames.
+    """All findings of a batch of messages.
 
     ``codes``, ``relations``, ``valid_values`` and ``locations`` are lookup
-    tables; ``as_of`` stands for "now" and must be given by the caller.
+    tables; ``as_of`` is the SQL expression that stands for "now".
     """
 
+    CARRY = [*[c for c in hl7.HEADER if c != "msg_type"], "head", "head_stage", "stopped", "mrn", "birth_date"]
+
     def __init__(self, messages: DataFrame, orgs: DataFrame, codes: DataFrame, relations: DataFrame,
-                 valid_values: DataFrame, as_of: Column, locations: DataFrame | None = None,
-                 skip_blank_phone: bool = False):
+                 valid_values: DataFrame, as_of: str, locations: DataFrame | None = None, skip_blank_phone: bool = False):
         self.parsed = hl7.parse(with_org(messages, orgs))
-        self.codes, self.as_of = codes, as_of
-        self.head = head_stage(self.parsed, codes, valid_values, as_of, skip_blank_phone)
-        rows = order_checks(order_rows(self.head), codes, relations, locations)
-        self.doses = order_stage(rows, as_of)
-        self.oru = oru_rows(self.head)
+        self.codes, self.relations, self.valid_values = codes, relations, valid_values
+        self.locations, self.as_of, self.skip_blank_phone = locations, as_of, skip_blank_phone
+
+    @cached_property
+    def head(self) -> DataFrame:
+        """Patient row per message with ``head`` (header and patient findings) and ``stopped``."""
+        rows = hl7.extract_patients(self.parsed, "message")
+        rows = C.lookup(rows, self.codes, "PATIENT_RACE", "race", "race", ("status",))
+        rows = C.lookup(rows, self.codes, "PATIENT_ETHNICITY", "ethnicity", "ethnicity", ("status",))
+        for sets, column in ((["SEX"], "sex"), (["COUNTRY_2DIGIT", "COUNTRY_3DIGIT"], "country"),
+                             (["STATE"], "state"), (["BIRTH_ORDER"], "birth_order")):
+            rows = C.member(rows, self.valid_values, sets, column, f"{column}_ok")
+        rows = rows.selectExpr(
+            "*", f"{header_rules()} as header_found",
+            f"coalesce(nullif(array_position(transform(relatives, r -> r.relationship in {hl7.GUARDIANS}), true), 0), "
+            "size(relatives)) as n_relatives")
+        rows = rows.selectExpr(
+            "*", "size(header_found) = 0 and msg_type in ('VXU', 'ORU') as is_update",
+            "case when size(header_found) > 0 then 0 else 1 end as head_stage")
+        rows = rows.selectExpr(
+            "*", f"case when is_update then concat({patient_rules(self.as_of, self.skip_blank_phone)}, {relative_rules()}) "
+                 "else header_found end as head").drop("header_found", "n_relatives")
+        return cut(rows, "head").selectExpr("*", "not is_update or exists(head, x -> x.severity = 'E') as stopped")
+
+    @cached_property
+    def orders(self) -> DataFrame:
+        """Order rows (VXU and ORU) with ``found`` and ``failed``; one empty row for a stopped message."""
+        carry = [c for c in self.CARRY]
+        rows = hl7.dose_columns(hl7.orders(self.head, *carry, only="not stopped"), *carry)
+        rows = codemap.resolve_cvx(rows, self.codes, self.relations)
+        rows = C.lookup(rows, self.codes, "VACCINATION_REFUSAL", "refusal_code", "refusal")
+        if self.locations is None:
+            rows = rows.selectExpr("*", "true as location_known")
+        else:
+            kept = rows.columns
+            known = self.locations.select("org_id", "facility_code").distinct().selectExpr("*", "true as __known")
+            rows = (rows.join(known, ["org_id", "facility_code"], "left")
+                    .selectExpr(*kept, "__known is not null as location_known"))
+        rows = rows.selectExpr("*", "order_no is not null and has_rxa and vaccine_code <> '998' as is_dose")
+        rows = rows.selectExpr("*", f"case when order_no is not null then {order_rules(self.as_of)} end as found")
+        return cut(rows, "found").selectExpr("*", "coalesce(exists(found, x -> x.thrown), false) as failed")
+
+    @cached_property
+    def doses(self) -> DataFrame:
+        """Order rows of the vaccination updates."""
+        return self.orders.where("order_no is not null and msg_type = 'VXU'")
+
+    @cached_property
+    def observations(self) -> DataFrame:
+        """OBX rows of the orders that passed on their own (the prefix rule is not applied)."""
+        return hl7.extract_observations(self.orders).where("not failed")
+
+    @cached_property
+    def report(self) -> DataFrame:
+        """One row per message: header columns, ``findings``, ``vaccinations``, ``refusals``, ``first_fail``."""
+        rows = hl7.extract_observations(self.orders, keep_empty=True)
+        rows = attach_obx_code(rows, self.codes)
+
+        def keyed(array, block, obx):
+            fields = ", ".join(f"'{c}', f.{c}" for c in FINDING)
+            return (f"transform({array}, (f, i) -> named_struct('stage', 2, 'order_no', order_no, 'block', {block}, "
+                    f"'obx_no', {obx}, 'pos', i, {fields}))")
+
+        counted = "is_dose and not failed and lead"
+        given = "cvx not in ('998', '999') and completion_status in ('CP', 'PA', '')"
+        rows = rows.selectExpr(
+            "*", "obx_i is null or obx_i = 0 as lead", f"{funding_rules()} as early", f"{observation_rules(self.as_of)} as late")
+        rows = rows.selectExpr(
+            "*", "concat(case when lead and found is not null then " + keyed("found", 0, 0) + " else array() end, "
+            + keyed("early", 1, "obx_no") + ", " + keyed("late", 2, "obx_no") + ") as keyed",
+            f"case when {counted} and {given} then order_no end as given_no",
+            f"case when {counted} and completion_status = 'RE' then order_no end as refused_no")
+        first = ["org_id", "received_date", "msg_type", "flavors", *self.CARRY]
+        rows = rows.groupBy("msg_id").agg(
+            *[F.expr(f"first({c}) as {c}") for c in first],
+            F.expr("array_sort(flatten(collect_list(keyed))) as found"),
+            F.expr("collect_list(given_no) as given"), F.expr("collect_list(refused_no) as refused"),
+            F.expr("min(case when failed then order_no end) as first_fail"))
+        rows = cut(rows, "found").selectExpr(
+            "*", "size(filter(given, n -> first_fail is null or n < first_fail)) as vaccinations",
+            "size(filter(refused, n -> first_fail is null or n < first_fail)) as refusals")
+        whole = "not stopped and msg_type = 'VXU' and first_fail is null"
+        total = found(
+            finding("V26", f"{whole} and {has('CRANBERRY')} and vaccinations = 0", "E", "", 0, thrown=True, repeat="0"),
+            finding("V27", f"{whole} and {has('BILBERRY')} and vaccinations = 0 and refusals = 0", "E", "", 0, thrown=True, repeat="0"))
+        fields = ", ".join(f"'{c}', f.{c}" for c in FINDING)
+
+        def staged(array, stage):
+            return (f"transform({array}, (f, i) -> named_struct('stage', {stage}, 'order_no', 0, 'block', 0, 'obx_no', 0, "
+                    f"'pos', i, {fields}))")
+
+        return rows.selectExpr(
+            "msg_id", *[c for c in first if c != "head"],
+            f"concat({staged('head', 'head_stage')}, found, {staged(total, 3)}) as findings",
+            "vaccinations", "refusals", "first_fail")
 
     def head_findings(self) -> DataFrame:
-        return head_findings(self.head).select(*COLUMNS)
-
-    def observation_rows(self) -> DataFrame:
-        """OBX rows of orders that passed (dose orders, 998 orders and ORU groups)."""
-        carry = ["msg_id", "org_id", "received_date", "mrn", "birth_date", "strict", "order_no", "vr_link", "is_dose",
-                 "failed", "obx", "obx_before"]
-        both = self.doses.select(*carry).unionByName(self.oru.select(*carry))
-        return hl7.extract_observations(both.where(~F.col("failed")), F.col("strict"))
-
-    def order_findings(self) -> DataFrame:
-        """V08-V27, V53-V57 as rows, after the stop logic."""
-        cols = ["msg_id", "order_no", "found"]
-        own = (self.doses.select(*cols).unionByName(self.oru.select(*cols))
-               .select("msg_id", F.lit(2).alias("stage"), "order_no", F.posexplode("found").alias("i", "f"))
-               .select("msg_id", "stage", "order_no", (F.col("i") + 1).alias("pos"), F.lit(0).alias("obx_no"), "f.*"))
-        seen = observation_findings(self.observation_rows(), self.codes, self.as_of)
-        return cut_after_stop(own.unionByName(seen).unionByName(self.total_findings())).select(*COLUMNS)
-
-    def total_findings(self) -> DataFrame:
-        """V26 and V27, for messages whose orders all passed."""
-        counts = dose_counts(self.doses)
-        per_message = (self.head.where(~F.col("stopped") & (F.col("msg_type") == "VXU"))
-                       .select("msg_id", "flavors").where(has("CRANBERRY") | has("BILBERRY"))
-                       .join(counts, "msg_id", "left").na.fill(0, ["vaccinations", "refusals"])
-                       .where(~F.coalesce("any_failed", F.lit(False))))
-        found = _cut(_found(
-            finding("V26", has("CRANBERRY") & (F.col("vaccinations") == 0), "E", "", 0, thrown=True, repeat=0),
-            finding("V27", has("BILBERRY") & (F.col("vaccinations") == 0) & (F.col("refusals") == 0), "E", "", 0,
-                    thrown=True, repeat=0)))
-        return (per_message.select("msg_id", F.posexplode(found).alias("i", "f"))
-                .select("msg_id", F.lit(3).alias("stage"), F.lit(0).alias("order_no"), (F.col("i") + 1).alias("pos"),
-                        F.lit(0).alias("obx_no"), "f.*"))
+        """Header and patient findings as rows (no shuffle)."""
+        return self.head.selectExpr("msg_id", "head_stage as stage", "explode(head) as f").selectExpr("msg_id", "stage", "f.*")
 
     def findings(self) -> DataFrame:
-        """Every finding of the update and unsupported messages."""
-        return self.head_findings().unionByName(self.order_findings())
-
+        """Every finding of the update and unsupported messages as rows."""
+        return self.report.selectExpr("msg_id", "org_id", "explode(findings) as f").selectExpr("msg_id", "org_id", "f.*")
 
-# ------------------------------------------------------------------- queries
 
 def query_findings(queries: DataFrame, matched: DataFrame | None = None) -> DataFrame:
     """V03-V07 (and V58 when ``matched`` msg_ids are given); none of them stops the answer."""
-    c = F.col
-    named = c("has_qpd")
-    rows = queries
-    if matched is not None:
-        rows = rows.join(matched.select("msg_id").distinct().withColumn("is_match", F.lit(True)), "msg_id", "left")
-        rows = rows.withColumn("is_match", F.coalesce("is_match", F.lit(False)))
+    kept = queries.columns
+    if matched is None:
+        rows = queries.selectExpr("*", "false as is_match")
     else:
-        rows = rows.withColumn("is_match", F.lit(False))
-    no_last, no_first = c("q_last") == "", c("q_first") == ""
-    found = _found(
-        finding("V03", ~named, "E", "", 0, repeat=0),
-        finding("V07", named & h.bad_date(c("q_birth_text"), False), "W", "QPD", 6, F.left(c("q_birth_text"), F.lit(8))),
-        finding("V04", named & no_last, "E", "QPD", 4),
-        finding("V05", named & ~no_last & no_first, "E", "QPD", 4),
-        finding("V06", named & ~no_last & ~no_first & c("q_birth").isNull(), "E", "QPD", 6),
-        finding("V58", c("is_match") & ~c("profile").isin("Z34", "Z44"), "E", "MSH", 21, c("profile")))
-    return (rows.select("msg_id", F.posexplode(found).alias("i", "f"))
-            .select("msg_id", F.lit(1).alias("stage"), F.lit(0).alias("order_no"), (F.col("i") + 1).alias("pos"),
-                    F.lit(0).alias("obx_no"), "f.*").select(*COLUMNS))
-
-
-# ---------------------------------------------------------------------- FHIR
+        hits = matched.select("msg_id").distinct().selectExpr("*", "true as __hit")
+        rows = queries.join(hits, "msg_id", "left").selectExpr(*kept, "__hit is not null as is_match")
+    return rows.selectExpr("msg_id", "explode(" + found(
+        finding("V03", "not has_qpd", "E", "", 0, repeat="0"),
+        finding("V07", "has_qpd and " + h.bad_date("q_birth_text", "q_birth"), "W", "QPD", 6, "left(q_birth_text, 8)"),
+        finding("V04", "has_qpd and q_last = ''", "E", "QPD", 4),
+        finding("V05", "has_qpd and q_last <> '' and q_first = ''", "E", "QPD", 4),
+        finding("V06", "has_qpd and q_last <> '' and q_first <> '' and q_birth is null", "E", "QPD", 6),
+        finding("V58", "is_match and profile not in ('Z34', 'Z44')", "E", "MSH", 21, "profile")) + ") as f").selectExpr("msg_id", "f.*")
+
 
 def fhir_findings(resources: DataFrame, known_patients: DataFrame) -> DataFrame:
     """V60-V63 over ingest rows (msg_id, org_id, vr_link, patient_ref, mrn, administered_date, birth_date).
 
     ``known_patients`` holds the reports (org_id, mrn) a reference may point to.
     """
-    c = F.col
-    side = (known_patients.select(F.col("org_id"), F.col("mrn").alias("patient_ref")).distinct()
-            .withColumn("found_ref", F.lit(True)))
+    side = known_patients.selectExpr("org_id", "mrn as patient_ref", "true as found_ref").distinct()
     rows = resources.join(side, ["org_id", "patient_ref"], "left")
-    found = _cut(_found(
-        finding("V60", h.is_blank(c("vr_link")), "E", "Immunization", 0, thrown=True, repeat=0),
-        finding("V61", ~h.is_blank(c("patient_ref")) & c("found_ref").isNull(), "E", "Immunization", 0, thrown=True, repeat=0),
-        finding("V62", h.is_blank(c("mrn")), "E", "Patient", 0, thrown=True, repeat=0),
-        finding("V63", c("administered_date") < c("birth_date"), "E", "Immunization", 0, thrown=True, repeat=0)))
-    return (rows.select("msg_id", F.posexplode(found).alias("i", "f"))
-            .select("msg_id", F.lit(0).alias("stage"), F.lit(0).alias("order_no"), (F.col("i") + 1).alias("pos"),
-                    F.lit(0).alias("obx_no"), "f.*").select(*COLUMNS))
+    rows = rows.selectExpr("msg_id", found(
+        finding("V60", "coalesce(vr_link, '') = ''", "E", "Immunization", 0, thrown=True, repeat="0"),
+        finding("V61", "coalesce(patient_ref, '') <> '' and found_ref is null", "E", "Immunization", 0, thrown=True, repeat="0"),
+        finding("V62", "coalesce(mrn, '') = ''", "E", "Patient", 0, thrown=True, repeat="0"),
+        finding("V63", "administered_date < birth_date", "E", "Immunization", 0, thrown=True, repeat="0")) + " as found")
+    return cut(rows, "found").selectExpr("msg_id", "explode(found) as f").selectExpr("msg_id", "f.*")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import hl7text as h
 from ..operators import acceptance, hl7, rules
 from .catalog import query
 from .fixtures import Registry, with_ctes
@@ -14,7 +15,7 @@ AS_OF = "2002-01-01"
 def validation(spark, sf_dir) -> rules.Validation:
     r = Registry(spark, sf_dir)
     return rules.Validation(r.messages(), r.orgs(), r.codes(), r.relations(), r.valid_values(),
-                            F.lit(AS_OF).cast("date"), r.locations())
+                            f"date '{AS_OF}'", r.locations())
 
 
 def parsed(spark, sf_dir):
@@ -86,9 +87,8 @@ GUARDIAN_CTE = {"nk": """
       coalesce(g.nk_middle, '') as guardian_middle, coalesce(g.relationship, '') as guardian_relationship
     from fxm left join guardian g on fxm.msg_id = g.msg_id where has_pid and msg_type <> 'QBP'""", GUARDIAN_CTE))
 def extract_patients(spark, sf_dir):
-    from ..functions import hl7text as h
     rows = hl7.extract_patients(parsed(spark, sf_dir)).where("has_pid")
-    return rows.withColumn("phone_field", h.render_phone(F.col("phone"))).select(
+    return rows.selectExpr("*", f"{h.render_phone('phone')} as phone_field").select(
         "msg_id", "has_pd1", "mrn", "mrn_authority", "mrn_type", "name_last", "name_first", "name_middle", "mother_maiden",
         "birth_date", "sex", "race", "race2", "race3", "line1", "city", "state", "zip", "country", "county", "address_frag",
         "phone", "phone_field", "email", "ethnicity", "birth_flag", "birth_order", "death_date", "death_flag", "protection_date",
@@ -123,12 +123,11 @@ VACC_COLUMNS = """msg_id, cast(k as int) as order_no, has_rxa, vr_link,
 
 @query("extract_vaccinations", with_ctes("fxo", f"select {VACC_COLUMNS} from fxo where eff_type = 'VXU'"))
 def extract_vaccinations(spark, sf_dir):
-    from ..functions import hl7text as h
     rows = hl7.extract_vaccinations(parsed(spark, sf_dir))
-    return rows.select(
+    return rows.selectExpr(
         "msg_id", "order_no", "has_rxa", "vr_link", "vaccine_code", "ndc", "cpt", "cvx_sent", "administered_date",
-        h.parse_date(F.col("administered_text"), False).alias("administered_lenient"), "amount",
-        F.when(F.col("amount") != "999", F.col("amount")).alias("simple_amount"),
+        f"{h.parse_date('administered_text', 'false')} as administered_lenient", "amount",
+        "case when amount <> '999' then amount end as simple_amount",
         "info_source", "provider_link", "provider_last", "facility_code", "facility_city", "lot", "expiration_date", "mvx",
         "refusal_code", "completion_status", "action_code", "body_route", "body_site")
 
@@ -150,7 +149,7 @@ OBX_FROM = """from (select *, cast(row_number() over (partition by msg_id order
     select msg_id, cast(k as int) as order_no, obx_no, identifier_code, value_code, 'VLbl' as value_label, 'TBL' as value_table,
            'F' as result_status, {DATE('obs_text')} as observation_date, 'VXC40' as method_code {OBX_FROM}"""))
 def extract_observations(spark, sf_dir):
-    rows = hl7.orders(parsed(spark, sf_dir), only=F.col("msg_type").isin("VXU", "ORU"))
+    rows = hl7.orders(parsed(spark, sf_dir), only="msg_type in ('VXU', 'ORU')")
     return hl7.extract_observations(rows).select(
         "msg_id", "order_no", "obx_no", "identifier_code", "value_code", "value_label", "value_table", "result_status",
         "observation_date", "method_code")
@@ -264,7 +263,7 @@ def dq_patient(spark, sf_dir):
 
 @query("dq_guardian", with_ctes(HEAD, f"select {KEYS_SQL} from head where segment = 'NK1'", HEAD_CTES))
 def dq_guardian(spark, sf_dir):
-    return keyed(validation(spark, sf_dir).head_findings(), F.col("rule").isin(rules.GUARDIAN_RULES))
+    return keyed(validation(spark, sf_dir).head_findings(), F.col("segment") == "NK1")
 
 
 def order_rules() -> str:
@@ -354,12 +353,12 @@ FULL = "fxm fxo fxx fxn fx_org fx_location code code_rel valid_value"
 
 @query("dq_order", with_ctes(FULL, f"select {KEYS_SQL} from orders_f where rule not in ('V54', 'V55', 'V56', 'V57')", ORDER_CTES))
 def dq_order(spark, sf_dir):
-    return keyed(validation(spark, sf_dir).order_findings(), ~F.col("rule").isin(rules.OBSERVATION_RULES))
+    return keyed(validation(spark, sf_dir).findings(), "stage >= 2 and block < 2")
 
 
 @query("dq_observation", with_ctes(FULL, f"select {KEYS_SQL} from orders_f where rule in ('V54', 'V55', 'V56', 'V57')", ORDER_CTES))
 def dq_observation(spark, sf_dir):
-    return keyed(validation(spark, sf_dir).order_findings(), F.col("rule").isin(rules.OBSERVATION_RULES))
+    return keyed(validation(spark, sf_dir).findings(), "block = 2")
 
 
 QUERY_RULES = " union all ".join([
@@ -392,8 +391,7 @@ ALL_F = {**ORDER_CTES, "all_f": f"select msg_id, stage, rule, severity from head
     from fxm left join (select msg_id, count(*) filter (severity = 'E') as errors, count(*) filter (severity = 'W') as warnings
                         from all_f group by msg_id) f on fxm.msg_id = f.msg_id""", ALL_F))
 def ack_status(spark, sf_dir):
-    v = validation(spark, sf_dir)
-    return acceptance.ack_status(Registry(spark, sf_dir).messages(), v.findings())
+    return acceptance.ack_status(validation(spark, sf_dir).report)
 
 
 @query("accepted_prefix", with_ctes(FULL, """
@@ -406,7 +404,7 @@ def accepted_prefix(spark, sf_dir):
     select msg_id, org_id, mrn, name_last, birth_date from (select fxf.*, case when f_cantaloupe then {LENIENT('birth_text')} else {DATE('birth_text')} end as birth_date from fxf) fxf
     where eff_type in ('VXU', 'ORU') and msg_id not in (select msg_id from head where severity = 'E')""", HEAD_CTES))
 def accepted_patients(spark, sf_dir):
-    return validation(spark, sf_dir).head.where(~F.col("stopped")).select("msg_id", "org_id", "mrn", "name_last", "birth_date")
+    return validation(spark, sf_dir).head.where("not stopped").select("msg_id", "org_id", "mrn", "name_last", "birth_date")
 
 
 @query("vaccination_refusal_counts", with_ctes(FULL, """
@@ -414,15 +412,14 @@ def accepted_patients(spark, sf_dir):
            count(*) filter (accepted and live and completion_status = 'RE') as refusals
     from (select *, not bool_or(failed) over (partition by msg_id order by k) as accepted from dose_fail) t group by msg_id""", ORDER_CTES))
 def vaccination_refusal_counts(spark, sf_dir):
-    return acceptance.event_counts(validation(spark, sf_dir).doses)
+    return acceptance.event_counts(validation(spark, sf_dir).report)
 
 
 @query("dq_summary", with_ctes(FULL, """
     select org_id, rule, severity, count(*) as findings from all_f join (select msg_id, org_id from fxm) m on all_f.msg_id = m.msg_id
     group by org_id, rule, severity""", ALL_F))
 def dq_summary(spark, sf_dir):
-    v = validation(spark, sf_dir)
-    return acceptance.summary(Registry(spark, sf_dir).messages(), v.findings())
+    return acceptance.summary(validation(spark, sf_dir).findings())
 
 
 LOG_SQL = """select fxm.msg_id, fxm.org_id, received_date, case when eff_type in ('VXU', 'ORU') then 'Update' else 'Unknown' end as category_request,
@@ -433,6 +430,5 @@ LOG_SQL = """select fxm.msg_id, fxm.org_id, received_date, case when eff_type in
 @query("log_category_counts", with_ctes(FULL, f"""
     select category_request, category_response, count(*) as messages from ({LOG_SQL}) t group by 1, 2""", ALL_F))
 def log_category_counts(spark, sf_dir):
-    v = validation(spark, sf_dir)
-    rows = acceptance.update_categories(v.parsed, v.findings())
+    rows = acceptance.update_categories(validation(spark, sf_dir).report)
     return rows.groupBy("category_request", "category_response").agg(F.count("*").alias("messages"))
