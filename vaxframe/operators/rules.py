@@ -19,6 +19,7 @@ from ..functions import codes as C
 from ..functions import hl7text as h
 from ..functions.rule_texts import TEXTS
 from . import codemap, hl7
+from .acceptance import accepted_prefix
 
 FINDING = ["rule", "severity", "thrown", "segment", "seg_repeat", "field", "text"]
 KEY = ["stage", "order_no", "block", "obx_no", "pos"]
@@ -240,8 +241,9 @@ class Validation:
 
     @cached_property
     def observations(self) -> DataFrame:
-        """OBX rows of the orders that passed on their own (the prefix rule is not applied)."""
-        return hl7.extract_observations(self.orders).where("not failed")
+        """OBX rows of the committed orders, with their recognised code."""
+        committed = accepted_prefix(self.orders.where("order_no is not null")).where("accepted")
+        return attach_obx_code(hl7.extract_observations(committed), self.codes)
 
     @cached_property
     def report(self) -> DataFrame:
