@@ -144,6 +144,20 @@ QUERY = {
     "q_sex": pick("event_id % 3", "'F'", "'m'", "''"),
     "q_org": "cast(case when event_id % 5 = 0 then event_id % 25 else user_id % 25 end as int)",
     "rcp": "case when event_id % 13 = 0 then 'x' else cast(event_id % 25 as string) end",
+    "qpd_line": "concat('QPD|Z34^Request Immunization History^CDCPHINVS|', event_id, '|', "
+                "case when event_id % 5 = 0 then concat('MRN', user_id) else '' end, '^^^^MR')",
+}
+
+FORECAST = {  # k = 1..2 per customer
+    "patient_id": "c_custkey",
+    "forecast_no": "k",
+    "vaccine_cvx": pick("(c_custkey + k) % 5", "'03'", "'08'", "'10'", "'20'", "'62'"),
+    "label": pick("(c_custkey + k) % 5", "'MMR'", "'HepB'", "'Polio'", "'DTaP'", "'HPV'"),
+    "admin_status": pick("(c_custkey + k) % 4", "'D'", "'L'", "'O'", "'C'"),
+    "admin_label": pick("(c_custkey + k) % 4", "'due'", "'due later'", "'overdue'", "'complete'"),
+    "valid_date": "cast(date '2002-01-01' + cast((c_custkey + k) % 100 as int) as date)",
+    "due_date": "case when (c_custkey + k) % 4 = 3 then null else cast(date '2002-02-01' + cast((c_custkey + k) % 100 as int) as date) end",
+    "overdue_date": "cast(date '2002-06-01' + cast((c_custkey + k) % 100 as int) as date)",
 }
 
 LOCATION = {  # facilities FAC0..FAC39 are known to the orgs 0..24
@@ -391,6 +405,10 @@ class Registry:
     def queries(self) -> DataFrame:
         return self.project(self.table("events"), QUERY)
 
+    def forecasts(self) -> DataFrame:
+        twice = self.table("customer").selectExpr("c_custkey", "explode(sequence(1, 2)) as k")
+        return self.project(twice, FORECAST)
+
     def movements(self) -> DataFrame:
         return self.project(self.table("lineitem"), MOVEMENT)
 
@@ -449,6 +467,7 @@ CTES = {
     "fx_case": _select(CASE_ROW, "events"),
     "fx_session": _select(SESSION, "lineitem join supplier on l_suppkey = s_suppkey"),
     "fx_query": _select(QUERY, "events"),
+    "fx_forecast": _select(FORECAST, "(select c_custkey, unnest(generate_series(1, 2)) as k from customer) t"),
     "fx_movement": _select(MOVEMENT, "lineitem"),
     "fx_imagery": _select(IMAGERY, "part"),
     "fx_location": "select distinct " + ", ".join(f"{e} as {n}" for n, e in LOCATION.items()) + " from supplier",
