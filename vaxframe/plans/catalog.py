@@ -23,4 +23,4 @@ def query(name: str, oracle: str | None = None):
 
 
 def load() -> None:
-    from . import q_analytics, q_feeds, q_identity, q_messages, q_response, q_streams  # noqa: F401
+    from . import q_analytics, q_extracts, q_feeds, q_identity, q_messages, q_response, q_streams  # noqa: F401
