@@ -207,9 +207,11 @@ def tile_density(spark, sf_dir):
     return feeds.tile_density(Registry(spark, sf_dir).patients().select("lon", "lat"), [6, 9, 12])
 
 
-@query("viewbox_filter", with_ctes("fx_patient", "select patient_id, lon, lat from fx_patient where lon between -76.24 and -69.2 and lat between 17 and 21"))
+@query("viewbox_filter", with_ctes("fx_patient", """
+    select * from (select patient_id, lon * 1.04 as lon, lat * 1.1 as lat from fx_patient) t where lon between -76.24 and -69.2 and lat between 17 and 21"""))
 def viewbox_filter(spark, sf_dir):
-    return feeds.in_viewbox(Registry(spark, sf_dir).patients().select("patient_id", "lon", "lat"))
+    points = Registry(spark, sf_dir).patients().selectExpr("patient_id", "lon * 1.04D as lon", "lat * 1.1D as lat")
+    return feeds.in_viewbox(points)
 
 
 @query("imagery_rank", with_ctes("fx_imagery", """
