@@ -1 +1,102 @@
-"""Queries."""
+"""Streaming queries, run once over all available data."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import codes as C
+from ..operators import rules
+from ..streaming import streams
+from .catalog import query
+from .fixtures import OBSERVATION, Registry, message_table, with_ctes
+from .q_messages import ALL_F, AS_OF, FULL, HEAD, HEAD_CTES
+
+TS = "cast(ts as timestamp)"
+
+
+def events_stream(spark, sf_dir):
+    return streams.read_table(spark, sf_dir, "events.parquet").selectExpr(
+        "event_id", f"{TS} as ts", "user_id", "event_type", "value")
+
+
+def job(spark, sf_dir, out):
+    """A batch job over a micro-batch of messages."""
+    r = Registry(spark, sf_dir)
+
+    def run(messages):
+        v = rules.Validation(messages, r.orgs(), r.codes(), r.relations(), r.valid_values(), f"date '{AS_OF}'", r.locations())
+        return out(v)
+
+    return run
+
+
+def message_stream(spark, sf_dir):
+    return message_table(streams.read_table(spark, sf_dir, "orders.parquet"))
+
+
+@query("stream_ingest", with_ctes(FULL, "select rule, severity, count(*) as findings from all_f group by 1, 2", ALL_F))
+def stream_ingest(spark, sf_dir):
+    rows = streams.ingest(message_stream(spark, sf_dir), job(spark, sf_dir, lambda v: v.findings().select("msg_id", "org_id", "rule", "severity")))
+    return rows.groupBy("rule", "severity").agg(F.count("*").alias("findings"))
+
+
+@query("stream_dedup", "select distinct concat(user_id, '-', event_type, '-', day(ts)) as control_id from events")
+def stream_dedup(spark, sf_dir):
+    events = events_stream(spark, sf_dir).selectExpr("concat(user_id, '-', event_type, '-', day(ts)) as control_id", "ts")
+    return streams.run_to_files(streams.dedup(events, "control_id", "ts", "60 days"), "dedup").select("control_id")
+
+
+UPSERTED = ["name_last", "sex", "state", "protection_ind", "guardian_last", "reported_date", "updated_date"]
+
+
+@query("stream_upsert", with_ctes(HEAD, f"""
+    select org_id, mrn, arg_max(name_last, ord) as name_last, arg_max(sex, ord) as sex, arg_max(state, ord) as state,
+      case when bool_or(has_pd1) then 'N' end as protection_ind, arg_max(guardian_last, ord) filter (guardian_last is not null) as guardian_last,
+      min(received_date) as reported_date, max(received_date) as updated_date
+    from (select f.*, g.nk_last as guardian_last, (received_date, f.msg_id) as ord from fxf f
+      left join (select fxn.msg_id, nk_last from fxn join nk on fxn.msg_id = nk.msg_id and fxn.k = nk.pick) g on f.msg_id = g.msg_id
+      where eff_type in ('VXU', 'ORU') and f.msg_id not in (select msg_id from head where severity = 'E')) t group by 1, 2""", HEAD_CTES))
+def stream_upsert(spark, sf_dir):
+    accepted = job(spark, sf_dir, lambda v: v.head.where("not stopped"))
+    return streams.upsert_stream(message_stream(spark, sf_dir), accepted).select("org_id", "mrn", *UPSERTED)
+
+
+@query("stream_counts", """
+    select 'tumbling' as kind, event_type, date_trunc('day', ts)::date as start_day, 0 as start_hour, count(*) as n from events group by 1, 2, 3 union all
+    select 'sliding', event_type, s::date, cast(hour(s) as int), count(*) from (select event_type, time_bucket(interval 12 hours, ts, timestamp '2000-01-01 00:00:00') as s from events union all
+      select event_type, time_bucket(interval 12 hours, ts, timestamp '2000-01-01 00:00:00') - interval 12 hours from events) t group by 1, 2, 3, 4 union all
+    select 'session', user_id::varchar, min(ts)::date, cast(hour(min(ts)) as int), count(*) from (
+      select *, sum(fresh) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row) as sid from (
+        select *, case when ts < lag(ts) over (partition by user_id order by ts, event_id) + interval 12 hours then 0 else 1 end as fresh from events) a) b group by user_id, sid""")
+def stream_counts(spark, sf_dir):
+    def rows(agg, name, key):
+        return streams.totals(agg, name).selectExpr(f"'{name}' as kind", f"cast({key} as string) as event_type", "cast(w.start as date) as start_day",
+                                                    "hour(w.start) as start_hour", "n")
+    tumbling = rows(streams.counts(events_stream(spark, sf_dir), "ts", "1 day", None, "event_type"), "tumbling", "event_type")
+    sliding = rows(streams.counts(events_stream(spark, sf_dir), "ts", "1 day", "12 hours", "event_type"), "sliding", "event_type")
+    session = rows(streams.sessions(events_stream(spark, sf_dir), "ts", "12 hours", "user_id"), "session", "user_id")
+    return tumbling.unionByName(sliding).unionByName(session)
+
+
+RECEIVED = "ts + make_interval(0, 0, 0, cast(case when event_id % 10 = 3 then 2 else 0 end as int), cast(event_id % 5 as int), 0, 0)"
+
+
+@query("late_messages", """
+    select e.user_id, e.value, last_received, late from (select user_id, arg_max(value, (received, event_id)) as value, strftime(max(received), '%Y-%m-%d %H:%M') as last_received, count(*) filter (received > ts + interval 1 day) as late
+      from (select *, ts + to_days(case when event_id % 10 = 3 then 2 else 0 end) + to_hours(event_id % 5) as received from events) t group by 1) e""")
+def late_messages(spark, sf_dir):
+    events = events_stream(spark, sf_dir).selectExpr("*", f"{RECEIVED} as received")
+    on_time, late = streams.split_late(events, "ts", "received", "1 day")
+    known = streams.last_known(on_time.unionByName(late), "user_id", "received", "value")
+    n_late = late.groupBy("user_id").agg(F.count("*").alias("late"))
+    return known.join(n_late, "user_id", "left").selectExpr(
+        "user_id", "value", "date_format(last_received, 'yyyy-MM-dd HH:mm') as last_received", "coalesce(late, 0) as late")
+
+
+@query("stream_lookup", with_ctes("fx_observation loinc", """
+    select obs_id, identifier_code, label as identifier_label, coalesce(suppress, false) as suppress from fx_observation left join loinc on identifier_code = code"""))
+def stream_lookup(spark, sf_dir):
+    stream = Registry.project(streams.read_table(spark, sf_dir, "events.parquet"), OBSERVATION).select("obs_id", "identifier_code")
+    table = C.loinc_table(spark).selectExpr("code as identifier_code", "label as identifier_label", "suppress")
+    rows = streams.run_to_files(streams.lookup(stream, table, "identifier_code"), "lookup")
+    return rows.selectExpr("obs_id", "identifier_code", "identifier_label", "coalesce(suppress, false) as suppress")
