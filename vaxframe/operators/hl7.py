@@ -55,12 +55,17 @@ def route(parsed: DataFrame) -> DataFrame:
     return parsed.selectExpr("*", "case when msg_type in ('VXU', 'ORU', 'QBP') then msg_type else 'unsupported' end as route")
 
 
-def _identifier(reps: str, kinds: list[str]) -> dict[str, str]:
+def _first_ids(reps: str, kinds: list[str]) -> list[str]:
+    """First repeat of every id kind, as columns ``id_MR``, ``id_PT``, ..."""
+    return [f"get(filter({reps}, r -> get(r, 4) = '{t}'), 0) as id_{t}" for t in kinds]
+
+
+def _identifier(kinds: list[str]) -> dict[str, str]:
     """Id, authority and type of the first kind that carries an id."""
-    found = [(h.find_repeat(reps, 1, t, 5), h.find_repeat(reps, 4, t, 5), f"'{t}'") for t in kinds]
-    def first(i):
-        return "case " + " ".join(f"when {f[0]} <> '' then {f[i]}" for f in found) + " else '' end"
-    return {"mrn": first(0), "mrn_authority": first(1), "mrn_type": first(2)}
+    def first(value):
+        return "case " + " ".join(f"when id_{t}[0] <> '' then {value(t)}" for t in kinds) + " else '' end"
+    return {"mrn": first(lambda t: f"id_{t}[0]"), "mrn_authority": first(lambda t: h.blank(f"get(id_{t}, 3)")),
+            "mrn_type": first(lambda t: f"'{t}'")}
 
 
 def extract_patients(parsed: DataFrame, *carry: str) -> DataFrame:
@@ -78,10 +83,10 @@ def extract_patients(parsed: DataFrame, *carry: str) -> DataFrame:
         f"{h.split_fields(h.segment_line('message', 'PD1'))} as pd1",
         f"transform({h.segment_lines('message', 'NK1')}, s -> {h.split_fields('s')}) as nk1")
     base = base.selectExpr(
-        *keys, *HEADER, *carry, "pid", "pd1", f"{h.repeats('pid', 3)} as ids", f"{h.repeats('pid', 13)} as telecoms",
+        *keys, *HEADER, *carry, "pid", "pd1", f"{h.repeats('pid', 3)} as ids", f"{h.repeats('pid', 13)} as telecoms", f"split({h.raw_field('pid', 10)}, '~') as races",
         f"transform(nk1, f -> named_struct({relative})) as relatives")
     # The first recognised guardian wins; without one the last relative stays.
-    base = base.selectExpr("*", f"coalesce(get(filter(relatives, r -> r.relationship in {GUARDIANS}), 0), "
+    base = base.selectExpr("*", *_first_ids("ids", ID_TYPES), f"coalesce(get(filter(relatives, r -> r.relationship in {GUARDIANS}), 0), "
                                 "try_element_at(relatives, -1)) as guardian",
                            f"concat({h.field('pid', 13, 6)}, {h.field('pid', 13, 7)}) as phone_text",
                            f"{h.field('pid', 13, 2)} as phone_use", f"{h.field('pid', 7)} as birth_text",
@@ -92,12 +97,12 @@ def extract_patients(parsed: DataFrame, *carry: str) -> DataFrame:
         "phone_text", "phone_use", "birth_text", "death_text", "protection_text", "registry_text", "publicity_text",
         *_as({
             "has_pid": "pid is not null", "has_pd1": "pd1 is not null", "has_nk1": "guardian is not null",
-            **_identifier("ids", ID_TYPES),
+            **_identifier(ID_TYPES),
             "name_last": h.field("pid", 5, 1), "name_first": h.field("pid", 5, 2), "name_middle": h.field("pid", 5, 3),
             "mother_maiden": h.field("pid", 6),
             "birth_date": h.parse_date("birth_text", strict),
             "sex": h.field("pid", 8),
-            **{"race" if k == 1 else f"race{k}": h.repeat("pid", 10, 1, k) for k in range(1, 7)},
+            **{"race" if k == 1 else f"race{k}": h.blank(f"substring_index(get(races, {k - 1}), '^', 1)") for k in range(1, 7)},
             "line1": h.field("pid", 11, 1), "line2": h.field("pid", 11, 2), "city": h.field("pid", 11, 3),
             "state": h.field("pid", 11, 4), "zip": h.field("pid", 11, 5), "country": h.field("pid", 11, 6),
             "county": h.field("pid", 11, 9),
@@ -223,8 +228,9 @@ def extract_queries(parsed: DataFrame) -> DataFrame:
                         f"{h.split_fields(h.segment_line('message', 'RCP'))} as rcp_f")
             .selectExpr(*keys, "profile", "qpd_line", "rcp_f", f"{h.split_fields('qpd_line')} as qpd")
             .selectExpr(*keys, "profile", "qpd_line", "rcp_f", "qpd", f"{h.repeats('qpd', 3)} as ids",
-                        f"{h.field('qpd', 6)} as q_birth_text"))
-    ids = _identifier("ids", ID_TYPES[:2])
+                        f"{h.field('qpd', 6)} as q_birth_text")
+            .selectExpr("*", *_first_ids("ids", ID_TYPES[:2])))
+    ids = _identifier(ID_TYPES[:2])
     return rows.selectExpr(*keys, "profile", "qpd_line", "q_birth_text", *_as({
         "has_qpd": "qpd is not null", "query_tag": h.field("qpd", 2),
         "q_mrn": ids["mrn"], "q_authority": ids["mrn_authority"],

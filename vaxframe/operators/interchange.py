@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codes as C
+from ..sources.scratch import stage
 from . import codemap, identity, rules
 
 # Columns of a bundle entry, in output order; a resource fills the ones it has.
@@ -155,13 +156,16 @@ def fhir_ingest(events: DataFrame, known_patients: DataFrame, reports: DataFrame
     events are left out; the last event of a report wins; equal vaccinations of
     a patient share a master.
     """
-    bad = rules.fhir_findings(events, known_patients).select("msg_id").distinct()
-    good = events.join(bad, "msg_id", "left_anti")
+    good = rules.fhir_checked(events, known_patients).where("size(found) = 0")
     columns = ["cvx", "administered_date", "reported_date", "lot", "amount", "info_source", "refusal_code", "facility_code"]
-    latest = (good.groupBy("org_id", "mrn", "vr_link")
-              .agg(F.expr(f"max_by(struct({', '.join(columns)}), arrival) as r"), F.min("arrival").alias("first_arrival"))
-              .selectExpr("org_id", "mrn", "vr_link", "first_arrival", "r.*"))
-    shared = identity.dedup_vaccinations(latest, ("org_id", "mrn", "cvx", "administered_date", "info_source"), "lot", "first_arrival")
-    linked = identity.link_patients(good, reports, masters)
+    person = ["name_last", "name_first", "birth_date"]
+    # one pass over the events; the written table feeds both matchings
+    latest = stage(good.groupBy("org_id", "mrn", "vr_link")
+                   .agg(F.expr(f"max_by(struct({', '.join(columns)}), arrival) as r"), F.min("arrival").alias("first_arrival"),
+                        F.expr(f"min_by(struct({', '.join(person)}), arrival) as p"))
+                   .selectExpr("org_id", "mrn", "vr_link", "first_arrival", "r.*", "p"), "ingest")
+    shared = identity.dedup_vaccinations(latest.drop("p"), ("org_id", "mrn", "cvx", "administered_date", "info_source"), "lot", "first_arrival")
+    batch = latest.selectExpr("org_id", "mrn", "first_arrival as arrival", "p.*")
+    linked = identity.link_patients(batch, reports, masters)
     people = linked.selectExpr("org_id", "mrn", "coalesce(cast(master_id as string), concat('new ', new_master)) as patient_master", "confidence")
     return shared.withColumnRenamed("master_id", "vaccination_master").join(people, ["org_id", "mrn"])

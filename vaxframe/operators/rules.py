@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import codes as C
 from ..functions import hl7text as h
 from ..functions.rule_texts import TEXTS
+from ..sources.scratch import stage
 from . import codemap, hl7
 from .acceptance import accepted_prefix
 
@@ -234,6 +235,11 @@ class Validation:
         rows = rows.selectExpr("*", f"case when order_no is not null then {order_rules(self.as_of)} end as found")
         return cut(rows, "found").selectExpr("*", "coalesce(exists(found, x -> x.thrown), false) as failed")
 
+    def stage_orders(self) -> Validation:
+        """Writes the order rows once, for jobs that start several branches from them."""
+        self.orders = stage(self.orders, "orders")
+        return self
+
     @cached_property
     def doses(self) -> DataFrame:
         """Order rows of the vaccination updates."""
@@ -315,16 +321,21 @@ def query_findings(queries: DataFrame, matched: DataFrame | None = None) -> Data
         finding("V58", "is_match and profile not in ('Z34', 'Z44')", "E", "MSH", 21, "profile")) + ") as f").selectExpr("msg_id", "f.*")
 
 
-def fhir_findings(resources: DataFrame, known_patients: DataFrame) -> DataFrame:
-    """V60-V63 over ingest rows (msg_id, org_id, vr_link, patient_ref, mrn, administered_date, birth_date).
+def fhir_checked(resources: DataFrame, known_patients: DataFrame) -> DataFrame:
+    """Ingest rows (org_id, vr_link, patient_ref, mrn, administered_date, birth_date) with ``found`` (V60-V63).
 
     ``known_patients`` holds the reports (org_id, mrn) a reference may point to.
     """
     side = known_patients.selectExpr("org_id", "mrn as patient_ref", "true as found_ref").distinct()
     rows = resources.join(side, ["org_id", "patient_ref"], "left")
-    rows = rows.selectExpr("msg_id", found(
+    rows = rows.selectExpr(*resources.columns, found(
         finding("V60", "coalesce(vr_link, '') = ''", "E", "Immunization", 0, thrown=True, repeat="0"),
         finding("V61", "coalesce(patient_ref, '') <> '' and found_ref is null", "E", "Immunization", 0, thrown=True, repeat="0"),
         finding("V62", "coalesce(mrn, '') = ''", "E", "Patient", 0, thrown=True, repeat="0"),
         finding("V63", "administered_date < birth_date", "E", "Immunization", 0, thrown=True, repeat="0")) + " as found")
-    return cut(rows, "found").selectExpr("msg_id", "explode(found) as f").selectExpr("msg_id", "f.*")
+    return cut(rows, "found")
+
+
+def fhir_findings(resources: DataFrame, known_patients: DataFrame) -> DataFrame:
+    """V60-V63 as rows."""
+    return fhir_checked(resources, known_patients).selectExpr("msg_id", "explode(found) as f").selectExpr("msg_id", "f.*")

@@ -370,7 +370,8 @@ class Registry:
         self.sf_dir = sf_dir
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        rows = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return spread(rows) if name in ("events", "lineitem", "orders") else rows
 
     @staticmethod
     def project(df: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -430,7 +431,7 @@ class Registry:
         return self.project(self.table("part"), IMAGERY)
 
     def messages(self) -> DataFrame:
-        return message_table(spread(self.table("orders")))
+        return message_table(self.table("orders"))
 
 
 def spread(df: DataFrame) -> DataFrame:

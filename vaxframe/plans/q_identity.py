@@ -318,7 +318,7 @@ def upsert_patients(spark, sf_dir):
          from fxx group by 1, 2) e on d.msg_id = e.msg_id and d.k = e.k
       where accepted and live) t group by 1, 2, 3""", ORDER_CTES))
 def upsert_vaccinations(spark, sf_dir):
-    v = validation(spark, sf_dir)
+    v = validation(spark, sf_dir).stage_orders()
     batch = upsert.dose_batch(acceptance.accepted_prefix(v.doses), v.observations)
     keys = ["org_id", "mrn", "vr_link"]
     old = upsert.empty_registry(spark, batch, keys, upsert.DOSE_GROUPS)
