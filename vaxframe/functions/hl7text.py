@@ -18,33 +18,48 @@ def blank(value: str) -> str:
 
 
 # ------------------------------------------------------------------ segments
+# These work on normalised text: every segment starts with CR.  Plain string
+# search is used throughout; a regular expression would test every character.
+
+def normalised(message: str) -> str:
+    """CR, LF and CRLF all become CR, and the text starts with one."""
+    return f"concat('\\r', replace({message}, '\\n', '\\r'))"
+
+
+def _mark(name: str) -> str:
+    return f"'\\r{name}|'"
+
 
 def segment_line(text: str, name: str) -> str:
     """First ``name`` segment of a text; NULL when it is missing."""
-    return f"nullif(regexp_extract({text}, '(?:^|[\\r\\n])({name}[|][^\\r\\n]*)', 1), '')"
+    mark = _mark(name)
+    return (f"case when contains({text}, {mark}) then "
+            f"substring_index(substring({text}, locate({mark}, {text}) + 1), '\\r', 1) end")
 
 
 def segment_lines(text: str, name: str) -> str:
     """All ``name`` segments of a text, in order."""
-    return f"regexp_extract_all({text}, '(?:^|[\\r\\n])({name}[|][^\\r\\n]*)', 1)"
+    return f"filter(split({text}, '\\r'), s -> startswith(s, '{name}|'))"
 
 
 def segment_count(text: str, name: str) -> str:
-    return f"regexp_count({text}, '(?:^|[\\r\\n]){name}[|]')"
+    mark = _mark(name)
+    return f"cast((length({text}) - length(replace({text}, {mark}, ''))) / {len(name) + 2} as int)"
 
 
 def after_segment(text: str, name: str) -> str:
-    """Everything behind the first ``name`` segment."""
-    return f"regexp_extract({text}, '(?s)[\\r\\n]{name}[|][^\\r\\n]*(.*)', 1)"
+    """Everything behind the start of the first ``name`` segment; '' when it is missing."""
+    mark = _mark(name)
+    return f"case when contains({text}, {mark}) then substring({text}, locate({mark}, {text}) + {len(name) + 2}) else '' end"
 
 
 def split_fields(line: str) -> str:
-    return f"split({line}, '[|]')"
+    return f"split({line}, '\\\\|')"
 
 
 def order_chunks(text: str) -> str:
     """The header text, then one text per ORC group."""
-    return f"split(concat('\\r', {text}), '[\\r\\n]+(?=ORC[|])')"
+    return f"split(replace({text}, '\\rORC|', '\\u0001\\rORC|'), '\\u0001')"
 
 
 # -------------------------------------------------------------------- fields
@@ -56,7 +71,7 @@ def raw_field(fields: str, n: int, msh: bool = False) -> str:
 
 def component(value: str, n: int) -> str:
     first = f"substring_index({value}, '~', 1)"
-    return f"substring_index({first}, '^', 1)" if n == 1 else blank(f"get(split({first}, '[\\\\^]'), {n - 1})")
+    return f"substring_index({first}, '^', 1)" if n == 1 else blank(f"get(split({first}, '\\\\^'), {n - 1})")
 
 
 def field(fields: str, n: int, c: int = 1, msh: bool = False) -> str:
@@ -65,12 +80,12 @@ def field(fields: str, n: int, c: int = 1, msh: bool = False) -> str:
 
 def repeat(fields: str, n: int, c: int, k: int) -> str:
     """Component ``c`` of the ``k``-th repeat of field ``n``."""
-    return blank(f"get(split(get(split({raw_field(fields, n)}, '~'), {k - 1}), '[\\\\^]'), {c - 1})")
+    return blank(f"get(split(get(split({raw_field(fields, n)}, '~'), {k - 1}), '\\\\^'), {c - 1})")
 
 
 def repeats(fields: str, n: int) -> str:
     """Array of repeats, each an array of components."""
-    return f"transform(split({raw_field(fields, n)}, '~'), r -> split(r, '[\\\\^]'))"
+    return f"transform(split({raw_field(fields, n)}, '~'), r -> split(r, '\\\\^'))"
 
 
 def find_repeat(reps: str, ret: int, match: str, where: int) -> str:

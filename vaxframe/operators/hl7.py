@@ -27,7 +27,7 @@ def _as(columns: dict[str, str]) -> list[str]:
 
 def segments(messages: DataFrame) -> DataFrame:
     """(msg_id, pos, order_no, segment, line, fields); order_no 0 is the header."""
-    marked = (f"flatten(transform({h.order_chunks('message')}, (c, i) -> transform(filter(split(c, '[\\r\\n]+'), s -> s <> ''), "
+    marked = (f"flatten(transform({h.order_chunks(h.normalised('message'))}, (c, i) -> transform(filter(split(c, '\\r'), s -> s <> ''), "
               "s -> named_struct('order_no', i, 'line', s))))")
     return (messages.selectExpr("msg_id", f"posexplode_outer({marked}) as (p, s)")
             .where("p is not null")
@@ -36,9 +36,10 @@ def segments(messages: DataFrame) -> DataFrame:
 
 
 def parse(messages: DataFrame) -> DataFrame:
-    """One row per message: keys, MSH columns and the text."""
+    """One row per message: keys, MSH columns and the normalised text."""
     keys = _keys(messages)
-    return (messages.selectExpr(*keys, "message", f"{h.split_fields(h.segment_line('message', 'MSH'))} as msh",
+    return (messages.selectExpr(*keys, f"{h.normalised('message')} as message")
+            .selectExpr(*keys, "message", f"{h.split_fields(h.segment_line('message', 'MSH'))} as msh",
                                 f"{h.segment_count('message', 'MSH')} as n_msh")
             .selectExpr(*keys, "message", "n_msh", *_as({
                 "msg_type": h.field("msh", 9, msh=True),
@@ -132,8 +133,8 @@ def orders(parsed: DataFrame, *carry: str, only: str = "true") -> DataFrame:
     kept = [*_keys(parsed), "msg_type", *carry]
     rows = (parsed.selectExpr(*kept, f"case when {only} then {h.order_chunks('message')} end as parts")
             .selectExpr(*kept, "slice(parts, 2, size(parts)) as chunks")
-            .selectExpr(*kept, "chunks", "transform(chunks, c -> regexp_count(regexp_extract(c, "
-                        "'(?s)[\\r\\n](?:RXA|OBR)[|][^\\r\\n]*(.*)', 1), '[\\r\\n]OBX[|]')) as counts")
+            .selectExpr(*kept, "chunks", f"transform(chunks, c -> case when msg_type = 'ORU' then {h.segment_count(h.after_segment('c', 'OBR'), 'OBX')} "
+                        f"else {h.segment_count(h.after_segment('c', 'RXA'), 'OBX')} end) as counts")
             .selectExpr(*kept, "counts", "posexplode_outer(chunks) as (i, chunk)"))
     oru = "msg_type = 'ORU'"
     rows = rows.selectExpr(

@@ -23,7 +23,8 @@ from . import codemap, hl7
 from .acceptance import accepted_prefix
 
 FINDING = ["rule", "severity", "thrown", "segment", "seg_repeat", "field", "text"]
-KEY = ["stage", "order_no", "block", "obx_no", "pos"]
+NONE = ("cast(array() as array<struct<rule:string,severity:string,thrown:boolean,segment:string,seg_repeat:int,"
+        "field:int,text:string>>)")
 
 
 def has(flavor: str) -> str:
@@ -32,7 +33,7 @@ def has(flavor: str) -> str:
 
 def finding(rule: str, cond: str, severity: str, segment: str, field: int, *values: str,
             thrown: bool = False, repeat: str = "1", text: str | None = None) -> str:
-    """The finding struct when ``cond`` holds, else NULL."""
+    """A one-element list with the finding when ``cond`` holds, else an empty list."""
     level = f"'{severity}'" if severity in ("E", "W") else severity
     words, parts = TEXTS[text or rule].split("{}"), []
     for i, word in enumerate(words):
@@ -40,8 +41,8 @@ def finding(rule: str, cond: str, severity: str, segment: str, field: int, *valu
         if i < len(values):
             parts.append(h.blank(values[i]))
     wording = f"concat({', '.join(parts)})" if len(parts) > 1 else parts[0]
-    return (f"case when {cond} then named_struct('rule', '{rule}', 'severity', {level}, 'thrown', {str(thrown).lower()}, "
-            f"'segment', '{segment}', 'seg_repeat', cast({repeat} as int), 'field', {field}, 'text', {wording}) end")
+    return (f"case when {cond} then array(named_struct('rule', '{rule}', 'severity', {level}, 'thrown', {str(thrown).lower()}, "
+            f"'segment', '{segment}', 'seg_repeat', cast({repeat} as int), 'field', {field}, 'text', {wording})) else {NONE} end")
 
 
 def either(flavor: str, with_flavor: str, without: str) -> str:
@@ -49,7 +50,8 @@ def either(flavor: str, with_flavor: str, without: str) -> str:
 
 
 def found(*items: str) -> str:
-    return f"filter(array({', '.join(items)}), x -> x is not null)"
+    # concat of short lists is compiled; a filter over one array would interpret every condition
+    return f"concat({', '.join(items)})"
 
 
 def cut(df: DataFrame, column: str) -> DataFrame:
