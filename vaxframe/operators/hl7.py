@@ -25,6 +25,16 @@ def _as(columns: dict[str, str]) -> list[str]:
     return [f"{expr} as {name}" for name, expr in columns.items()]
 
 
+def keep(df: DataFrame, condition: str) -> DataFrame:
+    """Filter that stays above the parse.
+
+    A plain filter on parsed columns would be moved below the projections and
+    parse every text a second time; on the output of an explode it stays here.
+    """
+    return (df.selectExpr("*", f"explode_outer(case when {condition} then array(true) end) as __keep")
+            .where("__keep").drop("__keep"))
+
+
 def segments(messages: DataFrame) -> DataFrame:
     """(msg_id, pos, order_no, segment, line, fields); order_no 0 is the header."""
     marked = (f"flatten(transform({h.order_chunks(h.normalised('message'))}, (c, i) -> transform(filter(split(c, '\\r'), s -> s <> ''), "
@@ -224,7 +234,7 @@ def extract_observations(order_rows: DataFrame, keep_empty: bool = False) -> Dat
 def extract_queries(parsed: DataFrame) -> DataFrame:
     """QPD and RCP columns of the query messages; the birth date is read leniently."""
     keys = _keys(parsed)
-    rows = (parsed.where("msg_type = 'QBP'")
+    rows = (keep(parsed, "msg_type = 'QBP'")
             .selectExpr(*keys, "profile", f"{h.segment_line('message', 'QPD')} as qpd_line",
                         f"{h.split_fields(h.segment_line('message', 'RCP'))} as rcp_f")
             .selectExpr(*keys, "profile", "qpd_line", "rcp_f", f"{h.split_fields('qpd_line')} as qpd")

@@ -23,6 +23,7 @@ from . import codemap, hl7
 from .acceptance import accepted_prefix
 
 FINDING = ["rule", "severity", "thrown", "segment", "seg_repeat", "field", "text"]
+HEADER_RULES = "('V59', 'V64', 'V01', 'V02')"
 NONE = ("cast(array() as array<struct<rule:string,severity:string,thrown:boolean,segment:string,seg_repeat:int,"
         "field:int,text:string>>)")
 
@@ -219,6 +220,11 @@ class Validation:
                  "else header_found end as head").drop("header_found", "n_relatives")
         return cut(rows, "head").selectExpr("*", "not is_update or exists(head, x -> x.severity = 'E') as stopped")
 
+    @cached_property
+    def accepted(self) -> DataFrame:
+        """Patient rows of the messages that passed the patient stage."""
+        return hl7.keep(self.head, "not stopped")
+
     @cached_property
     def orders(self) -> DataFrame:
         """Order rows (VXU and ORU) with ``found`` and ``failed``; one empty row for a stopped message."""
@@ -245,7 +251,8 @@ class Validation:
     @cached_property
     def doses(self) -> DataFrame:
         """Order rows of the vaccination updates."""
-        return self.orders.where("order_no is not null and msg_type = 'VXU'")
+        # one condition on the exploded column, so no part of it moves below the parse
+        return self.orders.where("case when order_no is not null then msg_type = 'VXU' else false end")
 
     @cached_property
     def observations(self) -> DataFrame:
@@ -299,7 +306,8 @@ class Validation:
 
     def head_findings(self) -> DataFrame:
         """Header and patient findings as rows (no shuffle)."""
-        return self.head.selectExpr("msg_id", "head_stage as stage", "explode(head) as f").selectExpr("msg_id", "stage", "f.*")
+        rows = self.head.selectExpr("msg_id", "explode_outer(head) as f").where("f is not null")
+        return rows.selectExpr("msg_id", f"case when f.rule in {HEADER_RULES} then 0 else 1 end as stage", "f.*")
 
     def findings(self) -> DataFrame:
         """Every finding of the update and unsupported messages as rows."""

@@ -302,7 +302,7 @@ def upsert_patients(spark, sf_dir):
                                                                         for c, e in REG_PID.items()],
         *[f"{e} as {c}" for c, e in REG_OLD.items()], *[f"{PATIENT.get(c, chr(39) * 2)} as {c}" for c in upsert.NK1],
         f"{PATIENT['reported_date']} as reported_date", f"{PATIENT['reported_date']} as updated_date")
-    batch = validation(spark, sf_dir).head.where("not stopped")
+    batch = validation(spark, sf_dir).accepted
     return upsert.upsert_patients(old, batch).select("org_id", "mrn", *PICKED)
 
 

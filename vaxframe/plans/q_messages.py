@@ -87,7 +87,7 @@ GUARDIAN_CTE = {"nk": """
       coalesce(g.nk_middle, '') as guardian_middle, coalesce(g.relationship, '') as guardian_relationship
     from fxm left join guardian g on fxm.msg_id = g.msg_id where has_pid and msg_type <> 'QBP'""", GUARDIAN_CTE))
 def extract_patients(spark, sf_dir):
-    rows = hl7.extract_patients(parsed(spark, sf_dir)).where("has_pid")
+    rows = hl7.keep(hl7.extract_patients(parsed(spark, sf_dir)), "has_pid")
     return rows.selectExpr("*", f"{h.render_phone('phone')} as phone_field").select(
         "msg_id", "has_pd1", "mrn", "mrn_authority", "mrn_type", "name_last", "name_first", "name_middle", "mother_maiden",
         "birth_date", "sex", "race", "race2", "race3", "line1", "city", "state", "zip", "country", "county", "address_frag",
@@ -404,7 +404,7 @@ def accepted_prefix(spark, sf_dir):
     select msg_id, org_id, mrn, name_last, birth_date from (select fxf.*, case when f_cantaloupe then {LENIENT('birth_text')} else {DATE('birth_text')} end as birth_date from fxf) fxf
     where eff_type in ('VXU', 'ORU') and msg_id not in (select msg_id from head where severity = 'E')""", HEAD_CTES))
 def accepted_patients(spark, sf_dir):
-    return validation(spark, sf_dir).head.where("not stopped").select("msg_id", "org_id", "mrn", "name_last", "birth_date")
+    return validation(spark, sf_dir).accepted.select("msg_id", "org_id", "mrn", "name_last", "birth_date")
 
 
 @query("vaccination_refusal_counts", with_ctes(FULL, """

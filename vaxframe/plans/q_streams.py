@@ -57,7 +57,7 @@ UPSERTED = ["name_last", "sex", "state", "protection_ind", "guardian_last", "rep
       left join (select fxn.msg_id, nk_last from fxn join nk on fxn.msg_id = nk.msg_id and fxn.k = nk.pick) g on f.msg_id = g.msg_id
       where eff_type in ('VXU', 'ORU') and f.msg_id not in (select msg_id from head where severity = 'E')) t group by 1, 2""", HEAD_CTES))
 def stream_upsert(spark, sf_dir):
-    accepted = job(spark, sf_dir, lambda v: v.head.where("not stopped"))
+    accepted = job(spark, sf_dir, lambda v: v.accepted)
     return streams.upsert_stream(message_stream(spark, sf_dir), accepted).select("org_id", "mrn", *UPSERTED)
 
 
