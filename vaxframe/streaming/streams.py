@@ -23,20 +23,24 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
 
 
-def run_available(stream: DataFrame, name: str, batch: Callable[[DataFrame, int], None], mode: str = "append") -> None:
-    """Runs ``batch`` over all data there is now, then stops."""
+def run_available(stream: DataFrame, name: str, batch: Callable[[DataFrame, int], None], mode: str = "append",
+                  checkpoint: str | None = None) -> None:
+    """Runs ``batch`` over all data there is now, then stops.
+
+    With a fixed ``checkpoint`` folder the next run goes on where this one ended.
+    """
     spark = stream.sparkSession
     handle = (stream.writeStream.outputMode(mode).trigger(availableNow=True)
-              .option("checkpointLocation", new_path(spark, f"{name}-checkpoint")).foreachBatch(batch).start())
+              .option("checkpointLocation", checkpoint or new_path(spark, f"{name}-checkpoint")).foreachBatch(batch).start())
     handle.awaitTermination()
 
 
-def run_to_files(stream: DataFrame, name: str) -> DataFrame:
+def run_to_files(stream: DataFrame, name: str, path: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """Appends the stream to parquet files and reads them back."""
     spark = stream.sparkSession
-    path = new_path(spark, name)
+    path = path or new_path(spark, name)
     handle = (stream.writeStream.outputMode("append").trigger(availableNow=True).format("parquet")
-              .option("checkpointLocation", new_path(spark, f"{name}-checkpoint")).option("path", path).start())
+              .option("checkpointLocation", checkpoint or new_path(spark, f"{name}-checkpoint")).option("path", path).start())
     handle.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
 
