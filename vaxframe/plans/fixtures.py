@@ -414,12 +414,13 @@ class Registry:
         return self.project(self.table("lineitem"), MOVEMENT)
 
     def codes(self) -> DataFrame:
-        self.table("part").createOrReplaceTempView("part")
-        return self.spark.sql(PRODUCT_CODES).unionByName(C.seed_codes(self.spark))
+        return self._from_part(PRODUCT_CODES).unionByName(C.seed_codes(self.spark))
 
     def relations(self) -> DataFrame:
-        self.table("part").createOrReplaceTempView("part")
-        return self.spark.sql(PRODUCT_RELATIONS)
+        return self._from_part(PRODUCT_RELATIONS)
+
+    def _from_part(self, text: str) -> DataFrame:
+        return self.spark.sql(text.replace("from part ", "from {part} "), part=self.table("part"))
 
     def valid_values(self) -> DataFrame:
         return C.seed_valid_values(self.spark)

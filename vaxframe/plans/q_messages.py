@@ -425,10 +425,3 @@ def dq_summary(spark, sf_dir):
 LOG_SQL = """select fxm.msg_id, fxm.org_id, received_date, case when eff_type in ('VXU', 'ORU') then 'Update' else 'Unknown' end as category_request,
     case when eff_type not in ('VXU', 'ORU') then 'NAck' when exists (select 1 from all_f a where a.msg_id = fxm.msg_id and severity = 'E') then 'Exception' else 'Ack' end as category_response
     from fxm where eff_type <> 'QBP' and msg_id not in (select msg_id from all_f where stage = 0 and rule <> 'V02')"""
-
-
-@query("log_category_counts", with_ctes(FULL, f"""
-    select category_request, category_response, count(*) as messages from ({LOG_SQL}) t group by 1, 2""", ALL_F))
-def log_category_counts(spark, sf_dir):
-    rows = acceptance.update_categories(validation(spark, sf_dir).report)
-    return rows.groupBy("category_request", "category_response").agg(F.count("*").alias("messages"))
