@@ -47,6 +47,9 @@ def test_dedup_equals_one_by_one(spark):
     df = spark.createDataFrame(rows, "patient_id int, cvx string, administered_date date, info_source string, lot string, vr_id int")
     got = {r.vr_id: r.master_id for r in identity.dedup_vaccinations(df.repartition(4)).collect()}
     assert got == want
+    blank = df.selectExpr("case when vr_id % 2 = 0 then patient_id end as patient_id", "cvx", "administered_date", "info_source", "lot", "vr_id")
+    kept = {r.vr_id: r.master_id for r in identity.dedup_vaccinations(blank).collect()}
+    assert len(kept) == 60 and all(kept[n] == n for n in range(1, 60, 2))
 
 
 def test_possible_matches_against_all_pairs(spark):

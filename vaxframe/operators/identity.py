@@ -121,9 +121,9 @@ def link_patients(batch: DataFrame, reports: DataFrame, masters: DataFrame) -> D
     return rows.selectExpr(
         "org_id", "mrn", "name_last", "name_first", "birth_date", "arrival",
         "coalesce(known_master, exact_master, named_master) as master_id",
-        "case when unplaced then maker.arrival end as new_master",
+        "case when unplaced then coalesce(maker.arrival, arrival) end as new_master",
         "case when known_master is not null then null when exact_master is not null then 2 "
-        "when named_master is not null then 1 when maker.arrival = arrival then null "
+        "when named_master is not null then 1 when coalesce(maker.arrival, arrival) = arrival then null "
         "when maker.birth_date = birth_date then 2 else 1 end as confidence",
         "soundex(name_last) as soundex_last", "soundex(name_first) as soundex_first")
 
@@ -158,7 +158,9 @@ def dedup_vaccinations(reports: DataFrame, on: tuple[str, ...] = ("patient_id",
         *[f"{k} as __{k}" for k in keys], "__v as __side_v",
         "case when __v is null or __n0 < __f then __m0 else __f end as master_id")
     same = " and ".join([f"{k} <=> __{k}" for k in keys] + [f"{value} <=> __side_v"])
-    return reports.join(side, F.expr(same)).drop(*[f"__{k}" for k in keys], "__side_v")
+    # a report with a missing key matches nothing and is its own master
+    return (reports.join(side.withColumnRenamed("master_id", "__master"), F.expr(same), "left")
+            .selectExpr(*reports.columns, f"coalesce(__master, {order}) as master_id"))
 
 
 def get_or_create(existing: DataFrame, incoming: DataFrame, keys: list[str], order: str) -> DataFrame:
