@@ -27,8 +27,8 @@ SPACE_WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f
 ORACLES: dict[str, str] = {
     "op10_substring_dedup": f"""
 with w as (select doc_id, {SPACE_WORDS} as ws from documents),
-at as (select doc_id, ws, unnest(range(1, len(ws) - 33)) as i from w),
-win as (select doc_id, i, array_to_string(ws[i:i + 34], ' ') as s from at),
+place as (select doc_id, ws, unnest(range(1, len(ws) - 33)) as i from w),
+win as (select doc_id, i, array_to_string(ws[i:i + 34], ' ') as s from place),
 rep as (select s from win group by s having count(*) > 1),
 gone as (select distinct doc_id, unnest(range(i, i + 35)) as p from win join rep using (s)),
 word as (select doc_id, unnest(ws) as x, unnest(range(1, len(ws) + 1)) as p from w),
