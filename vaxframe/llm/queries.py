@@ -6,25 +6,45 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vaxframe.llm import substrings
+from vaxframe.llm import shingle_join, substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
 #: Words between ASCII white space, of a whole text (null: none).
-SPACE_WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), x -> x <> '')"
+SPACE_WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '')"
+
+#: A document's set of distinct 5-word shingles.
+SHINGLES = rf"""
+w as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') as ws from documents),
+sets as (select doc_id, case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')]
+  else list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) end as s from w),
+token as (select doc_id, unnest(s) as t from sets),
+common as (select a.doc_id as a, b.doc_id as b, count(*) as n from token a join token b using (t) where a.doc_id < b.doc_id group by all),
+link as (select a, b from common join sets x on x.doc_id = a join sets y on y.doc_id = b where 100 * n >= 80 * (len(x.s) + len(y.s) - n)),
+edge as (select a, b from link union all select b, a from link),
+reach(node, root) as (select doc_id, doc_id from sets union select b, root from reach join edge on a = node)"""
 
 ORACLES: dict[str, str] = {
+    "op5_ngram_jaccard_join": f"""
+with recursive {SHINGLES}
+select doc_id, cast(len(s) as bigint) as n_shingles, component_id
+from sets join (select node as doc_id, min(root) as component_id from reach group by node) using (doc_id)""",
     "op10_substring_dedup": f"""
 with w as (select doc_id, {SPACE_WORDS} as ws from documents),
 place as (select doc_id, ws, unnest(range(1, len(ws) - 33)) as i from w),
