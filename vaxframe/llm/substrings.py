@@ -20,7 +20,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vaxframe.llm import words as w
@@ -255,12 +255,17 @@ def _window_rows(min_words: int, anchor_words: int):
             lengths = np.diff(lists.offsets.to_numpy())
             wanted = w.mix(lists.flatten().to_numpy().view(np.uint64)) ^ np.repeat(w.mix(np.arange(len(lengths), dtype=np.uint64)), lengths)
             found = np.isin(w.mix(grams[at]) ^ w.mix(docs.astype(np.uint64)), wanted)
+            shown = batch.column("copied").to_numpy(zero_copy_only=False)[docs]
+            prints = w.gram_hashes(hashes, min_words)[starts]
+            if shown.any():
+                yield from _notes(np.unique(prints[shown]))
+            found &= ~shown
             if found.any():
-                held["h"].append(w.gram_hashes(hashes, min_words)[starts[found]])
+                held["h"].append(prints[found])
                 held["key"].append(batch.column("key").to_numpy()[docs[found]])
                 held["s"].append((starts - bounds[:-1][docs])[found])
                 size += int(found.sum())
-            if size > 4_000_000:
+            if size > 1_000_000:
                 yield from _resolve(held)
                 held, size = {"h": [], "key": [], "s": []}, 0
         if size:
@@ -269,14 +274,19 @@ def _window_rows(min_words: int, anchor_words: int):
     return run
 
 
+def _notes(prints: np.ndarray):
+    """Rows that tell the other tasks that these fingerprints repeat."""
+    none = pa.array(np.full(len(prints), -1), pa.int32())
+    table = pa.table({"h": prints.view(np.int64), "key": np.zeros(len(prints), np.int64), "lo": none, "hi": none, "n": np.full(len(prints), 2)})
+    yield from table.to_batches(max_chunksize=200_000)
+
+
 def _resolve(held):
     h, key, s = (np.concatenate(held[k]) for k in ("h", "key", "s"))
     distinct, inverse, counts = np.unique(h, return_inverse=True, return_counts=True)
     twice = counts[inverse] > 1
     rows = [(h[~twice].view(np.int64), key[~twice], s[~twice], s[~twice] + 1, np.ones((~twice).sum(), np.int64))]
-    notes = distinct[counts > 1].view(np.int64)
-    none = np.full(len(notes), -1)
-    rows.append((notes, notes * 0, none, none, counts[counts > 1].astype(np.int64)))
+    yield from _notes(distinct[counts > 1])
     k, p = key[twice], s[twice]
     if len(k):  # runs of consecutive places
         new = np.concatenate([[True], (k[1:] != k[:-1]) | (p[1:] != p[:-1] + 1)])
@@ -296,18 +306,24 @@ def repeated_starts(docs: DataFrame, min_words: int = MIN_WORDS, anchor_words: i
        shuffled) give their candidate windows' fingerprints.
     3. Fingerprints that occur twice are repeats. Each task has settled what it saw twice itself, so the rows
        of one fingerprint are at most as many as the tasks, however often a passage occurs.
+
+    A text that another row has too repeats throughout (hi -1: to its end); one row of each such group shows
+    its fingerprints to the other documents.
     """
     keyed = docs.select(row_key().alias("key"), "text")
     anchors = stage(keyed.mapInArrow(_anchor_rows(min_words, anchor_words), "anchor long, key long, n long"), "anchors")
     repeated = anchors.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
+    marks = keyed.select("key", F.xxhash64("text").alias("t"))
+    groups = marks.groupBy("t").agg(F.count("*").alias("n"), F.min("key").alias("first")).where("n > 1").drop("n")
+    copies = stage(marks.join(groups, "t").groupBy("key").agg(F.max(F.expr("key = first")).alias("copied")), "copies")
     wanted = stage(
-        maybe_in(anchors, "anchor", repeated).join(repeated, "anchor").groupBy("key").agg(F.collect_set("anchor").alias("anchors")), "wanted")
+        maybe_in(anchors, "anchor", repeated).join(repeated, "anchor").groupBy("key").agg(F.collect_set("anchor").alias("anchors"))
+        .join(copies, "key", "left").where("coalesce(copied, true)").withColumn("copied", F.expr("copied is not null")), "wanted")
     candidates = maybe_in(keyed, "key", wanted.select("key")).join(wanted, "key")
     windows = candidates.mapInArrow(_window_rows(min_words, anchor_words), "h long, key long, lo int, hi int, n long")
-    from pyspark.sql import Window
-
     total = F.sum("n").over(Window.partitionBy("h")).alias("total")
-    return windows.select("key", "lo", "hi", total).where("total > 1 and lo >= 0").groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    found = windows.select("key", "lo", "hi", total).where("total > 1 and lo >= 0").groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    return found.unionByName(copies.select("key", F.expr("array(named_struct('lo', 0, 'hi', -1))").alias("spans")))
 
 
 def _cut_rows(min_words: int):
@@ -319,7 +335,9 @@ def _cut_rows(min_words: int):
             for i in np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False)):
                 runs = spans[i].values
                 lo, hi = (runs.field(k).to_numpy().astype(np.int64) for k in ("lo", "hi"))
-                removed[bounds[i] : bounds[i + 1]] = covered(int(bounds[i + 1] - bounds[i]), lo, hi - 1 + min_words)
+                n = int(bounds[i + 1] - bounds[i])
+                hi = np.where(hi < 0, max(n - min_words + 1, 0), hi)
+                removed[bounds[i] : bounds[i + 1]] = covered(n, lo[lo < hi], hi[lo < hi] - 1 + min_words)
             yield _emit(batch.column("doc_id"), flat, bounds, removed)
 
     return run

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 4 << 20
 
 #: Byte tables. Every separator is one ASCII byte, so bytes above 0x7F are always part of a word.
 SPACES = bytes(32 if b in (9, 10, 11, 12, 13) else b for b in range(256))
