@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vaxframe.llm import host_reputation, outliers, secret_index, shingle_join, substrings
+from vaxframe.llm import decontaminate, host_reputation, outliers, reshard, secret_index, shingle_join, substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.similar_documents(table(spark, sf_dir, "documents"))
 
@@ -29,15 +33,21 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_reputation.judge(table(spark, sf_dir, "pages"))
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reshard.shards_digest(table(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_quality_rules": op6_quality_rules,
     "op7_secret_scans": op7_secret_scans,
     "op8_url_filters": op8_url_filters,
+    "op9_sharding": op9_sharding,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
@@ -55,7 +65,23 @@ link as (select a, b from common join sets x on x.doc_id = a join sets y on y.do
 edge as (select a, b from link union all select b, a from link),
 reach(node, root) as (select doc_id, doc_id from sets union select b, root from reach join edge on a = node)"""
 
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ALNUM_WORDS = rf"list_filter(string_split_regex({LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+
 ORACLES: dict[str, str] = {
+    "op3_benchmark_decontamination": f"""
+with d as (select doc_id, {ALNUM_WORDS} as ws from documents),
+b as (select item_id, {ALNUM_WORDS} as ws from benchmark),
+size as (select distinct least(10, len(ws)) as k from b where len(ws) > 0),
+bw as (select distinct item_id, least(10, len(ws)) as k, array_to_string(ws[i:i + least(10, len(ws)) - 1], ' ') as s
+  from b, unnest(range(1, greatest(len(ws) - 8, 2))) u(i) where len(ws) > 0),
+dw as (select doc_id, k, i, array_to_string(ws[i:i + k - 1], ' ') as s from d, size, unnest(range(1, len(ws) - k + 2)) u(i)),
+found as (select doc_id, k, i, item_id from dw join bw using (k, s)),
+hit as (select doc_id, count(distinct p) as n from (select doc_id, unnest(range(i, i + k)) as p from found) group by doc_id),
+item as (select doc_id, count(*) as n, string_agg(x, ',' order by x) as t from (select distinct doc_id, cast(item_id as varchar) as x from found) group by doc_id)
+select d.doc_id, cast(len(ws) as bigint) as n_words, coalesce(hit.n, 0) as n_hit, coalesce(item.n, 0) as n_items,
+  sha256(coalesce(t, '')) as items_sha256, hit.n is not null as contaminated
+from d left join hit using (doc_id) left join item using (doc_id)""",
     "op5_ngram_jaccard_join": f"""
 with recursive {SHINGLES}
 select doc_id, cast(len(s) as bigint) as n_shingles, component_id
