@@ -1,15 +1,73 @@
-"""The corpus pipeline: each stage takes (spark, docs, sf_dir) and its result is written and read by the next."""
+"""The corpus pipeline: each stage takes (spark, docs, sf_dir) and its result is written and read by the next.
+
+quality rules -> n-gram Jaccard join -> benchmark decontamination -> personal data -> pieces. The first four
+return the columns of documents: rejected documents go, of each group of near copies the one with the
+smallest doc_id stays, documents with a benchmark passage go, personal data are masked.
+The last returns the pieces of what is left.
+
+Rows without a doc_id are never merged with others. Repeated rows are near copies of each other.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vaxframe.llm import decontaminate, outliers, personal_data, pieces, shingle_join
+from vaxframe.llm.keys import row_key
+from vaxframe.sources.scratch import stage
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the fixed limits and the outlier estimate keep."""
+    kept = outliers.judge(docs).where("kept").select("key").distinct()
+    return docs.withColumn("_key", row_key()).join(kept.withColumnRenamed("key", "_key"), "_key", "left_semi").drop("_key")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest doc_id."""
+    gone = shingle_join.similar_documents(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    repeated = stage(kept.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1"), "repeated")
+    if repeated.isEmpty():
+        return kept
+    rest = kept.join(repeated, "doc_id", "left_anti").select(docs.columns)
+    return rest.unionByName(kept.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of a benchmark item."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    keyed = docs.withColumn("_key", row_key())
+    found = decontaminate.contamination(keyed.selectExpr("_key as doc_id", "text"), benchmark)
+    gone = found.where("size(hits) > 0").selectExpr("doc_id as _key").distinct()
+    return keyed.join(gone, "_key", "left_anti").select(docs.columns)
+
+
+def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data masked."""
+    return personal_data.mask(docs)
+
+
+def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of every document, decoded again as a check."""
+    return pieces.encode_documents(docs, keep_ids=True)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("PII", personal),
+    ("SentencePiece encoding and decoding", to_pieces),
+]
 
-#: The last stage's pieces and the outlier estimates have no SQL form; tests hold the run against step-by-step versions.
+#: The outlier estimates and the pieces have no SQL form; tests hold the run against step-by-step versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir: str):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, function in STAGES[:-1]:
+        docs = stage(function(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
