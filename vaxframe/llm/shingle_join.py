@@ -6,7 +6,7 @@ the least estimated cost: a longer prefix means more postings to read but fewer
 documents are compared when they share at least the smaller of their two l.
 
 Documents with equal sets are one class, so copies are never paired. Within a posting list, everything is
-first held against one leader; what links to it is in one component and need not be compared among itself.
+first held against two leaders; what links to one is in one component and need not be compared among itself.
 Only members of different components are then paired, behind the multi-match rule.
 
 Defined results: null and empty texts (and texts of white space) have an empty set and link with nothing;
@@ -20,16 +20,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vaxframe.llm import blocks
 from vaxframe.llm import words as w
 from vaxframe.llm.components import components
-from vaxframe.llm.keys import maybe_in
+from vaxframe.llm.keys import maybe_in, row_key
 from vaxframe.sources.scratch import stage
 
 SHINGLE_WORDS = 5
 SIMILARITY = 80
 MAX_MATCHES = 4
-#: Buckets of the frequency sketch: its size is fixed, whatever the corpus. Any sketch gives the same links.
-SKETCH_BITS = 18
+#: Buckets of the frequency sketch (1 MB of levels, broadcast), whatever the corpus. Any sketch gives the same
+#: links; one with few shingles a bucket tells common from rare ones better and so leaves fewer pairs to verify.
+SKETCH_BITS = 20
+SKETCH_BLOCK = 1 << 14
 #: Cost of verifying a pair, in postings read.
 VERIFY_COST = 20.0
 
@@ -63,38 +66,39 @@ def set_keys(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def _profile_rows(batches):
     """A row per document, and at the end of the task its share of the frequency sketch."""
-    sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+    sketch = np.zeros(1 << SKETCH_BITS, np.int32)
     for batch in w.chunks(batches):
         values, bounds = shingle_sets(batch.column("text"))
         sizes = np.diff(bounds)
-        sketch += np.bincount((w.mix(values) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
-        none = pa.nulls(len(sizes), pa.int64())
+        sketch += np.bincount((w.mix(values) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch)).astype(np.int32)
+        none, blank = pa.nulls(len(sizes), pa.int64()), pa.nulls(len(sizes), pa.binary())
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(set_keys(values, bounds), mask=sizes == 0), none, none],
-            names=["doc_id", "n_shingles", "key", "bucket", "n"])
-    used = np.flatnonzero(sketch)
-    none = pa.nulls(len(used), pa.int64())
-    yield pa.RecordBatch.from_arrays([none, none, none, pa.array(used, pa.int64()), pa.array(sketch[used])], names=["doc_id", "n_shingles", "key", "bucket", "n"])
+            [batch.column("doc_id"), batch.column("row"), pa.array(sizes, pa.int64()), pa.array(set_keys(values, bounds), mask=sizes == 0), none, blank],
+            names=["doc_id", "row", "n_shingles", "key", "block", "counts"])
+    parts = blocks.to_rows(sketch, SKETCH_BLOCK)
+    none = pa.nulls(len(parts), pa.int64())
+    for column in ("key", "n_shingles", "row", "doc_id"):
+        parts = parts.add_column(0, column, none)
+    yield from parts.to_batches(max_chunksize=64)
 
 
 def _prefix_rows(sketch):
-    """Postings (token, key, info): the document's adaptive prefix; info holds the set size and its l."""
+    """Postings of each class's adaptive prefix: token, key, set size n, the token's place, and the prefix's l."""
 
     def run(batches):
-        counts, seen = sketch.value, set()
-        usual = np.median(counts)
+        levels, seen = sketch.value, set()
+        usual = 1.5 * 2 ** (np.median(levels) / 4)
         for batch in w.chunks(batches):
             values, bounds = shingle_sets(batch.column("text"))
             keys = set_keys(values, bounds)
             sizes = np.diff(bounds)
             fresh = np.array([n > 0 and k not in seen and not seen.add(k) for k, n in zip(keys.tolist(), sizes.tolist(), strict=True)], bool)
             spread = w.mix(values)
-            count = counts[(spread >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-            level = np.floor(4 * np.log2(np.maximum(count, 1))).astype(np.int64)
+            level = levels[(spread >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
             owner = np.repeat(np.arange(len(sizes)), sizes)
             order = np.lexsort((spread, level, owner))
-            values, count = values[order], count[order]
-            others = np.concatenate([[0.0], np.cumsum(np.maximum(count - 1.5 * usual, 0))])
+            values, count = values[order], 2 ** (level[order].astype(float) / 4)
+            others = np.concatenate([[0.0], np.cumsum(np.maximum(count - usual, 0))])
             first = bounds[:-1]
             need = -(-SIMILARITY * sizes // 100)
             best, length = np.full(len(sizes), np.inf), np.zeros(len(sizes), np.int64)
@@ -109,7 +113,8 @@ def _prefix_rows(sketch):
             rows = w.ragged(first, length)
             yield from pa.table({
                 "token": values[rows].view(np.int64), "key": np.repeat(keys, length),
-                "info": np.repeat(sizes * 8 + match, length)}).to_batches(max_chunksize=200_000)
+                "n": pa.array(np.repeat(sizes, length), pa.int32()), "place": pa.array(rows - np.repeat(first, length), pa.int32()),
+                "l": pa.array(np.repeat(match, length), pa.int32())}).to_batches(max_chunksize=200_000)
 
     return run
 
@@ -141,52 +146,75 @@ def _verified(batches):
         yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity."""
+def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets reach the similarity. Only documents that stand for a class in some pair are read as sets."""
+    keys = pairs.selectExpr("explode(array(a, b)) as key").distinct()
+    rows = stage(classes.groupBy("key").agg(F.min("row").alias("row")).join(keys, "key", "left_semi").select("row"), "rows")
+    texts = maybe_in(docs, "row", rows).join(rows, "row", "left_semi")
+    sets = stage(texts.mapInArrow(_set_rows, "key long, shingles binary"), "sets")
     left = sets.selectExpr("key as a", "shingles as left")
     right = sets.selectExpr("key as b", "shingles as right")
-    return pairs.join(left, "a").join(right, "b").mapInArrow(_verified, "a long, b long")
+    return stage(pairs.join(left, "a").join(right, "b").mapInArrow(_verified, "a long, b long").distinct(), "links")
 
 
+#: Shared shingles that sets of sizes {0} and {1} need: 100 * both >= SIMILARITY * (x + y - both).
+NEED = f"(({SIMILARITY} * ({{0}} + {{1}}) + {99 + SIMILARITY}) div {100 + SIMILARITY})"
 #: Sizes allow the similarity.
 SIZES_FIT = f"100 * least({{0}}, {{1}}) >= {SIMILARITY} * greatest({{0}}, {{1}})"
+#: A shared token at these places can be among the first l shared ones of a similar pair.
+PLACES_FIT = f"least({{0}}.n - {{0}}.place, {{1}}.n - {{1}}.place) + least({{0}}.l, {{1}}.l) - 1 >= {NEED}".replace("{0} +", "{0}.n +").replace("+ {1})", "+ {1}.n)")
+
+
+def posting_lists(postings: DataFrame) -> DataFrame:
+    """Postings of tokens that several classes hold, without those whose place rules out every partner in the list.
+
+    A token at some place of a set of n shingles, among the first l that it shares with a partner of m, leaves
+    at most n - place + l - 1 in common, which bounds m from above; the smallest set of the list must be within.
+    A list's leader is the class with the fewest rarer shingles before the token: the one with the fewest edits.
+    """
+    postings = postings.withColumn("most", F.expr(f"(({100 + SIMILARITY} * (n - place + l - 1)) div {SIMILARITY}) - n"))
+    several = postings.groupBy("token").agg(F.min("key").alias("first"), F.max("key").alias("other")).where("first < other").select("token")
+    lists = stage(maybe_in(postings, "token", several).join(several, "token").distinct(), "lists")
+    for _ in range(2):  # the second time without what the first has ruled out
+        shared = lists.groupBy("token").agg(
+            F.min_by("key", "place").alias("leader"), F.min("key").alias("first"), F.max("key").alias("other"), F.min("n").alias("low")
+        ).where("first < other").drop("first")
+        lists = stage(lists.drop("leader", "other").join(shared, "token").where("most >= low").drop("low"), "lists")
+    return lists.drop("most")
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id): the smallest doc_id that links reach."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
-    profile = stage(docs.mapInArrow(_profile_rows, "doc_id long, n_shingles long, key long, bucket long, n long"), "profile")
-    classes = profile.where("bucket is null").select("doc_id", "n_shingles", "key")
-
-    counts = np.zeros(1 << SKETCH_BITS, np.int64)
-    for bucket, n in profile.where("bucket is not null").groupBy("bucket").agg(F.sum("n")).collect():  # at most 2**SKETCH_BITS rows
-        counts[bucket] = n
-    sketch = spark.sparkContext.broadcast(counts)
-
-    postings = stage(docs.mapInArrow(_prefix_rows(sketch), "token long, key long, info long"), "postings")
-    shared = postings.groupBy("token").agg(F.min("key").alias("leader"), F.max("key").alias("other")).where("leader < other").drop("other")
-    lists = stage(maybe_in(postings, "token", shared).join(shared, "token").distinct(), "lists")
-    infos = lists.groupBy("key").agg(F.first("info").alias("info"))
-    sets = stage(maybe_in(docs.mapInArrow(_set_rows, "key long, shingles binary"), "key", infos).join(infos.select("key"), "key", "left_semi").dropDuplicates(["key"]), "sets")
-
-    # 1. Everything against the leader of its posting lists.
-    led = lists.where("key <> leader").select("leader", "key", "info").distinct().join(infos.selectExpr("key as leader", "info as leader_info"), "leader")
-    stars = stage(led.where(SIZES_FIT.format("(info div 8)", "(leader_info div 8)")).selectExpr("leader as a", "key as b"), "stars")
-    links = stage(verify(stars, sets), "links")
+    docs = docs.select("doc_id", row_key().alias("row"), "text")
+    profile = stage(docs.mapInArrow(_profile_rows, "doc_id long, row long, n_shingles long, key long, block long, counts binary"), "profile")
+    classes = profile.where("block is null").select("doc_id", "row", "n_shingles", "key")
+
+    counts = np.maximum(blocks.total(profile.where("block is not null"), 1 << SKETCH_BITS), 1)
+    sketch = spark.sparkContext.broadcast(np.floor(4 * np.log2(counts)).astype(np.uint8))
+    postings = stage(docs.mapInArrow(_prefix_rows(sketch), "token long, key long, n int, place int, l int"), "postings")
+    lists = posting_lists(postings)
+
+    # 1. Everything against the two leaders of its posting lists.
+    sizes = lists.groupBy("key").agg(F.first("n").alias("n"))
+    led = lists.selectExpr("explode(array(leader, other)) as leader", "key", "n").where("key <> leader").distinct().join(sizes.selectExpr("key as leader", "n as leader_n"), "leader")
+    stars = stage(led.where(SIZES_FIT.format("n", "leader_n")).selectExpr("least(leader, key) as a", "greatest(leader, key) as b").distinct(), "stars")
+    links = verify(stars, docs, classes)
     roots = components(links)
 
-    # 2. Members of different components, behind the multi-match rule.
-    placed = lists.select("token", "key", "info").join(roots.selectExpr("node as key", "root"), "key", "left").withColumn("root", F.expr("coalesce(root, key)"))
+    # 2. Members of different components, behind the multi-match rule and the places of what they share.
+    placed = lists.join(roots.selectExpr("node as key", "root"), "key", "left").withColumn("root", F.expr("coalesce(root, key)")).drop("leader", "other")
     split = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
     rest = stage(placed.join(split, "token"), "rest")
-    x, y = (rest.selectExpr("token", f"key as {k}", f"root as root_{k}", f"info as info_{k}") for k in "ab")
     pairs = (
-        x.join(y, "token").where("a < b and root_a <> root_b").where(SIZES_FIT.format("(info_a div 8)", "(info_b div 8)"))
-        .groupBy("a", "b").agg(F.count("*").alias("n"), F.first(F.expr("least(info_a % 8, info_b % 8)")).alias("need")).where("n >= need")
+        rest.alias("x").join(rest.alias("y"), "token").where("x.key < y.key and x.root <> y.root")
+        .where(SIZES_FIT.format("x.n", "y.n")).where(PLACES_FIT.format("x", "y"))
+        .selectExpr("x.key as a", "y.key as b", "x.n as n_a", "y.n as n_b", "least(x.l, y.l) as l", "x.n - x.place as left_a", "y.n - y.place as left_b")
+        .groupBy("a", "b", "n_a", "n_b", "l").agg(F.count("*").alias("both"), F.min("left_a").alias("left_a"), F.min("left_b").alias("left_b"))
+        .where("both >= l").where(f"both + least(left_a, left_b) - 1 >= {NEED.format('n_a', 'n_b')}")
         .select("a", "b").join(stars, ["a", "b"], "left_anti")
     )
-    more = stage(verify(pairs, sets), "links")
+    more = verify(stage(pairs, "pairs"), docs, classes)
     roots = components(links.unionByName(more))
 
     rooted = classes.join(roots.selectExpr("node as key", "root"), "key", "left").withColumn("root", F.expr("coalesce(root, key)"))
