@@ -23,10 +23,14 @@ def first_by(df: DataFrame, keys: list[str], order: str, columns: list[str], out
 
 
 def match_by_mrn(queries: DataFrame, patients: DataFrame) -> DataFrame:
-    """Adds ``mrn_hit``: the lowest patient with the query's (org, mrn)."""
-    side = first_by(patients.withColumnsRenamed({"org_id": "q_org", "mrn": "q_mrn"}), ["q_org", "q_mrn"],
+    """Adds ``mrn_hit``: the lowest patient with the query's (org, mrn); a blank id matches nobody.
+
+    Blank ids get keys of their own, so that they neither match nor meet in one task.
+    """
+    side = first_by(patients.where("mrn <> ''").withColumnsRenamed({"org_id": "q_org", "mrn": "__mrn"}), ["q_org", "__mrn"],
                     "patient_id", PATIENT_COLUMNS, "mrn_hit")
-    return queries.join(side, ["q_org", "q_mrn"], "left")
+    key = "case when coalesce(q_mrn, '') = '' then concat(char(0), xxhash64(query_id)) else q_mrn end"
+    return queries.withColumn("__mrn", F.expr(key)).join(side, ["q_org", "__mrn"], "left").drop("__mrn")
 
 
 def match_by_demographics(queries: DataFrame, patients: DataFrame) -> DataFrame:

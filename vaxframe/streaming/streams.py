@@ -19,8 +19,12 @@ from ..sources.scratch import new_path
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A parquet table (file or folder of files) as a stream, with the schema of its files."""
-    schema = spark.read.parquet(f"{folder}/{name}").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+    table = f"{folder}/{name}"
+    stream = spark.readStream.schema(spark.read.parquet(table).schema)
+    path = spark._jvm.org.apache.hadoop.fs.Path(table)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return stream.parquet(table)
+    return stream.option("pathGlobFilter", name).parquet(folder)  # a stream needs a folder; the filter leaves the one file
 
 
 def run_available(stream: DataFrame, name: str, batch: Callable[[DataFrame, int], None], mode: str = "append",
