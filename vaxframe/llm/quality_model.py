@@ -16,6 +16,7 @@ values for one document count by their larger value, null quality is no label; w
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ SAMPLE_ROWS = 20_000
 THRESHOLD = 0.3
 SEED = 20_240_229
 HIDDEN, EPOCHS, BATCH, RATE = 32, 40, 256, 0.003
-POOL_BYTES = 1 << 20
+POOL_BYTES, POOL_TOKENS = 1 << 20, 1 << 16
 
 LETTERS = re.compile(r"[^\W_]+")
 MARKS = re.compile(r"[\W_]+")
@@ -49,10 +50,12 @@ def _bucket(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) % BUCKETS
 
 
+@lru_cache(maxsize=1 << 16)
 def _tokens_of(word: str) -> list[int]:
-    letters = "".join(LETTERS.findall(word))
+    plain = word.isalnum()
+    letters = word if plain else "".join(LETTERS.findall(word))
     out = [_bucket(letters.lower())] if letters else []
-    marks = "".join(MARKS.findall(word))
+    marks = "" if plain else "".join(MARKS.findall(word))
     if marks:
         out.append(_bucket("\x00marks" + marks[:8]))
     if len(letters) > 1 and letters == letters.upper() and letters != letters.lower():
@@ -109,13 +112,15 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 def pool(vectors: np.ndarray, texts: pa.Array) -> np.ndarray:
     """Mean and spread of the token vectors of each document."""
     found, bounds = tokens(texts)
+    sums, squares = np.zeros((len(bounds) - 1, DIMS)), np.zeros((len(bounds) - 1, DIMS))
+    for doc, begin in enumerate(bounds[:-1]):
+        for at in range(begin, bounds[doc + 1], POOL_TOKENS):
+            part = vectors[found[at : min(at + POOL_TOKENS, bounds[doc + 1])]].astype(np.float64)
+            sums[doc] += part.sum(0)
+            squares[doc] += np.einsum("ij,ij->j", part, part)
     n = np.maximum(np.diff(bounds), 1)[:, None]
-    at = vectors[found].astype(np.float64)
-    sums = np.concatenate([np.zeros((1, DIMS)), np.cumsum(at, axis=0)])
-    mean = (sums[bounds[1:]] - sums[bounds[:-1]]) / n
-    squares = np.concatenate([np.zeros((1, DIMS)), np.cumsum(at * at, axis=0)])
-    spread = np.sqrt(np.maximum((squares[bounds[1:]] - squares[bounds[:-1]]) / n - mean * mean, 0))
-    return np.concatenate([mean, spread], axis=1)
+    mean = sums / n
+    return np.concatenate([mean, np.sqrt(np.maximum(squares / n - mean * mean, 0))], axis=1)
 
 
 class Network:
