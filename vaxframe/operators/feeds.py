@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stage
+
 # ------------------------------------------------------------------ calendar
 
 
@@ -106,12 +108,19 @@ def imagery_catalogue(layers: DataFrame) -> DataFrame:
         "try_cast(nullif(regexp_extract(resolution_text, '^[0-9]+([.][0-9]+)?', 0), '') as double) as metres")
 
 
-def imagery_rank(layers: DataFrame, k: int) -> DataFrame:
-    """The ``k`` newest, then finest layers with their rank (the ranking window sees only these)."""
-    order = "shot_date desc nulls last, metres asc nulls last, name"
-    top = imagery_catalogue(layers).orderBy(
-        F.col("shot_date").desc_nulls_last(), F.col("metres").asc_nulls_last(), F.col("name")).limit(k)
-    return top.selectExpr("*", f"row_number() over (order by {order}) as rank")
+def imagery_rank(layers: DataFrame) -> DataFrame:
+    """All layers with their rank, newest first, then finest.
+
+    The layers are dealt out by ranges of the order; a rank is the place in the part
+    plus the rows of the parts before it, so no task sees more than its part.
+    """
+    dealt = imagery_catalogue(layers).repartitionByRange(
+        F.col("shot_date").desc_nulls_last(), F.col("metres").asc_nulls_last(), F.col("name"))
+    rows = stage(dealt.withColumn("part", F.spark_partition_id()), "dealt")
+    before = rows.groupBy("part").agg(F.count("*").alias("n")).selectExpr("part", "sum(n) over (order by part) - n as before")
+    place = "row_number() over (partition by part order by shot_date desc nulls last, metres asc nulls last, name)"
+    return (rows.selectExpr("*", f"{place} as place").join(before, "part")
+            .selectExpr(*[c for c in rows.columns if c != "part"], "before + place as rank"))
 
 
 # Hosts a map client may load from.

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stage
+
 PATIENT_COLUMNS = ["patient_id", "name_last", "name_first", "name_middle", "birth_date", "sex", "reported_date"]
 
 
@@ -100,6 +102,12 @@ def possible_matches(counted: DataFrame, patients: DataFrame, cap: str) -> DataF
     return by_last.unionByName(by_first)
 
 
+def possible_report(counted: DataFrame, patients: DataFrame, cap: str) -> DataFrame:
+    """Every counted query with its exact count and whether it is over ``cap``: a row per listed candidate, else one without."""
+    rows = counted.selectExpr("query_id", "possible", f"possible > {cap} as too_many")
+    return rows.join(possible_matches(counted, patients, cap), "query_id", "left")
+
+
 def link_patients(batch: DataFrame, reports: DataFrame, masters: DataFrame) -> DataFrame:
     """Master of every new report: known id, exact, possible, or a new one.
 
@@ -195,23 +203,40 @@ def _link(key: str, salt: str) -> str:
 
 
 def assign_patient_link(patients: DataFrame, taken: DataFrame | None = None, key: str = "concat(org_id, '|', mrn)",
-                        tries: int = 2) -> DataFrame:
+                        tries: int = 1000) -> DataFrame:
     """Adds ``patient_link``: twelve symbols from the hash of (org, mrn), so a rerun gives the same.
 
-    Equal links (and links in ``taken``) get a new salt, ``tries`` times; the
-    groups of equal links are as large as a hash collision.
+    Equal keys have one link.  Links of several keys, and links in ``taken``, are
+    found by a count over the link alone; only the keys behind them get further
+    salts.  Keys that are left after ``tries`` salts fail the job.
     """
-    rows = patients.selectExpr("*", f"{key} as __key", "0 as __salt")
-    for _ in range(tries):
-        rows = rows.selectExpr("*", _link("__key", "__salt") + " as patient_link")
-        rows = rows.selectExpr("*", "row_number() over (partition by patient_link order by __salt, __key) - 1 as __again")
-        if taken is not None:
-            used = taken.select("patient_link").distinct().selectExpr("patient_link", "1 as __used")
-            rows = rows.join(used, "patient_link", "left").selectExpr(
-                *[c for c in rows.columns if c != "__again"], "__again + coalesce(__used, 0) as __again")
-        rows = rows.selectExpr(*[c for c in rows.columns if c not in ("__salt", "patient_link", "__again")],
-                               "__salt + __again as __salt")
-    return rows.selectExpr(*patients.columns, _link("__key", "__salt") + " as patient_link")
+    rows = patients.selectExpr("*", f"{key} as __key").selectExpr("*", _link("__key", "0") + " as patient_link")
+    links = rows.select("__key", "patient_link")
+    clashing = (links.groupBy("patient_link").agg(F.expr("min(xxhash64(__key)) as low"), F.expr("max(xxhash64(__key)) as high"))
+                .where("low < high").select("patient_link"))
+    if taken is not None:
+        taken = taken.select("patient_link").distinct()
+        clashing = clashing.unionByName(taken.join(links, "patient_link", "left_semi")).distinct()
+    clashing = stage(clashing, "clashing-links")
+    if clashing.isEmpty():
+        return rows.drop("__key")
+    waiting = stage(links.join(clashing, "patient_link", "left_semi").select("__key").distinct(), "waiting")
+    settled = None
+    for salt in range(tries):
+        # salt 0 belongs to the smallest key behind a link; every later one must be new
+        chosen = waiting.selectExpr("__key", _link("__key", str(salt)) + " as link").groupBy("link").agg(F.min("__key").alias("__key"))
+        used = [t for t in (taken, links.select("patient_link") if salt else None,
+                            settled.selectExpr("link as patient_link") if settled is not None else None) if t is not None]
+        for others in used:
+            chosen = chosen.join(others.withColumnRenamed("patient_link", "link"), "link", "left_anti")
+        chosen = stage(chosen.select("__key", "link"), "chosen")
+        settled = chosen if settled is None else stage(settled.unionByName(chosen), "settled")
+        waiting = stage(waiting.join(chosen, "__key", "left_anti"), "waiting")
+        if waiting.isEmpty():
+            break
+    else:
+        raise ValueError(f"patient links still repeat after {tries} salts")
+    return rows.join(settled, "__key", "left").selectExpr(*patients.columns, "coalesce(link, patient_link) as patient_link")
 
 
 def report_links(linked: DataFrame) -> DataFrame:

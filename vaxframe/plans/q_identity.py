@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import acceptance, codemap, identity, rules, upsert
+from ..operators import acceptance, codemap, identity, respond, rules, upsert
 from ..functions import codes as C
 from .catalog import query
 from .fixtures import PATIENT, VACCINATION, Registry, with_ctes
@@ -125,14 +125,15 @@ POSSIBLE_CTES = {
 
 
 @query("possible_matches", with_ctes("fx_query fx_patient", """
-    select pairs.query_id, pairs.patient_id, possible from pairs join (select query_id, count(*) as possible from pairs group by 1) n
-    on pairs.query_id = n.query_id where possible <= 20""", POSSIBLE_CTES))
+    select m.query_id, coalesce(possible, 0) as possible, coalesce(possible, 0) > cap as too_many, pairs.patient_id
+    from (select query_id, least(20, coalesce(try_cast(rcp as int), 20)) as cap from matched where patient_id is null and complete) m
+    left join (select query_id, count(*) as possible from pairs group by 1) n on m.query_id = n.query_id
+    left join pairs on pairs.query_id = m.query_id and possible <= cap""", POSSIBLE_CTES))
 def possible_matches(spark, sf_dir):
     r = Registry(spark, sf_dir)
     matched = identity.match_queries(r.queries(), r.patients())
     counted = identity.possible_counts(matched.where("hit is null and complete"), r.patients())
-    rows = identity.possible_matches(counted, r.patients(), "20")
-    return rows.join(counted.select("query_id", "possible"), "query_id")
+    return identity.possible_report(counted, r.patients(), respond.result_cap("rcp"))
 
 
 # ------------------------------------------------------------------ linkage

@@ -33,13 +33,12 @@ N_LINES = ("case when eff_type = 'QBP' or (eff_type = '' and msg_type = 'QBP') t
            cast(sum(case when msg_type <> 'ORU' and has_rxa and has_rxr then 1 else 0 end) as bigint) as rxr,
            cast(sum(n_obx) as bigint) as obx, cast(max(n_nk1) as bigint) as nk1,
            cast(max(case when has_pid then 1 else 0 end) as bigint) as pid
-    from fxo where msg_type <> 'QBP' group by msg_id"""))
+    from fxo where msg_type <> 'QBP' group by msg_id
+    union all select msg_id, 0, 0, 0, 0, 0, 0 from fxm where msg_type = 'QBP'"""))
 def hl7_segments(spark, sf_dir):
     rows = hl7.segments(Registry(spark, sf_dir).messages())
-    return (rows.groupBy("msg_id").agg(*[
-        F.count_if(F.col("segment") == s).alias(s.lower()) for s in ("ORC", "RXA", "RXR", "OBX", "NK1", "PID")],
-        F.count_if(F.col("segment") == "RCP").alias("rcp"))
-        .where(F.col("rcp") == 0).drop("rcp"))
+    return rows.groupBy("msg_id").agg(*[
+        F.count_if(F.col("segment") == s).alias(s.lower()) for s in ("ORC", "RXA", "RXR", "OBX", "NK1", "PID")])
 
 
 @query("scan_messages", with_ctes("fxm", f"""
