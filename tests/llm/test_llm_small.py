@@ -132,6 +132,23 @@ def test_near_copies_of_one_template(spark):
     assert [(got[i].n_shingles, got[i].component_id) for i in range(60)] == near_components(texts)
 
 
+def test_parities_keep_every_similar_pair():
+    rng = np.random.default_rng(5)
+    pairs, similar = [], []
+    for n in rng.integers(1, 700, 400).tolist():
+        x = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        y = np.unique(np.concatenate([x[rng.random(len(x)) > 0.3 * rng.random()], rng.integers(0, 1 << 63, 1 + n // 9, dtype=np.uint64)]))
+        both = len(np.intersect1d(x, y))
+        similar.append(100 * both >= 80 * (len(x) + len(y) - both))
+        pairs.append((x, y))
+    batch = pa.RecordBatch.from_pydict({
+        "a": list(range(len(pairs))), "b": [0] * len(pairs), "n_left": [len(x) for x, _ in pairs], "n_right": [len(y) for _, y in pairs],
+        "left": pa.array([shingle_join._parity(x) for x, _ in pairs], pa.binary()), "right": pa.array([shingle_join._parity(y) for _, y in pairs], pa.binary())})
+    kept = set(next(shingle_join._possible([batch])).column("a").to_pylist())
+    assert {i for i, is_similar in enumerate(similar) if is_similar} <= kept
+    assert sum(similar) > 50 and len(kept) < len(pairs)
+
+
 def test_components_of_chains(spark):
     links = [(i, i + 1) for i in range(200)] + [(500, 300), (300, 400), (7, 7), (None, 3)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}

@@ -119,18 +119,54 @@ def _prefix_rows(sketch):
     return run
 
 
-def _set_rows(batches):
-    """(key, shingles) once per task for each class."""
+def _fresh_sets(batches):
+    """Sets, their bounds, row keys and set keys of the documents of each chunk whose row key the task has not seen."""
     seen: set = set()
     for batch in w.chunks(batches):
+        fresh = [i for i, row in enumerate(batch.column("row").to_pylist()) if row not in seen and not seen.add(row)]
+        batch = batch.take(pa.array(fresh, pa.int64()))
         values, bounds = shingle_sets(batch.column("text"))
-        keys = set_keys(values, bounds).tolist()
-        fresh = [i for i, k in enumerate(keys) if bounds[i + 1] > bounds[i] and k not in seen and not seen.add(k)]
-        for at in range(0, len(fresh), 500):
-            part = fresh[at : at + 500]
+        yield values, bounds, batch.column("row").to_pylist(), set_keys(values, bounds)
+
+
+def _set_rows(batches):
+    """(row, key, shingles) once per task for each row key."""
+    for values, bounds, rows, keys in _fresh_sets(batches):
+        for at in range(0, len(rows), 500):
+            part = range(at, min(at + 500, len(rows)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([keys[i] for i in part], pa.int64()), pa.array([values[bounds[i] : bounds[i + 1]].tobytes() for i in part], pa.binary())],
-                names=["key", "shingles"])
+                [pa.array(rows[at : at + 500], pa.int64()), pa.array(keys[at : at + 500], pa.int64()), pa.array([values[bounds[i] : bounds[i + 1]].tobytes() for i in part], pa.binary())],
+                names=["row", "key", "shingles"])
+
+
+def _parity(values: np.ndarray) -> bytes:
+    """Bit i is the parity of the number of shingles hashed to i; 2 to 4 bits a shingle, a power of two."""
+    width = 1 << max(6, int(2 * len(values) - 1).bit_length())
+    return np.packbits(np.bincount((w.mix(values) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1).tobytes()
+
+
+def _signature_rows(batches):
+    """(row, key, n, parity) once per task for each row key."""
+    for values, bounds, rows, keys in _fresh_sets(batches):
+        yield pa.RecordBatch.from_pydict({
+            "row": pa.array(rows, pa.int64()), "key": pa.array(keys, pa.int64()), "n": pa.array(np.diff(bounds), pa.int64()),
+            "parity": pa.array([_parity(values[x:y]) for x, y in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())})
+
+
+def _possible(batches):
+    """Pairs that their parities allow: where parities differ, an odd number of shingles belong to one set alone."""
+    for batch in batches:
+        kept = []
+        left, right = batch.column("left"), batch.column("right")
+        both = (batch.column("n_left").to_numpy() + batch.column("n_right").to_numpy()).tolist()
+        for i in range(batch.num_rows):
+            x, y = sorted((np.frombuffer(side[i].as_buffer(), np.uint8) for side in (left, right)), key=len)
+            while len(y) > len(x):
+                y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+            most = (both[i] - int(np.bitwise_count(x ^ y).sum())) // 2
+            if 100 * most >= SIMILARITY * (both[i] - most):
+                kept.append(i)
+        yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
 
 
 def _verified(batches):
@@ -146,15 +182,31 @@ def _verified(batches):
         yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
 
 
-def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity. Only documents that stand for a class in some pair are read as sets."""
+def _of_classes(pairs: DataFrame, docs: DataFrame, classes: DataFrame, run, columns: str) -> DataFrame:
+    """What ``run`` makes of one document for each class in some pair.
+
+    Texts are not shuffled: a bitmap lets those documents through and a few others, whose rows go afterwards.
+    """
     keys = pairs.selectExpr("explode(array(a, b)) as key").distinct()
     rows = stage(classes.groupBy("key").agg(F.min("row").alias("row")).join(keys, "key", "left_semi").select("row"), "rows")
-    texts = maybe_in(docs, "row", rows).join(rows, "row", "left_semi")
-    sets = stage(texts.mapInArrow(_set_rows, "key long, shingles binary"), "sets")
+    made = maybe_in(docs, "row", rows).select("row", "text").mapInArrow(run, f"row long, {columns}")
+    return stage(made.join(rows, "row", "left_semi").dropDuplicates(["row"]).drop("row"), "sets")
+
+
+def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets reach the similarity.
+
+    Parities of a few bits a shingle bound what two sets share from above. Whole sets, 16 times as large at
+    least, are read only for pairs within that bound.
+    """
+    signatures = _of_classes(pairs, docs, classes, _signature_rows, "key long, n long, parity binary")
+    left = signatures.selectExpr("key as a", "parity as left", "n as n_left")
+    right = signatures.selectExpr("key as b", "parity as right", "n as n_right")
+    possible = stage(pairs.join(left, "a").join(right, "b").mapInArrow(_possible, "a long, b long").distinct(), "possible")
+    sets = _of_classes(possible, docs, classes, _set_rows, "key long, shingles binary")
     left = sets.selectExpr("key as a", "shingles as left")
     right = sets.selectExpr("key as b", "shingles as right")
-    return stage(pairs.join(left, "a").join(right, "b").mapInArrow(_verified, "a long, b long").distinct(), "links")
+    return stage(possible.join(left, "a").join(right, "b").mapInArrow(_verified, "a long, b long").distinct(), "links")
 
 
 #: Shared shingles that sets of sizes {0} and {1} need: 100 * both >= SIMILARITY * (x + y - both).
@@ -173,7 +225,7 @@ def posting_lists(postings: DataFrame) -> DataFrame:
     A list's leader is the class with the fewest rarer shingles before the token: the one with the fewest edits.
     """
     postings = postings.withColumn("most", F.expr(f"(({100 + SIMILARITY} * (n - place + l - 1)) div {SIMILARITY}) - n"))
-    several = postings.groupBy("token").agg(F.min("key").alias("first"), F.max("key").alias("other")).where("first < other").select("token")
+    several = stage(postings.groupBy("token").agg(F.min("key").alias("first"), F.max("key").alias("other")).where("first < other").select("token"), "several")
     lists = stage(maybe_in(postings, "token", several).join(several, "token").distinct(), "lists")
     for _ in range(2):  # the second time without what the first has ruled out
         shared = lists.groupBy("token").agg(
