@@ -14,20 +14,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vaxframe.llm import decontaminate, outliers, personal_data, pieces, shingle_join
-from vaxframe.llm.keys import row_key
+from vaxframe.llm.keys import row_key, without
 from vaxframe.sources.scratch import stage
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the fixed limits and the outlier estimate keep."""
-    kept = outliers.judge(docs).where("kept").select("key").distinct()
-    return docs.withColumn("_key", row_key()).join(kept.withColumnRenamed("key", "_key"), "_key", "left_semi").drop("_key")
+    verdicts = outliers.judge(docs).groupBy(F.col("key").alias("_key")).agg(F.bool_or("kept").alias("kept"))
+    gone = stage(verdicts.where("not kept").select("_key"), "rejected")
+    return without(docs.withColumn("_key", row_key()), "_key", gone).drop("_key")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest doc_id."""
-    gone = shingle_join.similar_documents(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = stage(shingle_join.similar_documents(docs).where("doc_id <> component_id").select("doc_id").distinct(), "copies")
+    kept = without(docs, "doc_id", gone)
     repeated = stage(kept.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1"), "repeated")
     if repeated.isEmpty():
         return kept
@@ -40,8 +41,8 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     keyed = docs.withColumn("_key", row_key())
     found = decontaminate.contamination(keyed.selectExpr("_key as doc_id", "text"), benchmark)
-    gone = found.where("size(hits) > 0").selectExpr("doc_id as _key").distinct()
-    return keyed.join(gone, "_key", "left_anti").select(docs.columns)
+    gone = stage(found.where("size(hits) > 0").selectExpr("doc_id as _key").distinct(), "contaminated")
+    return without(keyed, "_key", gone).select(docs.columns)
 
 
 def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

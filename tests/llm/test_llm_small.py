@@ -14,6 +14,7 @@ from vaxframe.llm import (
     decontaminate, host_reputation, outliers, personal_data, pieces, quality_model, reshard, secret_index, shingle_join, substrings,
 )
 from vaxframe.llm.components import components
+from vaxframe.llm.keys import maybe_in, without
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key long, n long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -132,6 +133,16 @@ def test_near_copies_of_one_template(spark):
     assert [(got[i].n_shingles, got[i].component_id) for i in range(60)] == near_components(texts)
 
 
+@pytest.mark.parametrize("bits", [7, 24])
+def test_rows_without_keys(spark, bits):
+    rows = spark.createDataFrame([(i if i % 7 else None, f"t{i}") for i in range(300)] + [(5, "t5")] * 3, "doc_id long, text string")
+    keys = spark.createDataFrame([(i,) for i in range(0, 300, 5)] + [(None,)], "doc_id long")
+    left = sorted(r.text for r in without(rows, "doc_id", keys, bits).collect())
+    assert left == sorted(r.text for r in rows.collect() if r.doc_id is None or r.doc_id % 5)
+    assert without(rows, "doc_id", keys.limit(0), bits).count() == 303 and without(rows.limit(0), "doc_id", keys, bits).columns == rows.columns
+    assert {r.doc_id for r in rows.collect() if r.doc_id and r.doc_id % 5 == 0} <= {r.doc_id for r in maybe_in(rows, "doc_id", keys, bits).collect()}
+
+
 def test_parities_keep_every_similar_pair():
     rng = np.random.default_rng(5)
     pairs, similar = [], []
