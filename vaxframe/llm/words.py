@@ -33,6 +33,7 @@ def chunks(batches, column: str = "text", max_bytes: int = CHUNK_BYTES):
             upto = max(at + 1, int(np.searchsorted(ends, before + max_bytes, side="right")))
             yield batch.slice(at, upto - at)
             at = upto
+    pa.default_memory_pool().release_unused()  # the worker process may serve other stages
 
 
 def flat_words(texts: pa.Array, table: bytes) -> tuple[pa.Array, np.ndarray]:
