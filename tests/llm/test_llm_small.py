@@ -249,6 +249,19 @@ def test_contexts_reveal_identifiers(spark):
     assert got[40].spans == "ip:18:27" and got[40].n_ip == 0 and got[41].spans == ""
 
 
+def test_contexts_of_several_words_and_at_the_ends(spark):
+    luhn = lambda n: next(f"{n}{d}" for d in range(10) if sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(f"{n}{d}"[::-1])) % 10 == 0)
+    cards = [" ".join(re.findall("....", luhn(f"4111111111{i:05d}"))) for i in range(40)]
+    rows = [f"Please call {' ' * 60}+1 (017) 555-77{i:02d} before noon" for i in range(40)] + [f"charged to {c}, thanks" for c in cards]
+    rows += [f"10.0.1.{i} begins here" for i in range(40)] + [f"written by u{i}@mail.org" for i in range(40)]
+    asked = ["Please call 017 555 77x3 before noon", "charged to 4111 1111 1111 111x, thanks", "10.0.1.x begins here", "written by u7 AT 9mail.org", "written by u7@mail",
+             "+1 (017) 555-7713 4111 x", "Please call 5 - 6 (7) before noon", "never 017 555 77x3 seen"]
+    got = by_id(personal_data.personal_digest(spark.createDataFrame(list(enumerate(rows + asked)), "doc_id long, text string")))
+    assert all(got[i].n_phone == 1 and len(got[i].spans.split(",")) == 1 for i in range(40)) and all(got[40 + i].n_card == 1 for i in range(40))
+    assert [got[160 + i].spans for i in range(8)] == [
+        "phone:12:24", "card:11:31", "ip:0:8", "", "email:11:18", "phone:0:22", "phone:12:21", ""]
+
+
 def test_secrets(spark, none):
     key = "ghp_" + "a1B2" * 9
     texts = [None, "", 'PassWord = "abc123XYZ" token:short', "AKIA" + "A" * 12 + " AKIA" + "B" * 11, "x" + "0f" * 16 + " " + "0f" * 15, f"api_key: {key}", "apiKEY=12345678"]

@@ -1,15 +1,18 @@
 """Personal data: fixed patterns, and identifiers that bootstrapped contexts reveal.
 
-The fixed patterns give the base spans and the seeds. Every identifier-like token (with a digit or an @) has
-a context, the words left and right of it. Contexts and tokens form a graph: a context is as confident for a
-kind as the share of its distinct tokens that are known to be of that kind, a token as the chance that any of
-its contexts is right. A few rounds of the two scores let confident contexts make tokens known and these
-support further contexts. Occurrences in contexts that end up confident, outside all base spans, are added.
-
-Everything is DataFrame functions and grouped sums. Contexts with fewer than MIN_SUPPORT distinct tokens can
+The fixed patterns give the base spans and the seeds. A seed is a whole base span with the words that it touches,
+however many; its context is the word before the first and the word after the last of them. Every other sequence of
+adjacent identifier-like words (with a digit or an @; brackets, dots and dashes may stand between) is a candidate with
+its own context. Contexts and values form a graph: a context is as confident for a kind as the share of its distinct
+values that are known to be of that kind, a value as the chance that any of its contexts is right. A few rounds of
+the two scores let confident contexts make values known and these support further contexts. Occurrences in
+contexts that end up confident, outside all base spans, are added; of nested ones the longest.
+
+Everything is DataFrame functions and grouped sums. Contexts with fewer than MIN_SUPPORT distinct values can
 never be confident and leave the graph first. Defined results: a null text is empty and has no spans; rows
-alike in id and text have equal spans; a token at the text's end has an empty right word, one at its start an
-empty left word. Columns other than doc_id and text are unused, and kept by ``mask``.
+alike in id and text have equal spans; the begin and the end of a text are sides of contexts like words; a
+neighbour of marks alone is the side as it stands; a value of marks alone is no identifier. Columns other than
+doc_id and text are unused, and kept by ``mask``.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vaxframe.llm.keys import maybe_in, row_key
+from vaxframe.llm.keys import row_key
 from vaxframe.llm.spans import let, matches, spelled
 from vaxframe.sources.scratch import stage
 
@@ -25,8 +28,10 @@ KINDS = ("email", "ip", "card", "phone")
 #: Distinct known tokens that a context needs, the confidence it needs, and the weight of the doubt against it.
 MIN_SUPPORT, CONFIDENT, DOUBT = 5, 0.9, 0.25
 ROUNDS = 3
-#: Characters before and after a token in which its neighbours are looked for.
-REACH = 48
+#: Identifier-like words of a candidate: no kind has more than 19 digits, so none has more words with a digit.
+MOST_WORDS = 19
+#: Sides of a context at the ends of a text; no word has a space.
+BEGIN, END = " begin", " end"
 
 # The base patterns, with starts inside a failed run ruled out and possessive repeats: the same matches, in linear time.
 _LOCAL = r"[A-Za-z0-9._%+-]"
@@ -35,8 +40,10 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[ -]?[0-9])++"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-_WORD = r"[^ \t\n\x0B\f\r]"
-TOKEN = rf"(?<!{_WORD}){_WORD}*[0-9@]{_WORD}*"
+_WORD, _SPACE = r"[^ \t\n\x0B\f\r]", r"[ \t\n\x0B\f\r]"
+_TOKEN = rf"[^ \t\n\x0B\f\r0-9@]*+[0-9@]{_WORD}*+"
+#: Adjacent identifier-like words, as many as there are. Every base span lies in one run.
+RUN = rf"(?<!{_WORD}){_TOKEN}(?:{_SPACE}++(?:[().-]++{_SPACE}++)*+{_TOKEN})*+"
 
 SPANS = "array<struct<place:int,start:int,end:int,kind:string>>"
 
@@ -83,19 +90,55 @@ def _bare(word: Column) -> Column:
     return F.regexp_replace(F.lower(word), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
 
 
-def _tokens(text: Column, base: Column) -> Column:
-    """The identifier-like tokens with their contexts and the kinds of base spans that begin in them."""
+def _side(word: Column) -> Column:
+    return let(_bare(word), lambda bare: F.when(bare == "", F.lower(word)).otherwise(bare))
+
+
+def _runs(text: Column, base: Column) -> Column:
+    """The runs with the words before and after them, their own words, and the base spans in them."""
+
+    def described(run: Column, i: Column, gaps: Column) -> Column:
+        before = F.regexp_extract(F.get(gaps, i), rf"(?<!{_WORD})({_WORD}++){_SPACE}*+$", 1)
+        after = F.regexp_extract(F.get(gaps, i + 1), rf"^{_SPACE}*+({_WORD}++)", 1)
+        end = run["place"] + F.char_length(run["value"])
+        words = F.transform(matches(run["value"], rf"{_WORD}++"), lambda w: F.struct(
+            (run["place"] + w["place"]).alias("start"), (run["place"] + w["place"] + F.char_length(w["value"])).alias("end"), w["value"].alias("value")))
+        return F.struct(
+            F.when(before == "", F.lit(BEGIN)).otherwise(_side(before)).alias("left"), F.when(after == "", F.lit(END)).otherwise(_side(after)).alias("right"),
+            words.alias("words"), F.filter(base, lambda s: (s["start"] >= run["place"]) & (s["end"] <= end)).alias("base"))
+
+    def placed(runs: Column) -> Column:
+        return F.when(F.size(runs) > 0, let(F.split(text, RUN, -1), lambda gaps: F.transform(runs, lambda run, i: described(run, i, gaps))))
+
+    return let(matches(text, RUN), placed)
+
+
+def _items() -> Column:
+    """The seeds and candidates of a run (left, right, words, base): contexts, value, place, and the seed's kind."""
+    words, base = F.col("words"), F.col("base")
 
-    def described(m: Column) -> Column:
-        end = m["place"] + F.char_length(m["value"])
-        before = F.substring(text, F.greatest(m["place"] - REACH, F.lit(0)) + 1, F.least(m["place"], F.lit(REACH)))
-        after = F.substring(text, end + 1, F.lit(REACH))
-        touching = F.filter(base, lambda s: (s["start"] < end) & (s["end"] > m["place"]))
+    def item(i: Column, j: Column, known: Column) -> Column:
         return F.struct(
-            _bare(F.regexp_extract(before, rf"({_WORD}+)[ \t\n\x0B\f\r]+$", 1)).alias("left"), _bare(F.regexp_extract(after, rf"^[ \t\n\x0B\f\r]+({_WORD}+)", 1)).alias("right"),
-            _bare(m["value"]).alias("value"), m["place"].alias("start"), end.alias("end"), F.array_distinct(F.transform(touching, lambda s: s["place"])).alias("known"))
+            F.when(i == 0, F.col("left")).otherwise(_side(F.get(words, i - 1)["value"])).alias("left"),
+            F.when(j == F.size(words) - 1, F.col("right")).otherwise(_side(F.get(words, j + 1)["value"])).alias("right"),
+            _bare(F.array_join(F.transform(F.slice(words, i + 1, j - i + 1), lambda w: w["value"]), " ")).alias("value"),
+            F.get(words, i)["start"].alias("start"), F.get(words, j)["end"].alias("end"), known.alias("known"))
+
+    seeds = F.transform(base, lambda s: item(
+        F.size(F.filter(words, lambda w: w["end"] <= s["start"])), F.size(F.filter(words, lambda w: w["start"] < s["end"])) - 1, s["place"]))
+    likely = F.filter(F.transform(words, lambda w, i: F.struct(
+        i.alias("at"), w["value"].rlike("[0-9@]").alias("likely"), F.exists(base, lambda s: (s["start"] < w["end"]) & (s["end"] > w["start"])).alias("taken"))),
+        lambda w: w["likely"])
+
+    def from_here(at: Column, ahead: Column) -> Column:
+        def free(taken: Column) -> Column:
+            upto = F.when(taken == 0, F.size(ahead)).otherwise(taken - 1).cast("int")
+            return F.transform(F.slice(ahead, F.lit(1), upto), lambda w: item(at, w["at"], F.lit(None).cast("int")))
+
+        return let(F.array_position(F.transform(ahead, lambda w: w["taken"]), True), free)
 
-    return F.transform(matches(text, TOKEN), described)
+    candidates = let(likely, lambda ws: F.flatten(F.transform(ws, lambda w, n: let(F.slice(ws, n + 1, F.lit(MOST_WORDS)), lambda ahead: from_here(w["at"], ahead)))))
+    return F.concat(seeds, candidates)
 
 
 def _scores(edges: DataFrame) -> DataFrame:
@@ -122,18 +165,21 @@ def _scores(edges: DataFrame) -> DataFrame:
 def find_personal(docs: DataFrame) -> DataFrame:
     """(doc_id, key, base, spans): base spans and all spans, by kind as listed, then start."""
     read = docs.select("doc_id", row_key().alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    found = read.select("doc_id", "key", let(_base(F.col("text")), lambda b: F.struct(b.alias("base"), _tokens(F.col("text"), b).alias("tokens"))).alias("f"))
+    found = read.select("doc_id", "key", let(_base(F.col("text")), lambda b: F.struct(b.alias("base"), _runs(F.col("text"), b).alias("runs"))).alias("f"))
     rows = stage(found.select("doc_id", "key", "f.*"), "spans")
-    tokens = rows.select("key", F.explode("tokens").alias("t")).select("key", "t.*")
-    flags = [F.max(F.array_contains("known", i).cast("double")).alias(f"s{i}") for i in range(len(KINDS))]
-    edges = tokens.where("left <> '' and right <> '' and value <> ''").groupBy("left", "right", "value").agg(*flags)
+    runs = rows.select("key", F.explode("runs").alias("r")).select("key", "r.*")
+    items = runs.select("key", F.explode(_items()).alias("t")).select("key", "t.*")
+    flags = [F.max((F.coalesce("known", F.lit(-1)) == i).cast("double")).alias(f"s{i}") for i in range(len(KINDS))]
+    edges = items.where("value <> ''").groupBy("left", "right", "value").agg(*flags)
     often = edges.groupBy("left", "right").agg(F.count("*").alias("n")).where(f"n >= {MIN_SUPPORT}").drop("n")
     contexts = _scores(stage(edges.join(often, ["left", "right"]), "edges"))
     kinds = F.array(*[F.lit(x) for x in KINDS])
+    within = lambda x, y: (y["start"] <= x["start"]) & (y["end"] >= x["end"]) & (y["end"] - y["start"] > x["end"] - x["start"])
     more = (
-        tokens.where("size(known) = 0").join(contexts, ["left", "right"])
+        items.where("known is null and value <> ''").join(contexts, ["left", "right"])
         .select("key", F.struct("place", "start", "end", F.get(kinds, F.col("place")).alias("kind")).alias("span"))
-        .groupBy("key").agg(F.collect_set("span").cast(SPANS).alias("more"))
+        .groupBy("key").agg(F.collect_set("span").cast(SPANS).alias("all"))
+        .select("key", F.filter("all", lambda x: ~F.exists("all", lambda y: within(x, y))).alias("more"))
     )
     return rows.join(more, "key", "left").select(
         "doc_id", "key", F.sort_array("base").alias("base"), F.sort_array(F.concat("base", F.coalesce("more", F.array().cast(SPANS)))).alias("spans"))
