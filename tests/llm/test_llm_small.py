@@ -300,6 +300,16 @@ def test_outliers_are_rejected_per_source(spark):
     assert all(got[i].kept for i in range(120)) and not any(got[1000 + i].kept for i in range(6))
 
 
+def test_tables_are_outliers_and_a_repeated_line_is_none(spark):
+    rows = [(i, prose(i, 100, 5000)) for i in range(200)]
+    rows += [(1000 + i, re.sub(r"(\S+ \S+) ", r"\1 | ", prose(i, 100, 5000))) for i in range(8)]
+    rows += [(2000 + i, "\n".join([prose(i, 9), prose(i, 9), prose(900 + i, 80, 5000)])) for i in range(3)]
+    docs = spark.createDataFrame([(*r, "en", "a") for r in rows], "doc_id long, text string, lang string, source string")
+    got = by_id(outliers.rules_digest(docs))
+    assert not any(got[i].kept or got[i].base_failed for i in range(1000, 1008))
+    assert all(got[i].kept for i in [*range(200), 2000, 2001, 2002])
+
+
 def test_urls(spark):
     urls = [None, "no host", "http://A.Net/es/1?x", "http://example.com/en/2", "https://www.example.com/en/3#t", "http://www.example.com", "ftp://x.org/a://b?c"]
     rows = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, host string")

@@ -1,10 +1,12 @@
 """Quality rules: counts per document, fixed limits, and robust multivariate outliers per language and source.
 
-The vector of a document is its transformed statistics (mean word length, and the square roots of the shares
-of symbols, repeated lines and repeated words). Per (lang, source), the minimum covariance determinant is
+The vector of a document is its transformed statistics (the logarithm of the mean word length, and the square roots
+of the shares of symbols, repeated lines and repeated words, the last two shrunk: one repeat among three lines says
+little). Per (lang, source), the minimum covariance determinant is
 sought from two starts by concentration steps: the documents nearest to the current centre give the next
 centre and covariance, and the start with the smaller determinant wins. A document far from the final centre
-in Mahalanobis distance is rejected.
+in Mahalanobis distance is rejected: beyond a chi-squared quantile, the covariance of the nearest share being
+scaled to that of the whole.
 
 All of it is DataFrame expressions and grouped sums, so a source with a third of all rows is only partial sums;
 the nearest ``SUBSET`` share comes from a histogram of distances with fixed bins, not from sorting a group.
@@ -29,11 +31,14 @@ MIN_WORDS, MAX_REPEATED = 50, 50
 SUBSET = 0.75
 STEPS = 3
 LEAST_ROWS = 40
-#: Squared distance that a clean document does not reach: far above the chi-squared tail for four statistics,
-#: as the shares are skewed and zero for most documents.
-CUTOFF = 60.0
+#: Chi-squared with four degrees: its 0.999 quantile, and what makes the covariance of the nearest SUBSET consistent,
+#: SUBSET / P(chi-squared with six degrees <= 5.385, the SUBSET quantile for four).
+CUTOFF = 18.467
+CONSISTENCY = 1.486
+#: Lines and words without a repeat that are added to a document before its shares of repeats are taken.
+PRIOR_LINES, PRIOR_WORDS = 20, 100
 #: Variance added to each statistic, so that constant ones do not make any change an outlier.
-FLOOR = (0.04, 0.0025, 0.01, 0.01)
+FLOOR = (0.0016, 0.0025, 0.01, 0.01)
 DIMS = range(4)
 
 
@@ -79,18 +84,18 @@ def statistics(docs: DataFrame) -> DataFrame:
 
 def _vectors(stats: DataFrame) -> DataFrame:
     return stats.select(
-        "*", F.expr("word_chars / greatest(n_words, 1)").alias("x0"), F.expr("sqrt(n_symbols / greatest(word_chars, 1))").alias("x1"),
-        F.expr("sqrt(n_dup_lines / greatest(n_lines, 1))").alias("x2"), F.expr("sqrt(n_repeat_words / greatest(n_words, 1))").alias("x3"))
+        "*", F.expr("ln(greatest(word_chars, 1) / greatest(n_words, 1))").alias("x0"), F.expr("sqrt(n_symbols / greatest(word_chars, 1))").alias("x1"),
+        F.expr(f"sqrt(n_dup_lines / (n_lines + {PRIOR_LINES}))").alias("x2"), F.expr(f"sqrt(n_repeat_words / (n_words + {PRIOR_WORDS}))").alias("x3"))
 
 
-def _fit(rows: DataFrame, keys: list[str]) -> DataFrame:
+def _fit(rows: DataFrame, keys: list[str], scale: float = 1.0) -> DataFrame:
     """Centre m*, Cholesky factor l* of the covariance, and log-determinant, per key."""
     sums = [F.avg(f"x{i}").alias(f"m{i}") for i in DIMS]
     sums += [F.avg(F.expr(f"x{i} * x{j}")).alias(f"s{i}{j}") for i in DIMS for j in DIMS if j <= i]
     out = rows.groupBy(*keys).agg(F.count("*").alias("n"), *sums)
     for i in DIMS:
         for j in range(i + 1):
-            cov = f"s{i}{j} - m{i} * m{j}" + (f" + {FLOOR[i]}D" if i == j else "")
+            cov = f"{scale}D * (s{i}{j} - m{i} * m{j})" + (f" + {FLOOR[i]}D" if i == j else "")
             rest = "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
             out = out.withColumn(f"l{i}{j}", F.expr(f"sqrt(greatest({cov}{rest}, {FLOOR[i]}D))" if i == j else f"({cov}{rest}) / l{j}{j}"))
     det = " + ".join(f"2 * ln(l{i}{i})" for i in DIMS)
@@ -123,7 +128,7 @@ def estimates(vectors: DataFrame) -> DataFrame:
             bins.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("all", F.sum("n").over(w))
             .where(F.expr(f"upto >= {SUBSET}D * all")).groupBy("grp", "start").agg(F.min("bin").alias("last"))
         )
-        fitted = stage(_fit(near.join(reach, ["grp", "start"]).where("bin <= last").drop(*PARAMETERS), ["grp", "start"]), "estimate")
+        fitted = stage(_fit(near.join(reach, ["grp", "start"]).where("bin <= last").drop(*PARAMETERS), ["grp", "start"], CONSISTENCY), "estimate")
     return fitted.groupBy("grp").agg(F.min_by(F.struct("n", *PARAMETERS), "logdet").alias("e")).select("grp", "e.*")
 
 
