@@ -355,6 +355,25 @@ def test_shards(spark, docs, texts, none, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() <= len(texts)
 
 
+def test_rewrite_keeps_every_row_once(spark, tmp_path):
+    rows = [(i % 300, prose(i % 300, 1 + i % 37), i, -i) for i in range(600)] + [(None, "no id", 1, 1)] * 40 + [(None, None, 2, None)] * 3 + [(7, None, 3, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard long, slot long").repartition(5)
+    path = str(tmp_path / "live")
+    assigned = reshard.assign(docs, 3, 4)
+    reshard.rewrite(docs, assigned, path)
+    out = spark.read.parquet(path)
+    assert Counter((r.doc_id, r.text, r.shard, r.slot) for r in out.collect()) == Counter(rows)
+    place = lambda df, a, b: Counter((r.doc_id, r[a], r[b]) for r in df.collect())
+    assert place(out, "_shard", "_slot") == place(assigned, "shard", "slot")
+    # Shard 0 takes shard 1's rows, shard 1 is left empty, shards 2 and 3 stay.
+    stays = assigned.selectExpr("doc_id", "key", "shard as old_shard", "case when shard = 1 then 0 else shard end as shard", "slot + if(shard = 1, 10000, 0) as slot")
+    reshard.rewrite(docs, spark.createDataFrame(stays.collect(), stays.schema), path)
+    files = {r.f for r in out.where("_shard >= 2").selectExpr("input_file_name() as f").distinct().collect()}
+    again = spark.read.parquet(path)
+    assert Counter((r.doc_id, r.text, r.shard, r.slot) for r in again.collect()) == Counter(rows) and again.where("_shard = 1").count() == 0
+    assert files == {r.f for r in again.where("_shard >= 2").selectExpr("input_file_name() as f").distinct().collect()}
+
+
 def test_quality_scores(spark, docs, texts, none):
     rows = [(i, prose(i, 60) if i % 2 else "### " * 30 + prose(i, 10)) for i in range(300)]
     labelled = spark.createDataFrame([(i, i % 2, 0) for i in range(300)] + [(3, None, None), (None, 1, 0)], "doc_id long, quality int, toxic int")

@@ -10,7 +10,7 @@ shard documents lie in size order, largest first, so what moves is the tail of s
 between small documents.
 
 Defined results: a null text has size 1 and the checksum of an empty one; documents without an id are dealt
-over the old shards by row; rows alike are separate documents; an empty table gives no rows.
+over the old shards by their text; rows alike are separate documents; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vaxframe.llm.keys import maybe_in, row_key, without
 from vaxframe.sources.scratch import stage
 
 OLD_SHARDS, NEW_SHARDS = 12, 16
@@ -88,18 +89,18 @@ def transfer_plan(sizes: list[int], shards: int) -> list[tuple[int, int, int, in
 
 
 def assign(docs: DataFrame, old_shards: int = OLD_SHARDS, new_shards: int = NEW_SHARDS) -> DataFrame:
-    """doc_id, size, text_crc32, old_shard, shard and slot of every document. The text is read once and not shuffled."""
+    """doc_id, row key, size, text_crc32, old_shard, shard and slot of every document. The text is read once and not shuffled."""
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
     rows = stage(docs.select(
-        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
+        "doc_id", row_key().alias("key"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
         F.monotonically_increasing_id().alias("uid")), "sizes")
     n_rows = rows.count()
     parts = max(1, -(-n_rows // (old_shards * BLOCK_ROWS)))
     placed = rows.select(
-        "*", F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.col("uid")).alias("spread")
+        "*", F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.col("key")).alias("spread")
     ).select(
-        "doc_id", "size", "text_crc32", "uid", F.pmod("spread", F.lit(old_shards)).cast("int").alias("old_shard"),
+        "doc_id", "key", "size", "text_crc32", "uid", F.pmod("spread", F.lit(old_shards)).cast("int").alias("old_shard"),
         (-F.floor(F.log2("size") * 4)).cast("int").alias("klass"), F.pmod(F.xxhash64("uid"), F.lit(parts)).cast("int").alias("part"))
     block = ["old_shard", "klass", "part"]
     blocks = stage(placed.groupBy(*block).agg(F.sum("size").alias("bytes")), "blocks")
@@ -121,15 +122,41 @@ def assign(docs: DataFrame, old_shards: int = OLD_SHARDS, new_shards: int = NEW_
     starts = pieces.select("shard", *block, F.coalesce(F.sum("n").over(first), F.lit(0)).alias("first"))
     number = F.row_number().over(Window.partitionBy("shard", *block).orderBy("uid")) - 1
     return moved.withColumn("number", number).join(starts, ["shard", *block]).select(
-        "doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("first") + F.col("number")).cast("long").alias("slot"))
+        "doc_id", "key", "size", "text_crc32", "old_shard", "shard", (F.col("first") + F.col("number")).cast("long").alias("slot"))
+
+
+def _occurrences(rows: DataFrame, part) -> DataFrame:
+    """Adds occurrence, which numbers the rows of each key from 0. A key's rows are numbered part by part, ``_at`` orders a part."""
+    rows = stage(rows.withColumn("_part", part), "repeats")
+    before = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    first = rows.groupBy("_key", "_part").agg(F.count("*").alias("n")).select("_key", "_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    number = F.row_number().over(Window.partitionBy("_key", "_part").orderBy("_at")) - 1
+    return rows.withColumn("number", number).join(first, ["_key", "_part"]).withColumn("occurrence", F.col("first") + F.col("number")).drop("_part", "_at", "number", "first")
 
 
 def rewrite(docs: DataFrame, assigned: DataFrame, path: str) -> None:
-    """Write the files of every shard that gains or loses documents, one folder a shard; other shards keep their files."""
+    """Write the files of every shard that gains or loses documents, one folder ``_shard=`` a shard; other shards keep their files.
+
+    Each row of ``docs`` goes to one place, with its own columns and ``_slot``; input columns ``_shard`` and ``_slot`` are an
+    older layout's and are replaced. Rows alike in id and text are matched with their places by number.
+    """
     moves = assigned.where("old_shard <> shard")
-    touched = moves.selectExpr("explode(array(old_shard, shard)) as shard").distinct()
-    rows = assigned.join(F.broadcast(touched), "shard", "left_semi").select("doc_id", "shard", "slot")  # a row per shard at most
-    docs.join(rows, "doc_id").write.partitionBy("shard").mode("overwrite").parquet(path)
+    touched = stage(moves.selectExpr("explode(array(old_shard, shard)) as shard").distinct(), "touched")  # a row per shard at most
+    columns = [c for c in docs.columns if c.lower() not in ("_shard", "_slot")]
+    rows = docs.select(row_key().alias("_key"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"))
+    places = assigned.join(F.broadcast(touched), "shard", "left_semi").selectExpr("key as _key", "shard as _shard", "slot as _slot")
+    repeated = stage(assigned.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").selectExpr("key as _key"), "repeated")
+    single = without(rows, "_key", repeated).join(places.join(repeated, "_key", "left_anti"), "_key")
+    # Rows alike have one old shard: of a key either all rows are in touched shards or none is.
+    several = maybe_in(rows, "_key", repeated).join(repeated, "_key", "left_semi").withColumn("_at", F.monotonically_increasing_id())
+    dealt = places.join(repeated, "_key", "left_semi").withColumn("_at", F.col("_slot"))
+    several = _occurrences(several, F.shiftright("_at", 33)).join(
+        _occurrences(dealt, F.col("_shard") * F.lit(1 << 32) + F.floor(F.col("_slot") / BLOCK_ROWS)), ["_key", "occurrence"])
+    out = single.select("_row.*", "_shard", "_slot").unionByName(several.select("_row.*", "_shard", "_slot"))
+    out.write.partitionBy("_shard").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    left = touched.join(assigned.select("shard").distinct(), "shard", "left_anti").collect()  # shards that lose everything
+    for shard in left:
+        out.drop("_shard").limit(0).write.mode("overwrite").parquet(f"{path.rstrip('/')}/_shard={shard[0]}")
 
 
 def shards_digest(docs: DataFrame) -> DataFrame:
