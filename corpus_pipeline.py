@@ -1,11 +1,12 @@
 """The corpus pipeline: each stage takes (spark, docs, sf_dir) and its result is written and read by the next.
 
 quality rules -> n-gram Jaccard join -> benchmark decontamination -> personal data -> pieces. The first four
-return the columns of documents: rejected documents go, of each group of near copies the one with the
-smallest doc_id stays, documents with a benchmark passage go, personal data are masked.
+return the columns of documents: rejected documents go, of each group of near copies the row with the
+smallest doc_id (then row key) stays, documents with a benchmark passage go, personal data are masked.
 The last returns the pieces of what is left.
 
-Rows without a doc_id are never merged with others. Repeated rows are near copies of each other.
+Rows without a doc_id are never merged with others. Repeated rows are near copies of each other; unlike texts
+under one doc_id are not.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vaxframe.llm import decontaminate, outliers, personal_data, pieces, shingle_join
-from vaxframe.llm.keys import row_key, without
+from vaxframe.llm.keys import maybe_in, row_key, without
 from vaxframe.sources.scratch import stage
 
 
@@ -26,14 +27,19 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id."""
-    gone = stage(shingle_join.similar_documents(docs).where("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    kept = without(docs, "doc_id", gone)
-    repeated = stage(kept.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1"), "repeated")
+    """One row of each group of near copies: the one with the smallest doc_id, then row key; of rows alike in both, one."""
+    rows = shingle_join.rooted_rows(docs).where("doc_id is not null")
+    rows = stage(rows.groupBy("doc_id", "row", "root").agg(F.count("*").alias("n")), "rows")
+    first = rows.where("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("first"))
+    placed = rows.join(first, "root", "left")
+    gone = stage(placed.where("first.row <> row").selectExpr("row as _key"), "copies")
+    repeated = stage(placed.where("n > 1 and coalesce(first.row = row, true)").selectExpr("row as _key"), "repeated")
+    kept = without(docs.withColumn("_key", row_key()), "_key", gone)
     if repeated.isEmpty():
-        return kept
-    rest = kept.join(repeated, "doc_id", "left_anti").select(docs.columns)
-    return rest.unionByName(kept.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+        return kept.select(docs.columns)
+    alike = maybe_in(kept, "_key", repeated).join(repeated, "_key", "left_semi")
+    one = alike.groupBy("_key").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_row")).select("_row.*")
+    return without(kept, "_key", repeated).select(docs.columns).unionByName(one)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

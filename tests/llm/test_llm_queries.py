@@ -49,3 +49,12 @@ def test_repeated_rows_leave_one(spark):
     rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "A b c d e f g"), (None, "other words here"), (None, "other words here")]
     docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted((r.doc_id or 0) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()) == [0, 0, 1]
+
+
+def test_unlike_texts_under_one_id_stay(spark):
+    base = "a b c d e f g"
+    rows = [(1, base), (5, base), (5, "quite other words stand in here"), (9, "x y z one two three"), (9, "p q r four five six"), (3, ""), (3, ""), (3, " ")]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == sorted([(1, base), *rows[2:6], (3, " ")])

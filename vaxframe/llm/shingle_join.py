@@ -235,8 +235,8 @@ def posting_lists(postings: DataFrame) -> DataFrame:
     return lists.drop("most")
 
 
-def similar_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id): the smallest doc_id that links reach."""
+def rooted_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, n_shingles, key, root) of every row: its row key, set key and the component of its set, null without shingles."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", row_key().alias("row"), "text")
     profile = stage(docs.mapInArrow(_profile_rows, "doc_id long, row long, n_shingles long, key long, block long, counts binary"), "profile")
@@ -269,6 +269,11 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     more = verify(stage(pairs, "pairs"), docs, classes)
     roots = components(links.unionByName(more))
 
-    rooted = classes.join(roots.selectExpr("node as key", "root"), "key", "left").withColumn("root", F.expr("coalesce(root, key)"))
+    return classes.join(roots.selectExpr("node as key", "root"), "key", "left").withColumn("root", F.expr("coalesce(root, key)"))
+
+
+def similar_documents(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id): the smallest doc_id that links reach."""
+    rooted = rooted_rows(docs)
     smallest = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("smallest"))
     return rooted.join(smallest, "root", "left").selectExpr("doc_id", "n_shingles", "coalesce(smallest, doc_id) as component_id")
