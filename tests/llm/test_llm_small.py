@@ -270,6 +270,16 @@ def test_secrets(spark, none):
     assert secret_index.secrets_digest(none).count() == 0
 
 
+def test_long_secrets(spark):
+    token = lambda a, b, c: f"eyJ{'h' * a}.eyJ{'p-' * (b // 2)}.{'s_' * (c // 2)}"
+    texts = [token(30, 5000, 43 * 2), token(5000, 20, 5000), "ghp_" + "Zz" * 150, "xoxb-" + "1-z" * 100, "eyJ" * 100_000,
+             f"{token(20, 20, 8)} {token(9, 20, 20)} eyJ{'a' * 10}.{token(10, 10, 10)}", f"=x{token(12, 14, 16)}."]
+    got = by_id(secret_index.secrets_digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    third = texts[5].rindex(" ") + 1
+    assert [got[i].spans for i in range(7)] == [
+        f"jwt:0:{len(texts[0])}", f"jwt:0:{len(texts[1])}", "github:0:304", "slack:0:305", "", f"jwt:{third}:{third + 41}", f"jwt:2:{len(texts[6]) - 1}"]
+
+
 def test_trigram_queries():
     query = secret_index.trigram_query
     assert query("ab[cd]e") == [frozenset({"abc", "bce"}), frozenset({"abd", "bde"})]
