@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vaxframe.llm import decontaminate, host_reputation, outliers, personal_data, pieces, quality_model, reshard, secret_index, shingle_join, substrings
+from vaxframe.llm import (
+    conversations, decontaminate, host_reputation, line_store, outliers, personal_data, pieces, quality_model, ranked_search, reshard,
+    secret_index, shingle_join, substrings,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +56,21 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged conversations, repaired; not in SQL (a search per conversation), tested against dynamic programming."""
+    return conversations.repair_digest(table(spark, sf_dir, "conversations"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best documents of every benchmark item."""
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the lines that a larger doc_id keeps."""
+    return line_store.lines_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_sentencepiece": op2_sentencepiece,
@@ -64,6 +82,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filters": op8_url_filters,
     "op9_sharding": op9_sharding,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_line_dedup": op13_line_dedup,
 }
 
 #: Words between ASCII white space, of a whole text (null: none).
@@ -111,4 +132,23 @@ word as (select doc_id, unnest(ws) as x, unnest(range(1, len(ws) + 1)) as p from
 kept as (select doc_id, count(*) as n, string_agg(x, ' ' order by p) as t from word anti join gone using (doc_id, p) group by doc_id)
 select doc_id, cast(len(ws) as bigint) as n_words, cast(len(ws) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(t, '')) as kept_sha256
 from w left join kept using (doc_id)""",
+    "op12_ranked_search": f"""
+with d as (select doc_id, {ALNUM_WORDS} as ws from documents),
+word as (select doc_id, len(ws) as n, unnest(ws) as t from d),
+total as (select cast(count(distinct doc_id) as bigint) as n_docs, cast(count(*) as bigint) as n_terms from word),
+tf as (select doc_id, n, t, count(*) as tf from word group by all),
+want as (select item_id, unnest(list_distinct(ws)) as t from (select item_id, {ALNUM_WORDS} as ws from benchmark)),
+weight as (select t, cast(floor(1000 * ln((2.0 * n_docs + 2) / (2 * count(*) + 1))) as bigint) as w from tf, total group by t, n_docs),
+part as (select item_id, doc_id, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms))) as x from want join tf using (t) join weight using (t), total),
+scored as (select item_id, doc_id, cast(sum(x) as bigint) as score from part group by all),
+ranked as (select *, row_number() over (partition by item_id order by score desc, doc_id) as r from scored where score > 0)
+select item_id, cast(r as int) as rank, doc_id, score from ranked where r <= 10""",
+    "op13_line_dedup": r"""
+with s as (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
+line as (select doc_id, unnest(ls) as x, unnest(range(1, len(ls) + 1)) as p from s),
+keyed as (select *, translate(trim(x, E' \t\n\x0B\f\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k from line),
+active as (select k, max(doc_id) as top from keyed where length(k) >= 20 group by k having count(distinct doc_id) >= 3),
+kept as (select doc_id, count(*) as n, string_agg(x, chr(10) order by p) as t from keyed left join active using (k) where top is null or top = doc_id group by doc_id)
+select doc_id, cast(len(ls) as bigint) as n_lines, cast(len(ls) - coalesce(n, 0) as bigint) as n_dropped, sha256(coalesce(t, '')) as kept_sha256
+from s left join kept using (doc_id)""",
 }
