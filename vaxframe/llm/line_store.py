@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vaxframe.llm import words as w
-from vaxframe.sources.scratch import new_path
+from vaxframe.sources.scratch import new_path, stage
 
 LEAST_CHARS, LEAST_DOCS = 20, 3
 BLANKS = " \t\n\x0b\f\r"
@@ -288,17 +288,15 @@ class LineStore:
             passed = part if passed is None else passed.unionByName(part)
         if passed is None:
             return self.spark.createDataFrame([], "k1 long, k2 long, doc_id long")
-        path = new_path(self.spark, "lines-passed")
-        passed.write.parquet(path)
-        passed = self.spark.read.schema("shard int, k1 long, k2 long, doc_id long").parquet(path)
-        active = passed.groupBy("k1", "k2").agg(F.count("*").alias("docs"), F.max("doc_id").alias("top")).where(F.col("docs") >= LEAST_DOCS)
+        passed = stage(passed, "lines-passed")
+        counts = passed.groupBy("k1", "k2").agg(F.count("*").alias("docs"), F.max("doc_id").alias("top"))
+        active = stage(counts.where(F.col("docs") >= LEAST_DOCS), "lines-active")  # stored, so that the join knows its size before it shuffles
         return passed.join(active, ["k1", "k2"]).where("not doc_id <=> top").select("k1", "k2", "doc_id")
 
     def clean(self, docs: DataFrame) -> DataFrame:
         """(doc_id, n_lines, n_dropped, kept) of stored documents, a row for each row of ``docs``."""
-        path = new_path(self.spark, "lines-dropped")
-        self.drops().groupBy("doc_id").agg(F.collect_list("k1").alias("gone")).write.parquet(path)  # at most a document's lines
-        gone = self.spark.read.schema("id long, doc_id long, gone array<long>").parquet(path).select(F.col("doc_id").alias("id"), "gone")
+        lines = self.drops().groupBy("doc_id").agg(F.collect_list("k1").alias("gone"))  # at most a document's lines
+        gone = stage(lines, "lines-dropped").withColumnRenamed("doc_id", "id")
         # nearly half of all documents lose a line: their texts meet the lines to drop in one shuffle, in the same way at any size
         rows = docs.select("doc_id", "text").join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")), "left")
         whole = F.coalesce("text", F.lit(""))
