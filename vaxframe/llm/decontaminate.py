@@ -26,10 +26,12 @@ from vaxframe.llm import words as w
 from vaxframe.sources.scratch import stage
 
 WINDOW_WORDS = 10
-#: Text bytes of a segment, and of a block of the benchmark.
-SEGMENT_BYTES, BLOCK_BYTES = 2 << 20, 4 << 20
+#: Text bytes of a segment (or one document), and of a block of the benchmark.
+SEGMENT_BYTES, BLOCK_BYTES = 256 << 10, 4 << 20
+#: Segments of a row group: a reader holds a row group's columns at a time.
+GROUP_ROWS = 16
 #: Candidate starts that a task holds at a time.
-CANDIDATES = 2_000_000
+CANDIDATES = 250_000
 
 INDEX = "segment long, doc_ids array<long>, bounds binary, terms array<string>, offsets binary, places binary"
 
@@ -52,7 +54,8 @@ def _segments(batches):
 
 def positional_index(docs: DataFrame) -> DataFrame:
     """The stored index of (doc_id, text)."""
-    return stage(docs.select("doc_id", "text").mapInArrow(_segments, INDEX), "index")
+    rows = docs.select("doc_id", "text").mapInArrow(_segments, INDEX)
+    return stage(rows, "index", {"parquet.block.row.count.limit": GROUP_ROWS})
 
 
 class Windows:
