@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of an Arrow batch while a table is staged: the default (10,000) makes batches of tens of MB where rows hold texts.
+STAGED_BATCH_ROWS = 1000
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``).
@@ -26,8 +31,20 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/vaxframe/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Arrow batches of at most STAGED_BATCH_ROWS rows for the jobs that start inside."""
+    before = spark.conf.get(BATCH_ROWS)
+    spark.conf.set(BATCH_ROWS, str(min(STAGED_BATCH_ROWS, int(before)) if int(before) > 0 else STAGED_BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
+
+
 def stage(df: DataFrame, name: str, options: dict | None = None) -> DataFrame:
     """Write once, read back: cuts the lineage where several branches start from ``df``."""
     path = new_path(df.sparkSession, name)
-    df.write.options(**options or {}).parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.options(**options or {}).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
