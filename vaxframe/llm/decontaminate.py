@@ -159,6 +159,7 @@ def _rows(batches):
     for batch in batches:
         for i in range(batch.num_rows):
             yield {name: batch.column(name)[i] for name in batch.schema.names}
+    w.give_back()
 
 
 def _term_counts(shared):

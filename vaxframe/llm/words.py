@@ -5,6 +5,8 @@ All functions take one bounded chunk of documents. Texts are read whole; null co
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -33,7 +35,14 @@ def chunks(batches, column: str = "text", max_bytes: int = CHUNK_BYTES):
             upto = max(at + 1, int(np.searchsorted(ends, before + max_bytes, side="right")))
             yield batch.slice(at, upto - at)
             at = upto
-    pa.default_memory_pool().release_unused()  # the worker process may serve other stages
+    give_back()  # the worker process may serve other stages
+
+
+def give_back() -> None:
+    """Returns memory that the process no longer uses to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def flat_words(texts: pa.Array, table: bytes) -> tuple[pa.Array, np.ndarray]:
