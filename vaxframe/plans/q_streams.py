@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codes as C
 from ..operators import rules
+from ..sources.scratch import new_path
 from ..streaming import streams
 from .catalog import query
 from .fixtures import OBSERVATION, Registry, message_table, with_ctes
@@ -58,7 +59,7 @@ UPSERTED = ["name_last", "sex", "state", "protection_ind", "guardian_last", "rep
       where eff_type in ('VXU', 'ORU') and f.msg_id not in (select msg_id from head where severity = 'E')) t group by 1, 2""", HEAD_CTES))
 def stream_upsert(spark, sf_dir):
     accepted = job(spark, sf_dir, lambda v: v.accepted)
-    return streams.upsert_stream(message_stream(spark, sf_dir), accepted).select("org_id", "mrn", *UPSERTED)
+    return streams.upsert_stream(message_stream(spark, sf_dir), accepted).rows().select("org_id", "mrn", *UPSERTED)
 
 
 @query("stream_counts", """
@@ -69,28 +70,42 @@ def stream_upsert(spark, sf_dir):
       select *, sum(fresh) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row) as sid from (
         select *, case when ts < lag(ts) over (partition by user_id order by ts, event_id) + interval 12 hours then 0 else 1 end as fresh from events) a) b group by user_id, sid""")
 def stream_counts(spark, sf_dir):
-    def rows(agg, name, key):
-        return streams.totals(agg, name).selectExpr(f"'{name}' as kind", f"cast({key} as string) as event_type", "cast(w.start as date) as start_day",
-                                                    "hour(w.start) as start_hour", "n")
-    tumbling = rows(streams.counts(events_stream(spark, sf_dir), "ts", "1 day", None, "event_type"), "tumbling", "event_type")
-    sliding = rows(streams.counts(events_stream(spark, sf_dir), "ts", "1 day", "12 hours", "event_type"), "sliding", "event_type")
-    session = rows(streams.sessions(events_stream(spark, sf_dir), "ts", "12 hours", "user_id"), "session", "user_id")
-    return tumbling.unionByName(sliding).unionByName(session)
+    def build(events):
+        def rows(agg, kind, key):
+            return agg.selectExpr(f"'{kind}' as kind", f"cast({key} as string) as event_type", "w.start as start", "n")
+        return (rows(streams.counts(events, "ts", "1 day", None, "event_type"), "tumbling", "event_type")
+                .unionByName(rows(streams.counts(events, "ts", "1 day", "12 hours", "event_type"), "sliding", "event_type"))
+                .unionByName(rows(streams.sessions(events, "ts", "12 hours", "user_id"), "session", "user_id")))
+    closed = streams.closed_windows(events_stream(spark, sf_dir), "ts", "1 day", build, "counts")
+    return closed.selectExpr("kind", "event_type", "cast(start as date) as start_day", "hour(start) as start_hour", "n")
 
 
 RECEIVED = "ts + make_interval(0, 0, 0, cast(case when event_id % 10 = 3 then 2 else 0 end as int), cast(event_id % 5 as int), 0, 0)"
+ARRIVALS = ["2024-01-05", "2024-01-12", "2024-01-19"]  # a batch of the stream ends at each of these days, the last one after them
+SLICE = " + ".join(f"cast(received >= timestamp '{d} 00:00:00' as int)" for d in ARRIVALS)
 
 
-@query("late_messages", """
-    select e.user_id, e.value, last_received, late from (select user_id, arg_max(value, (received, event_id)) as value, strftime(max(received), '%Y-%m-%d %H:%M') as last_received, count(*) filter (received > ts + interval 1 day) as late
-      from (select *, ts + to_days(case when event_id % 10 = 3 then 2 else 0 end) + to_hours(event_id % 5) as received from events) t group by 1) e""")
+@query("late_messages", f"""
+    with e as (select *, ts + to_days(case when event_id % 10 = 3 then 2 else 0 end) + to_hours(event_id % 5) as received from events),
+    s as (select *, {SLICE} as slice from e),
+    m as (select x.slice, (select max(ts) from s y where y.slice < x.slice) - interval 12 hours as mark from (select distinct slice from s) x),
+    t as (select s.*, coalesce(date_trunc('day', ts) + interval 1 day <= mark, false) as is_late from s join m using (slice))
+    select user_id, arg_max(value, (received, event_id)) as value, strftime(max(received), '%Y-%m-%d %H:%M') as last_received, count(*) filter (is_late) as late,
+      count(distinct date_trunc('day', ts)) filter (not is_late) as days from t group by 1""")
 def late_messages(spark, sf_dir):
-    events = events_stream(spark, sf_dir).selectExpr("*", f"{RECEIVED} as received")
-    on_time, late = streams.split_late(events, "ts", "received", "1 day")
+    """Events land in four batches by arrival; what comes after its day was closed goes to the side table."""
+    landing = new_path(spark, "arrivals")
+    source = Registry(spark, sf_dir).table("events").selectExpr("event_id", f"{TS} as ts", "user_id", "value").selectExpr("*", f"{RECEIVED} as received")
+    split = streams.LateSplit(spark, "ts", "12 hours", "1 day")
+    for k in range(len(ARRIVALS) + 1):
+        source.where(f"{SLICE} = {k}").write.mode("append").parquet(landing)
+        split.run(spark.readStream.schema(source.schema).parquet(landing))
+    on_time, late = split.on_time(), split.late()
     known = streams.last_known(on_time.unionByName(late), "user_id", "received", "value")
     n_late = late.groupBy("user_id").agg(F.count("*").alias("late"))
-    return known.join(n_late, "user_id", "left").selectExpr(
-        "user_id", "value", "date_format(last_received, 'yyyy-MM-dd HH:mm') as last_received", "coalesce(late, 0) as late")
+    days = on_time.groupBy("user_id").agg(F.count_distinct(F.to_date("ts")).alias("days"))
+    return known.join(n_late, "user_id", "left").join(days, "user_id", "left").selectExpr(
+        "user_id", "value", "date_format(last_received, 'yyyy-MM-dd HH:mm') as last_received", "coalesce(late, 0) as late", "coalesce(days, 0) as days")
 
 
 @query("stream_lookup", with_ctes("fx_observation loinc", """

@@ -8,6 +8,7 @@ runs again after a failure leaves the same files.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..operators import upsert
 from ..sources.scratch import new_path
+from .registry import Registry, reduce_batch  # noqa: F401
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -87,66 +89,79 @@ def sessions(events: DataFrame, ts: str, gap: str, *keys: str) -> DataFrame:
     return events.groupBy(F.session_window(ts, gap).alias("w"), *keys).agg(F.count("*").alias("n"))
 
 
-def totals(aggregated: DataFrame, name: str) -> DataFrame:
-    """The complete result of a windowed aggregation, as the last batch left it."""
-    spark = aggregated.sparkSession
-    path = new_path(spark, name)
+#: Event time of the row that closes the windows still open; far from any event.
+FAR = "timestamp '9000-01-01 00:00:00'"
 
-    def write(df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(path)
 
-    run_available(aggregated, name, write, "complete")
-    return spark.read.parquet(path)
+def closed_windows(events: DataFrame, ts: str, delay: str, build: Callable[[DataFrame], DataFrame], name: str,
+                   path: str | None = None, checkpoint: str | None = None, close: bool = True) -> DataFrame:
+    """Windowed aggregates in append mode: a window is written once, when the watermark has passed its end, and leaves the state.
 
+    ``build`` makes the aggregates from the events with their watermark (several may be united).  ``close`` ends
+    the stream: a last batch of one row far in the future closes what is open.  Without it the next run with the
+    same ``path`` and ``checkpoint`` goes on.
+    """
+    spark = events.sparkSession
+    path, checkpoint = path or new_path(spark, name), checkpoint or new_path(spark, f"{name}-checkpoint")
+    folder = f"{checkpoint}-end"
+    target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(target)
+    ended = events.unionByName(spark.readStream.schema(events.schema).parquet(folder))
+    result = build(ended.withWatermark(ts, delay))
+    rows = run_to_files(result, name, path, checkpoint)
+    if close:
+        spark.range(1).select(*[(F.expr(FAR) if f.name == ts else F.lit(None)).cast(f.dataType).alias(f.name) for f in events.schema]).write.mode("append").parquet(folder)
+        rows = run_to_files(result, name, path, checkpoint)
+    return rows
 
-# Upserts: a registry kept as one reduced part per batch.  Parts merge with the
-# same aggregation that makes them (a maximum by arrival), so a batch only
-# appends its own part and nothing that exists is rewritten.
 
-def reduce_batch(batch: DataFrame, keys: list[str], groups: dict[str, tuple[list[str], str | None]], order: list[str], date: str) -> DataFrame:
-    """One row per key with the last value (and its order) of every column group."""
-    def last(cols, where):
-        keep = f" filter (where {where})" if where else ""
-        return f"max(struct({', '.join(order)}, struct({', '.join(cols)}) as v)){keep}"
+def upsert_stream(messages: DataFrame, accepted: Callable[[DataFrame], DataFrame], keys: list[str] | None = None,
+                  groups: dict | None = None, order: list[str] | None = None, path: str | None = None,
+                  checkpoint: str | None = None, buckets: int = 16) -> Registry:
+    """The registry after streaming all messages through ``accepted`` (a batch job); the same paths go on with it."""
+    spark = messages.sparkSession
+    registry = Registry(spark, path or new_path(spark, "registry"), keys or ["org_id", "mrn"], groups or upsert.PATIENT_GROUPS,
+                        order or ["received_date", "msg_id"], "received_date", buckets)
+    run_available(messages, "upsert", lambda df, batch_id: registry.apply(accepted(df), batch_id), checkpoint=checkpoint)
+    return registry
 
-    return batch.groupBy(*keys).agg(
-        *[F.expr(f"{last(cols, where)} as {g}") for g, (cols, where) in groups.items()],
-        F.min(date).alias("reported_date"), F.max(date).alias("updated_date"))
 
+def watermark_of(spark: SparkSession, checkpoint: str, batch_id: int) -> int:
+    """The watermark (ms) that the engine wrote down for a batch before it ran it."""
+    lines = spark.read.text(f"{checkpoint}/offsets/{batch_id}").collect()  # a few lines; the second one holds the watermark
+    return next(json.loads(r.value)["batchWatermarkMs"] for r in lines if r.value.startswith("{") and "batchWatermarkMs" in r.value)
 
-def merge_parts(parts: DataFrame, keys: list[str], groups: dict[str, tuple[list[str], str | None]]) -> DataFrame:
-    """The registry: the parts of all batches merged per key."""
-    merged = parts.groupBy(*keys).agg(*[F.max(g).alias(g) for g in groups], F.min("reported_date").alias("reported_date"),
-                                      F.max("updated_date").alias("updated_date"))
-    return merged.selectExpr(*keys, *[f"{g}.v.{c} as {c}" for g, (cols, _) in groups.items() for c in cols],
-                             "reported_date", "updated_date")
 
+class LateSplit:
+    """Splits a stream at its own watermark: a row is late when its window was closed before the row's batch.
 
-def upsert_stream(messages: DataFrame, accepted: Callable[[DataFrame], DataFrame], keys: list[str] | None = None,
-                  groups: dict | None = None, order: list[str] | None = None) -> DataFrame:
-    """Registry rows after streaming all messages through ``accepted`` (a batch job)."""
-    spark = messages.sparkSession
-    keys, groups = keys or ["org_id", "mrn"], groups or upsert.PATIENT_GROUPS
-    order = order or ["received_date", "msg_id"]
-    path = new_path(spark, "registry-parts")
-    job = lambda df: reduce_batch(accepted(df), keys, groups, order, "received_date")
-    run_available(messages, "upsert", batch_writer(path, job))
-    return merge_parts(spark.read.parquet(path), keys, groups)
+    These are the rows that an aggregation over the window with the same watermark drops.  Both sides are written by
+    batch id, so a batch that runs again leaves the same files.
+    """
 
+    def __init__(self, spark: SparkSession, ts: str, delay: str, width: str, path: str | None = None, checkpoint: str | None = None):
+        self.spark, self.ts, self.delay, self.width = spark, ts, delay, width
+        self.path, self.checkpoint = path or new_path(spark, "late"), checkpoint or new_path(spark, "late-checkpoint")
 
-def split_late(events: DataFrame, ts: str, received: str, delay: str) -> tuple[DataFrame, DataFrame]:
-    """(on time, late) rows: late ones arrived more than ``delay`` after their event time."""
-    spark = events.sparkSession
-    path = new_path(spark, "late")
+    def run(self, events: DataFrame) -> None:
+        """Takes in what there is now."""
+        def write(df: DataFrame, batch_id: int) -> None:
+            mark = watermark_of(self.spark, self.checkpoint, batch_id)
+            tagged = df.withColumn("is_late", F.window(self.ts, self.width).end <= F.timestamp_millis(F.lit(mark)))
+            tagged.write.mode("overwrite").partitionBy("is_late").parquet(f"{self.path}/batch_id={batch_id}")
 
-    def write(df: DataFrame, batch_id: int) -> None:
-        tagged = df.withColumn("is_late", F.expr(f"{received} > {ts} + interval {delay}"))
-        tagged.write.mode("overwrite").partitionBy("is_late").parquet(f"{path}/batch_id={batch_id}")
+        run_available(events.withWatermark(self.ts, self.delay), "late", write, checkpoint=self.checkpoint)
+
+    def _side(self, late: bool) -> DataFrame:
+        rows = self.spark.read.parquet(self.path)
+        return rows.where(F.col("is_late").cast("boolean") == F.lit(late)).drop("is_late", "batch_id")
+
+    def on_time(self) -> DataFrame:
+        return self._side(False)
 
-    run_available(events, "late", write)
-    rows = spark.read.parquet(path)
-    late = "cast(is_late as boolean)"
-    return rows.where(f"not {late}").drop("is_late", "batch_id"), rows.where(late).drop("is_late", "batch_id")
+    def late(self) -> DataFrame:
+        """The side table."""
+        return self._side(True)
 
 
 def last_known(events: DataFrame, key: str, received: str, value: str) -> DataFrame:
