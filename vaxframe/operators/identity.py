@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import stage
 
-PATIENT_COLUMNS = ["patient_id", "name_last", "name_first", "name_middle", "birth_date", "sex", "reported_date"]
+PATIENT_COLUMNS = ["patient_id", "name_last", "name_first", "name_middle", "birth_date", "sex", "reported_date", "reported_ts"]
 
 
 def _struct(columns: list[str]) -> str:

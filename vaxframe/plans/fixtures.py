@@ -35,9 +35,12 @@ def birth(key: str) -> str:
     return f"cast(date '1950-01-01' + cast(({key} % 240) * 75 as int) as date)"
 
 
+#: When the queries are asked; some patients were reported in the two minutes before.
+ASKED = "timestamp '2002-01-01 00:03:00'"
+
 FLAVOR_RULES = {
     "SOURSOP": "org_id % 11 = 1", "SNAIL30": "org_id % 15 = 3", "SNAIL60": "org_id % 15 = 4",
-    "SNAIL90": "org_id % 15 = 5", "CANTALOUPE": "org_id % 8 = 3", "PEAR": "org_id % 9 = 4",
+    "SNAIL90": "org_id % 15 = 5", "SNAIL": "org_id % 15 = 6", "CANTALOUPE": "org_id % 8 = 3", "PEAR": "org_id % 9 = 4",
     "SPRUCE": "org_id % 7 = 2", "CLEMENTINE": "org_id % 6 = 1", "CRANBERRY": "org_id % 11 = 5",
     "BILBERRY": "org_id % 11 = 6", "QUINZE": "org_id % 10 = 3", "ELDERBERRIES": "org_id % 10 = 4",
     "GUAVA": "org_id % 6 = 0", "FIG": "org_id % 4 = 0", "BLACKBERRY": "org_id % 12 = 7",
@@ -74,6 +77,8 @@ PATIENT = {
     "guardian_first": "case when c_custkey % 8 = 0 then '' else concat('H', c_custkey % 30) end",
     "guardian_relationship": "case c_custkey % 5 when 0 then 'MTH' when 1 then 'FTH' when 2 then '' when 3 then 'QQQ' else 'GRD' end",
     "reported_date": "cast(date '1995-01-01' + cast(c_custkey % 2000 as int) as date)",
+    "reported_ts": f"case when c_custkey % 3 = 1 then {ASKED} - interval '1' second * (c_custkey % 120) "
+                   "else cast(cast(date '1995-01-01' + cast(c_custkey % 2000 as int) as date) as timestamp) end",
     "lon": "cast(c_custkey % 300 - 7450 as double) / 100",
     "lat": "cast(c_custkey % 250 + 1750 as double) / 100",
 }
