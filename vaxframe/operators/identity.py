@@ -175,6 +175,27 @@ def dedup_vaccinations(reports: DataFrame, on: tuple[str, ...] = ("patient_id",
             .selectExpr(*reports.columns, f"coalesce(__master, {order}) as master_id"))
 
 
+def join_masters(reports: DataFrame, on: tuple[str, ...], optional: str, order: str, given: str) -> DataFrame:
+    """Adds ``master_id``: stored reports (``given`` is set) keep theirs, new ones join as if added after them in ``order``.
+
+    As in :func:`dedup_vaccinations` only minima per key are needed.  With m0 the first of the group, n0 its first
+    without ``optional`` and f the first with the same value (stored ones before new ones), a report without it
+    follows m0, and any other follows f, or when n0 comes before f, n0 if that is stored and m0 if it is new.
+    """
+    keys = list(on)
+    value = f"nullif({optional}, '')"
+    rows = reports.selectExpr("*", f"{value} as __v", f"struct({given} is null as fresh, {order} as place, {given} as master) as __o")
+    first = rows.groupBy(*keys, "__v").agg(F.min("__o").alias("__f"))
+    group = first.groupBy(*keys).agg(F.min("__f").alias("__m0"), F.min(F.expr("case when __v is null then __f end")).alias("__n0"))
+    side = first.join(group, keys).selectExpr(
+        *[f"{k} as __{k}" for k in keys], "__v as __side_v",
+        "case when __v is null then __m0 when __n0 < __f then case when __n0.fresh then __m0 else __n0 end else __f end as __to")
+    same = " and ".join([f"{k} <=> __{k}" for k in keys] + [f"{value} <=> __side_v"])
+    # a report with a missing key matches nothing and is its own master
+    return (reports.join(side, F.expr(same), "left")
+            .selectExpr(*reports.columns, f"coalesce({given}, __to.master, __to.place, {order}) as master_id"))
+
+
 def get_or_create(existing: DataFrame, incoming: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Existing rows plus the first incoming row of every unknown key."""
     columns = [c for c in existing.columns if c not in keys]

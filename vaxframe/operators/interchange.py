@@ -6,7 +6,9 @@ fields, so optional parts are simply NULL.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import cached_property
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codes as C
@@ -146,26 +148,97 @@ def parse_events(events: DataFrame, received: str = "received_date") -> DataFram
         f"case when {i}.primarySource then '00' else '01' end as info_source",
         f"coalesce({i}.patient.reference, '') as patient_ref",
         f"coalesce({at}.id, '') as facility_code", f"{at}.name as facility_name", f"get({at}.address.line, 0) as facility_line1",
-        f"get({at}.address.line, 1) as facility_line2", f"{at}.address.city as facility_city", f"{at}.address.state as facility_state")
+        f"get({at}.address.line, 1) as facility_line2", f"{at}.address.city as facility_city", f"{at}.address.state as facility_state",
+        f"{at}.address.postalCode as facility_zip", f"{at}.address.country as facility_country")
+
+
+LOCATION = ["facility_name", "facility_line1", "facility_line2", "facility_city", "facility_state", "facility_zip", "facility_country"]
+
+
+def locations_of(events: DataFrame) -> DataFrame:
+    """Location columns of the parsed events that name one."""
+    return events.where("facility_code <> ''").select("org_id", "facility_code", *LOCATION, "arrival")
+
 
+#: The stored tables of the ingest, by name.
+REPORT = ["cvx", "administered_date", "reported_date", "lot", "amount", "info_source", "refusal_code", "facility_code"]
+STORE = {
+    "reports": "org_id int, mrn string, vr_link string, first_arrival string, cvx string, administered_date date, reported_date date, lot string, amount string, "
+               "info_source string, refusal_code string, facility_code string, vaccination_master string",
+    "vaccination_masters": "vaccination_master string, org_id int, mrn string, cvx string, administered_date date",
+    "patients": "org_id int, mrn string, patient_master string, confidence int",
+    "patient_masters": "patient_master string, name_last string, name_first string, birth_date date",
+    "locations": "org_id int, facility_code string, " + ", ".join(f"{c} string" for c in LOCATION),
+}
 
-def fhir_ingest(events: DataFrame, known_patients: DataFrame, reports: DataFrame, masters: DataFrame) -> DataFrame:
-    """Accepted reports with their patient master and vaccination master.
 
-    ``events`` are parsed rows with msg_id, org_id and ``arrival``.  Rejected
-    events are left out; the last event of a report wins; equal vaccinations of
-    a patient share a master.
+def empty_store(spark: SparkSession) -> dict[str, DataFrame]:
+    return {name: spark.createDataFrame([], schema) for name, schema in STORE.items()}
+
+
+class Ingest:
+    """The stored tables after a batch of parsed events (with msg_id, org_id and ``arrival``).
+
+    * Rejected events (V60-V63) leave nothing behind, and the last event of a report wins.
+    * A report that is stored keeps its vaccination master; a new one joins the master of the earliest stored or new
+      report of its patient that equals it, else it makes a master with its code and date.
+    * A patient that is stored keeps its master; a new one is linked to a stored or new master by name and birth date.
+    * A location is made by the first event that names it and stays as it was made.
+
+    Only the tables that are asked for are computed; :meth:`write` writes all of them once, as the next batch's store.
     """
-    good = rules.fhir_checked(events, known_patients).where("size(found) = 0")
-    columns = ["cvx", "administered_date", "reported_date", "lot", "amount", "info_source", "refusal_code", "facility_code"]
-    person = ["name_last", "name_first", "birth_date"]
-    # one pass over the events; the written table feeds both matchings
-    latest = stage(good.groupBy("org_id", "mrn", "vr_link")
-                   .agg(F.expr(f"max_by(struct({', '.join(columns)}), arrival) as r"), F.min("arrival").alias("first_arrival"),
-                        F.expr(f"min_by(struct({', '.join(person)}), arrival) as p"))
-                   .selectExpr("org_id", "mrn", "vr_link", "first_arrival", "r.*", "p"), "ingest")
-    shared = identity.dedup_vaccinations(latest.drop("p"), ("org_id", "mrn", "cvx", "administered_date", "info_source"), "lot", "first_arrival")
-    batch = latest.selectExpr("org_id", "mrn", "first_arrival as arrival", "p.*")
-    linked = identity.link_patients(batch, reports, masters)
-    people = linked.selectExpr("org_id", "mrn", "coalesce(cast(master_id as string), concat('new ', new_master)) as patient_master", "confidence")
-    return shared.withColumnRenamed("master_id", "vaccination_master").join(people, ["org_id", "mrn"])
+
+    KEY = ["org_id", "mrn", "vr_link"]
+    PERSON = ["name_last", "name_first", "birth_date"]
+
+    def __init__(self, store: dict[str, DataFrame], events: DataFrame, known_patients: DataFrame):
+        self.store, self.events, self.known_patients = store, events, known_patients
+
+    @cached_property
+    def accepted(self) -> DataFrame:
+        good = rules.fhir_checked(self.events, self.known_patients).where("size(found) = 0")
+        return stage(good.select(*self.KEY, "arrival", *REPORT, *self.PERSON, *LOCATION), "fhir-accepted")
+
+    @cached_property
+    def _matched(self) -> DataFrame:
+        """All reports with ``given`` (the stored master) and ``master_id``."""
+        latest = self.accepted.groupBy(*self.KEY).agg(F.expr(f"max_by(struct({', '.join(REPORT)}), arrival) as r"), F.min("arrival").alias("seen"))
+        stored = self.store["reports"].selectExpr(*self.KEY, "first_arrival as stored_arrival", f"struct({', '.join(REPORT)}) as s", "vaccination_master as given")
+        merged = stored.join(latest, self.KEY, "full").selectExpr(*self.KEY, "coalesce(stored_arrival, seen) as first_arrival", "coalesce(r, s) as r", "given")
+        merged = stage(merged.selectExpr(*self.KEY, "first_arrival", "r.*", "given"), "fhir-reports")
+        return identity.join_masters(merged, ("org_id", "mrn", "cvx", "administered_date", "info_source"), "lot", "first_arrival", "given")
+
+    @cached_property
+    def _linked(self) -> DataFrame:
+        """New patients with their master."""
+        batch = self.accepted.groupBy("org_id", "mrn").agg(F.min("arrival").alias("arrival"), F.expr(f"min_by(struct({', '.join(self.PERSON)}), arrival) as p"))
+        fresh = batch.join(self.store["patients"], ["org_id", "mrn"], "left_anti").selectExpr("org_id", "mrn", "arrival", "p.*")
+        masters = self.store["patient_masters"].withColumnRenamed("patient_master", "master_id")
+        none = self.store["patients"].selectExpr("org_id", "mrn", "patient_master as master_id").limit(0)
+        return identity.link_patients(fresh, none, masters).withColumn("patient_master", F.expr("coalesce(master_id, new_master)"))
+
+    @property
+    def reports(self) -> DataFrame:
+        return self._matched.withColumnRenamed("master_id", "vaccination_master").select(*self.KEY, "first_arrival", *REPORT, "vaccination_master")
+
+    @property
+    def vaccination_masters(self) -> DataFrame:
+        made = self._matched.where("given is null and master_id = first_arrival").withColumnRenamed("master_id", "vaccination_master")
+        old = self.store["vaccination_masters"]
+        return old.unionByName(made.select(old.columns))
+
+    @property
+    def patients(self) -> DataFrame:
+        return self.store["patients"].unionByName(self._linked.select("org_id", "mrn", "patient_master", "confidence"))
+
+    @property
+    def patient_masters(self) -> DataFrame:
+        return self.store["patient_masters"].unionByName(self._linked.where("new_master = arrival").select("patient_master", *self.PERSON))
+
+    @property
+    def locations(self) -> DataFrame:
+        return identity.get_or_create(self.store["locations"], locations_of(self.accepted), ["org_id", "facility_code"], "arrival").drop("created")
+
+    def write(self, *names: str) -> dict[str, DataFrame]:
+        """The named tables (all of them), written and read back."""
+        return {name: stage(getattr(self, name), f"fhir-{name}") for name in names or STORE}

@@ -72,6 +72,24 @@ def upsert_vaccinations(registry: DataFrame, batch: DataFrame) -> DataFrame:
     return upsert(registry, batch, ["org_id", "mrn", "vr_link"], DOSE_GROUPS, "struct(received_date, msg_id, order_no)", "received_date")
 
 
+def vaccination_masters(masters: DataFrame, links: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(masters, links) after a batch of accepted doses.
+
+    ``links`` (org_id, mrn, vr_link, master_id) names the master of every stored report, and several may share one.
+    A new report makes a master of its own, named by its key.  Each changed report hands its code and date on to its
+    master, so the last one in the batch (``last_report``) decides; masters without a changed report stay.
+    """
+    key, order = ["org_id", "mrn", "vr_link"], "struct(received_date, msg_id, order_no)"
+    latest = (batch.groupBy(*key).agg(F.expr(f"max_by(struct(cvx, administered_date, {order} as ord), {order}) as r")).selectExpr(*key, "r.*"))
+    changed = latest.join(links, key, "left").selectExpr(
+        *key, "cvx", "administered_date", "ord", "master_id is null as fresh", "coalesce(master_id, concat_ws('/', org_id, mrn, vr_link)) as master_id")
+    linked = links.unionByName(changed.where("fresh").select(*key, "master_id"))
+    new = changed.groupBy("org_id", "mrn", "master_id").agg(F.expr("max_by(struct(cvx, administered_date, vr_link as last_report), ord) as n"))
+    old = masters.selectExpr("org_id", "mrn", "master_id", "struct(cvx, administered_date, last_report) as o")
+    merged = old.join(new, ["org_id", "mrn", "master_id"], "full").selectExpr("org_id", "mrn", "master_id", "coalesce(n, o) as r", "o is null as created")
+    return merged.selectExpr("org_id", "mrn", "master_id", "r.*", "created"), linked
+
+
 def upsert_observations(registry: DataFrame, batch: DataFrame) -> DataFrame:
     """Observations by (org_id, mrn, vr_link, identifier_code); '' as link means "no vaccination"."""
     return upsert(registry, batch, ["org_id", "mrn", "vr_link", "identifier_code"], OBSERVATION_GROUPS,

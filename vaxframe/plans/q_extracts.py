@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import identity, interchange, rules
 from .catalog import query
 from .fixtures import Registry, with_ctes
@@ -96,7 +98,9 @@ def events(spark, sf_dir):
         'immunization', named_struct('identifier', array(named_struct('value', {EVENT['link']})), 'recorded', case when part_id % 2 = 0 then reported_date end, 'occurrenceDateTime', administered_date,
             'lotNumber', case when facility_id % 4 = 0 then '' else lot end, 'doseQuantity', named_struct('value', cast(amount as decimal(18,4))), 'primarySource', info_source = '00',
             'vaccineCode', named_struct('coding', array(named_struct('code', cvx))), 'patient', named_struct('reference', {EVENT['ref']}),
-            'location', named_struct('id', concat('FAC', facility_id), 'name', concat('Facility ', facility_id)))))"""
+            'location', named_struct('id', case when part_id % 13 = 0 then '' else concat('FAC', facility_id) end, 'name', concat('Facility ', facility_id), 'address', named_struct(
+                'line', case when part_id % 2 = 0 then array('1 Way') else array('1 Way', concat('Room ', part_id % 9)) end, 'city', concat('Town', facility_id % 60), 'state', 'MI',
+                'postalCode', concat(49000 + part_id % 9), 'country', case when part_id % 4 = 0 then null else 'USA' end)))))"""
     raw = rows.selectExpr(f"{VORD} as msg_id", f"{VORD} as arrival", "org_id", "reported_date as received_date", f"{event} as event")
     return interchange.parse_events(raw)
 
@@ -106,23 +110,89 @@ def dq_fhir(spark, sf_dir):
     return rules.fhir_findings(events(spark, sf_dir), Registry(spark, sf_dir).patients()).select("msg_id", "rule")
 
 
-@query("fhir_ingest", with_ctes("fx_vaccination fx_patient", f"""
-    select org_id, mrn, vr_link, cvx, administered_date, reported_date, lot, info_source, facility_code, patient_master, confidence,
-      case when nullif(lot, '') is null or n0 < f then m0 else f end as vaccination_master
-    from (select l.*, min(first_arrival) over g as m0, min(case when lot = '' then first_arrival end) over g as n0, min(first_arrival) over (partition by l.org_id, l.mrn, cvx, administered_date, info_source, lot) as f
-      from latest l window g as (partition by l.org_id, l.mrn, cvx, administered_date, info_source)) t join person using (org_id, mrn)""",
-    {**EVENTS_CTE, "good": f"select * from ev where ({FHIR_RULE}) is null",
-     "latest": """select org_id, mrn, vr_link, min(msg_id) as first_arrival, arg_max(cvx, msg_id) as cvx, arg_max(administered_date, msg_id) as administered_date,
-        arg_max(reported_date, msg_id) as reported_date, arg_max(lot, msg_id) as lot, arg_max(info_source, msg_id) as info_source, arg_max('FAC' || cast(facility_id as string), msg_id) as facility_code
-        from good group by 1, 2, 3""",
-     "firsts": "select org_id, mrn, arg_min(name_last, msg_id) as name_last, arg_min(name_first, msg_id) as name_first, arg_min(birth_date, msg_id) as birth_date, min(msg_id) as arrival from good group by 1, 2",
-     "person": """select org_id, mrn, 'new ' || maker as patient_master, cast(case when maker = arrival then null when maker_birth = birth_date then 2 else 1 end as int) as confidence
-        from (select *, min(arrival) over w as maker, arg_min(birth_date, arrival) over w as maker_birth from firsts window w as (partition by name_last, name_first)) t"""}))
-def fhir_ingest(spark, sf_dir):
+BY = "part_id % 3 = 0"  # the events that come first
+FACILITY = "case when part_id % 13 = 0 then '' else 'FAC' || cast(facility_id as string) end"
+
+
+def _latest(source):
+    return f"""select org_id, mrn, vr_link, min(msg_id) as first_arrival, arg_max(cvx, msg_id) as cvx, arg_max(administered_date, msg_id) as administered_date,
+        arg_max(reported_date, msg_id) as reported_date, arg_max(lot, msg_id) as lot, arg_max(info_source, msg_id) as info_source, arg_max(facility_code, msg_id) as facility_code
+        from {source} group by 1, 2, 3"""
+
+
+def _firsts(source):
+    return f"""select org_id, mrn, arg_min(name_last, msg_id) as name_last, arg_min(name_first, msg_id) as name_first, arg_min(birth_date, msg_id) as birth_date, min(msg_id) as arrival
+        from {source} group by 1, 2"""
+
+
+GROUP = "partition by org_id, mrn, cvx, administered_date, info_source"
+INGEST_CTES = {
+    "ev": EVENTS_CTE["ev"].replace("facility_id\n", f"facility_id, part_id, {FACILITY} as facility_code\n"),
+    "good": f"select * from ev where ({FHIR_RULE}) is null",
+    "good1": f"select * from good where {BY}", "good2": f"select * from good where not ({BY})",
+    "latest1": _latest("good1"), "latest2": _latest("good2"),
+    "stored": f"""select * exclude (m0, n0, f), case when lot = '' or n0 < f then m0 else f end as master from (select *, min(first_arrival) over ({GROUP}) as m0,
+        min(case when lot = '' then first_arrival end) over ({GROUP}) as n0, min(first_arrival) over ({GROUP}, lot) as f from latest1) t""",
+    "merged": """select coalesce(s.org_id, n.org_id) as org_id, coalesce(s.mrn, n.mrn) as mrn, coalesce(s.vr_link, n.vr_link) as vr_link, coalesce(s.first_arrival, n.first_arrival) as first_arrival,
+        coalesce(n.cvx, s.cvx) as cvx, coalesce(n.administered_date, s.administered_date) as administered_date, coalesce(n.reported_date, s.reported_date) as reported_date,
+        coalesce(n.lot, s.lot) as lot, coalesce(n.info_source, s.info_source) as info_source, coalesce(n.facility_code, s.facility_code) as facility_code, s.master as given,
+        (case when s.master is null then '1' else '0' end) || coalesce(s.first_arrival, n.first_arrival) as o
+        from stored s full join latest2 n on s.org_id = n.org_id and s.mrn = n.mrn and s.vr_link = n.vr_link""",
+    "told": f"""select *, case when lot = '' then m0 when n0 < f then (case when n0[1] = '0' then n0 else m0 end) else f end as t from (select *, min(o) over ({GROUP}) as m0,
+        min(case when lot = '' then o end) over ({GROUP}) as n0, min(o) over ({GROUP}, lot) as f from merged) t""",
+    "report": """select told.* exclude (m0, n0, f, o), coalesce(told.given, s.master, substr(t, 2)) as vaccination_master from told
+        left join (select first_arrival as fa, org_id as so, mrn as sm, master from stored) s on t = '0' || fa and told.org_id = so and told.mrn = sm""",
+    "firsts1": _firsts("good1"), "firsts2": _firsts("good2"),
+    "person1": """select *, maker as patient_master, cast(case when maker = arrival then null when maker_birth = birth_date then 2 else 1 end as int) as confidence
+        from (select *, min(arrival) over w as maker, arg_min(birth_date, arrival) over w as maker_birth from firsts1 window w as (partition by name_last, name_first)) t""",
+    "masters1": "select patient_master, name_last, name_first, birth_date from person1 where patient_master = arrival",
+    "placed": """select f.*, (select min(patient_master) from masters1 m where m.name_last = f.name_last and m.name_first = f.name_first and m.birth_date = f.birth_date) as exact_m,
+        (select min(patient_master) from masters1 m where m.name_last = f.name_last and m.name_first = f.name_first) as named_m
+        from firsts2 f where not exists (select 1 from person1 p where p.org_id = f.org_id and p.mrn = f.mrn)""",
+    "made": """select *, min(case when named_m is null then arrival end) over w as maker, arg_min(birth_date, arrival) filter (named_m is null) over w as maker_birth
+        from placed window w as (partition by name_last, name_first)""",
+    "person": """select org_id, mrn, patient_master, confidence from person1 union all
+        select org_id, mrn, coalesce(exact_m, named_m, maker), cast(case when exact_m is not null then 2 when named_m is not null then 1 when maker = arrival then null when maker_birth = birth_date then 2 else 1 end as int) from made""",
+}
+
+
+def ingested(spark, sf_dir, *needed):
+    """The stored tables after two batches: a third of the events first, then the others.
+
+    ``needed`` are the tables of the first batch that the asked ones build on.
+    """
     r = Registry(spark, sf_dir)
-    rows = events(spark, sf_dir)
-    reports = r.patients().selectExpr("org_id", "mrn", "cast(null as string) as master_id").limit(0)
-    masters = r.patients().selectExpr("cast(null as string) as master_id", "name_last", "name_first", "birth_date").limit(0)
-    return interchange.fhir_ingest(rows, r.patients(), reports, masters).select(
+    rows = events(spark, sf_dir).withColumn("part_id", F.expr("cast(split_part(msg_id, '/', 2) as bigint)"))
+    empty = interchange.empty_store(spark)
+    store = empty | interchange.Ingest(empty, rows.where(BY), r.patients()).write(*needed)
+    return interchange.Ingest(store, rows.where(f"not ({BY})"), r.patients())
+
+
+@query("fhir_ingest", with_ctes("fx_vaccination fx_patient", """
+    select org_id, mrn, vr_link, cvx, administered_date, reported_date, lot, info_source, facility_code, vaccination_master, patient_master, confidence
+    from report join person using (org_id, mrn)""", INGEST_CTES))
+def fhir_ingest(spark, sf_dir):
+    after = ingested(spark, sf_dir, "reports", "patients", "patient_masters")
+    return after.reports.join(after.patients, ["org_id", "mrn"]).select(
         "org_id", "mrn", "vr_link", "cvx", "administered_date", "reported_date", "lot", "info_source", "facility_code",
-        "patient_master", "confidence", "vaccination_master")
+        "vaccination_master", "patient_master", "confidence")
+
+
+@query("fhir_masters", with_ctes("fx_vaccination fx_patient", """
+    select 'vaccination' as kind, master as master_id, cvx as label, administered_date as day from stored where master = first_arrival union all
+    select 'vaccination', vaccination_master, cvx, administered_date from report where given is null and vaccination_master = first_arrival union all
+    select 'patient', patient_master, name_last || ' ' || name_first, birth_date from masters1 union all
+    select 'patient', maker, name_last || ' ' || name_first, birth_date from made where named_m is null and maker = arrival""", INGEST_CTES))
+def fhir_masters(spark, sf_dir):
+    after = ingested(spark, sf_dir, "reports", "vaccination_masters", "patients", "patient_masters")
+    shots = after.vaccination_masters.selectExpr("'vaccination' as kind", "vaccination_master as master_id", "cvx as label", "administered_date as day")
+    return shots.unionByName(after.patient_masters.selectExpr(
+        "'patient' as kind", "patient_master as master_id", "concat(name_last, ' ', name_first) as label", "birth_date as day"))
+
+
+@query("fhir_locations", with_ctes("fx_vaccination fx_patient", f"""
+    select org_id, facility_code, 'Facility ' || cast(facility_id as string) as facility_name, '1 Way' as facility_line1, case when part_id % 2 <> 0 then 'Room ' || cast(part_id % 9 as string) end as facility_line2,
+      'Town' || cast(facility_id % 60 as string) as facility_city, 'MI' as facility_state, cast(49000 + part_id % 9 as string) as facility_zip, case when part_id % 4 <> 0 then 'USA' end as facility_country
+    from (select *, row_number() over (partition by org_id, facility_code order by ({BY}) desc, msg_id) as rn from good where facility_code <> '') t where rn = 1""", INGEST_CTES))
+def fhir_locations(spark, sf_dir):
+    return ingested(spark, sf_dir, "locations").locations.select("org_id", "facility_code", *interchange.LOCATION)

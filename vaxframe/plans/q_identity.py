@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import acceptance, codemap, identity, respond, rules, upsert
 from ..functions import codes as C
+from ..sources.scratch import stage
 from .catalog import query
 from .fixtures import PATIENT, VACCINATION, Registry, with_ctes
 from .q_messages import DATE, FULL, LENIENT, ORDER_CTES, validation
@@ -168,12 +169,12 @@ def link_patients(spark, sf_dir):
 
 
 @query("match_vaccination", with_ctes("fx_vaccination", f"""
-    select b.{VACC_KEYS.replace(', ', ', b.')}, r.report_id from (select * from fx_vaccination where reported_date >= date '{CUT}') b left join
+    select b.{VACC_KEYS.replace(', ', ', b.')}, r.report_id from fx_vaccination b left join
     (select patient_id, vr_link, min(vr_id) as report_id from fx_vaccination where administered_date < date '{CUT}' group by 1, 2) r
     on b.patient_id = r.patient_id and b.vr_link = r.vr_link"""))
 def match_vaccination(spark, sf_dir):
     rows = Registry(spark, sf_dir).vaccinations()
-    out = identity.match_vaccination(rows.where(f"reported_date >= date '{CUT}'"), rows.where(f"administered_date < date '{CUT}'"))
+    out = identity.match_vaccination(rows, rows.where(f"administered_date < date '{CUT}'"))
     return out.selectExpr(*VACC_KEYS.split(", "), "report_id")
 
 
@@ -212,14 +213,16 @@ def upsert_locations(spark, sf_dir):
 
 
 @query("upsert_providers", with_ctes(FULL, f"""
-    select org_id, provider_code as person_link, arg_min(provider_last, msg_id * 100 + k) as name_last, 'First' as name_first, 'M' as name_middle, true as created
+    select org_id, provider_code as person_link, arg_min(provider_last, (received_date >= date '{CUT}', msg_id * 100 + k)) as name_last, 'First' as name_first, 'M' as name_middle,
+      min(received_date) >= date '{CUT}' as created
     from {REACHED} r where provider_code <> '' group by 1, 2""", ORDER_CTES))
 def upsert_providers(spark, sf_dir):
     rows = acceptance.reached_location(validation(spark, sf_dir).doses).where("provider_link <> ''").selectExpr(
         "org_id", "provider_link as person_link", "provider_last as name_last", "provider_first as name_first",
-        "provider_middle as name_middle", "msg_id", "order_no")
-    existing = rows.select("org_id", "person_link", "name_last", "name_first", "name_middle").limit(0)
-    return identity.get_or_create(existing, rows, ["org_id", "person_link"], "struct(msg_id, order_no)")
+        "provider_middle as name_middle", "received_date", "msg_id", "order_no")
+    rows = stage(rows, "providers")
+    empty = rows.select("org_id", "person_link", "name_last", "name_first", "name_middle").limit(0)
+    return in_two(rows, empty, lambda old, new: identity.get_or_create(old.drop("created"), new, ["org_id", "person_link"], "struct(msg_id, order_no)"))
 
 
 @query("match_observation", with_ctes("fx_observation", """
@@ -265,6 +268,20 @@ def read_by_link(spark, sf_dir):
 
 # ------------------------------------------------------------------- upsert
 
+
+def in_two(batch, empty, job):
+    """The registry of the messages before the cut-off, then with the others merged into it."""
+    stored = stage(job(empty, batch.where(f"received_date < date '{CUT}'")), "stored")
+    return job(stored, batch.where(f"received_date >= date '{CUT}'"))
+
+
+def accepted_doses(spark, sf_dir):
+    v = validation(spark, sf_dir).stage_orders()
+    rows = upsert.dose_batch(acceptance.accepted_prefix(v.doses), v.observations)
+    return rows.select("org_id", "mrn", "vr_link", *upsert.DOSE, "body_route", "body_site", "has_rxr", "funding_eligibility", "funding_source",
+                       "received_date", "msg_id", "order_no")
+
+
 REG_PID = {c: PATIENT.get(c, "''") for c in upsert.PID} | {"death_date": "cast(null as date)"}
 REG_OLD = {"publicity_ind": "'01'", "publicity_date": "cast(null as date)", "protection_ind": "'Y'", "protection_date": "date '1990-01-01'",
            "registry_status": "'I'", "registry_date": "cast(null as date)"}
@@ -319,15 +336,38 @@ def upsert_patients(spark, sf_dir):
          from fxx group by 1, 2) e on d.msg_id = e.msg_id and d.k = e.k
       where accepted and live) t group by 1, 2, 3""", ORDER_CTES))
 def upsert_vaccinations(spark, sf_dir):
-    v = validation(spark, sf_dir).stage_orders()
-    batch = upsert.dose_batch(acceptance.accepted_prefix(v.doses), v.observations)
+    batch = stage(accepted_doses(spark, sf_dir), "doses")
     keys = ["org_id", "mrn", "vr_link"]
-    old = upsert.empty_registry(spark, batch, keys, upsert.DOSE_GROUPS)
-    return upsert.upsert_vaccinations(old, batch).select(
+    return in_two(batch, upsert.empty_registry(spark, batch, keys, upsert.DOSE_GROUPS), upsert.upsert_vaccinations).select(
         *keys, "cvx", "ndc_final", "administered_date", "lot", "completion_status", "body_route", "funding_eligibility",
         "funding_source", "reported_date", "updated_date")
 
 
+@query("vaccination_masters", with_ctes(FULL, f"""
+    select org_id, master_id, min(created) as created, count(distinct vr_link) as reports, arg_max(cvx, (fresh, ord)) as cvx, arg_max(administered_date, (fresh, ord)) as administered_date,
+      arg_max(vr_link, (fresh, ord)) as last_report from (
+      select d.org_id, d.mrn, d.vr_link, d.cvx, d.adm as administered_date, (d.received_date, d.msg_id, d.k) as ord, d.received_date >= date '{CUT}' as fresh,
+        coalesce(l.master_id, concat(d.org_id, '/', d.mrn, '/', d.vr_link)) as master_id, l.master_id is null as created
+      from (select *, not bool_or(failed) over (partition by msg_id order by k) as accepted from dose_fail) d left join linked l using (org_id, mrn, vr_link) where accepted and live
+        and (d.received_date >= date '{CUT}' or (d.received_date, d.msg_id, d.k) = l.last)) t group by 1, 2""",
+    {**ORDER_CTES, "linked": f"""select org_id, mrn, vr_link, last, concat(org_id, '/', mrn, '/', min(vr_link) over (partition by org_id, mrn, cvx)) as master_id from (
+        select org_id, mrn, vr_link, arg_max(cvx, (received_date, msg_id, k)) as cvx, max((received_date, msg_id, k)) as last
+        from (select *, not bool_or(failed) over (partition by msg_id order by k) as accepted from dose_fail) d where accepted and live and received_date < date '{CUT}' group by 1, 2, 3) o"""}))
+def vaccination_masters(spark, sf_dir):
+    """Stored reports of a patient and code share a master; the messages after the cut-off change reports and masters."""
+    keys = ["org_id", "mrn", "vr_link"]
+    batch = stage(accepted_doses(spark, sf_dir), "doses")
+    old = batch.where(f"received_date < date '{CUT}'")
+    stored = old.groupBy(*keys).agg(F.expr("max_by(struct(cvx, administered_date, struct(received_date, msg_id, order_no) as ord), struct(received_date, msg_id, order_no)) as r"))
+    stored = stored.selectExpr(*keys, "r.*")
+    shared = stored.groupBy("org_id", "mrn", "cvx").agg(F.min("vr_link").alias("first"))
+    links = stage(stored.join(shared, ["org_id", "mrn", "cvx"]).selectExpr(*keys, "cvx", "administered_date", "ord", "concat(org_id, '/', mrn, '/', first) as master_id"), "links")
+    masters = links.groupBy("org_id", "mrn", "master_id").agg(F.expr("max_by(struct(cvx, administered_date, vr_link as last_report), ord) as r")).selectExpr("org_id", "mrn", "master_id", "r.*")
+    after, linked = upsert.vaccination_masters(masters, links.select(*keys, "master_id"), batch.where(f"received_date >= date '{CUT}'"))
+    counts = linked.groupBy("master_id").agg(F.count("*").alias("reports"))
+    return after.join(counts, "master_id").select("org_id", "master_id", "created", "reports", "cvx", "administered_date", "last_report")
+
+
 @query("upsert_observations", with_ctes(FULL, f"""
     select org_id, mrn, case when is_dose then vr_link else '' end as vr_link, identifier_code, arg_max(value_code, ord) as value_code,
       arg_max_null(od, ord) as observation_date, min(received_date) as reported_date, max(received_date) as updated_date
@@ -336,10 +376,10 @@ def upsert_vaccinations(spark, sf_dir):
     group by 1, 2, 3, 4""", ORDER_CTES))
 def upsert_observations(spark, sf_dir):
     v = validation(spark, sf_dir)
-    batch = v.observations.selectExpr("*", "case when is_dose then vr_link else '' end as link").drop("vr_link").withColumnRenamed("link", "vr_link")
     keys = ["org_id", "mrn", "vr_link", "identifier_code"]
-    old = upsert.empty_registry(spark, batch, keys, upsert.OBSERVATION_GROUPS)
-    return upsert.upsert_observations(old, batch).select(*keys, "value_code", "observation_date", "reported_date", "updated_date")
+    batch = v.observations.selectExpr("*", "case when is_dose then vr_link else '' end as link").drop("vr_link").withColumnRenamed("link", "vr_link")
+    batch = stage(batch.select(*keys, *upsert.OBSERVATION, "received_date", "msg_id", "obx_no"), "observed")
+    return in_two(batch, upsert.empty_registry(spark, batch, keys, upsert.OBSERVATION_GROUPS), upsert.upsert_observations).select(*keys, "value_code", "observation_date", "reported_date", "updated_date")
 
 
 @query("delete_vaccinations", with_ctes("fx_vaccination", f"""
