@@ -134,6 +134,21 @@ def lookup(df: DataFrame, codes: DataFrame, codeset: str, column: str, prefix: s
     return df.join(side, F.expr(f"{column} = __{prefix}"), "left").drop(f"__{prefix}")
 
 
+def lookup_on(df: DataFrame, codes: DataFrame, codeset: str, column: str, prefix: str, day: str,
+              take: tuple[str, ...] = ("value",)) -> DataFrame:
+    """Like :func:`lookup` as of the date ``day``: a code is unknown before ``valid_from`` and after ``valid_to``.
+
+    The periods of a value (a few rows) become one list, so no row is multiplied when periods overlap; of those the
+    one that began last counts.
+    """
+    period = f"struct(valid_from, valid_to, {', '.join('value as __value' if t == 'value' else t for t in take)})"
+    side = (codes.where(f"codeset = '{codeset}'").groupBy("value").agg(F.expr(f"sort_array(collect_list({period}), false) as __periods"))
+            .withColumnRenamed("value", f"__{prefix}"))
+    valid = f"get(filter(__periods, p -> coalesce(p.valid_from <= {day}, p.valid_from is null) and coalesce({day} <= p.valid_to, p.valid_to is null)), 0)"
+    rows = df.join(side, F.expr(f"{column} = __{prefix}"), "left").selectExpr(*df.columns, f"{valid} as __period")
+    return rows.selectExpr(*df.columns, *[f"__period.{'__value' if t == 'value' else t} as {prefix}_{t}" for t in take])
+
+
 def relate(df: DataFrame, relations: DataFrame, from_set: str, column: str, out: str) -> DataFrame:
     """Left join code -> CVX; ``out`` is NULL when there is no relation."""
     side = relations.where(f"from_set = '{from_set}'").selectExpr(f"from_value as __{out}", f"to_cvx as {out}")

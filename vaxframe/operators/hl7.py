@@ -14,7 +14,7 @@ from ..functions import hl7text as h
 KEYS = ["msg_id", "org_id", "received_date", "flavors", "org_name", "strict"]
 ID_TYPES = ["MR", "PT", "PI"]
 GUARDIANS = "('MTH', 'FTH', 'GRD')"
-HEADER = ["n_msh", "msg_type", "sending_app", "sending_facility", "receiving_app", "control_id", "processing_id", "profile"]
+HEADER = ["n_msh", "fault", "msg_type", "sending_app", "sending_facility", "receiving_app", "control_id", "processing_id", "profile"]
 
 
 def _keys(df: DataFrame) -> list[str]:
@@ -45,13 +45,27 @@ def segments(messages: DataFrame) -> DataFrame:
                         "s.line as line", f"{h.split_fields('s.line')} as fields"))
 
 
+#: Characters of the largest message that is taken apart.
+MOST_CHARS = 10 << 20
+
+
+def fault() -> str:
+    """Why a message cannot be taken apart, over ``message`` (normalised), ``msh`` and ``n_msh``; NULL when it can."""
+    nested = "cast((length(message) - length(replace(message, 'MSH|^~', ''))) / 6 as int) > n_msh"
+    return ("case when coalesce(replace(message, '\\r', ''), '') = '' then 'empty' "
+            "when message rlike '[\\\\x00-\\\\x08\\\\x0E-\\\\x1F\\\\x7F\\\\uFFFD]' then 'binary' "
+            f"when n_msh = 0 then 'no header' when {nested} then 'nested header' when length(message) > {MOST_CHARS} then 'too large' "
+            "when size(msh) < 12 then 'truncated header' "
+            "when message rlike '\\r(?![A-Z][A-Z0-9]{2}(\\\\||\\r|$))[^\\r]' then 'broken segment' end")
+
+
 def parse(messages: DataFrame) -> DataFrame:
-    """One row per message: keys, MSH columns and the normalised text."""
+    """One row per message: keys, MSH columns, the normalised text and its ``fault``."""
     keys = _keys(messages)
     return (messages.selectExpr(*keys, f"{h.normalised('message')} as message")
             .selectExpr(*keys, "message", f"{h.split_fields(h.segment_line('message', 'MSH'))} as msh",
                                 f"{h.segment_count('message', 'MSH')} as n_msh")
-            .selectExpr(*keys, "message", "n_msh", *_as({
+            .selectExpr(*keys, "message", "coalesce(n_msh, 0) as n_msh", f"{fault()} as fault", *_as({
                 "msg_type": h.field("msh", 9, msh=True),
                 "sending_app": h.raw_field("msh", 3, msh=True),
                 "sending_facility": h.raw_field("msh", 4, msh=True),

@@ -76,7 +76,7 @@ def with_org(messages: DataFrame, orgs: DataFrame) -> DataFrame:
 
 def header_rules() -> str:
     return found(
-        finding("V59", "n_msh = 0", "E", "", 0, thrown=True, repeat="0"),
+        finding("V59", "fault is not null", "E", "", 0, thrown=True, repeat="0"),
         finding("V64", "n_msh > 1", "E", "MSH", 0, thrown=True),
         finding("V01", f"{has('SOURSOP')} and sending_facility <> coalesce(org_name, '')", "E", "", 0, thrown=True, repeat="0"),
         finding("V02", "msg_type not in ('VXU', 'ORU', 'QBP')", "E", "", 0, thrown=True, repeat="0"))
@@ -304,6 +304,10 @@ class Validation:
             f"concat({staged('head', 'head_stage')}, found, {staged(total, 3)}) as findings",
             "vaccinations", "refusals", "first_fail")
 
+    def quarantined(self) -> DataFrame:
+        """Messages that cannot be taken apart, with their fault and text; their report holds V59 alone."""
+        return hl7.keep(self.parsed, "fault is not null").selectExpr("msg_id", "org_id", "received_date", "fault", "substring(message, 2) as message")
+
     def head_findings(self) -> DataFrame:
         """Header and patient findings as rows (no shuffle)."""
         rows = self.head.selectExpr("msg_id", "explode_outer(head) as f").where("f is not null")

@@ -96,7 +96,13 @@ def scan_geo(spark, sf_dir):
     paths = {fmt: new_path(spark, f"layer-{fmt}") for fmt in ("geojson", "kml", "osm")}
     feature = ("named_struct('type', 'Feature', 'geometry', named_struct('type', 'Point', 'coordinates', array(lon, lat)), "
                "'properties', named_struct('id', id, 'description', '', 'url', url))")
-    points.selectExpr("'FeatureCollection' as type", f"array({feature}) as features").write.json(paths["geojson"])
+    # lines of one collection each, an indented document and a broken one, in files of one folder
+    lines = points.selectExpr("id", "'FeatureCollection' as type", f"array({feature}) as features")
+    lines.where("id % 3 > 0").drop("id").write.json(paths["geojson"])
+    indented = points.where("id % 3 = 0").selectExpr("pmod(id, 5) as doc", f"{feature} as f").groupBy("doc").agg(F.expr("collect_list(f) as features"))
+    text = F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features"), {"pretty": "true"})
+    indented.select(text.alias("value")).write.mode("append").option("maxRecordsPerFile", 1).text(paths["geojson"])
+    spark.sql("select '{\"type\": \"FeatureCollection\", \"features\": [{\"type\": ' as value").write.mode("append").text(paths["geojson"])
     (points.selectExpr("id", "url as description", "named_struct('coordinates', concat(lon, ',', lat)) as Point")
      .write.format("xml").option("rowTag", "Placemark").option("rootTag", "kml").save(paths["kml"]))
     (points.selectExpr("id as _id", "lon as _lon", "lat as _lat", "'' as v")

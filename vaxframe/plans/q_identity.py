@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import acceptance, codemap, identity, respond, rules, upsert
 from ..functions import codes as C
-from ..sources.scratch import stage
+from ..sources import files
+from ..sources.scratch import new_path, stage
 from .catalog import query
 from .fixtures import PATIENT, VACCINATION, Registry, with_ctes
 from .q_messages import DATE, FULL, LENIENT, ORDER_CTES, validation
@@ -19,10 +20,36 @@ VORD = "concat(lpad(cast(vr_id as string), 19, '0'), '/', part_id, '/', facility
 # ------------------------------------------------------------- code mapping
 
 
-@query("scan_codes", with_ctes("code", "select codeset, status, count(*) as codes, count(new_value) as renamed from code group by 1, 2"))
+PERIOD = {"valid_from": "case when length(value) % 4 = 1 then date '1997-01-01' end", "valid_to": "case when length(label) % 3 = 0 then date '1998-12-31' end"}
+DATED = {"dated": "select *, " + ", ".join(f"{e} as {c}" for c, e in PERIOD.items()) + " from code"}
+
+
+def dated_codes(spark, sf_dir):
+    """The code table with validity dates, landed as files and read back."""
+    path = new_path(spark, "codes")
+    codes = Registry(spark, sf_dir).codes().selectExpr("*", *[f"{e} as {c}" for c, e in PERIOD.items()])
+    columns = [x.split()[0] for x in files.CODE_SCHEMA.split(", ")]
+    files.write_csv(codes.select(*columns), path)
+    return files.read_codes(spark, path)
+
+
+@query("scan_codes", with_ctes("code", """
+    select codeset, status, count(*) as codes, count(new_value) as renamed, count(valid_from) as later, count(valid_to) as ended from dated group by 1, 2""", DATED))
 def scan_codes(spark, sf_dir):
-    return Registry(spark, sf_dir).codes().groupBy("codeset", "status").agg(
-        F.count("*").alias("codes"), F.count("new_value").alias("renamed"))
+    return dated_codes(spark, sf_dir).groupBy("codeset", "status").agg(
+        F.count("*").alias("codes"), F.count("new_value").alias("renamed"), F.count("valid_from").alias("later"), F.count("valid_to").alias("ended"))
+
+
+@query("code_as_of", with_ctes("fx_vaccination code", f"""
+    select {VACC_KEYS}, c.label as cvx_label, n.label as ndc_label from fx_vaccination v
+    left join dated c on c.codeset = 'VACCINATION_CVX_CODE' and c.value = cvx and coalesce(c.valid_from <= administered_date, true) and coalesce(administered_date <= c.valid_to, true)
+    left join dated n on n.codeset = 'VACCINATION_NDC_CODE' and n.value = ndc and coalesce(n.valid_from <= administered_date, true) and coalesce(administered_date <= n.valid_to, true)""", DATED))
+def code_as_of(spark, sf_dir):
+    """Codes as they were valid on the day of the dose."""
+    rows, codes = Registry(spark, sf_dir).vaccinations(), dated_codes(spark, sf_dir)
+    rows = C.lookup_on(rows, codes, "VACCINATION_CVX_CODE", "cvx", "cvx", "administered_date", ("label",))
+    rows = C.lookup_on(rows, codes, "VACCINATION_NDC_CODE", "ndc", "ndc", "administered_date", ("label",))
+    return rows.select(*VACC_KEYS.split(", "), "cvx_label", "ndc_label")
 
 
 @query("code_lookup", with_ctes("fx_vaccination code", f"""

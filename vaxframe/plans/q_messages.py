@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import hl7text as h
 from ..operators import acceptance, hl7, rules
+from ..sources import files
+from ..sources.scratch import new_path
 from .catalog import query
 from .fixtures import Registry, with_ctes
 
@@ -45,10 +47,15 @@ def hl7_segments(spark, sf_dir):
     select org_id, count(*) as messages, cast(sum({N_LINES} - n_msh) as bigint) as header_lines,
            cast(sum(n_msh) as bigint) as msh_lines from fxm group by org_id"""))
 def scan_messages(spark, sf_dir):
+    """Messages land in batch files per organisation, those with one MSH back to back and the others framed."""
     messages = Registry(spark, sf_dir).messages()
+    whole, paths = f"{h.segment_count(h.normalised('message'), 'MSH')} = 1", {f: new_path(spark, f"batch-{f}") for f in ("msh", "mllp")}
+    files.write_messages(messages.where(whole), paths["msh"], "msh", "org_id")
+    files.write_messages(messages.where(f"not ({whole})"), paths["mllp"], "mllp", "org_id")
+    rows = files.read_messages(spark, paths["msh"], "msh").unionByName(files.read_messages(spark, paths["mllp"], "mllp"))
     all_lines = F.filter(F.split("message", "\r"), lambda s: s != "")
     header = F.size(F.filter(all_lines, lambda s: F.left(s, F.lit(3)).isin("PID", "PD1", "NK1", "QPD", "RCP")))
-    return messages.groupBy("org_id").agg(
+    return rows.groupBy("org_id").agg(
         F.count("*").alias("messages"), F.sum(header).alias("header_lines"),
         F.sum(F.size(F.filter(all_lines, lambda s: s.startswith("MSH|")))).alias("msh_lines"))
 
@@ -424,3 +431,34 @@ def dq_summary(spark, sf_dir):
 LOG_SQL = """select fxm.msg_id, fxm.org_id, received_date, case when eff_type in ('VXU', 'ORU') then 'Update' else 'Unknown' end as category_request,
     case when eff_type not in ('VXU', 'ORU') then 'NAck' when exists (select 1 from all_f a where a.msg_id = fxm.msg_id and severity = 'E') then 'Exception' else 'Ack' end as category_response
     from fxm where eff_type <> 'QBP' and msg_id not in (select msg_id from all_f where stage = 0 and rule <> 'V02')"""
+
+
+# ------------------------------------------------------------ quarantine
+
+#: Faults that are planted in some messages, in the order in which they are looked for.
+PLANTED = {"empty": ("msg_id % 61 = 11", "''"), "binary": ("msg_id % 59 = 3", "concat(message, char(1))"),
+           "nested header": ("msg_id % 47 = 7", "concat(message, char(13), 'OBX|1|TX|MSH|^~|EHR')"),
+           "truncated header": ("msg_id % 53 = 5", "left(message, 25)"), "broken segment": ("msg_id % 43 = 13", "concat(message, char(13), 'PI')")}
+BROKEN = {"broken": "select msg_id, case " + " ".join(
+    f"when {PLANTED[f][0]} then '{f}'" if f in PLANTED else "when n_msh = 0 then 'no header'"
+    for f in ("empty", "binary", "no header", "nested header", "truncated header", "broken segment")) + " end as fault from fxm"}
+
+
+def broken_validation(spark, sf_dir) -> rules.Validation:
+    r = Registry(spark, sf_dir)
+    text = "case " + " ".join(f"when {when} then {then}" for when, then in PLANTED.values()) + " else message end"
+    messages = r.messages().selectExpr("msg_id", "org_id", "received_date", f"{text} as message")
+    return rules.Validation(messages, r.orgs(), r.codes(), r.relations(), r.valid_values(), f"date '{AS_OF}'", r.locations())
+
+
+@query("quarantine", with_ctes("fxm", "select msg_id, fault from broken where fault is not null", BROKEN))
+def quarantine(spark, sf_dir):
+    return broken_validation(spark, sf_dir).quarantined().select("msg_id", "fault")
+
+
+@query("dq_quarantine", with_ctes(FULL, """
+    select msg_id, rule, severity from all_f where msg_id not in (select msg_id from broken where fault is not null) union all
+    select msg_id, 'V59', 'E' from broken where fault is not null""", ALL_F | BROKEN))
+def dq_quarantine(spark, sf_dir):
+    """Findings of a batch with broken messages: V59 for those, all others as without them."""
+    return broken_validation(spark, sf_dir).findings().select("msg_id", "rule", "severity")

@@ -39,6 +39,13 @@ def merge_reduced(parts: DataFrame, keys: list[str], groups: Groups) -> DataFram
                                     F.max("updated_date").alias("updated_date"))
 
 
+def merge_parts(parts: DataFrame, keys: list[str], groups: Groups) -> DataFrame:
+    """The registry's rows: the parts of all batches merged per key, with the columns of the groups."""
+    merged = merge_reduced(parts, keys, groups)
+    return merged.selectExpr(*keys, *[f"{g}.v.{c} as {c}" for g, (cols, _) in groups.items() for c in cols],
+                             "reported_date", "updated_date")
+
+
 class Registry:
     MOST_PARTS = 4
     MANIFEST = "bucket int, part string"
@@ -102,14 +109,9 @@ class Registry:
             if int(p.getName().split("=")[1]) not in manifests:
                 fs.delete(p, True)
 
-    def _unpacked(self, rows: DataFrame) -> DataFrame:
-        merged = merge_reduced(rows, self.keys, self.groups)
-        return merged.selectExpr(*self.keys, *[f"{g}.v.{c} as {c}" for g, (cols, _) in self.groups.items() for c in cols],
-                                 "reported_date", "updated_date")
-
     def rows(self) -> DataFrame:
         """All rows of the registry; needs a batch with rows."""
-        return self._unpacked(self.reduced(self.live()))
+        return merge_parts(self.reduced(self.live()), self.keys, self.groups)
 
     def lookup(self, wanted: DataFrame) -> DataFrame:
         """The registry's rows with the keys in ``wanted``, read from their buckets alone."""
@@ -117,4 +119,4 @@ class Registry:
         own = {r[0] for r in keys.select(self.bucket().alias("b")).distinct().collect()}  # at most ``buckets`` numbers
         live = [x for x in self.live() if x[0] in own]
         rows = self.reduced(live or self.live()[:1])
-        return self._unpacked(rows.join(keys, self.keys, "left_semi"))
+        return merge_parts(rows.join(keys, self.keys, "left_semi"), self.keys, self.groups)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..operators import upsert
 from ..sources.scratch import new_path
-from .registry import Registry, reduce_batch  # noqa: F401
+from .registry import Registry, merge_parts, reduce_batch  # noqa: F401
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
