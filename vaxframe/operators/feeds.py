@@ -25,6 +25,7 @@ def date_dim(dates: DataFrame) -> DataFrame:
 
 
 def preview(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first ``n`` rows by ``order``."""
     return df.orderBy(*order).limit(n)
 
 

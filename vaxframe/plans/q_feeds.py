@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import acceptance, feeds
 from ..sources import files
 from ..sources.scratch import new_path
-from .catalog import query
+from .catalog import ORACLES, query
 from .fixtures import Registry, with_ctes
 from .q_messages import ALL_F, FULL, LOG_SQL, validation
 
@@ -165,6 +165,12 @@ def date_dim(spark, sf_dir):
     return feeds.date_dim(feeds.country_dates(Registry(spark, sf_dir).cases(), "Brazil"))
 
 
+@query("preview", "select * from (" + ORACLES["date_dim"] + ") t order by Date_format, Date limit 10")
+def preview(spark, sf_dir):
+    """The first ten days of the calendar."""
+    return feeds.preview(date_dim(spark, sf_dir), 10, "Date_format", "Date")
+
+
 # -------------------------------------------------------------- availability
 
 

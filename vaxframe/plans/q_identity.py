@@ -181,8 +181,10 @@ LINK_SQL = f"""
            when maker_birth = birth_date then 2 else 1 end as int) as confidence, 'N000' as soundex_last, 'F000' as soundex_first from birthed"""
 
 
-@query("link_patients", with_ctes("fx_patient", LINK_SQL.replace("with old", "select * from (with old", 1) + ") t"))
-def link_patients(spark, sf_dir):
+LINKED = "select * from (" + LINK_SQL.strip() + ") t"
+
+
+def linked_patients(spark, sf_dir):
     r = Registry(spark, sf_dir)
     old = r.patients().where(f"reported_date < date '{CUT}'")
     masters = old.selectExpr("patient_id as master_id", "name_last", "name_first", "birth_date").unionByName(
@@ -191,8 +193,17 @@ def link_patients(spark, sf_dir):
     reports = old.where("patient_id % 3 = 0").selectExpr("org_id", "mrn", "patient_id as master_id")
     batch = r.patients().selectExpr("org_id", "mrn", "concat('N', patient_id % 150) as name_last", "name_first", "birth_date",
                                     "patient_id as arrival")
-    return identity.link_patients(batch, reports, masters).select(
-        "org_id", "mrn", "master_id", "new_master", "confidence", "soundex_last", "soundex_first")
+    return identity.link_patients(batch, reports, masters)
+
+
+@query("link_patients", with_ctes("fx_patient", LINKED))
+def link_patients(spark, sf_dir):
+    return linked_patients(spark, sf_dir).select("org_id", "mrn", "master_id", "new_master", "confidence", "soundex_last", "soundex_first")
+
+
+@query("patient_links", with_ctes("fx_patient", f"select org_id, mrn, master_id, new_master, confidence from ({LINKED}) l where confidence is not null"))
+def patient_links(spark, sf_dir):
+    return identity.patient_links(linked_patients(spark, sf_dir))
 
 
 @query("match_vaccination", with_ctes("fx_vaccination", f"""

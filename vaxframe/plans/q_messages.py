@@ -138,6 +138,12 @@ def extract_vaccinations(spark, sf_dir):
         "refusal_code", "completion_status", "action_code", "body_route", "body_site")
 
 
+@query("simple_extract", with_ctes("fxo", f"""
+    select msg_id, order_no, vr_link, administered_date, lot, mvx, info_source, simple_amount as amount from (select {VACC_COLUMNS} from fxo where eff_type = 'VXU') t"""))
+def simple_extract(spark, sf_dir):
+    return hl7.simple_doses(hl7.extract_vaccinations(parsed(spark, sf_dir)))
+
+
 @query("order_groups", with_ctes("fxo", """
     select msg_id, cast(k as int) as order_no, cast(1 + (case when msg_type = 'ORU' then (case when has_obr then 1 else 0 end)
            else (case when has_rxa then 1 else 0 end) + (case when has_rxa and has_rxr then 1 else 0 end) end) + n_obx as bigint) as segments
