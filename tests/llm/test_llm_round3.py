@@ -251,3 +251,56 @@ def test_cuckoo_filter():
     assert f.holds(keys[10_000:]).all() and f.holds(keys[:10_000]).mean() < 0.1
     f.add(keys[:10_000])
     assert f.holds(keys).all()
+
+
+# ---- the pipeline's stages on rows with any columns, and mended details
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, _key long, _p long, row string, key string, `a.b` int, spans string"
+
+
+@pytest.mark.parametrize("name", ["quality_rules", "near_duplicates", "benchmark_decontamination", "personal"])
+def test_stages_keep_any_columns(spark, name):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    texts = [" ".join(f"v{rng.randrange(3000)}" for _ in range(80)) for _ in range(12)]
+    rows = [(i, t, "en", "s", 1, 7, 9, f"r{i}", f"k{i}", i, "x") for i, t in enumerate([*texts, None, "", " ", texts[0], "write to me@example.org now " + texts[1]])]
+    rows += [rows[3]] * 2
+    docs = spark.createDataFrame(rows, ODD).repartition(3)
+    stage = getattr(corpus_pipeline, name)
+    out = stage(spark, docs, SF)
+    assert out.columns == docs.columns
+    got = out.collect()
+    given = {tuple(r) for r in rows}
+    if name == "personal":
+        assert len(got) == len(rows) and sum(r.text is None for r in got) == 1
+        assert {(r.doc_id, *r[2:]) for r in got} == {(r[0], *r[2:]) for r in given}
+        assert [r.text for r in got if r.doc_id == 16] == [rows[16][1].replace("me@example.org", "[EMAIL]")]
+    else:
+        assert {tuple(r) for r in got} <= given
+    if name == "near_duplicates":
+        assert sorted(r.doc_id for r in got) == [*range(15)]  # 15 and 16 are copies of 0 and 1
+    if name == "benchmark_decontamination":
+        assert len(got) == len(rows)
+    if name == "quality_rules":
+        assert {r.doc_id for r in got} == {*range(12), 15, 16} and sum(r.doc_id == 3 for r in got) == 3
+    assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_items_without_an_id_are_not_named(spark):
+    from vaxframe.llm import decontaminate
+
+    items = spark.createDataFrame([(None, "alpha beta"), (3, "gamma")], "item_id long, text string")
+    got = decontaminate.contamination_digest(docs_of(spark, [(1, "x alpha beta y gamma"), (2, "alpha beta")]), items).collect()
+    assert {(r.doc_id, r.n_hit, r.n_items, r.contaminated) for r in got} == {(1, 3, 1, True), (2, 2, 0, True)}
+
+
+def test_wide_classes_are_indexed():
+    from vaxframe.llm import secret_index
+
+    query = secret_index.trigram_query
+    github = next(r for r in secret_index.RULES if r.kind == "github")
+    assert query(github.pattern) == sorted((frozenset({f"gh{c}", f"h{c}_"}) for c in "oprsu"), key=sorted)
+    assert query("abc[" + "".join(map(chr, range(97, 123))) + "]def") == sorted(
+        (frozenset({"abc", f"bc{c}", f"c{c}d", f"{c}de", "def"}) for c in map(chr, range(97, 123))), key=sorted)
+    assert query("abc[qwertyuiop][asdfghjkl]xyz") == sorted((frozenset({"abc", f"bc{c}", "xyz"}) for c in "qwertyuiop"), key=sorted)

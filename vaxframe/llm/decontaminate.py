@@ -10,7 +10,7 @@ benchmark means more passes over the index. Nothing is shuffled but one narrow r
 
 Defined results: null and empty texts have no words; an item with fewer words than a window is one window, an
 item without words matches nothing; equal items and repeated rows each count; item ids may repeat and are
-counted once. Columns other than doc_id, item_id and text are unused.
+counted once; the words of an item without an id are hit, but it is not counted or named. Columns other than doc_id, item_id and text are unused.
 """
 
 from __future__ import annotations
@@ -74,7 +74,7 @@ class Windows:
             grid.append(row)
             owners.append([i])
         self.words, self.terms = np.concatenate(grid), pa.array(coded.dictionary, pa.string()) if len(flat) else pa.array([], pa.string())
-        self.items = np.array([str(i) for i in item_ids], object)[np.concatenate(owners).astype(int)] if item_ids else np.empty(0, object)
+        self.items = np.array([None if i is None else str(i) for i in item_ids], object)[np.concatenate(owners).astype(int)] if item_ids else np.empty(0, object)
         self.lengths = (self.words >= 0).sum(1)
         self.order = np.argsort(self.words < 0, axis=1, kind="stable")
 
@@ -191,7 +191,8 @@ def _found_rows(shared):
             ends = np.searchsorted(owner, np.arange(n_docs + 1))
             items: list[set] = [set() for _ in range(n_docs)]
             for doc, item in zip(segment.document(start).tolist(), windows.items[window].tolist(), strict=True):
-                items[doc].add(item)
+                if item is not None:
+                    items[doc].add(item)
             yield pa.RecordBatch.from_pydict({
                 "segment": pa.array([row["segment"].as_py()] * n_docs, pa.int64()), "number": pa.array(np.arange(n_docs), pa.int32()),
                 "doc_id": row["doc_ids"].values, "n_words": pa.array(np.diff(segment.bounds), pa.int64()),
@@ -205,7 +206,7 @@ def _near_rows(shared, slop: int):
     def run(batches):
         windows = shared.value
         for row in _rows(batches):
-            pairs = sorted({(doc, windows.items[k]) for k, doc in Segment(row, windows.terms).near(windows, slop)})
+            pairs = sorted({(doc, windows.items[k]) for k, doc in Segment(row, windows.terms).near(windows, slop) if windows.items[k] is not None})
             ids = row["doc_ids"].as_py()
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array([ids[d] for d, _ in pairs], pa.int64()), "item_id": pa.array([i for _, i in pairs], pa.string())})
 

@@ -14,6 +14,11 @@ def row_key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """(row, key): each input row as a struct, whatever its columns are called, and its row key."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_key().alias("key"))
+
+
 def _place(column: str, bits: int) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(1 << bits))
 

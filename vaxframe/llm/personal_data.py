@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vaxframe.llm.keys import row_key
+from vaxframe.llm.keys import keyed_rows, row_key
 from vaxframe.llm.spans import let, matches, spelled
 from vaxframe.sources.scratch import stage
 
@@ -196,11 +196,9 @@ def personal_digest(docs: DataFrame) -> DataFrame:
 
 def mask(docs: DataFrame) -> DataFrame:
     """The documents with every span replaced by [KIND]; overlapping spans are one, named by the first. Null texts stay null."""
-    hits = find_personal(docs).where("size(spans) > 0").groupBy("key").agg(F.first("spans").alias("_spans"))
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = docs.withColumn("_key", row_key())
-    joined = keyed.join(hits.withColumnRenamed("key", "_key"), "_key", "left")
-    ordered = F.sort_array(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    hits = find_personal(docs).where("size(spans) > 0").groupBy("key").agg(F.first("spans").alias("spans"))
+    joined = keyed_rows(docs).join(hits, "key", "left").select("row", "spans", F.col("row")["text"].alias("text"))
+    ordered = F.sort_array(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, span: Column) -> Column:
@@ -209,4 +207,5 @@ def mask(docs: DataFrame) -> DataFrame:
         return F.struct(F.greatest(acc["at"], span["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(out).alias("out"))
 
     masked = F.aggregate(ordered, begin, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.lit(2**31 - 1))))
-    return joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(masked)).select(*names)
+    done = joined.select("row", F.when(F.col("spans").isNull(), F.col("text")).otherwise(masked).alias("text"))
+    return done.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])

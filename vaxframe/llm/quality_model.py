@@ -57,7 +57,7 @@ def _tokens_of(word: str) -> list[int]:
     out = [_bucket(letters.lower())] if letters else []
     marks = "" if plain else "".join(MARKS.findall(word))
     if marks:
-        out.append(_bucket("\x00marks" + marks[:8]))
+        out.append(_bucket("\x00marks" + marks))
     if len(letters) > 1 and letters == letters.upper() and letters != letters.lower():
         out.append(_bucket("\x00upper"))
     return out or [SAME]

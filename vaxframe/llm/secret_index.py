@@ -43,7 +43,7 @@ BASE = (
 )
 _SEGMENT = "[A-Za-z0-9_-]{10,}+"
 MORE = (
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}+"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}+"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
@@ -56,8 +56,9 @@ RULES = BASE + MORE
 def trigram_query(pattern: str, most: int = 64) -> list[frozenset[str]] | None:
     """Clauses of lower-case trigrams, one of which every match contains whole; None if there is no such set.
 
-    Literal runs give trigrams; alternatives, options and classes of up to four characters branch; anything
-    else ends a run. More than ``most`` branches give up on the query, never on a match.
+    Literal runs give trigrams; alternatives, options and classes of listed characters branch; anything else ends
+    a run, and so does a class that would make more than ``most`` branches. More than ``most`` of them in all give
+    up on the query, never on a match.
     """
 
     def flush(state):
@@ -73,7 +74,7 @@ def trigram_query(pattern: str, most: int = 64) -> list[frozenset[str]] | None:
                 states = walk(arg[-1], states)
             elif name == "BRANCH":
                 states = set().union(*(walk(option, states) for option in arg[1]))
-            elif name == "IN" and len(arg) <= 4 and all(str(o) == "LITERAL" for o, _ in arg):
+            elif name == "IN" and len(arg) * len(states) <= most and all(str(o) == "LITERAL" for o, _ in arg):
                 states = {(had, run + chr(c).lower()) for had, run in states for _, c in arg}
             elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
                 low, high, inner = arg
