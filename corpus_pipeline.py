@@ -5,6 +5,9 @@ return the columns of documents: rejected documents go, of each group of near co
 smallest doc_id (then row key) stays, documents with a benchmark passage go, personal data are masked.
 The last returns the pieces of what is left.
 
+Null and empty texts fail the first stage's limits; in the others they have no words and stay as they are. An empty
+table gives an empty one. Any further columns, whatever their names, come through unchanged.
+
 Rows without a doc_id are never merged with others. Repeated rows are near copies of each other; unlike texts
 under one doc_id are not.
 """
@@ -15,40 +18,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vaxframe.llm import decontaminate, outliers, personal_data, pieces, shingle_join
-from vaxframe.llm.keys import maybe_in, row_key, without
+from vaxframe.llm.keys import keyed_rows, maybe_in, without
 from vaxframe.sources.scratch import stage
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the fixed limits and the outlier estimate keep."""
-    verdicts = outliers.judge(docs).groupBy(F.col("key").alias("_key")).agg(F.bool_or("kept").alias("kept"))
-    gone = stage(verdicts.where("not kept").select("_key"), "rejected")
-    return without(docs.withColumn("_key", row_key()), "_key", gone).drop("_key")
+    verdicts = outliers.judge(docs.select("doc_id", "text", "lang", "source")).groupBy("key").agg(F.bool_or("kept").alias("kept"))
+    gone = stage(verdicts.where("not kept").select("key"), "rejected")
+    return without(keyed_rows(docs), "key", gone).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies: the one with the smallest doc_id, then row key; of rows alike in both, one."""
-    rows = shingle_join.rooted_rows(docs).where("doc_id is not null")
+    rows = shingle_join.rooted_rows(docs.select("doc_id", "text")).where("doc_id is not null")
     rows = stage(rows.groupBy("doc_id", "row", "root").agg(F.count("*").alias("n")), "rows")
     first = rows.where("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("first"))
     placed = rows.join(first, "root", "left")
-    gone = stage(placed.where("first.row <> row").selectExpr("row as _key"), "copies")
-    repeated = stage(placed.where("n > 1 and coalesce(first.row = row, true)").selectExpr("row as _key"), "repeated")
-    kept = without(docs.withColumn("_key", row_key()), "_key", gone)
+    gone = stage(placed.where("first.row <> row").selectExpr("row as key"), "copies")
+    repeated = stage(placed.where("n > 1 and coalesce(first.row = row, true)").selectExpr("row as key"), "repeated")
+    kept = without(keyed_rows(docs), "key", gone)
     if repeated.isEmpty():
-        return kept.select(docs.columns)
-    alike = maybe_in(kept, "_key", repeated).join(repeated, "_key", "left_semi")
-    one = alike.groupBy("_key").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_row")).select("_row.*")
-    return without(kept, "_key", repeated).select(docs.columns).unionByName(one)
+        return kept.select("row.*")
+    alike = maybe_in(kept, "key", repeated).join(repeated, "key", "left_semi")
+    one = alike.groupBy("key").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row", "key")
+    return without(kept, "key", repeated).unionByName(one).select("row.*")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of a benchmark item."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    keyed = docs.withColumn("_key", row_key())
-    found = decontaminate.contamination(keyed.selectExpr("_key as doc_id", "text"), benchmark)
-    gone = stage(found.where("size(hits) > 0").selectExpr("doc_id as _key").distinct(), "contaminated")
-    return without(keyed, "_key", gone).select(docs.columns)
+    keyed = keyed_rows(docs)
+    found = decontaminate.contamination(keyed.select(F.col("key").alias("doc_id"), F.col("row")["text"].alias("text")), benchmark)
+    gone = stage(found.where("size(hits) > 0").selectExpr("doc_id as key").distinct(), "contaminated")
+    return without(keyed, "key", gone).select("row.*")
 
 
 def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
