@@ -7,7 +7,7 @@ Two ways to say what "elsewhere" is:
   past them: the matching statistic of a word is the length of the longest reference passage that ends there.
 * ``remove_repeats``: the corpus is its own reference. Streaming all documents past automata of all documents
   costs the square of the corpus, so candidate windows come from content-chosen anchors and window
-  fingerprints, and only the most repeated passages, a bounded reference, go through broadcast automata.
+  fingerprints; no automaton takes part.
 
 Defined results: a null or empty text has no words and keeps "". A document shorter than the threshold loses
 nothing. Rows alike in id and text are separate documents, so each repeats the other. Every window is judged
@@ -30,10 +30,8 @@ from vaxframe.sources.scratch import stage
 MIN_WORDS = 35
 #: Words of the k-gram that anchors a window; any value below the window width gives the same results.
 ANCHOR_WORDS = 8
-#: A reference shard and the whole hot reference hold at most so many words.
-SHARD_WORDS, HOT_WORDS = 20_000, 60_000
-#: A window found so often is a candidate for the hot reference.
-HOT_COUNT = 200
+#: A reference shard holds at most so many words.
+SHARD_WORDS = 20_000
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
