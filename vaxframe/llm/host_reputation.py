@@ -7,6 +7,7 @@ above the threshold; a host about which nothing is known keeps its parents' rate
 
 Only DataFrame functions. Defined results: a null url, or one without ``://``, has an empty host and path and
 no rule; an empty host is a host of its own. Repeated rows each get their verdict and count as outcomes.
+An empty table has no verdicts. Columns other than page_id and url are unused, whatever their names.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ the nearest ``SUBSET`` share comes from a histogram of distances with fixed bins
 
 Defined results: a null or empty text has no words and fails the base; null languages and sources are groups
 of their own; a group with fewer than ``LEAST_ROWS`` documents uses the estimate over all documents; equal
-rows get equal verdicts; constant statistics get the variance floor. Input columns of other names are unused.
+rows get equal verdicts; constant statistics get the variance floor; an empty table has no verdicts. Other columns are
+unused, whatever their names.
 """
 
 from __future__ import annotations

@@ -11,8 +11,9 @@ contexts that end up confident, outside all base spans, are added; of nested one
 Everything is DataFrame functions and grouped sums. Contexts with fewer than MIN_SUPPORT distinct values can
 never be confident and leave the graph first. Defined results: a null text is empty and has no spans; rows
 alike in id and text have equal spans; the begin and the end of a text are sides of contexts like words; a
-neighbour of marks alone is the side as it stands; a value of marks alone is no identifier. Columns other than
-doc_id and text are unused, and kept by ``mask``.
+neighbour of marks alone is the side as it stands; a value of marks alone is no identifier; an empty table has
+no spans. A very long text is read whole; one of very many adjacent identifier-like words takes time by the square of their
+number. Columns other than doc_id and text are unused, whatever their names, and kept by ``mask``.
 """
 
 from __future__ import annotations

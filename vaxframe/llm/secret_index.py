@@ -5,7 +5,8 @@ document, the trigrams that some query names; postings are intersected per claus
 that remain are read by the rule's expression. A rule without mandatory trigrams reads every document.
 
 Only DataFrame functions run on the rows. Defined results: a null text is empty and has no spans; rows alike
-in id and text have equal results; other columns are not used.
+in id and text have equal results; an empty table has no results; a very long text is read whole, and placing very many
+matches of one text takes time by the square of their number; other columns are not used, whatever their names.
 """
 
 from __future__ import annotations
