@@ -6,7 +6,7 @@ import pytest
 
 from vaxframe.functions import codes as C
 from vaxframe.functions.rule_texts import TEXTS
-from vaxframe.operators import acceptance, hl7, rules
+from vaxframe.operators import acceptance, hl7, rulebook, rules
 
 GOOD = "\r".join([
     "MSH|^~\\&|EHR|ORG|REG|IIS|20200101||VXU^V04|C1|P|2.5.1|||||||||Z22^CDCPHINVS",
@@ -165,3 +165,31 @@ def test_segments_join_back_to_the_message(spark):
     rows = spark.createDataFrame([(1, GOOD)], "msg_id long, message string")
     lines = [r.line for r in hl7.segments(rows).orderBy("pos").collect()]
     assert "\r".join(lines) == GOOD
+
+
+def test_masks_and_findings_agree(outcome):
+    for row in outcome[0].values():
+        errors = sum(bin(e.errors).count("1") for e in row.entries)
+        assert errors == sum(f.severity == "E" for f in row.findings)
+        assert sum(bin(e.mask).count("1") for e in row.entries) == len(row.findings)
+        assert all(e.errors & ~e.mask == 0 and e.mask for e in row.entries)
+
+
+@pytest.mark.parametrize(("rule", "text"), [
+    ("V15", "CPT P1 maps to 03 but CVX 08 was also reported, preferring CVX code"),
+    ("V12", "Unrecognized NDC N0"),
+    ("V23", "Funding eligibility 'V99' was not recognized"),
+    ("V10", "Could not read administered date in RXA-5: Unparseable date: \"20100230\""),
+])
+def test_values_are_put_into_the_wording(outcome, rule, text):
+    i = next(n for n, c in enumerate(FIRES) if c[0] == rule)
+    assert [f.text for f in outcome[0][i].findings if f.rule == rule] == [text]
+
+
+def test_a_cut_mask_ends_with_the_first_thrown_bit(spark):
+    group = rulebook.Group(1, *[rulebook.finding("V02", "true", "E", "", 0, thrown=i in (2, 4)) for i in range(6)])
+    got = spark.sql(f"select id, {group.cut('id')} as kept from range(64)").collect()
+    for r in got:
+        fired = [i for i in range(6) if r.id >> i & 1]
+        stop = next((i for i in fired if i in (2, 4)), 6)
+        assert r.kept == sum(1 << i for i in fired if i <= stop)

@@ -8,13 +8,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .rulebook import count
+
 
 def ack_status(report: DataFrame) -> DataFrame:
     """(msg_id, status, errors, warnings): AE when any error or warning, else AA."""
     return report.selectExpr(
-        "msg_id", "size(filter(findings, f -> f.severity = 'E')) as errors",
-        "size(filter(findings, f -> f.severity = 'W')) as warnings",
-        "case when exists(findings, f -> f.severity in ('E', 'W')) then 'AE' else 'AA' end as status")
+        "msg_id", f"{count('entries', 'e.errors')} as errors", f"{count('entries', 'e.mask & ~e.errors')} as warnings",
+        "case when size(entries) > 0 then 'AE' else 'AA' end as status")
 
 
 def accepted_prefix(doses: DataFrame) -> DataFrame:
@@ -36,7 +37,7 @@ def reached_location(doses: DataFrame) -> DataFrame:
     kept = doses.columns
     return (doses.selectExpr("*", "coalesce(max(failed) over (partition by msg_id order by order_no "
                                   "rows between unbounded preceding and 1 preceding), false) as before_failed")
-            .where("not before_failed and is_dose and not exists(found, x -> x.thrown and x.rule not in ('V21', 'V22'))")
+            .where("not before_failed and is_dose and not failed_early")
             .select(*kept))
 
 
@@ -61,11 +62,11 @@ def update_categories(report: DataFrame) -> DataFrame:
 
     Header errors other than an unsupported type end before the log is written.
     """
-    return (report.where("msg_type <> 'QBP' and not exists(findings, f -> f.stage = 0 and f.rule <> 'V02')")
+    return (report.where("msg_type <> 'QBP' and not refused")
             .selectExpr("msg_id", "org_id", "received_date",
                         "case when msg_type in ('VXU', 'ORU') then 'Update' else 'Unknown' end as category_request",
                         "case when msg_type not in ('VXU', 'ORU') then 'NAck' "
-                        "when exists(findings, f -> f.severity = 'E') then 'Exception' else 'Ack' end as category_response"))
+                        "when exists(entries, e -> e.errors <> 0L) then 'Exception' else 'Ack' end as category_response"))
 
 
 def summary(findings: DataFrame) -> DataFrame:
@@ -79,7 +80,7 @@ def build_ack(report: DataFrame, registry_name: str = "IIS") -> DataFrame:
     msh = (f"concat('MSH|^~\\\\&|', receiving_app, '|{registry_name}|', sending_app, '|', sending_facility, '|', "
            "date_format(received_date, 'yyyyMMdd'), '||ACK^V04^ACK|', cast(msg_id as string), '|', processing_id, "
            "'|2.5.1|||NE|NE|||||Z23^CDCPHINVS')")
-    msa = f"concat('MSA|', case when exists(findings, f -> f.severity in ('E', 'W')) then 'AE' else 'AA' end, '|', {sender})"
+    msa = f"concat('MSA|', case when size(entries) > 0 then 'AE' else 'AA' end, '|', {sender})"
     return report.selectExpr(
         "msg_id", "org_id", "received_date",
         f"array_join(concat(array({msh}, {msa}), transform(findings, f -> {error_line('f')})), '\\r') as ack")

@@ -196,7 +196,7 @@ class Ingest:
 
     @cached_property
     def accepted(self) -> DataFrame:
-        good = rules.fhir_checked(self.events, self.known_patients).where("size(found) = 0")
+        good = rules.fhir_checked(self.events, self.known_patients).where("found = 0L")
         return stage(good.select(*self.KEY, "arrival", *REPORT, *self.PERSON, *LOCATION), "fhir-accepted")
 
     @cached_property

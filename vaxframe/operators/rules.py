@@ -2,9 +2,9 @@
 
 Rules of one message run in a fixed order.  A *thrown* error ends the message
 at once; a *listed* error ends it at the end of the patient stage.  All stages
-run in one pass: header and patient findings are arrays on the message row,
-order findings arrays on the exploded order rows, and one aggregation per
-message puts them together.  A message is one input row, so such a group is
+run in one pass: what fired is a bit mask per group of rules on the message row
+or the exploded order rows, and one aggregation per message puts the masks
+together.  A message is one input row, so such a group is
 never larger than one message.
 """
 
@@ -17,51 +17,16 @@ from pyspark.sql import functions as F
 
 from ..functions import codes as C
 from ..functions import hl7text as h
-from ..functions.rule_texts import TEXTS
 from ..sources.scratch import stage
 from . import codemap, hl7
 from .acceptance import accepted_prefix
-
-FINDING = ["rule", "severity", "thrown", "segment", "seg_repeat", "field", "text"]
-HEADER_RULES = "('V59', 'V64', 'V01', 'V02')"
-NONE = ("cast(array() as array<struct<rule:string,severity:string,thrown:boolean,segment:string,seg_repeat:int,"
-        "field:int,text:string>>)")
+from .rulebook import NO_ENTRY, Group, finding, spelled
 
 
 def has(flavor: str) -> str:
     return f"array_contains(flavors, '{flavor}')"
 
 
-def finding(rule: str, cond: str, severity: str, segment: str, field: int, *values: str,
-            thrown: bool = False, repeat: str = "1", text: str | None = None) -> str:
-    """A one-element list with the finding when ``cond`` holds, else an empty list."""
-    level = f"'{severity}'" if severity in ("E", "W") else severity
-    words, parts = TEXTS[text or rule].split("{}"), []
-    for i, word in enumerate(words):
-        parts.append(h.quote(word))
-        if i < len(values):
-            parts.append(h.blank(values[i]))
-    wording = f"concat({', '.join(parts)})" if len(parts) > 1 else parts[0]
-    return (f"case when {cond} then array(named_struct('rule', '{rule}', 'severity', {level}, 'thrown', {str(thrown).lower()}, "
-            f"'segment', '{segment}', 'seg_repeat', cast({repeat} as int), 'field', {field}, 'text', {wording})) else {NONE} end")
-
-
-def either(flavor: str, with_flavor: str, without: str) -> str:
-    return f"case when {has(flavor)} then '{with_flavor}' else '{without}' end"
-
-
-def found(*items: str) -> str:
-    # concat of short lists is compiled; a filter over one array would interpret every condition
-    return f"concat({', '.join(items)})"
-
-
-def cut(df: DataFrame, column: str) -> DataFrame:
-    """Keeps the findings up to and including the first thrown one."""
-    kept = [c for c in df.columns if c != column]
-    return (df.selectExpr("*", f"cast(array_position(transform({column}, x -> x.thrown), true) as int) as first_thrown")
-            .selectExpr(*kept, f"case when first_thrown > 0 then slice({column}, 1, first_thrown) else {column} end as {column}"))
-
-
 def unreadable(text: str) -> str:
     return f"case when {text} = '' then 'No date was specified' else concat('Unparseable date: \"', left({text}, 8), '\"') end"
 
@@ -74,15 +39,16 @@ def with_org(messages: DataFrame, orgs: DataFrame) -> DataFrame:
             .selectExpr("*", f"not {has('CANTALOUPE')} as strict"))
 
 
-def header_rules() -> str:
-    return found(
-        finding("V59", "fault is not null", "E", "", 0, thrown=True, repeat="0"),
+def header_rules() -> Group:
+    return Group(
+        1,
+        finding("V59", "fault is not null", "E", "", 0, thrown=True, repeat=0),
         finding("V64", "n_msh > 1", "E", "MSH", 0, thrown=True),
-        finding("V01", f"{has('SOURSOP')} and sending_facility <> coalesce(org_name, '')", "E", "", 0, thrown=True, repeat="0"),
-        finding("V02", "msg_type not in ('VXU', 'ORU', 'QBP')", "E", "", 0, thrown=True, repeat="0"))
+        finding("V01", f"{has('SOURSOP')} and sending_facility <> coalesce(org_name, '')", "E", "", 0, thrown=True, repeat=0),
+        finding("V02", "msg_type not in ('VXU', 'ORU', 'QBP')", "E", "", 0, thrown=True, repeat=0))
 
 
-def patient_rules(as_of: str, skip_blank_phone: bool = False) -> str:
+def patient_rules(as_of: str, skip_blank_phone: bool = False) -> Group:
     """PID and PD1 rules; a blank phone is checked like any other unless skipped."""
     looked = "phone_text <> ''" if skip_blank_phone else "has_pid"
     strange = h.phone_strange("phone_text")
@@ -91,10 +57,11 @@ def patient_rules(as_of: str, skip_blank_phone: bool = False) -> str:
     def eight(text):
         return f"left({text}, 8)"
 
-    return found(
-        finding("V29", "not has_pid", "E", "", 0, thrown=True, repeat="0"),
+    return Group(
+        2,
+        finding("V29", "not has_pid", "E", "", 0, thrown=True, repeat=0),
         finding("V28", "mrn = ''", "E", "PID", 3, thrown=True),
-        finding("V30", f"{looked} and phone_use <> 'PRN'", either("QUINZE", "E", "W"), "PID", 13),
+        finding("V30", f"{looked} and phone_use <> 'PRN'", has("QUINZE"), "PID", 13),
         finding("V31", f"{looked} and {strange} <> ''", "W", "PID", 13, strange),
         finding("V32", f"{looked} and {h.phone_invalid('phone_text')}", "W", "PID", 13),
         finding("V33", "name_last = ''", "E", "PID", 5, thrown=True),
@@ -103,41 +70,49 @@ def patient_rules(as_of: str, skip_blank_phone: bool = False) -> str:
         finding("V36", f"birth_date > {as_of}", "E", "PID", 7, thrown=True),
         finding("V37", h.bad_date("death_text", "death_date"), "W", "PID", 29, eight("death_text")),
         finding("V38", "not sex_ok", "W", "PID", 8, "sex"),
-        finding("V39", "country <> '' and not country_ok", either("GUAVA", "W", "E"), "PID", 11, "country"),
-        finding("V40", "country in ('', 'US', 'USA') and state <> '' and not state_ok", either("GUAVA", "W", "E"), "PID", 11, "state"),
-        finding("V41", "race <> '' and coalesce(race_status, '') <> 'VALID'", either("FIG", "E", "W"), "PID", 10, "race"),
-        finding("V42", "ethnicity <> '' and coalesce(ethnicity_status, '') <> 'VALID'", either("FIG", "E", "W"), "PID", 10, "ethnicity"),
+        finding("V39", "country <> '' and not country_ok", f"not {has('GUAVA')}", "PID", 11, "country"),
+        finding("V40", "country in ('', 'US', 'USA') and state <> '' and not state_ok", f"not {has('GUAVA')}", "PID", 11, "state"),
+        finding("V41", "race <> '' and coalesce(race_status, '') <> 'VALID'", has("FIG"), "PID", 10, "race"),
+        finding("V42", "ethnicity <> '' and coalesce(ethnicity_status, '') <> 'VALID'", has("FIG"), "PID", 10, "ethnicity"),
         finding("V43", f"{has('BLACKBERRY')} and (line1 = '' or city = '' or state = '' or zip = '')", "E", "PID", 11, thrown=True),
-        finding("V44", f"{single} and birth_order not in ('1', '')", either("PLANTAIN", "W", "E"), "PID", 25, "birth_order"),
+        finding("V44", f"{single} and birth_order not in ('1', '')", f"not {has('PLANTAIN')}", "PID", 25, "birth_order"),
         finding("V45", f"{multiple} and birth_order = ''", "W", "PID", 24),
-        finding("V46", f"{multiple} and birth_order <> '' and not birth_order_ok", either("PLANTAIN", "W", "E"), "PID", 25, "birth_order"),
-        finding("V47", f"not {single} and not {multiple}", either("PLANTAIN", "W", "E"), "PID", 24, "birth_flag"),
+        finding("V46", f"{multiple} and birth_order <> '' and not birth_order_ok", f"not {has('PLANTAIN')}", "PID", 25, "birth_order"),
+        finding("V47", f"not {single} and not {multiple}", f"not {has('PLANTAIN')}", "PID", 24, "birth_flag"),
         finding("V48a", h.bad_date("protection_text", "protection_date"), "W", "PD1", 13, eight("protection_text")),
         finding("V48b", h.bad_date("registry_text", "registry_date"), "W", "PD1", 17, eight("registry_text")),
         finding("V48c", h.bad_date("publicity_text", "publicity_date"), "W", "PD1", 18, eight("publicity_text")))
 
 
-def relative_rules() -> str:
-    """Rules per relative, over the relatives up to the first recognised guardian."""
+def relative_rules() -> Group:
+    """Rules per relative ``r``, over the relatives up to the first recognised guardian; none of them is an error."""
     known = f"r.relationship in {hl7.GUARDIANS}"
-    one = found(
-        finding("V49", "r.last = ''", "W", "NK1", 2, repeat="i + 1"),
-        finding("V50", "r.first = ''", "W", "NK1", 2, repeat="i + 1"),
-        finding("V51", "r.relationship = ''", "W", "NK1", 3, repeat="i + 1"),
-        finding("V52", "r.relationship = ''", "W", "NK1", 3, repeat="i + 1"),
-        finding("V52", f"r.relationship <> '' and not {known}", "W", "NK1", 3, "r.relationship", repeat="i + 1", text="V52b"))
-    return f"flatten(transform(slice(relatives, 1, n_relatives), (r, i) -> {one}))"
+    return Group(
+        3,
+        finding("V49", "r.last = ''", "W", "NK1", 2, repeat=None),
+        finding("V50", "r.first = ''", "W", "NK1", 2, repeat=None),
+        finding("V51", "r.relationship = ''", "W", "NK1", 3, repeat=None),
+        finding("V52", "r.relationship = ''", "W", "NK1", 3, repeat=None),
+        finding("V52", f"r.relationship <> '' and not {known}", "W", "NK1", 3, "r.relationship", repeat=None, text="V52b"))
 
 
-def order_rules(as_of: str) -> str:
+def relative_entries() -> str:
+    group = relative_rules()
+    masked = f"transform(slice(relatives, 1, n_relatives), (r, i) -> named_struct('at', i + 1, 'mask', {group.mask()}, 'relationship', r.relationship))"
+    entry = group.entry("r.mask", stage="1", block=1, obx_no="r.at", at="r.at")
+    return f"transform(filter({masked}, r -> r.mask <> 0L), r -> {entry})"
+
+
+def order_rules(as_of: str) -> Group:
     """Order rules; code 998 stands for "no dose", only its observations are read."""
 
     def rx(rule, cond, severity, field, *values, segment="RXA", thrown=False):
-        return finding(rule, f"is_dose and {cond}", severity, segment, field, *values, thrown=thrown, repeat="order_no")
+        return finding(rule, f"is_dose and {cond}", severity, segment, field, *values, thrown=thrown, repeat=None)
 
-    return found(
-        finding("V53", "msg_type = 'ORU' and not has_anchor", "E", "ORC", 0, thrown=True, repeat="order_no"),
-        finding("V25", "msg_type = 'VXU' and not has_anchor", "E", "ORC", 0, thrown=True, repeat="order_no"),
+    return Group(
+        4,
+        finding("V53", "msg_type = 'ORU' and not has_anchor", "E", "ORC", 0, thrown=True, repeat=None),
+        finding("V25", "msg_type = 'VXU' and not has_anchor", "E", "ORC", 0, thrown=True, repeat=None),
         rx("V08", "vaccine_code = ''", "E", 5, thrown=True),
         rx("V09", "vr_link = ''", "E", 3, segment="ORC", thrown=True),
         rx("V10", "administered_date is null", "E", 3, unreadable("administered_text"), thrown=True),
@@ -155,22 +130,60 @@ def order_rules(as_of: str) -> str:
         rx("V22", f"administered_date < birth_date and not {has('CLEMENTINE')}", "E", 3, thrown=True))
 
 
-def funding_rules() -> str:
+def funding_rules() -> Group:
     """The funding rules run over all OBX of an order before the others start."""
     sent = "is_dose and not failed and value_code <> '' and obx_code is null"
-    return found(
-        finding("V23", f"identifier_code = '64994-7' and {sent}", "W", "OBX", 5, "value_code", repeat="obx_no"),
-        finding("V24", f"identifier_code = '30963-3' and {sent}", "W", "OBX", 5, "value_code", repeat="obx_no"))
+    return Group(
+        5,
+        finding("V23", f"identifier_code = '64994-7' and {sent}", "W", "OBX", 5, "value_code", repeat=None),
+        finding("V24", f"identifier_code = '30963-3' and {sent}", "W", "OBX", 5, "value_code", repeat=None))
 
 
-def observation_rules(as_of: str) -> str:
+def observation_rules(as_of: str) -> Group:
     contra = "not failed and identifier_code = '30945-0'"
-    return found(
+    return Group(
+        6,
         finding("V57", "not failed and " + h.bad_date("observation_text", "observation_date"), "W", "OBX", 14,
-                "left(observation_text, 8)", repeat="obx_no"),
-        finding("V54", f"{contra} and obx_code is null", "W", "OBX", 5, repeat="obx_no"),
-        finding("V55", f"{contra} and observation_date > {as_of}", "W", "OBX", 5, repeat="obx_no"),
-        finding("V56", f"{contra} and observation_date < birth_date", "W", "OBX", 14, repeat="obx_no"))
+                "left(observation_text, 8)", repeat=None),
+        finding("V54", f"{contra} and obx_code is null", "W", "OBX", 5, repeat=None),
+        finding("V55", f"{contra} and observation_date > {as_of}", "W", "OBX", 5, repeat=None),
+        finding("V56", f"{contra} and observation_date < birth_date", "W", "OBX", 14, repeat=None))
+
+
+def whole_rules() -> Group:
+    """Rules over all accepted orders of a message."""
+    whole = "not stopped and msg_type = 'VXU' and first_fail is null"
+    return Group(
+        7,
+        finding("V26", f"{whole} and {has('CRANBERRY')} and vaccinations = 0", "E", "", 0, thrown=True, repeat=0),
+        finding("V27", f"{whole} and {has('BILBERRY')} and vaccinations = 0 and refusals = 0", "E", "", 0, thrown=True, repeat=0))
+
+
+def query_rules() -> Group:
+    return Group(
+        8,
+        finding("V03", "not has_qpd", "E", "", 0, repeat=0),
+        finding("V07", "has_qpd and " + h.bad_date("q_birth_text", "q_birth"), "W", "QPD", 6, "left(q_birth_text, 8)"),
+        finding("V04", "has_qpd and q_last = ''", "E", "QPD", 4),
+        finding("V05", "has_qpd and q_last <> '' and q_first = ''", "E", "QPD", 4),
+        finding("V06", "has_qpd and q_last <> '' and q_first <> '' and q_birth is null", "E", "QPD", 6),
+        finding("V58", "is_match and profile not in ('Z34', 'Z44')", "E", "MSH", 21, "profile"))
+
+
+def fhir_rules() -> Group:
+    return Group(
+        9,
+        finding("V60", "coalesce(vr_link, '') = ''", "E", "Immunization", 0, thrown=True, repeat=0),
+        finding("V61", "coalesce(patient_ref, '') <> '' and found_ref is null", "E", "Immunization", 0, thrown=True, repeat=0),
+        finding("V62", "coalesce(mrn, '') = ''", "E", "Patient", 0, thrown=True, repeat=0),
+        finding("V63", "administered_date < birth_date", "E", "Immunization", 0, thrown=True, repeat=0))
+
+
+def findings_of(entries: str) -> str:
+    """SQL list of the findings of a list of entries of any rules."""
+    day = "current_date"
+    return spelled(entries, [header_rules(), patient_rules(day), relative_rules(), order_rules(day), funding_rules(), observation_rules(day),
+                             whole_rules(), query_rules(), fhir_rules()])
 
 
 OBX_CODESET = ("case identifier_code when '64994-7' then 'FINANCIAL_STATUS_CODE' when '30963-3' then "
@@ -191,7 +204,7 @@ class Validation:
     tables; ``as_of`` is the SQL expression that stands for "now".
     """
 
-    CARRY = [*[c for c in hl7.HEADER if c != "msg_type"], "head", "head_stage", "stopped", "mrn", "birth_date"]
+    CARRY = [*[c for c in hl7.HEADER if c != "msg_type"], "head", "refused", "stopped", "mrn", "birth_date"]
 
     def __init__(self, messages: DataFrame, orgs: DataFrame, codes: DataFrame, relations: DataFrame,
                  valid_values: DataFrame, as_of: str, locations: DataFrame | None = None, skip_blank_phone: bool = False):
@@ -208,17 +221,22 @@ class Validation:
         for sets, column in ((["SEX"], "sex"), (["COUNTRY_2DIGIT", "COUNTRY_3DIGIT"], "country"),
                              (["STATE"], "state"), (["BIRTH_ORDER"], "birth_order")):
             rows = C.member(rows, self.valid_values, sets, column, f"{column}_ok")
+        header, patient = header_rules(), patient_rules(self.as_of, self.skip_blank_phone)
         rows = rows.selectExpr(
-            "*", f"{header_rules()} as header_found",
+            "*", f"{header.mask()} as header_mask",
             f"coalesce(nullif(array_position(transform(relatives, r -> r.relationship in {hl7.GUARDIANS}), true), 0), "
             "size(relatives)) as n_relatives")
+        rows = rows.selectExpr("*", "header_mask = 0L and msg_type in ('VXU', 'ORU') as is_update")
+        rows = rows.selectExpr("*", f"case when is_update then {patient.mask()} else 0L end as patient_mask")
         rows = rows.selectExpr(
-            "*", "size(header_found) = 0 and msg_type in ('VXU', 'ORU') as is_update",
-            "case when size(header_found) > 0 then 0 else 1 end as head_stage")
-        rows = rows.selectExpr(
-            "*", f"case when is_update then concat({patient_rules(self.as_of, self.skip_blank_phone)}, {relative_rules()}) "
-                 "else header_found end as head").drop("header_found", "n_relatives")
-        return cut(rows, "head").selectExpr("*", "not is_update or exists(head, x -> x.severity = 'E') as stopped")
+            "* except (header_mask, patient_mask)", f"{header.cut('header_mask')} as header_mask", f"{patient.cut('patient_mask')} as patient_mask")
+        rows = rows.selectExpr("*", f"{patient.errors('patient_mask')} as patient_errors")
+        kin = f"is_update and (patient_mask & {patient.thrown}) = 0L"
+        return rows.selectExpr(
+            "* except (header_mask, patient_mask, patient_errors, n_relatives)",
+            f"concat({header.entries('header_mask')}, {patient.entries('patient_mask', stage='1')}, "
+            f"case when {kin} then {relative_entries()} else {NO_ENTRY} end) as head",
+            f"(header_mask & {header.bits(lambda r: r.rule != 'V02')}) <> 0L as refused", "not is_update or patient_errors <> 0L as stopped")
 
     @cached_property
     def accepted(self) -> DataFrame:
@@ -227,7 +245,7 @@ class Validation:
 
     @cached_property
     def orders(self) -> DataFrame:
-        """Order rows (VXU and ORU) with ``found`` and ``failed``; one empty row for a stopped message."""
+        """Order rows (VXU and ORU) with ``found`` (a mask), ``failed`` and ``failed_early``; one empty row for a stopped message."""
         carry = [c for c in self.CARRY]
         rows = hl7.dose_columns(hl7.orders(self.head, *carry, only="not stopped"), *carry)
         rows = codemap.resolve_cvx(rows, self.codes, self.relations)
@@ -240,8 +258,11 @@ class Validation:
             rows = (rows.join(known, ["org_id", "facility_code"], "left")
                     .selectExpr(*kept, "__known is not null as location_known"))
         rows = rows.selectExpr("*", "order_no is not null and has_rxa and vaccine_code <> '998' as is_dose")
-        rows = rows.selectExpr("*", f"case when order_no is not null then {order_rules(self.as_of)} end as found")
-        return cut(rows, "found").selectExpr("*", "coalesce(exists(found, x -> x.thrown), false) as failed")
+        rules = order_rules(self.as_of)
+        rows = rows.selectExpr("*", f"case when order_no is not null then {rules.mask()} end as fired")
+        early = rules.bits(lambda r: r.thrown and r.rule not in ("V21", "V22"))
+        rows = rows.selectExpr("* except (fired)", f"{rules.cut('fired')} as found")
+        return rows.selectExpr("*", f"coalesce((found & {rules.thrown}) <> 0L, false) as failed", f"coalesce((found & {early}) <> 0L, false) as failed_early")
 
     def stage_orders(self) -> Validation:
         """Writes the order rows once, for jobs that start several branches from them."""
@@ -262,47 +283,41 @@ class Validation:
 
     @cached_property
     def report(self) -> DataFrame:
-        """One row per message: header columns, ``findings``, ``vaccinations``, ``refusals``, ``first_fail``."""
+        """One row per message: header columns, ``entries`` (masks), ``findings``, ``vaccinations``, ``refusals``, ``first_fail``."""
         rows = hl7.extract_observations(self.orders, keep_empty=True)
         rows = attach_obx_code(rows, self.codes)
 
-        def keyed(array, block, obx):
-            fields = ", ".join(f"'{c}', f.{c}" for c in FINDING)
-            return (f"transform({array}, (f, i) -> named_struct('stage', 2, 'order_no', order_no, 'block', {block}, "
-                    f"'obx_no', {obx}, 'pos', i, {fields}))")
-
+        orders, funding, late = order_rules(self.as_of), funding_rules(), observation_rules(self.as_of)
         counted = "is_dose and not failed and lead"
         given = "cvx not in ('998', '999') and completion_status in ('CP', 'PA', '')"
+        rows = rows.selectExpr("*", "obx_i is null or obx_i = 0 as lead", f"{funding.mask()} as funding_mask", f"{late.mask()} as late_mask")
+        rows = rows.selectExpr("*", "case when lead then coalesce(found, 0L) else 0L end as order_mask")
+        at = {"stage": "2", "order_no": "order_no"}
+        entries = [orders.entries("order_mask", at="order_no", **at)]
+        entries += [g.entries(m, block=i, obx_no="obx_no", at="obx_no", **at) for i, (g, m) in enumerate(((funding, "funding_mask"), (late, "late_mask")), 1)]
         rows = rows.selectExpr(
-            "*", "obx_i is null or obx_i = 0 as lead", f"{funding_rules()} as early", f"{observation_rules(self.as_of)} as late")
-        rows = rows.selectExpr(
-            "*", "concat(case when lead and found is not null then " + keyed("found", 0, 0) + " else array() end, "
-            + keyed("early", 1, "obx_no") + ", " + keyed("late", 2, "obx_no") + ") as keyed",
+            "*", f"concat({', '.join(entries)}) as keyed",
             f"case when {counted} and {given} then order_no end as given_no",
             f"case when {counted} and completion_status = 'RE' then order_no end as refused_no")
         first = ["org_id", "received_date", "msg_type", "flavors", *self.CARRY]
         rows = rows.groupBy("msg_id").agg(
             *[F.expr(f"first({c}) as {c}") for c in first],
-            F.expr("array_sort(flatten(collect_list(keyed))) as found"),
-            F.expr("collect_list(given_no) as given"), F.expr("collect_list(refused_no) as refused"),
+            F.expr("array_sort(flatten(collect_list(keyed))) as keyed"),
+            F.expr("collect_list(given_no) as given"), F.expr("collect_list(refused_no) as refused_nos"),
             F.expr("min(case when failed then order_no end) as first_fail"))
-        rows = cut(rows, "found").selectExpr(
-            "*", "size(filter(given, n -> first_fail is null or n < first_fail)) as vaccinations",
-            "size(filter(refused, n -> first_fail is null or n < first_fail)) as refusals")
-        whole = "not stopped and msg_type = 'VXU' and first_fail is null"
-        total = found(
-            finding("V26", f"{whole} and {has('CRANBERRY')} and vaccinations = 0", "E", "", 0, thrown=True, repeat="0"),
-            finding("V27", f"{whole} and {has('BILBERRY')} and vaccinations = 0 and refusals = 0", "E", "", 0, thrown=True, repeat="0"))
-        fields = ", ".join(f"'{c}', f.{c}" for c in FINDING)
-
-        def staged(array, stage):
-            return (f"transform({array}, (f, i) -> named_struct('stage', {stage}, 'order_no', 0, 'block', 0, 'obx_no', 0, "
-                    f"'pos', i, {fields}))")
-
-        return rows.selectExpr(
-            "msg_id", *[c for c in first if c != "head"],
-            f"concat({staged('head', 'head_stage')}, found, {staged(total, 3)}) as findings",
+        # the first failing order throws, which ends the message before its observations
+        kept = "first_fail is null or e.order_no < first_fail or (e.order_no = first_fail and e.block = 0)"
+        rows = rows.selectExpr(
+            "* except (keyed)", f"filter(keyed, e -> {kept}) as found",
+            "size(filter(given, n -> first_fail is null or n < first_fail)) as vaccinations",
+            "size(filter(refused_nos, n -> first_fail is null or n < first_fail)) as refusals")
+        whole = whole_rules()
+        rows = rows.selectExpr("*", f"{whole.mask()} as fired")
+        rows = rows.selectExpr("*", f"{whole.cut('fired')} as whole_mask")
+        rows = rows.selectExpr(
+            "msg_id", *[c for c in first if c != "head"], f"concat(head, found, {whole.entries('whole_mask', stage='3')}) as entries",
             "vaccinations", "refusals", "first_fail")
+        return rows.selectExpr("*", f"{findings_of('entries')} as findings")
 
     def quarantined(self) -> DataFrame:
         """Messages that cannot be taken apart, with their fault and text; their report holds V59 alone."""
@@ -310,8 +325,8 @@ class Validation:
 
     def head_findings(self) -> DataFrame:
         """Header and patient findings as rows (no shuffle)."""
-        rows = self.head.selectExpr("msg_id", "explode_outer(head) as f").where("f is not null")
-        return rows.selectExpr("msg_id", f"case when f.rule in {HEADER_RULES} then 0 else 1 end as stage", "f.*")
+        rows = hl7.keep(self.head, "size(head) > 0").select("msg_id", "head")
+        return rows.selectExpr("msg_id", f"explode({findings_of('head')}) as f").selectExpr("msg_id", "f.*")
 
     def findings(self) -> DataFrame:
         """Every finding of the update and unsupported messages as rows."""
@@ -326,30 +341,24 @@ def query_findings(queries: DataFrame, matched: DataFrame | None = None) -> Data
     else:
         hits = matched.select("msg_id").distinct().selectExpr("*", "true as __hit")
         rows = queries.join(hits, "msg_id", "left").selectExpr(*kept, "__hit is not null as is_match")
-    return rows.selectExpr("msg_id", "explode(" + found(
-        finding("V03", "not has_qpd", "E", "", 0, repeat="0"),
-        finding("V07", "has_qpd and " + h.bad_date("q_birth_text", "q_birth"), "W", "QPD", 6, "left(q_birth_text, 8)"),
-        finding("V04", "has_qpd and q_last = ''", "E", "QPD", 4),
-        finding("V05", "has_qpd and q_last <> '' and q_first = ''", "E", "QPD", 4),
-        finding("V06", "has_qpd and q_last <> '' and q_first <> '' and q_birth is null", "E", "QPD", 6),
-        finding("V58", "is_match and profile not in ('Z34', 'Z44')", "E", "MSH", 21, "profile")) + ") as f").selectExpr("msg_id", "f.*")
+    rules = query_rules()
+    rows = rows.selectExpr("*", f"{rules.mask()} as fired")
+    return rows.selectExpr("msg_id", f"explode({findings_of(rules.entries('fired'))}) as f").selectExpr("msg_id", "f.*")
 
 
 def fhir_checked(resources: DataFrame, known_patients: DataFrame) -> DataFrame:
-    """Ingest rows (org_id, vr_link, patient_ref, mrn, administered_date, birth_date) with ``found`` (V60-V63).
+    """Ingest rows (org_id, vr_link, patient_ref, mrn, administered_date, birth_date) with ``found``, the mask of V60-V63.
 
     ``known_patients`` holds the reports (org_id, mrn) a reference may point to.
     """
     side = known_patients.selectExpr("org_id", "mrn as patient_ref", "true as found_ref").distinct()
     rows = resources.join(side, ["org_id", "patient_ref"], "left")
-    rows = rows.selectExpr(*resources.columns, found(
-        finding("V60", "coalesce(vr_link, '') = ''", "E", "Immunization", 0, thrown=True, repeat="0"),
-        finding("V61", "coalesce(patient_ref, '') <> '' and found_ref is null", "E", "Immunization", 0, thrown=True, repeat="0"),
-        finding("V62", "coalesce(mrn, '') = ''", "E", "Patient", 0, thrown=True, repeat="0"),
-        finding("V63", "administered_date < birth_date", "E", "Immunization", 0, thrown=True, repeat="0")) + " as found")
-    return cut(rows, "found")
+    rules = fhir_rules()
+    rows = rows.selectExpr(*resources.columns, f"{rules.mask()} as fired")
+    return rows.selectExpr("* except (fired)", f"{rules.cut('fired')} as found")
 
 
 def fhir_findings(resources: DataFrame, known_patients: DataFrame) -> DataFrame:
     """V60-V63 as rows."""
-    return fhir_checked(resources, known_patients).selectExpr("msg_id", "explode(found) as f").selectExpr("msg_id", "f.*")
+    rows = fhir_checked(resources, known_patients)
+    return rows.selectExpr("msg_id", f"explode({findings_of(fhir_rules().entries('found'))}) as f").selectExpr("msg_id", "f.*")
