@@ -10,8 +10,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from vaxframe.llm import conversations, line_store, ranked_search
+from vaxframe.llm import conversations, line_store, ranked_search, spans
 from vaxframe.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -304,3 +305,26 @@ def test_wide_classes_are_indexed():
     assert query("abc[" + "".join(map(chr, range(97, 123))) + "]def") == sorted(
         (frozenset({"abc", f"bc{c}", f"c{c}d", f"{c}de", "def"}) for c in map(chr, range(97, 123))), key=sorted)
     assert query("abc[qwertyuiop][asdfghjkl]xyz") == sorted((frozenset({"abc", f"bc{c}", "xyz"}) for c in "qwertyuiop"), key=sorted)
+
+
+def test_folds_halving_and_replacing_over_many_blocks(spark):
+    sizes = [0, 1, 255, 256, 257, 1000]
+    rows = spark.createDataFrame([(n, [(i * 37) % 11 for i in range(n)]) for n in sizes], "n int, xs array<int>")
+    got = rows.select(
+        "n", spans.running(F.col("xs"), lambda a, b: a + b).alias("sums"), spans.running(F.col("xs"), spans.larger).alias("tops"),
+        F.transform(F.lit([-1, 0, 3, 10, 11]), lambda v: spans.below(F.sort_array("xs"), lambda x: x < v)).alias("below")).collect()
+    for r in got:
+        xs = [(i * 37) % 11 for i in range(r.n)]
+        assert r.sums == [sum(xs[: i + 1]) for i in range(r.n)]
+        assert r.tops == [max(xs[: i + 1]) for i in range(r.n)]
+        assert r.below == [sum(x < v for x in xs) for v in (-1, 0, 3, 10, 11)]
+    text = "".join(f"é{i} " for i in range(700))
+    marks = [(m.start(), m.end() + (i % 3 == 0) * 4) for i, m in enumerate(re.finditer("[0-9]+", text))]
+    out, at = [], 0
+    for start, end in marks:
+        if start >= at:
+            out.append(text[at:start] + "<" + str(start) + ">")
+        at = max(at, end)
+    held = spark.createDataFrame([(text, marks)], "text string, marks array<struct<start:int,end:int>>")
+    word = lambda s: F.concat(F.lit("<"), s["start"].cast("string"), F.lit(">"))
+    assert held.select(spans.replaced(F.col("text"), F.col("marks"), word)).first()[0] == "".join(out) + text[at:]

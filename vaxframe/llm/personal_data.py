@@ -12,8 +12,8 @@ Everything is DataFrame functions and grouped sums. Contexts with fewer than MIN
 never be confident and leave the graph first. Defined results: a null text is empty and has no spans; rows
 alike in id and text have equal spans; the begin and the end of a text are sides of contexts like words; a
 neighbour of marks alone is the side as it stands; a value of marks alone is no identifier; an empty table has
-no spans. A very long text is read whole; one of very many adjacent identifier-like words takes time by the square of their
-number. Columns other than doc_id and text are unused, whatever their names, and kept by ``mask``.
+no spans. A very long text is read whole; places are found by halving
+and by folds in blocks, so that many identifiers in one text take time in proportion. Columns other than doc_id and text are unused, whatever their names, and kept by ``mask``.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vaxframe.llm.keys import keyed_rows, row_key
-from vaxframe.llm.spans import let, matches, spelled
+from vaxframe.llm.spans import below, larger, let, matches, replaced, running, spelled
 from vaxframe.sources.scratch import stage
 
 KINDS = ("email", "ip", "card", "phone")
@@ -96,20 +96,23 @@ def _side(word: Column) -> Column:
 
 
 def _runs(text: Column, base: Column) -> Column:
-    """The runs with the words before and after them, their own words, and the base spans in them."""
+    """The runs with the words before and after them, their own words, and the base spans in them by start."""
 
-    def described(run: Column, i: Column, gaps: Column) -> Column:
+    def described(run: Column, i: Column, gaps: Column, spans: Column) -> Column:
         before = F.regexp_extract(F.get(gaps, i), rf"(?<!{_WORD})({_WORD}++){_SPACE}*+$", 1)
         after = F.regexp_extract(F.get(gaps, i + 1), rf"^{_SPACE}*+({_WORD}++)", 1)
         end = run["place"] + F.char_length(run["value"])
         words = F.transform(matches(run["value"], rf"{_WORD}++"), lambda w: F.struct(
             (run["place"] + w["place"]).alias("start"), (run["place"] + w["place"] + F.char_length(w["value"])).alias("end"), w["value"].alias("value")))
+        first = below(spans, lambda s: s["start"] < run["place"])
         return F.struct(
             F.when(before == "", F.lit(BEGIN)).otherwise(_side(before)).alias("left"), F.when(after == "", F.lit(END)).otherwise(_side(after)).alias("right"),
-            words.alias("words"), F.filter(base, lambda s: (s["start"] >= run["place"]) & (s["end"] <= end)).alias("base"))
+            words.alias("words"), let(first, lambda k: F.slice(spans, k + 1, below(spans, lambda s: s["start"] < end) - k)).alias("base"))
 
     def placed(runs: Column) -> Column:
-        return F.when(F.size(runs) > 0, let(F.split(text, RUN, -1), lambda gaps: F.transform(runs, lambda run, i: described(run, i, gaps))))
+        by_start = F.sort_array(F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["place"].alias("place"))))
+        return F.when(F.size(runs) > 0, let(F.split(text, RUN, -1), lambda gaps: let(by_start, lambda spans: F.transform(
+            runs, lambda run, i: described(run, i, gaps, spans)))))
 
     return let(matches(text, RUN), placed)
 
@@ -126,10 +129,15 @@ def _items() -> Column:
             F.get(words, i)["start"].alias("start"), F.get(words, j)["end"].alias("end"), known.alias("known"))
 
     seeds = F.transform(base, lambda s: item(
-        F.size(F.filter(words, lambda w: w["end"] <= s["start"])), F.size(F.filter(words, lambda w: w["start"] < s["end"])) - 1, s["place"]))
-    likely = F.filter(F.transform(words, lambda w, i: F.struct(
-        i.alias("at"), w["value"].rlike("[0-9@]").alias("likely"), F.exists(base, lambda s: (s["start"] < w["end"]) & (s["end"] > w["start"])).alias("taken"))),
-        lambda w: w["likely"])
+        below(words, lambda w: w["end"] <= s["start"]), below(words, lambda w: w["start"] < s["end"]) - 1, s["place"]))
+
+    def touched(word: Column, reach: Column) -> Column:
+        """Whether a base span starts before the word's end and reaches beyond its start."""
+        return F.coalesce(F.get(reach, below(base, lambda s: s["start"] < word["end"]) - 1) > word["start"], F.lit(False))
+
+    likely = let(running(F.transform(base, lambda s: s["end"]), larger), lambda reach: F.transform(
+        F.filter(F.transform(words, lambda w, i: F.struct(i.alias("at"), w.alias("word"))), lambda w: w["word"]["value"].rlike("[0-9@]")),
+        lambda w: F.struct(w["at"].alias("at"), touched(w["word"], reach).alias("taken"))))
 
     def from_here(at: Column, ahead: Column) -> Column:
         def free(taken: Column) -> Column:
@@ -175,12 +183,15 @@ def find_personal(docs: DataFrame) -> DataFrame:
     often = edges.groupBy("left", "right").agg(F.count("*").alias("n")).where(f"n >= {MIN_SUPPORT}").drop("n")
     contexts = _scores(stage(edges.join(often, ["left", "right"]), "edges"))
     kinds = F.array(*[F.lit(x) for x in KINDS])
-    within = lambda x, y: (y["start"] <= x["start"]) & (y["end"] >= x["end"]) & (y["end"] - y["start"] > x["end"] - x["start"])
+    longest_first = F.sort_array(F.transform("all", lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("least"), x.alias("span"))))
+    outer = let(longest_first, lambda xs: let(running(F.transform(xs, lambda x: -x["least"]), larger), lambda reach: F.transform(
+        F.filter(F.transform(xs, lambda x, i: F.struct(x["span"].alias("span"), F.get(reach, i - 1).alias("before"))), lambda x: F.coalesce(x["before"] < x["span"]["end"], F.lit(True))),
+        lambda x: x["span"])))
     more = (
         items.where("known is null and value <> ''").join(contexts, ["left", "right"])
         .select("key", F.struct("place", "start", "end", F.get(kinds, F.col("place")).alias("kind")).alias("span"))
         .groupBy("key").agg(F.collect_set("span").cast(SPANS).alias("all"))
-        .select("key", F.filter("all", lambda x: ~F.exists("all", lambda y: within(x, y))).alias("more"))
+        .select("key", outer.alias("more"))
     )
     return rows.join(more, "key", "left").select(
         "doc_id", "key", F.sort_array("base").alias("base"), F.sort_array(F.concat("base", F.coalesce("more", F.array().cast(SPANS)))).alias("spans"))
@@ -200,13 +211,6 @@ def mask(docs: DataFrame) -> DataFrame:
     hits = find_personal(docs).where("size(spans) > 0").groupBy("key").agg(F.first("spans").alias("spans"))
     joined = keyed_rows(docs).join(hits, "key", "left").select("row", "spans", F.col("row")["text"].alias("text"))
     ordered = F.sort_array(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, span: Column) -> Column:
-        inside = span["start"] < acc["at"]
-        out = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, span["start"] - acc["at"]), F.lit("["), F.upper(span["kind"]), F.lit("]"))
-        return F.struct(F.greatest(acc["at"], span["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(out).alias("out"))
-
-    masked = F.aggregate(ordered, begin, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.lit(2**31 - 1))))
+    masked = replaced(F.col("text"), ordered, lambda span: F.concat(F.lit("["), F.upper(span["kind"]), F.lit("]")))
     done = joined.select("row", F.when(F.col("spans").isNull(), F.col("text")).otherwise(masked).alias("text"))
     return done.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
