@@ -129,6 +129,7 @@ def estimates(vectors: DataFrame) -> DataFrame:
             bins.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("all", F.sum("n").over(w))
             .where(F.expr(f"upto >= {SUBSET}D * all")).groupBy("grp", "start").agg(F.min("bin").alias("last"))
         )
+        reach = stage(reach, "reach")  # a row per group, of measured size: the join moves no documents to their group
         fitted = stage(_fit(near.join(reach, ["grp", "start"]).where("bin <= last").drop(*PARAMETERS), ["grp", "start"], CONSISTENCY), "estimate")
     return fitted.groupBy("grp").agg(F.min_by(F.struct("n", *PARAMETERS), "logdet").alias("e")).select("grp", "e.*")
 
