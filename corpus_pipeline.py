@@ -33,10 +33,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One row of each group of near copies: the one with the smallest doc_id, then row key; of rows alike in both, one."""
     rows = shingle_join.rooted_rows(docs.select("doc_id", "text")).where("doc_id is not null")
     rows = stage(rows.groupBy("doc_id", "row", "root").agg(F.count("*").alias("n")), "rows")
-    first = rows.where("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("first"))
-    placed = rows.join(first, "root", "left")
-    gone = stage(placed.where("first.row <> row").selectExpr("row as key"), "copies")
-    repeated = stage(placed.where("n > 1 and coalesce(first.row = row, true)").selectExpr("row as key"), "repeated")
+    grouped = rows.where("root is not null")
+    first = stage(grouped.groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("first")).select("first.row"), "first")
+    gone = stage(grouped.join(first, "row", "left_anti").selectExpr("row as key"), "copies")
+    twice = rows.where("n > 1")
+    repeated = stage(twice.where("root is null").unionByName(twice.join(first, "row", "left_semi")).selectExpr("row as key").distinct(), "repeated")
     kept = without(keyed_rows(docs), "key", gone)
     if repeated.isEmpty():
         return kept.select("row.*")
