@@ -1,5 +1,8 @@
 """The registered corpus queries against their SQL on the smallest tables, and the pipeline's stages."""
 
+import hashlib
+import struct
+
 import pytest
 from oracle_tool import compare, connect
 
@@ -58,3 +61,8 @@ def test_unlike_texts_under_one_id_stay(spark):
     got = corpus_pipeline.near_duplicates(spark, docs, SF)
     assert got.columns == docs.columns
     assert sorted((r.doc_id, r.text) for r in got.collect()) == sorted([(1, base), *rows[2:6], (3, " ")])
+
+
+def test_pieces_are_returned(spark):
+    for r in queries.QUERIES["op2_sentencepiece"](spark, SF).collect():
+        assert len(r.pieces) == r.n_pieces and hashlib.sha256(struct.pack(f"<{r.n_pieces}i", *r.pieces)).hexdigest() == r.pieces_sha256
