@@ -34,3 +34,9 @@ def test_deletes_start_from_written_reports(spark):
     catalog.load()
     files = catalog.QUERIES["delete_vaccinations"](spark, SF).inputFiles()
     assert files and not [f for f in files if "lineitem" in f or "orders" in f]
+
+
+def test_answer_lines_are_written_by_kind(spark):
+    catalog.load()
+    files = catalog.QUERIES["response_lines"](spark, SF).inputFiles()
+    assert files and all("/answer-lines-" in f for f in files)
