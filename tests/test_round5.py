@@ -1,8 +1,11 @@
 """Steps whose work grew faster than the tables, or that moved every row several times."""
 
-from vaxframe.operators import identity, interchange
+from vaxframe.operators import codemap, identity, interchange, rules
+from vaxframe.plans import q_messages
 from vaxframe.plans.fixtures import Registry
 
+SF = "/root/testdata/sf0.001"
+
 
 def moves(df):
     """Number of shuffles of the plan as it stands before it runs."""
@@ -59,3 +62,24 @@ def test_doses_of_one_row_group_span_tasks(spark, tmp_path):
             spark.conf.set(k, v)
     assert sum(sizes) == 4000 and max(sizes) < 1000
     assert sorted(mrns) == [(i, f"M{i}", 10) for i in range(1, 400)]
+
+
+def test_code_tables_are_broadcast_whatever_the_size_of_part(spark, tmp_path):
+    spark.range(50000).selectExpr("id as p_partkey").write.parquet(str(tmp_path / "part.parquet"))
+    spark.range(50000).selectExpr("id as s_suppkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "40k")
+    try:
+        registry = Registry(spark, str(tmp_path))
+        doses = spark.range(100000).selectExpr("concat('NDC-', id % 60) as ndc", "'' as cpt", "'' as cvx_sent", "cast(id % 25 as int) as org_id", "concat('FAC', id % 60) as facility_code")
+        rows = codemap.resolve_cvx(doses, registry.codes(), registry.relations()).join(registry.locations(), ["org_id", "facility_code"], "left")
+        assert moves(rows) == 0
+        assert rows.where("ndc_known").count() == sum(n % 60 < 27 for n in range(100000))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_stored_orders_hold_what_is_asked(spark):
+    orders = q_messages.validation(spark, SF).stage_orders("vr_link").orders
+    assert {*orders.columns} == {*rules.Validation.COMMIT, "vr_link"}
+    assert q_messages.validation(spark, SF).orders.count() == orders.count()
