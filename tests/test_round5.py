@@ -1,7 +1,10 @@
 """Steps whose work grew faster than the tables, or that moved every row several times."""
 
-from vaxframe.operators import codemap, identity, interchange, rules
-from vaxframe.plans import q_messages
+import re
+
+from vaxframe.functions import hl7text
+from vaxframe.operators import codemap, hl7, identity, interchange, rules
+from vaxframe.plans import fixtures, q_messages
 from vaxframe.plans.fixtures import Registry
 
 SF = "/root/testdata/sf0.001"
@@ -83,3 +86,44 @@ def test_stored_orders_hold_what_is_asked(spark):
     orders = q_messages.validation(spark, SF).stage_orders("vr_link").orders
     assert {*orders.columns} == {*rules.Validation.COMMIT, "vr_link"}
     assert q_messages.validation(spark, SF).orders.count() == orders.count()
+
+
+def test_message_texts_are_compiled(spark, capsys):
+    orders = spark.range(200).selectExpr("nullif(id, 7) as o_orderkey", "id as o_custkey", "timestamp '1999-01-01' as o_orderdate")
+    rows = fixtures.message_table(orders)
+    rows.explain("codegen")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000  # the JVM never compiles a larger method
+    texts = {r.msg_id: r.message for r in rows.collect()}
+    assert [texts[i].count("\rORC|") for i in (10, 11, 12, 13, 14)] == [1, 2, 3, 4, 5]
+    assert texts[None].count("ORC|") == 0
+
+
+def test_lines_written_out_are_those_of_the_lambda(spark):
+    line, whole = "concat('k', k, case when n + k = 4 then null else '.' end)", "array_join(transform(sequence(1, n), k -> {}), char(13))"
+    rows = spark.sql("select nullif(id, 0) as n from range(-3, 9)").selectExpr(
+        f"{fixtures._written_out('n', 1, 5, 'k', line, whole.format(line))} as a", f"{whole.format(line)} as b")
+    assert all(r.a == r.b for r in rows.collect())
+
+
+def test_faults_are_those_of_the_long_conditions(spark):
+    head = "MSH|^~\\&|A|B|C|D|20010101||VXU^V04|1|P|2.5.1"
+    tails = ["", "PID|1", "PID", "PIDX", "pid|1", "P1|", "PID|\x01", "\x7f", "PID|\ufffd", "PID|\u00e9\U0001F600", "PID\u0085", "PID\u2028", "\u0085", "PID|\u0085", "\n\nPID|1\r\n",
+             "MSH|", "MSH|^~", "PID|MSH|", "PID|MSH|^~", "MSH|^~\rPID|MSH|^~", " PID|1", "PID|1\tx\x0by", "ZZ9|", "99Z|", "NTE|\r" * 50000, "PID|\x00", "\u00c9ID|"]
+    starts = ["", "\r", "\n", " ", "PID|1\r", "MSH|^~\rX"]
+    texts = [None, "MSH|^~", "FHS|1\r" + head] + [f"{a}{h}\r{t}" for a in starts for h in (head, "MSH|1", "MSH|^~", "") for t in tails]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "msg_id long, message string")
+    broken = "select -1L as msg_id, cast(concat(cast('MSH|^~|a|b|c|d|e|f|g|h|i|j|k' as binary), X'{}') as string) as message"
+    for code in ("C3", "F09F", "0D504944C37C", "0DFF"):
+        rows = rows.unionByName(spark.sql(broken.format(code)))
+    old = ("case when coalesce(replace(m, '\\r', ''), '') = '' then 'empty' "
+           f"when not is_valid_utf8(m) or contains(m, '\uFFFD') or m rlike '[{hl7.CONTROL}]' then 'binary' "
+           "when n = 0 then 'no header' when cast((octet_length(m) - octet_length(replace(m, 'MSH|^~', ''))) / 6 as int) > n then 'nested header' "
+           f"when octet_length(m) > {hl7.MOST_CHARS} and length(m) > {hl7.MOST_CHARS} then 'too large' when size(f) < 12 then 'truncated header' "
+           "when m rlike '\\r(?![A-Z][A-Z0-9]{2}(\\\\||\\r|$))[^\\r]' then 'broken segment' end")
+    want = (rows.selectExpr("msg_id", "concat('\\r', replace(message, '\\n', '\\r')) as m")
+            .selectExpr("msg_id", "m", f"{hl7text.segment_count('m', 'MSH')} as n", f"{hl7text.split_fields(hl7text.segment_line('m', 'MSH'))} as f")
+            .selectExpr("msg_id", "m", "coalesce(n, 0) as n", f"{old} as fault"))
+    got = hl7.parse(rows).selectExpr("msg_id", "message as m", "n_msh as n", "fault")
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    assert {r.fault for r in got.select("fault").distinct().collect()} >= {None, "empty", "binary", "no header", "nested header", "truncated header", "broken segment"}
