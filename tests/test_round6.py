@@ -2,7 +2,7 @@
 
 from vaxframe.functions import codes as C
 from vaxframe.operators import respond
-from vaxframe.plans import q_response
+from vaxframe.plans import q_messages, q_response
 from vaxframe.plans.fixtures import FORECAST, PATIENT, Registry
 
 DOSE = ("patient_id long, seq int, cvx string, administered_date date, expiration_date date, vr_id string, vr_link string, ndc string, lot string, amount string, "
@@ -40,3 +40,14 @@ def test_doses_of_an_answer_are_not_broadcast(spark, monkeypatch):
     assert len(semi) >= 2 and not [line for line in semi if "Broadcast" in line]
     given = next(plan for name, plan in staged if name == "given")
     assert "BroadcastExchange" not in given
+
+
+def test_queries_are_parsed_once(spark, tmp_path):
+    keys = [9, 19, 89, 429, 579, 579, 10, None]
+    orders = spark.createDataFrame([(k, 3) for k in keys], "o_orderkey long, o_custkey long").selectExpr("*", "timestamp '1999-01-01' as o_orderdate")
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(1, 4).selectExpr("id as c_custkey", "'BUILDING' as c_mktsegment", "id as c_nationkey").write.parquet(str(tmp_path / "customer.parquet"))
+    got = q_messages.dq_query(spark, str(tmp_path))
+    assert sorted((r.msg_id, r.rule) for r in got.collect()) == [(89, "V03"), (429, "V04"), (579, "V06"), (579, "V06")]
+    # a condition on a parsed column would stand below the parse with the text of the whole message in it
+    assert not [f for f in got.inputFiles() if "orders" in f]
