@@ -1,8 +1,8 @@
 """Steps whose memory or disk did not follow what the tables hold."""
 
 from vaxframe.functions import codes as C
-from vaxframe.operators import respond
-from vaxframe.plans import q_messages, q_response
+from vaxframe.operators import identity, respond, upsert
+from vaxframe.plans import q_extracts, q_identity, q_messages, q_response
 from vaxframe.plans.fixtures import FORECAST, PATIENT, Registry
 
 DOSE = ("patient_id long, seq int, cvx string, administered_date date, expiration_date date, vr_id string, vr_link string, ndc string, lot string, amount string, "
@@ -51,3 +51,23 @@ def test_queries_are_parsed_once(spark, tmp_path):
     assert sorted((r.msg_id, r.rule) for r in got.collect()) == [(89, "V03"), (429, "V04"), (579, "V06"), (579, "V06")]
     # a condition on a parsed column would stand below the parse with the text of the whole message in it
     assert not [f for f in got.inputFiles() if "orders" in f]
+
+
+def tables(spark, path, doses):
+    """customer 1..3, an order each, and ``doses`` (customer, line, part, supplier, day)."""
+    spark.range(1, 4).selectExpr("id as c_custkey", "'BUILDING' as c_mktsegment", "id as c_nationkey").write.parquet(f"{path}/customer.parquet")
+    spark.range(1, 4).selectExpr("id as o_orderkey", "id as o_custkey", "timestamp '1999-01-01' as o_orderdate").write.parquet(f"{path}/orders.parquet")
+    spark.range(30).selectExpr("id as p_partkey").write.parquet(f"{path}/part.parquet")
+    spark.createDataFrame(doses, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, day string").selectExpr(
+        "*", "1.0d as l_quantity", "1.0d as l_extendedprice", "0.0d as l_discount", "'N' as l_returnflag", "'O' as l_linestatus", "cast(day as timestamp) as l_shipdate").drop(
+        "day").write.parquet(f"{path}/lineitem.parquet")
+
+
+def test_reports_of_the_dedup_move_once(spark):
+    rows = [(1, "a", ""), (1, "b", "X"), (1, "c", "Y"), (2, "d", "X"), (2, "e", "Y"), (2, "f", ""), (2, "g", "X"), (2, "h", "Y"), (None, "i", "X"), (None, "j", "X"), (2, "d", "X"),
+            (3, "k", None), (3, None, "Z")]
+    reports = spark.createDataFrame(rows, "grp int, place string, lot string").repartition(3)
+    out = identity.dedup_vaccinations(reports, ("grp",), "lot", "place")
+    assert plan_of(out).count("Exchange hashpartitioning") == 1
+    got = sorted(((r.place or "", r.master_id) for r in out.collect()))
+    assert got == [("", None), ("a", "a"), ("b", "a"), ("c", "a"), ("d", "d"), ("d", "d"), ("e", "e"), ("f", "d"), ("g", "d"), ("h", "e"), ("i", "i"), ("j", "j"), ("k", "k")]
