@@ -71,3 +71,35 @@ def test_reports_of_the_dedup_move_once(spark):
     assert plan_of(out).count("Exchange hashpartitioning") == 1
     got = sorted(((r.place or "", r.master_id) for r in out.collect()))
     assert got == [("", None), ("a", "a"), ("b", "a"), ("c", "a"), ("d", "d"), ("d", "d"), ("e", "e"), ("f", "d"), ("g", "d"), ("h", "e"), ("i", "i"), ("j", "j"), ("k", "k")]
+
+
+def test_deletes_move_the_reports_once(spark, tmp_path):
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        rows = [("a", "m"), ("b", "m"), ("c", "n"), ("c", "n"), (None, "o"), ("d", None), ("e", None)]
+        spark.createDataFrame(rows, "vr_link string, master_id string").write.parquet(str(tmp_path / "linked"))
+        reports = spark.read.parquet(str(tmp_path / "linked"))
+        wanted = spark.createDataFrame([("a",), ("c",), ("c",), ("d",), (None,)], "vr_link string")
+        for compat, masters in ((False, {"m", "o", None}), (True, {"o", None})):
+            left, kept = upsert.delete_vaccinations(reports, reports.select("master_id").distinct(), wanted, compat)
+            assert sorted((r.vr_link or "", r.master_id) for r in left.collect()) == [("", "o"), ("b", "m"), ("e", None)]
+            assert {r.master_id for r in kept.collect()} == masters
+            both = plan_of(left.select("master_id").unionByName(kept))
+            moved = [line for line in both.split("\n") if "hashpartitioning(vr_link" in line and "ReusedExchange" not in line]
+            assert len(moved) == 2  # the reports and the wanted links
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_deletes_store_the_linked_reports_alone(spark, tmp_path, monkeypatch):
+    tables(spark, str(tmp_path), [(1, 1, 1, 1, "1999-01-05"), (1, 1, 1, 1, "1999-01-05"), (2, 1, 1, 1, "1999-01-05"), (3, 1, 2, 1, "1999-01-05")])
+    spark.range(50).selectExpr("id as event_id", "id as user_id", "'view' as event_type", "timestamp '2024-01-15 00:00:00' as ts", "1.0d as value", "'' as props").write.parquet(
+        str(tmp_path / "events.parquet"))
+    staged, keep = [], q_identity.stage
+    monkeypatch.setattr(q_identity, "stage", lambda df, name: staged.append(name) or keep(df, name))
+    assert {r.kind for r in q_identity.delete_vaccinations(spark, str(tmp_path)).collect()} == {"report", "master"}
+    assert staged == ["linked"]
