@@ -103,3 +103,13 @@ def test_deletes_store_the_linked_reports_alone(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(q_identity, "stage", lambda df, name: staged.append(name) or keep(df, name))
     assert {r.kind for r in q_identity.delete_vaccinations(spark, str(tmp_path)).collect()} == {"report", "master"}
     assert staged == ["linked"]
+
+
+def test_bundles_read_the_columns_they_show(spark, tmp_path):
+    tables(spark, str(tmp_path), [(1, 1, 1, 1, "1999-01-05"), (1, 2, 13, 1, "1999-01-05"), (1, 3, 2, 1, "1999-01-06"), (2, 1, 11, 1, "1999-01-05")])
+    out = q_extracts.patient_bundle(spark, str(tmp_path))
+    scans = [line for line in plan_of(out).split("\n") if "l_shipdate" in line and "ReadSchema" in line]
+    assert scans and not [line for line in scans if "l_linestatus" in line]  # the completion status, which no bundle shows
+    rows = {r.patient_id: r for r in out.collect()}
+    assert {k: r.entries for k, r in rows.items()} == {1: 3, 2: 1, 3: 1}  # one report a day and vaccine, and no unknown code
+    assert rows[1].bundle.count('"resourceType":"Immunization"') == 2 and '"code":"NDC-13"' in rows[1].bundle and '"code":"NDC-1"' not in rows[1].bundle
